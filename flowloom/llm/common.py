@@ -6,9 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch handed to Python: bounds a worker's memory when texts are long.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch handed to Python: bound a worker's memory when texts are long.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +48,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for very long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def looked_up(rows: DataFrame, keys: DataFrame, on: str, salts: int, how: str = "left") -> DataFrame:
+    """``rows`` joined with the one row that ``keys`` has for each ``on``.
+
+    ``keys`` is repeated ``salts`` times, so a key that a third of the rows share
+    is spread over that many tasks. Meant for rows without large columns.
+    """
+    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(salts)).cast("int")
+    spread = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", salt).join(spread, [on, "__salt"], how).drop("__salt")
 
 
 def buckets(spark: SparkSession) -> int:

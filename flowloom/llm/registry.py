@@ -8,12 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.decontaminate import op8_decontaminate
 from flowloom.llm.packing import op3_best_fit_packing
+from flowloom.llm.quality import op6_quality_classifier
+from flowloom.llm.secrets import OP5_SQL, op5_secret_scan
 from flowloom.llm.token_counts import op7_token_counts
+from flowloom.llm.url_filter import op4_url_filter
+from flowloom.llm.vector_search import op9_one_bit_search
+from flowloom.llm.warc import OP2_SQL, op2_warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_round_trip": op2_warc_round_trip,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_url_filter": op4_url_filter,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_token_counts": op7_token_counts,
     "op8_decontaminate": op8_decontaminate,
+    "op9_one_bit_search": op9_one_bit_search,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc_round_trip": OP2_SQL,
+    "op5_secret_scan": OP5_SQL,
+}
