@@ -34,7 +34,7 @@ END = 1
 #: Buckets in which ranks of one length are counted.
 SALTS = 64
 #: White-space chunks kept with their ids in a worker; beyond, the table starts anew.
-KEPT = 500_000
+KEPT = 600_000
 
 
 class Chunks(dict):
@@ -42,24 +42,62 @@ class Chunks(dict):
 
     The tokenizer drops white space and never merges across it, and no rule of its
     normaliser or splitter looks beyond it, so a text's ids are its chunks' ids.
+    Likewise a chunk of letters and then marks of ``TAIL`` is two pre-tokens. Stems
+    that are not known yet are encoded many to a text and parted at the tokens that
+    end a word, which each pre-token's last one is and no other.
     """
 
+    TAIL = ".,;:!?*#$%&|"
+
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(file)
         self.model.no_truncation()
         self.model.no_padding()
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.stems: dict[str, bytes] = {"": b""}
         self[""] = b""
 
+    def _stem(self, chunk: str) -> tuple[str, str] | None:
+        """Stem and tail of a plain chunk in small letters, else None."""
+        small = chunk.lower()
+        stem = small.rstrip(self.TAIL)
+        # Latin-1 letters are composed, and their small letters are the library's.
+        return (stem, small[len(stem) :]) if len(stem) < 64 and stem.isalpha() and (chunk.isascii() or max(chunk) <= "ÿ") else None
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn_stems(self, words: list[str], run: int = 200) -> None:
+        groups = [words[i : i + run] for i in range(0, len(words), run)]
+        for group, e in zip(groups, self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) == len(group):
+                raw, cuts = ids.tobytes(), cuts.tolist()
+                self.stems.update(zip(group, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+            else:
+                self.stems.update(zip(group, self._each(group), strict=True))
+
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self) > KEPT:
             self.clear()
             self[""] = b""
-        missing = list({w for p in parts for w in p if w not in self})
-        for w, e in zip(missing, self.model.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self[w] = np.asarray(e.ids, "<u4").tobytes()
+        if len(self.stems) > KEPT:
+            self.stems = {"": b""}
+        missing = set().union(*parts) - self.keys()
+        plain = {w: s for w in missing if (s := self._stem(w))}
+        rest = [w for w in missing if w not in plain]
+        self.update(zip(rest, self._each(rest), strict=True))
+        self._learn_stems(list({stem for stem, _ in plain.values()} - self.stems.keys()))
+        tails = list({tail for _, tail in plain.values()} - self.stems.keys())
+        self.stems.update(zip(tails, self._each(tails), strict=True))
+        stems = self.stems
+        self.update((w, stems[stem] + stems[tail]) for w, (stem, tail) in plain.items())
         for p in parts:
             yield b"".join(map(self.__getitem__, p))
 
