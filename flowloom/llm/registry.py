@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.decontaminate import op8_decontaminate
+from flowloom.llm.near_duplicates import op1_ngram_jaccard_join
 from flowloom.llm.packing import op3_best_fit_packing
 from flowloom.llm.quality import op6_quality_classifier
+from flowloom.llm.repeats import op10_remove_repeats
 from flowloom.llm.secrets import OP5_SQL, op5_secret_scan
 from flowloom.llm.token_counts import op7_token_counts
 from flowloom.llm.url_filter import op4_url_filter
@@ -16,6 +18,7 @@ from flowloom.llm.vector_search import op9_one_bit_search
 from flowloom.llm.warc import OP2_SQL, op2_warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_warc_round_trip": op2_warc_round_trip,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_url_filter": op4_url_filter,
@@ -24,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_decontaminate": op8_decontaminate,
     "op9_one_bit_search": op9_one_bit_search,
+    "op10_remove_repeats": op10_remove_repeats,
 }
 
 ORACLES: dict[str, str] = {
