@@ -98,32 +98,32 @@ def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: documents (doc_id, n, class), and slices of the partition's sketch."""
+    """Rows of two kinds: documents (doc_id, key, n, class), and slices of the partition's sketch."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "class", "slice", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "key", "n", "class", "slice", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         sketch, seen = np.zeros(SKETCH, np.uint32), set()
         for batch in batches:
             rows, fresh = [], []
-            for doc, grams in zip(batch.column("doc_id").to_pylist(), _sets(batch), strict=True):
+            for doc, key, grams in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), _sets(batch), strict=True):
                 c = fingerprint(grams)
-                rows.append((doc, len(grams), c))
+                rows.append((doc, key, len(grams), c))
                 if c not in seen:  # copies count once in a partition
                     seen.add(c)
                     fresh.append(grams)
             if fresh:
                 sketch += np.bincount((np.concatenate(fresh) & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
             if rows:
-                ids, n, c = zip(*rows, strict=True)
                 none = pa.nulls(len(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         if seen:
             parts = sketch.reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, t) for t in kinds[:3]] + [pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, t) for t in kinds[:4]] + [pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, class long, slice int, counts binary")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    return named.mapInArrow(run, "doc_id long, key long, n long, class long, slice int, counts binary")
 
 
 def summed_sketch(slices: DataFrame) -> np.ndarray:
@@ -432,11 +432,14 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class) of each row of ``docs(doc_id, text)``."""
+    """(doc_id, n_shingles, component_id, class, grouped, key) of each row of ``docs(doc_id, text)``.
+
+    ``grouped``: the row has a near copy; ``key`` is a hash of its text.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     first = written(fingerprints(docs), "fingerprints")
-    rows = first.where("slice is null").select("doc_id", "n", "class")
+    rows = first.where("slice is null").select("doc_id", "key", "n", "class")
     sketch = summed_sketch(first.where("slice is not null").select("slice", "counts"))
     classes = written(rows.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("members")), "classes")
     alive = written(live(postings(docs, sketch, buckets(spark))), "live")
@@ -458,7 +461,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = written(grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("members").alias("size")).where("size > 1"), "least")
     known = written(looked_up(grouped.select("class", "component"), least.select("component", "component_id"), "component", SALTS, "inner").select("class", "component_id", F.lit(True).alias("grouped")), "known")
     out = looked_up(rows, known, "class", SALTS)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class")
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "class",
+        F.coalesce("grouped", F.lit(False)).alias("grouped"),
+        "key",
+    )
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group: of those with the component's doc_id the one with the least hash of its text.
+
+    Rows are named by doc_id and a hash of the text. Only rows that have near copies
+    are in the list that ``docs`` is compared with; it is broadcast where it is small.
+    """
+    found = written(near_duplicates(docs).where("grouped").select(F.coalesce("doc_id", F.lit(_NULL)).alias("__id"), F.coalesce("component_id", F.lit(_NULL)).alias("component"), F.col("key").alias("__key")), "grouped")
+    first = written(found.where("__id = component").groupBy("component").agg(F.min("__key").alias("first_key")), "first")
+    rows = looked_up(found, first, "component", SALTS, "inner")
+    stays = (F.col("__id") == F.col("component")) & (F.col("__key") == F.col("first_key"))
+    named = rows.withColumn("__stays", stays).groupBy("__id", "__key").agg(F.max("__stays").alias("__stays"), F.count(F.lit(1)).alias("__rows"))
+    # Rows that stay and come once need no name.
+    named = written(named.where("not __stays or __rows > 1").select("__id", "__key", "__stays"), "named")
+    total, repeated = named.agg(F.count(F.lit(1)), F.count_if("__stays")).first()
+    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("__id"), F.xxhash64("text").alias("__key"))
+    joined = keyed.join(F.broadcast(named) if total <= BROADCAST_IDS else named, ["__id", "__key"], "left")
+    out = joined.where("__stays is null")
+    if repeated:
+        out = out.unionByName(joined.where("__stays").dropDuplicates(["__id", "__key"]))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,10 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import shared_path, table
+from flowloom.llm.common import looked_up, shared_path, table
 
 #: Copies of the findings when they are joined back, so that a blob with very many paths is spread.
 SALTS = 32
+#: Most findings and blobs that are broadcast (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_SPANS = 50_000
 
 
 @dataclass(frozen=True)
@@ -105,12 +107,18 @@ class BlobLedger:
     def findings(self, versions: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
         """Columns of ``versions`` but its text, ``blob`` and ``spans`` for each row."""
         rows = versions.drop("spans", "blob").withColumn("blob", blob_of("text")).drop("text")
+        return self.joined(rows, rule_version)
+
+    def joined(self, rows: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
+        """``rows`` with the findings of their ``blob``."""
         found = self.rows().where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
         # Runs that overlap may have entered a pair twice, with equal findings.
         found = found.dropDuplicates(["blob"])
-        salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(SALTS)).cast("int")
-        spread = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("__salt", salt).join(spread, ["blob", "__salt"], "left").drop("__salt")
+        spans, blobs = found.agg(F.sum(F.size("spans")), F.count(F.lit(1))).first()
+        if (spans or 0) + blobs <= BROADCAST_SPANS:
+            joined = rows.join(F.broadcast(found), "blob", "left")
+        else:
+            joined = looked_up(rows, found, "blob", SALTS)
         return joined.withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")))
 
 
@@ -134,6 +142,13 @@ def redacted(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:
     return F.when(F.size(found) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text))))
 
 
+def redact(docs: DataFrame, ledger: BlobLedger, mark: str = "[REDACTED]") -> DataFrame:
+    """``docs`` with each run of findings in ``text`` replaced by ``mark``; a null text stays null."""
+    ledger.update(docs.select("text"))
+    found = ledger.joined(docs.drop("spans", "blob").withColumn("blob", blob_of("text")))
+    return found.withColumn("text", F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("spans"), mark))).drop("spans", "blob")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in every document, scanned by blob through a fresh ledger."""
     found = BlobLedger(spark).scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
