@@ -45,7 +45,7 @@ DEPTH, DIGIT = 50, 24
 #: Most bytes of a text that are hashed at a time.
 SEGMENT = 1 << 19
 #: Fingerprints of a partition that are held before they are sent.
-HELD = 4_000_000
+HELD = 2_000_000
 _U = np.uint64
 _SHIFT = _U(16)
 _MESSAGE = "bucket int, part int, kind int, body binary"
@@ -164,8 +164,9 @@ def digit_messages(texts: DataFrame, parts: int) -> DataFrame:
                 owner = runs.owner + i
                 for p in np.unique(part[owner]) if runs.n else ():
                     own = (part[owner] == p) & known[owner]
-                    pair = np.unique(np.rec.fromarrays([runs.owner[own], runs.digit[own]]))
-                    held.setdefault(int(p), []).append(pair.f1)
+                    # A slab has fewer than 2^16 texts with windows, and a digit 48 bits.
+                    pair = np.unique((runs.owner[own].astype(_U) << _U(48)) | runs.digit[own]) & _U((1 << 48) - 1)
+                    held.setdefault(int(p), []).append(pair)
                     size += len(pair)
             if size > HELD:
                 yield from send()
@@ -341,6 +342,8 @@ def window_messages(texts: DataFrame, answers: DataFrame, parts: int) -> DataFra
             asked = Asked(texts, answers)
             asked.judge()
             hashes, least = _window_least(asked)
+            order = np.argsort(least, kind="stable")  # equal ids lie together
+            hashes, least = hashes[order], least[order]
             rows += _messages((hashes % _U(parts)).astype(np.int64), texts["part"][0].as_py(), 0, lambda x: hashes[x].tobytes() + least[x].tobytes())
         return pa.Table.from_batches([_batch(rows)])
 
@@ -375,22 +378,24 @@ def removals(texts: DataFrame, answers: DataFrame) -> DataFrame:
         hashes, least = _window_least(asked)
         repeated = asked.within(asked.digit, asked.repeated) & asked.alone  # groups
         split = asked.split_groups()
-        marks = np.zeros(len(asked.data) + 1, np.int32)  # +1 where a removed window begins, -1 where it ends
+        removed = np.zeros(len(asked.data), bool)
         for i, place, runs, own, at in asked.split_windows():
+            if not len(own):
+                continue
             group = asked.group[at]
-            base = (asked.offsets[i] + place) if len(own) else 0
+            base = int(asked.offsets[i]) + place
             whole = own[repeated[group] | asked.larger[at]]
-            np.add.at(marks, base + runs.start[whole], 1)
-            np.add.at(marks, base + runs.start[whole] + runs.count[whole] + DEPTH - 1, -1)
             part = own[split[group] & ~asked.larger[at] & ~repeated[group]]
             start, h = runs.windows(part)
             doc = np.repeat(asked.doc[runs.owner[part] + i], runs.count[part])
             gone = asked.within(h, asked.windows)
             if len(hashes):
                 gone |= doc > least[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)]
-            np.add.at(marks, base + start[gone], 1)
-            np.add.at(marks, base + start[gone] + DEPTH, -1)
-        removed = np.cumsum(marks[:-1]) > 0
+            begin = np.concatenate([runs.start[whole], start[gone]])
+            end = np.concatenate([runs.start[whole] + runs.count[whole] + DEPTH - 1, start[gone] + DEPTH])
+            size = len(runs.sums) - 1
+            marks = np.bincount(begin, minlength=size + 1) - np.bincount(end, minlength=size + 1)
+            removed[base : base + size] |= np.cumsum(marks[:size]) > 0
         ids = texts["doc_id"].to_pylist()
         rows = []
         for d, a, b in zip(ids, asked.offsets[:-1].tolist(), asked.offsets[1:].tolist(), strict=True):
@@ -410,6 +415,19 @@ def _result(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
+def _part(spark: SparkSession, inputs: int):
+    """A number for each input partition; where there are not too many, one that hashes to a bucket of its own."""
+    own = F.spark_partition_id()
+    if inputs > 10_000:
+        return own
+    bucket = F.pmod(F.hash(F.col("id").cast("int")), F.lit(inputs))
+    least = {r[0]: r[1] for r in spark.range(32 * inputs + 256).groupBy(bucket.alias("bucket")).agg(F.min("id")).collect()}
+    taken = set(least.values())
+    spare = (i for i in range(32 * inputs + 256) if i not in taken)
+    names = F.array(*(F.lit(int(least[i] if i in least else next(spare))) for i in range(inputs)))
+    return F.coalesce(F.get(names, own), own + F.lit(64 * inputs + 512)).cast("int")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: what is removed, and the digest of what is kept.
 
@@ -419,9 +437,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     parts = buckets(spark)
     name = f"flowloom_texts_{uuid.uuid4().hex}"
-    rows = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    inputs = min(max(1, docs.rdd.getNumPartitions()), 100_000)
+    rows = docs.select(_part(spark, inputs).alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     # Each input partition writes the one file of its own bucket: no shuffle, then or later.
-    rows.write.option("compression", "zstd").bucketBy(min(max(1, docs.rdd.getNumPartitions()), 100_000), "part").saveAsTable(name)
+    rows.write.option("compression", "zstd").bucketBy(inputs, "part").saveAsTable(name)
     try:
         texts = spark.table(name)
         answers = written(shared_digits(digit_messages(texts, parts)), "digits")
