@@ -13,7 +13,7 @@ import pyarrow as pa
 
 _U = np.uint64
 #: Bytes of text that the kernels take at a time, so that their arrays stay in cache.
-SLAB = 1 << 18
+SLAB = 1 << 16
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)

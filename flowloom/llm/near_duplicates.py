@@ -9,16 +9,18 @@ component over links.
    Equal sets are one class from here on.
 2. Shingles have one global order: rare first by the sketch, then by hash. A class
    of n shingles must share a = ceil(0.8 n) with any partner, so among its first
-   n - a + l shingles at least l are shared. Each class picks the l from 1 to
-   ``LEVELS`` whose prefix has the least estimated cost: the documents met through
-   its tokens, and the candidates left to verify, at most 1/l of them. A pair needs
-   min(l, l') shared prefix tokens before it is verified.
-3. Prefix tokens are dealt to buckets by hash, packed. In a bucket a token of one
-   class is dropped. First each class is verified against the most central class
-   that it shares tokens with (``PIVOTS`` rounds); links merge classes. Then only
-   pairs of classes in different components are left, and all of those with enough
-   shared tokens are verified: no link between components is lost, and the pairs
-   within a group of copies are never listed.
+   n - a + l shingles at least l are shared. Each class picks the l, from ``LEAST``
+   to ``LEVELS`` where its size allows, whose prefix has the least estimated cost:
+   documents met through its tokens, and candidates left to verify, which thin out
+   with l. A pair needs min(l, l') shared prefix tokens before it is verified.
+3. Prefix tokens are dealt to buckets by hash, packed. A token that no other class
+   has in its prefix is dead. Classes with too few live tokens for any partner go.
+   Of a pair, the class whose prefix ends first has none of its dead tokens in the
+   other, which bounds what the two can share. First each class is verified against
+   the most central class that it shares tokens with (``PIVOTS`` rounds); links merge
+   classes. Then only pairs of classes in different components are left, and all of
+   those that can reach the threshold are verified: no link between components is
+   lost, and the pairs within a group of copies are never listed.
 4. Verification compares whole sets. A pair's rarer side travels to its more
    frequent side, whose set is held while partners stream by.
 
@@ -32,6 +34,8 @@ no other id is reached. Repeated rows are copies. Other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,16 +49,19 @@ from flowloom.llm.graph import components
 
 #: Words of a shingle, and the similarity as a fraction.
 SHINGLE, THRESHOLD = 5, (80, 100)
-#: Counters of the sketch (a fixed 4 MB), slices in which it is summed.
-SKETCH, SLICES = 1 << 20, 16
-#: Longest multi-match, and the cost of verifying a candidate in documents met.
-LEVELS, VERIFY_COST = 4, 20.0
+#: Counters of the sketch (a fixed 16 MB), slices in which it is summed.
+SKETCH, SLICES = 1 << 22, 16
+#: Shortest and longest multi-match, the cost of verifying a candidate in documents met,
+#: the share of candidates that one more shared token leaves, and the least that a token meets.
+LEAST, LEVELS, VERIFY_COST, LEFT, FLOOR = 4, 8, 20.0, 0.3, 0.1
 #: Rounds against central classes before all remaining pairs are listed.
-PIVOTS = 2
-#: Most partners that are broadcast (about 30 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 200_000
+PIVOTS = 3
+#: Most ids (8 bytes) and partners (some hundred bytes) that are broadcast; more are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_PARTNERS = 200_000, 20_000
 #: Partners that one copy of a held set serves.
 PARTNERS = 2048
+#: Prefix tokens that a task holds before it deals them out.
+HELD = 500_000
 SALTS = 32
 
 _U = np.uint64
@@ -113,14 +120,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 if c not in seen:  # copies count once in a partition
                     seen.add(c)
                     fresh.append(grams)
-            if fresh:
-                sketch += np.bincount((np.concatenate(fresh) & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+            for grams in fresh:  # a set has no shingle twice, but two may share a counter
+                np.add.at(sketch, (grams & _U(SKETCH - 1)).astype(np.int64), 1)
             if rows:
                 none = pa.nulls(len(rows))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         if seen:
-            parts = sketch.reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, t) for t in kinds[:4]] + [pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+            parts = sketch.astype("<u4").reshape(SLICES, -1)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, t) for t in kinds[:4]] + [pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=names)
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     return named.mapInArrow(run, "doc_id long, key long, n long, class long, slice int, counts binary")
@@ -133,7 +140,7 @@ def summed_sketch(slices: DataFrame) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column("slice").to_pylist(), batch.column("counts"), strict=True):
-                part = np.frombuffer(raw.as_py(), np.uint32)
+                part = np.frombuffer(zlib.decompress(raw.as_py()), np.uint32)
                 held[i] = held[i] + part if i in held else part.astype(np.uint64)
         rows = sorted(held.items())
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([np.minimum(p, 2**32 - 1).astype(np.uint32).tobytes() for _, p in rows], pa.binary())], names=["slice", "counts"])
@@ -150,23 +157,27 @@ def required(n: np.ndarray | int) -> np.ndarray | int:
 
 
 def prefix(grams: np.ndarray, sketch: np.ndarray, noise: float) -> tuple[np.ndarray, int, float]:
-    """Tokens of a set's adaptive prefix, the shared tokens it asks for, its centrality."""
+    """A set's adaptive prefix in order, the shared tokens it asks for, its centrality."""
     n = len(grams)
     rank = sketch[(grams & _U(SKETCH - 1)).astype(np.int64)]
     order = (np.minimum(rank, (1 << 20) - 1).astype(_U) << _U(44)) | (grams >> _U(20))
-    short = n - required(n)
-    longest = min(short + LEVELS, n)
-    if longest < n:
-        order = np.partition(order, longest - 1)[:longest]
+    need = required(n)
+    short, top = n - need, min(LEVELS, need)
+    if short + top < n:
+        order = np.partition(order, short + top - 1)[: short + top]
     order = np.sort(order)
-    met = np.maximum((order >> _U(44)).astype(float) - noise, 0).cumsum()
-    top = min(LEVELS, longest - short)
-    cost = [met[short + i - 1] * (1 + VERIFY_COST / i) for i in range(1, top + 1)]
-    level = int(np.argmin(cost)) + 1
+    met = np.maximum((order >> _U(44)).astype(float) - noise, FLOOR).cumsum()
+    levels = np.arange(min(LEAST, top), top + 1)
+    cost = met[short + levels - 1] * (1 + VERIFY_COST * LEFT ** (levels - 1.0))
+    level = int(levels[np.argmin(cost)])
     return order[: short + level], level, float(met[short] / (short + 1))
 
 
-_POSTING = np.dtype([("token", "<u4"), ("class", "<i8"), ("n", "<u4"), ("level", "u1"), ("centre", "<f4")])
+#: A prefix token, and what is known of its class; ``end`` is the order of its prefix's last token.
+_TOKEN = np.dtype([("token", "<u4"), ("class", "<i8")])
+_ABOUT = np.dtype([("class", "<i8"), ("n", "<u4"), ("level", "u1"), ("centre", "<f4"), ("end", "<u4"), ("size", "<u4")])
+#: A live token of a class that may have partners; ``most`` shingles of it are not dead.
+_POSTING = np.dtype([("token", "<u4"), ("class", "<i8"), ("n", "<u4"), ("level", "u1"), ("centre", "<f4"), ("end", "<u4"), ("most", "<u4")])
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -184,30 +195,40 @@ def unpack(raw: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
+def _rows(x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x[f].astype(np.int64) if x[f].dtype.kind in "iu" else x[f].astype(float)) for f in x.dtype.names], names=list(x.dtype.names))
+
+
+def _bodies(bucket: np.ndarray, kind: int, rows: np.ndarray) -> pa.RecordBatch:
+    """(bucket, kind, body) of rows dealt to buckets."""
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    edge = _groups(bucket)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[edge[:-1]], pa.int32()), pa.array(np.full(len(edge) - 1, kind), pa.int32()), pa.array([pack(rows[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())],
+        names=["bucket", "kind", "body"],
+    )
+
+
 def postings(docs: DataFrame, sketch: np.ndarray, parts: int) -> DataFrame:
-    """(bucket, postings): packed prefix tokens of the classes of each partition."""
+    """(bucket, kind, body): prefix tokens (0), and what is known of their classes (1), packed."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(sketch)  # of fixed size
     noise = float(sketch.mean())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[np.ndarray] = []
+        orders: list[np.ndarray] = []
+        about: list[tuple] = []
         size = 0
 
-        def dealt() -> pa.RecordBatch:
-            rows = np.concatenate(held)
-            key = k.mix(rows["order"])
-            bucket = (key % _U(parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rows, bucket, key = rows[order], bucket[order], key[order]
-            out = np.empty(len(rows), _POSTING)
-            out["token"] = (key >> _U(32)).astype(np.uint32)
-            for f in _POSTING.names[1:]:
-                out[f] = rows[f]
-            at = np.searchsorted(bucket, np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(at))
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack(out[at[b] : at[b + 1]]) for b in full], pa.binary())], names=["bucket", "postings"])
+        def dealt() -> Iterator[pa.RecordBatch]:
+            own = np.array(about, _ABOUT)
+            key = k.mix(np.concatenate(orders))
+            rows = np.empty(len(key), _TOKEN)
+            rows["token"], rows["class"] = (key >> _U(32)).astype(np.uint32), np.repeat(own["class"], own["size"])
+            yield _bodies((key % _U(parts)).astype(np.int64), 0, rows)
+            yield _bodies(own["class"] % parts, 1, own)
 
         for batch in batches:
             for grams in _sets(batch):
@@ -215,44 +236,147 @@ def postings(docs: DataFrame, sketch: np.ndarray, parts: int) -> DataFrame:
                 if not c or c in seen:
                     continue
                 seen.add(c)
-                tokens, level, centre = prefix(grams, sent.value, noise)
-                rows = np.empty(len(tokens), [("order", "<u8"), *((f, _POSTING[f]) for f in _POSTING.names[1:])])
-                rows["order"], rows["class"], rows["n"], rows["level"], rows["centre"] = tokens, c, len(grams), level, centre
-                held.append(rows)
-                size += len(tokens)
-            if size > 1_500_000:
-                yield dealt()
-                held, size = [], 0
-        if held:
-            yield dealt()
+                order, level, centre = prefix(grams, sent.value, noise)
+                orders.append(order)
+                about.append((c, len(grams), level, centre, int(order[-1] >> _U(32)), len(order)))
+                size += len(order)
+            if size > HELD:
+                yield from dealt()
+                orders, about, size = [], [], 0
+        if about:
+            yield from dealt()
 
-    return docs.select("text").mapInArrow(run, "bucket int, postings binary")
+    return docs.select("text").mapInArrow(run, "bucket int, kind int, body binary")
 
 
 def live(dealt: DataFrame) -> DataFrame:
-    """Buckets with only the tokens that several classes share, sorted by token, one row each."""
+    """One row a bucket and kind: the tokens that several classes share, in order; the classes once."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = np.concatenate([unpack(b.as_py(), _POSTING) for b in group["postings"]])
-        order = np.lexsort((rows["class"], rows["token"]))
-        rows = rows[order]
-        same = np.zeros(len(rows), bool)
-        same[1:] = (rows["token"][1:] == rows["token"][:-1]) & (rows["class"][1:] == rows["class"][:-1])
-        rows = rows[~same]
-        edge = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1], [True]]))
-        rows = rows[np.repeat(np.diff(edge) > 1, np.diff(edge))]
-        return pa.table({"bucket": group["bucket"].slice(0, 1), "postings": pa.array([pack(rows)], pa.binary())})
+        kinds, out = np.asarray(group["kind"]), []
+        for kind, dtype in ((0, _TOKEN), (1, _ABOUT)):
+            bodies = [unpack(group["body"][int(i)].as_py(), dtype) for i in np.flatnonzero(kinds == kind)]
+            if not bodies:
+                continue
+            rows = np.concatenate(bodies)
+            if kind:
+                rows = rows[np.unique(rows["class"], return_index=True)[1]]
+            else:
+                rows = rows[np.lexsort((rows["class"], rows["token"]))]
+                same = np.zeros(len(rows), bool)
+                same[1:] = (rows["token"][1:] == rows["token"][:-1]) & (rows["class"][1:] == rows["class"][:-1])
+                rows = _several(rows[~same])
+            if len(rows):
+                out.append((group["bucket"][0].as_py(), kind, pack(rows)))
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "body"])
+
+    return dealt.groupBy("bucket").applyInArrow(run, "bucket int, kind int, body binary")
+
+
+def _groups(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else np.zeros(1, np.int64)
+
+
+def _several(rows: np.ndarray) -> np.ndarray:
+    """Rows, in order of token, whose token is in several."""
+    size = np.diff(_groups(rows["token"]))
+    return rows[np.repeat(size > 1, size)]
+
+
+_COUNT = np.dtype([("class", "<i8"), ("tokens", "<u4")])
+_KNOWN = np.dtype([(f, _POSTING[f]) for f in _POSTING.names[1:]])
+_MOVED = np.dtype([("class", "<i8"), ("component", "<i8")])
+_BODY = "bucket int, part int, body binary"
 
-    return dealt.groupBy("bucket").applyInArrow(run, "bucket int, postings binary").where(F.octet_length("postings") > 0)
 
+def _body_rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * 3
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "part", "body"])
 
-def _groups(token: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, np.int64)
+
+def _all(bodies: pa.ChunkedArray, dtype: np.dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *(unpack(b.as_py(), dtype) for b in bodies)])
+
+
+def _questions(bodies: DataFrame, dtype: np.dtype, parts: int) -> DataFrame:
+    """(bucket, part, body): the classes of each bucket and their tokens there, dealt to parts by class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("body"), strict=True):
+                own, tokens = np.unique(unpack(raw.as_py(), dtype)["class"], return_counts=True)
+                rows = np.empty(len(own), _COUNT)
+                rows["class"], rows["tokens"] = own, tokens
+                part = own % parts
+                order = np.argsort(part, kind="stable")
+                edge = _groups(part[order])
+                yield from _body_rows([(bucket, int(part[order[a]]), pack(rows[order[a:b]])) for a, b in zip(edge[:-1], edge[1:], strict=True)]).to_batches()
+
+    return bodies.select("bucket", "body").mapInArrow(run, _BODY)
+
+
+def eligible(alive: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(class) of classes with enough live tokens for a partner; and (bucket, body) of their postings.
+
+    A partner has at least 0.8 n shingles and so asks for min(LEAST, ceil(0.64 n)) tokens at least.
+    """
+    tokens = alive.where("kind = 0").select("bucket", "body")
+    about = alive.where("kind = 1").select(F.lit(-1).alias("bucket"), F.col("bucket").alias("part"), "body")
+
+    def judge(group: pa.Table) -> pa.Table:
+        bucket = np.asarray(group["bucket"])
+        own = _all(group["body"].filter(pa.array(bucket < 0)), _ABOUT)
+        own = own[np.argsort(own["class"])]
+        asked = [(int(bucket[i]), unpack(group["body"][int(i)].as_py(), _COUNT)) for i in np.flatnonzero(bucket >= 0)]
+        total = np.zeros(len(own), np.int64)
+        for _, rows in asked:
+            total[np.searchsorted(own["class"], rows["class"])] += rows["tokens"]  # a class once a bucket
+        need = np.minimum(np.minimum(own["level"], LEAST), required(required(own["n"].astype(np.int64))))
+        known = np.empty(len(own), _KNOWN)
+        for f in ("class", "n", "level", "centre", "end"):
+            known[f] = own[f]
+        known["most"] = own["n"] - own["size"] + total
+        able = total >= need
+        out = [(-1, 0, known["class"][able].tobytes())]
+        for b, rows in asked:
+            at = np.searchsorted(own["class"], rows["class"])
+            if able[at].any():
+                out.append((b, 0, pack(known[at[able[at]]])))
+        return _body_rows(out)
+
+    answers = written(_questions(tokens, _TOKEN, parts).union(about).groupBy("part").applyInArrow(judge, _BODY), "eligible")
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("body"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.as_py(), np.int64))], names=["class"])
+
+    def narrowed(tokens: pa.Table, answers: pa.Table) -> pa.Table:
+        own = _all(answers["body"], _KNOWN)
+        if not len(own) or not len(tokens):
+            return _body_rows([]).select(["bucket", "body"])
+        own, found = own[np.argsort(own["class"])], _all(tokens["body"], _TOKEN)
+        at = np.minimum(np.searchsorted(own["class"], found["class"]), len(own) - 1)
+        hit = own["class"][at] == found["class"]
+        rows = np.empty(int(hit.sum()), _POSTING)
+        rows["token"] = found["token"][hit]
+        for f in own.dtype.names:
+            rows[f] = own[f][at[hit]]
+        rows = _several(rows)
+        return _body_rows([(tokens["bucket"][0].as_py(), 0, pack(rows))] if len(rows) else []).select(["bucket", "body"])
+
+    kept = tokens.groupBy("bucket").cogroup(answers.where("bucket >= 0").groupBy("bucket")).applyInArrow(narrowed, "bucket int, body binary")
+    return answers.where("bucket < 0").select("body").mapInArrow(ids, "class long"), written(kept, "postings")
 
 
 def _compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sizes with which a pair can reach the threshold."""
-    return np.minimum(a, b).astype(np.int64) * THRESHOLD[1] >= np.maximum(a, b).astype(np.int64) * THRESHOLD[0]
+    """Pairs that can reach the threshold by their sizes and by what is dead in them."""
+    n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
+    part, whole = THRESHOLD
+    # Of the two the class whose prefix ends first shares none of its dead tokens.
+    most = np.where(a["end"] < b["end"], a["most"], np.where(a["end"] > b["end"], b["most"], np.maximum(a["most"], b["most"])))
+    return (np.minimum(n, m) * whole >= np.maximum(n, m) * part) & (most.astype(np.int64) * (part + whole) >= (n + m) * part)
 
 
 def _pivot_rows(rows: np.ndarray, component: np.ndarray, turn: int) -> np.ndarray:
@@ -263,151 +387,140 @@ def _pivot_rows(rows: np.ndarray, component: np.ndarray, turn: int) -> np.ndarra
     size = np.diff(edge)
     group = np.repeat(np.arange(len(size)), size)
     pivot = (edge[:-1] + turn % np.maximum(size, 1))[group]
-    ok = (component[pivot] != component) & _compatible(rows["n"], rows["n"][pivot])
-    pair = np.empty(int(ok.sum()), [("class", "<i8"), ("pivot", "<i8"), ("centre", "<f4")])
-    pair["class"], pair["pivot"], pair["centre"] = rows["class"][ok], rows["class"][pivot[ok]], rows["centre"][pivot[ok]]
-    pair, tokens = np.unique(pair, return_counts=True)
+    ok = np.flatnonzero((component[pivot] != component) & _compatible(rows, rows[pivot]))
+    own, place, back = np.unique(rows["class"], return_index=True, return_inverse=True)
+    key, tokens = np.unique(back[ok] * len(own) + back[pivot[ok]], return_counts=True)
+    a, b = key // max(1, len(own)), key % max(1, len(own))
     # Of a class's pivots in this bucket the one that shares most tokens, then the most central.
-    order = np.lexsort((pair["pivot"], pair["centre"], tokens, pair["class"]))
-    pair, tokens = pair[order], tokens[order]
-    last = np.concatenate([pair["class"][1:] != pair["class"][:-1], [True]]) if len(pair) else np.zeros(0, bool)
-    out = np.empty(int(last.sum()), [("class", "<i8"), ("pivot", "<i8"), ("tokens", "<i4"), ("centre", "<f4")])
-    for f in ("class", "pivot", "centre"):
-        out[f] = pair[f][last]
-    out["tokens"] = tokens[last]
+    centre = rows["centre"][place[b]]
+    order = np.lexsort((b, centre, tokens, a))
+    last = order[np.concatenate([a[order][1:] != a[order][:-1], [True]])] if len(order) else order
+    out = np.empty(len(last), [("class", "<i8"), ("pivot", "<i8"), ("tokens", "<i4"), ("centre", "<f4")])
+    out["class"], out["pivot"], out["tokens"], out["centre"] = own[a[last]], own[b[last]], tokens[last], centre[last]
     return out
 
 
 def _all_pairs(rows: np.ndarray, component: np.ndarray, block: int = 1024) -> Iterator[np.ndarray]:
     """(a, b, tokens, needed) of pairs of different components, in bounded runs."""
-    kind = [("a", "<i8"), ("b", "<i8"), ("needed", "u1")]
     edge = _groups(rows["token"])
+    own, place, back = np.unique(rows["class"], return_index=True, return_inverse=True)
     held: list[np.ndarray] = []
     size = 0
 
     def counted() -> np.ndarray:
-        pair, tokens = np.unique(np.concatenate(held), return_counts=True)
-        out = np.empty(len(pair), [*kind, ("tokens", "<i4")])
-        for f, _ in kind:
-            out[f] = pair[f]
-        out["tokens"] = tokens
+        key, tokens = np.unique(np.concatenate(held), return_counts=True)
+        a, b = key // len(own), key % len(own)
+        out = np.empty(len(key), [("a", "<i8"), ("b", "<i8"), ("needed", "<i4"), ("tokens", "<i4")])
+        out["a"], out["b"], out["tokens"] = own[a], own[b], tokens
+        out["needed"] = np.minimum(rows["level"][place[a]], rows["level"][place[b]])
         return out
 
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        if (component[a:b] == component[a]).all():
+        part = component[a:b]
+        if (part == part[0]).all():
             continue
-        own, part = rows[a:b], component[a:b]
+        # Members of a component lie together, large ones first, so that blocks within one are skipped.
+        _, inner, count = np.unique(part, return_inverse=True, return_counts=True)
+        order = np.lexsort((inner, -count[inner]))
+        part, mine, who = part[order], rows[a:b][order], back[a:b][order]
+        one = [(part[i : i + block] == part[i]).all() for i in range(0, b - a, block)]
         for i in range(0, b - a, block):
             for j in range(i, b - a, block):
-                x, y = np.nonzero((part[i : i + block, None] != part[None, j : j + block]) & _compatible(own["n"][i : i + block, None], own["n"][None, j : j + block]))
+                if one[i // block] and one[j // block] and part[i] == part[j]:
+                    continue
+                x, y = np.nonzero((part[i : i + block, None] != part[None, j : j + block]) & _compatible(mine[i : i + block, None], mine[None, j : j + block]))
                 x, y = x + i, y + j
                 x, y = (x[x < y], y[x < y]) if i == j else (x, y)
-                pair = np.empty(len(x), kind)
-                pair["a"], pair["b"] = np.minimum(own["class"][x], own["class"][y]), np.maximum(own["class"][x], own["class"][y])
-                pair["needed"] = np.minimum(own["level"][x], own["level"][y])
-                held.append(pair)
-                size += len(pair)
+                held.append(np.minimum(who[x], who[y]) * len(own) + np.maximum(who[x], who[y]))
+                size += len(x)
                 if size > 1_000_000:
                     yield counted()
                     held, size = [], 0
-    if held:
+    if size:
         yield counted()
 
 
-def _with_components(alive: DataFrame, merged: DataFrame | None) -> DataFrame:
-    """Each live bucket with its packed map from class to component, where they differ."""
+def _moved(kept: DataFrame, merged: DataFrame | None, parts: int) -> DataFrame:
+    """(bucket, body): for each bucket its classes whose component has another name, packed."""
     if merged is None:
-        return alive.withColumn("moved", F.lit(None).cast("binary"))
-
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("postings"), strict=True):
-                own = np.unique(unpack(raw.as_py(), _POSTING)["class"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), bucket, np.int32)), pa.array(own)], names=["bucket", "node"])
-
-    def gather(group: pa.Table) -> pa.Table:
-        pair = np.empty(len(group), [("class", "<i8"), ("component", "<i8")])
-        pair["class"], pair["component"] = np.asarray(group["node"]), np.asarray(group["component"])
-        return pa.table({"bucket": group["bucket"].slice(0, 1), "moved": pa.array([pack(np.sort(pair))], pa.binary())})
-
-    asked = alive.mapInArrow(ids, "bucket int, node long")
-    moved = asked.join(merged.where("node <> component"), "node").groupBy("bucket").applyInArrow(gather, "bucket int, moved binary")
-    return alive.join(moved, "bucket", "left")
+        return kept.sparkSession.createDataFrame([], "bucket int, body binary")
+    changed = merged.where("node <> component").select(F.expr(f"int(pmod(node, {parts}L))").alias("part"), "node", "component")
 
+    def answer(questions: pa.Table, merged: pa.Table) -> pa.Table:
+        pair = np.empty(len(merged), _MOVED)
+        pair["class"], pair["component"] = np.asarray(merged["node"]), np.asarray(merged["component"])
+        pair = pair[np.argsort(pair["class"])]
+        out = []
+        for bucket, raw in zip(questions["bucket"].to_pylist(), questions["body"], strict=True) if len(pair) and len(questions) else ():
+            own = unpack(raw.as_py(), _COUNT)["class"]
+            at = np.minimum(np.searchsorted(pair["class"], own), len(pair) - 1)
+            if (hit := pair["class"][at] == own).any():
+                out.append((bucket, 0, pack(pair[at[hit]])))
+        return _body_rows(out).select(["bucket", "body"])
 
-_MOVED = np.dtype([("class", "<i8"), ("component", "<i8")])
+    return written(_questions(kept, _POSTING, parts).groupBy("part").cogroup(changed.groupBy("part")).applyInArrow(answer, "bucket int, body binary"), "moved")
 
 
-def _component_of(rows: np.ndarray, moved: bytes | None) -> np.ndarray:
+def _component_of(rows: np.ndarray, pair: np.ndarray) -> np.ndarray:
     out = rows["class"].copy()
-    if moved:
-        pair = unpack(moved, _MOVED)
+    if len(pair):
+        pair = pair[np.argsort(pair["class"])]
         at = np.minimum(np.searchsorted(pair["class"], out), len(pair) - 1)
         hit = pair["class"][at] == out
         out[hit] = pair["component"][at[hit]]
     return out
 
 
-def pivot_pairs(alive: DataFrame, merged: DataFrame | None, turn: int) -> DataFrame:
-    """(a, b): one pivot a for each class b that shares tokens with another component's."""
+def _by_bucket(kept: DataFrame, moved: DataFrame, make, schema: str) -> DataFrame:
+    """Rows that ``make`` yields of a bucket's postings and their components."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw, moved in zip(batch.column("postings"), batch.column("moved").to_pylist(), strict=True):
-                rows = unpack(raw.as_py(), _POSTING)
-                out = _pivot_rows(rows, _component_of(rows, moved), turn)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f]) for f in out.dtype.names], names=list(out.dtype.names))
+    def run(postings: pa.Table, moved: pa.Table) -> pa.Table:
+        rows = _all(postings["body"], _POSTING)
+        made = [_rows(x) for x in make(rows, _component_of(rows, _all(moved["body"], _MOVED)))] if len(rows) else []
+        return pa.Table.from_batches(made) if made else pa.table({f.split()[0]: pa.array([], pa.float64() if f.endswith("double") else pa.int64()) for f in schema.split(", ")})
 
-    found = _with_components(alive, merged).select("postings", "moved").mapInArrow(run, "class long, pivot long, tokens int, centre float")
+    return kept.groupBy("bucket").cogroup(moved.groupBy("bucket")).applyInArrow(run, schema)
+
+
+def pivot_pairs(kept: DataFrame, moved: DataFrame, turn: int) -> DataFrame:
+    """(a, b): one pivot a for each class b that shares tokens with another component's."""
+    found = _by_bucket(kept, moved, lambda rows, component: [_pivot_rows(rows, component, turn)], "class long, pivot long, tokens long, centre double")
     best = found.groupBy("class").agg(F.max(F.struct("tokens", "centre", "pivot")).alias("best"))
     return best.select(F.col("best.pivot").alias("a"), F.col("class").alias("b"))
 
 
-def remaining_pairs(alive: DataFrame, merged: DataFrame | None) -> DataFrame:
+def remaining_pairs(kept: DataFrame, moved: DataFrame) -> DataFrame:
     """(a, b): all pairs of classes in different components with enough shared prefix tokens."""
+    found = _by_bucket(kept, moved, _all_pairs, "a long, b long, needed long, tokens long")
+    return found.groupBy("a", "b").agg(F.sum("tokens").alias("tokens"), F.max("needed").alias("needed")).where("tokens >= needed").select("a", "b")
+
+
+def class_sets(docs: DataFrame, able: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, grams): the sets of eligible classes, from the text of the class's least id."""
+    wanted = written(able.select("class").join(classes.select("class", F.coalesce("doc_id", F.lit(_NULL)).alias("key")), "class").groupBy("key").agg(F.collect_set("class").alias("of")), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("key"), "text").join(wanted, "key").select("of", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw, moved in zip(batch.column("postings"), batch.column("moved").to_pylist(), strict=True):
-                rows = unpack(raw.as_py(), _POSTING)
-                for out in _all_pairs(rows, _component_of(rows, moved)):
-                    yield pa.RecordBatch.from_arrays([pa.array(out["a"]), pa.array(out["b"]), pa.array(out["needed"].astype(np.int32)), pa.array(out["tokens"])], names=["a", "b", "needed", "tokens"])
+            out = [(c, grams.tobytes()) for of, grams in zip(batch.column("of").to_pylist(), _sets(batch), strict=True) if (c := fingerprint(grams)) in of]  # or another text under the same id
+            columns = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["class", "grams"])
 
-    found = _with_components(alive, merged).select("postings", "moved").mapInArrow(run, "a long, b long, needed int, tokens int")
-    return found.groupBy("a", "b").agg(F.sum("tokens").alias("tokens"), F.max("needed").alias("needed")).where("tokens >= needed").select("a", "b")
+    return texts.mapInArrow(run, "class long, grams binary").repartition(buckets(docs.sparkSession), "class")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The links among ``pairs(a, b)`` of classes: a's set is held, b's sets stream by."""
-    spark = docs.sparkSession
+    spark = pairs.sparkSession
     share = F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int")
     held = written(pairs.groupBy("a").agg(share.alias("copies")), "held")
     salted = looked_up(pairs, held, "a", SALTS, "inner").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"))
     asked = salted.select(F.col("b").alias("class"), "a", "salt", F.lit(1).alias("turn"))
     own = held.select(F.col("a").alias("class"), "a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("turn"))
-    wanted = asked.union(own).join(classes.select("class", F.coalesce("doc_id", F.lit(_NULL)).alias("key")), "class")
-    wanted = written(wanted.groupBy("class", "key").agg(F.collect_list(F.struct("a", "salt", "turn")).alias("to")), "wanted")
-    if (wanted.agg(F.sum(F.size("to"))).first()[0] or 0) <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("key"), "text").join(wanted, "key").select("class", "to", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-        names = ["a", "salt", "turn", "class", "grams"]
-        for batch in batches:
-            rows, size = [], 0
-            for c, to, grams in zip(batch.column("class").to_pylist(), batch.column("to").to_pylist(), _sets(batch), strict=True):
-                if fingerprint(grams) != c:  # another text under the same id
-                    continue
-                raw = grams.tobytes()
-                for x in to:
-                    rows.append((x["a"], x["salt"], x["turn"], c, raw))
-                    size += len(raw)
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                        rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    wanted = written(asked.union(own), "partners")
+    flying = sets.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_PARTNERS else wanted, "class").select("a", "salt", "turn", "class", "grams")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, np.zeros(0, _U)
@@ -426,7 +539,6 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())], names=["a", "b"])
 
     small_batches(spark)
-    flying = texts.mapInArrow(sets, "a long, salt int, turn int, class long, grams binary")
     dealt = flying.repartition(buckets(spark), "a", "salt").sortWithinPartitions("a", "salt", "turn", "class")
     return dealt.mapInArrow(compare, "a long, b long")
 
@@ -442,18 +554,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = first.where("slice is null").select("doc_id", "key", "n", "class")
     sketch = summed_sketch(first.where("slice is not null").select("slice", "counts"))
     classes = written(rows.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("members")), "classes")
-    alive = written(live(postings(docs, sketch, buckets(spark))), "live")
+    parts = buckets(spark)
+    able, kept = eligible(written(live(postings(docs, sketch, parts)), "live"), parts)
     links: DataFrame | None = None
     merged: DataFrame | None = None
-    for turn in range(PIVOTS + 1):
-        pairs = written(pivot_pairs(alive, merged, turn) if turn < PIVOTS else remaining_pairs(alive, merged), "pairs")
-        if pairs.isEmpty():
-            break
-        found = written(verified(pairs, docs, classes), "links")
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        merged = written(components(links), "merged")
+    # The sets lie in a table bucketed by class, so that the rounds' joins do not move them.
+    name = f"flowloom_sets_{uuid.uuid4().hex}"
+    class_sets(docs, able, classes).write.bucketBy(parts, "class").saveAsTable(name)
+    try:
+        sets = spark.table(name)
+        for turn in range(PIVOTS + 1):
+            moved = _moved(kept, merged, parts)
+            pairs = written(pivot_pairs(kept, moved, turn) if turn < PIVOTS else remaining_pairs(kept, moved), "pairs")
+            if pairs.isEmpty():
+                continue
+            found = written(verified(pairs, sets), "links")
+            if not found.isEmpty():
+                links = found if links is None else links.union(found)
+                merged = written(components(links), "merged")
+    finally:
+        spark.sql(f"drop table if exists {name}")
     if merged is None:
         merged = spark.createDataFrame([], "node long, component long")
     # The least doc_id of each component of classes; classes of one row without links need none.

@@ -84,10 +84,11 @@ def test_near_copies(spark, seed, monkeypatch):
     assert found(frame.repartition(3)) == brute(list(zip(ids, texts, strict=True)))
 
 
-@pytest.mark.parametrize("pivots", [0, 1])
+@pytest.mark.parametrize("pivots", [0, 1, 2])
 def test_fewer_pivots_and_joined_ids(spark, pivots, monkeypatch):
     monkeypatch.setattr(d, "PIVOTS", pivots)
     monkeypatch.setattr(d, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(d, "BROADCAST_PARTNERS", 0)
     texts = near_copies(9)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert found(frame) == brute(list(enumerate(texts)))
