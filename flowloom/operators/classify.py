@@ -6,6 +6,8 @@ service wins; domain substrings win over all regular expressions.
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def dns_names(messages: DataFrame) -> DataFrame:
     """(dns_no, ts_ns, name, ip, ttl): the first question and the first answer with an address."""
-    first = F.filter("answers", lambda a: a["ip"].isNotNull())[0]
+    first = F.get(F.filter("answers", lambda a: a["ip"].isNotNull()), F.lit(0))
     rows = messages.select("dns_no", "ts_ns", F.get("questions", F.lit(0))["name"].alias("name"), first["ip"].alias("ip"), first["ttl"].alias("ttl"))
     return rows.where("ip is not null and name is not null")
 
@@ -92,7 +94,8 @@ def cidr_matches(spark: SparkSession, ips: DataFrame, config: Config, ip: str =
     An equi-join on (length, leading bits), one probe a distinct prefix length.
     """
     prefixes = service_prefixes(spark, config)
-    lengths = sorted({(v, n) for v, n in prefixes.select("version", "bits_len").distinct().collect()})
+    nets = [ipaddress.ip_network(p) for s in config.services for p in s.prefixes]
+    lengths = sorted({(n.version, n.prefixlen) for n in nets})
     rows = sum(len(s.prefixes) for s in config.services)
     bits = ips.select(F.col(ip).alias("ip")).distinct().withColumn("bits", ip_bits(F.col("ip"))).where("bits is not null")
     version = F.when(F.length("bits") == 32, 4).otherwise(6)
@@ -110,12 +113,12 @@ def cidr_first_match(spark: SparkSession, ips: DataFrame, config: Config, ip: st
 def with_service(spark: SparkSession, packets: DataFrame, config: Config, messages: DataFrame | None = None) -> DataFrame:
     """Packets with ``service_id`` and ``service`` of their remote end at their time; null if unknown."""
     by_prefix = cidr_first_match(spark, packets, config, "service_ip").select(F.col("ip").alias("__ip"), F.col("service_id").alias("__cidr_id"), F.col("service").alias("__cidr"))
-    rows = packets.join(by_prefix, F.col("service_ip") == F.col("__ip"), "left")
+    rows = packets.join(by_prefix, F.col("service_ip") == F.col("__ip"), "left").drop("__ip")
     if messages is None:
-        return rows.withColumns({"service_id": F.col("__cidr_id"), "service": F.col("__cidr")}).drop("__ip", "__cidr_id", "__cidr")
+        return rows.withColumns({"service_id": F.col("__cidr_id"), "service": F.col("__cidr")}).drop("__cidr_id", "__cidr")
     rows = asof_binding(rows, dns_bindings(dns_first_match(spark, messages, config), config.dns_evict_ns))
     both = {"service_id": F.coalesce("dns_service_id", "__cidr_id"), "service": F.when(F.col("dns_service_id").isNotNull(), F.col("dns_service")).otherwise(F.col("__cidr"))}
-    return rows.withColumns(both).drop("__ip", "__cidr_id", "__cidr", "dns_service_id", "dns_service")
+    return rows.withColumns(both).drop("__cidr_id", "__cidr", "dns_service_id", "dns_service")
 
 
 def known_service_only(packets: DataFrame) -> DataFrame:

@@ -4,8 +4,7 @@
 a tick starts with fresh state. No feature joins packets with one another.
 """
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +61,8 @@ def video_segments(packets: DataFrame, keys: list[str]) -> DataFrame:
     The last segment of a flow is running: its TsEnd is 0. Others without data are forgotten.
     """
     made = _segments(packets, keys).groupBy(*keys, "seg").agg(*_segment_values())
-    running = F.col("seg") == F.max("seg").over(Window.partitionBy(*keys))
+    made = made.withColumn("running", F.col("seg") == F.max("seg").over(Window.partitionBy(*keys)))
+    running = F.col("running")
     made = made.withColumn("TsEnd", F.when(running, F.lit(0)).otherwise(F.col("LastPkt"))).where(running | (F.col("DownPkts") > 0))
     return made.select(*keys, "seg", "Len", "Seq", "TsStart", "TsEnd", "LastPkt", "DownPkts", "DonwBytes", "MaxDSeq")
 
@@ -201,7 +201,6 @@ def png_image(pixels: bytes, side: int = 20) -> bytes:
 
 def png_copy(packets: DataFrame, keys: list[str], layers: int = 1, side: int = 20) -> DataFrame:
     """The copied bytes as an image, once there are enough to fill it."""
-    import pandas as pd
 
     @F.pandas_udf("binary")
     def image(data: pd.Series) -> pd.Series:

@@ -35,6 +35,8 @@ def counters(rows: DataFrame, seconds: int = 10, late: str = "10 minutes") -> Da
     return made.select("flow_id", F.expr(f"unix_seconds(w.start) div {seconds}").alias("tick"), "InCounter", "OutCounter", "InBytes", "OutBytes")
 
 
+#: Idle time after which a flow's state goes.
+EVICT_MS = 600_000
 _STATE = "body binary"
 _OUT = "flow_id string, packets long, Data string"
 
@@ -53,13 +55,19 @@ def _flow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     for feature in kept:
         feature.clear()
     state.update((pickle.dumps(kept),))
-    state.setTimeoutDuration(600_000)
+    if state._timeout_conf != "NoTimeout":
+        state.setTimeoutDuration(EVICT_MS)
     yield pd.DataFrame({"flow_id": [key[0]], "packets": [len(rows)], "Data": [json.dumps(data)]})
 
 
-def flow_values(rows: DataFrame) -> DataFrame:
-    """(flow_id, packets, Data): features of each flow with packets in a micro-batch."""
-    return rows.groupBy("flow_id").applyInPandasWithState(_flow, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def flow_values(rows: DataFrame, evict: bool = True) -> DataFrame:
+    """(flow_id, packets, Data): features of each flow with packets in a micro-batch.
+
+    With ``evict`` the state of a flow that has been idle goes; a stream that is to end
+    by itself needs it off, as waiting for that time never ends.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if evict else GroupStateTimeout.NoTimeout
+    return rows.groupBy("flow_id").applyInPandasWithState(_flow, _OUT, _STATE, "append", timeout)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +102,4 @@ def counters_by_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flow_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _finished(flow_values(_stream(spark, sf_dir)), "append")
+    return _finished(flow_values(_stream(spark, sf_dir), False), "append")
