@@ -32,7 +32,7 @@ def ip6_hex(ip: Column) -> Column:
     head, rest = groups(F.split(plain, "::", 2)[0]), F.when(plain.contains("::"), groups(F.element_at(F.split(plain, "::", 2), 2))).otherwise(F.array().cast("array<string>"))
     gap = F.lit(8) - F.size(head) - F.size(rest)
     full = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0)).cast("int")), rest)
-    valid = plain.rlike("^[0-9a-f:]+$") & plain.contains(":") & (F.when(plain.contains("::"), gap >= 1).otherwise(gap == 0)) & F.forall(full, lambda g: F.length(g) <= 4)
+    valid = plain.rlike("^[0-9a-f:]+$") & plain.contains(":") & ~plain.rlike(":::|::.*::|^:[^:]|[^:]:$") & (F.when(plain.contains("::"), gap >= 1).otherwise(gap == 0)) & F.forall(full, lambda g: F.length(g) <= 4)
     return F.when(valid, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
 
 
