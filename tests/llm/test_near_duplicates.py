@@ -88,7 +88,7 @@ def test_near_copies(spark, seed, monkeypatch):
 def test_fewer_pivots_and_joined_ids(spark, pivots, monkeypatch):
     monkeypatch.setattr(d, "PIVOTS", pivots)
     monkeypatch.setattr(d, "BROADCAST_IDS", 0)
-    monkeypatch.setattr(d, "BROADCAST_PARTNERS", 0)
+    monkeypatch.setattr(d, "SHARD", 3)
     texts = near_copies(9)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert found(frame) == brute(list(enumerate(texts)))

@@ -61,5 +61,4 @@ def test_ledger_scans_only_what_is_new(spark):
 def test_redaction(spark):
     found = "array(struct('a' as kind, 1 as start, 3 as end), struct('b' as kind, 2 as start, 5 as end), struct('a' as kind, 6 as start, 8 as end))"
     row = spark.range(1).select(s.redacted(F.lit("é12345x78z"), F.expr(found)), s.redacted(F.lit("abc"), F.expr(f"filter({found}, x -> false)")))
-    assert tuple(row.first()) == ("é[REDACTED]x"[:11] + "5x"[:0] + "5"[:0] + "5x"[:0] + "5"[:0] + "x"[:0] + "5"[:0] + "" or None, "abc") or True
     assert row.first()[0].startswith("é[REDACTED]") and row.first()[1] == "abc"
