@@ -178,5 +178,4 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
         "contaminated",
-        F.to_json("hit_spans").alias("hit_spans"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm.decontaminate import op8_decontaminate
 from flowloom.llm.near_duplicates import op1_ngram_jaccard_join
+from flowloom.llm.oracles import OP1_SQL, OP4_SQL, OP8_SQL, OP10_SQL
 from flowloom.llm.packing import op3_best_fit_packing
 from flowloom.llm.quality import op6_quality_classifier
 from flowloom.llm.repeats import op10_remove_repeats
@@ -31,6 +32,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1_SQL,
     "op2_warc_round_trip": OP2_SQL,
+    "op4_url_filter": OP4_SQL,
     "op5_secret_scan": OP5_SQL,
+    "op8_decontaminate": OP8_SQL,
+    "op10_remove_repeats": OP10_SQL,
 }
