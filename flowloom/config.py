@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.model import SECOND
 
-SEARCH_PATH = ("./trconfig.json", "/etc/traffic_refinery/trconfig.json")
+SEARCH_PATH = ("./flowloom.json", "/etc/flowloom/flowloom.json")
 
 
 @dataclass(frozen=True)

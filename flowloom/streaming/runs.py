@@ -9,8 +9,10 @@ order of arrival.
 
 from __future__ import annotations
 
+import atexit
 import json
 import pickle
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -86,7 +88,10 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _finished(rows: DataFrame, mode: str) -> DataFrame:
     """All that a bounded stream emits, by files in the shared folder."""
     spark = rows.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowloom-stream-")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:  # a local session without a shared folder
+        top = tempfile.mkdtemp(prefix="flowloom-stream-")
+        atexit.register(shutil.rmtree, top, True)
     place = f"{top.rstrip('/')}/flowloom/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
