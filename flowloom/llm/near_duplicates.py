@@ -9,20 +9,20 @@ component over links.
    Equal sets are one class from here on.
 2. Shingles have one global order: rare first by the sketch, then by hash. A class
    of n shingles must share a = ceil(0.8 n) with any partner, so among its first
-   n - a + l shingles at least l are shared. Each class picks the l, from ``LEAST``
-   to ``LEVELS`` where its size allows, whose prefix has the least estimated cost:
+   n - a + l shingles at least l are shared. Each class picks the l, from
+   ``least_level`` on where its size allows, whose prefix has the least estimated cost:
    documents met through its tokens, and candidates left to verify, which thin out
    with l. A pair needs min(l, l') shared prefix tokens before it is verified.
 3. Prefix tokens are dealt to buckets by hash, packed. A token that no other class
    has in its prefix is dead. Classes with too few live tokens for any partner go.
-   Of a pair, the class whose prefix ends first has none of its dead tokens in the
-   other, which bounds what the two can share. First each class is verified against
+   Dead tokens that come before the end of another class's prefix are not in that
+   class, which bounds what the two can share. First each class is verified against
    the most central class that it shares tokens with (``PIVOTS`` rounds); links merge
-   classes. Then only pairs of classes in different components are left, and all of
-   those that can reach the threshold are verified: no link between components is
-   lost, and the pairs within a group of copies are never listed.
-4. Verification compares whole sets. A pair's rarer side travels to its more
-   frequent side, whose set is held while partners stream by.
+   classes. Then each class is held against all of every other component that it may
+   link to: no link between components is lost, and the pairs within a group of
+   copies are never listed.
+4. Verification compares whole sets. Those of a component lie in shards of bounded
+   size, each indexed by one task, and classes outside stream by.
 
 Hashes have 64 bits: for n documents a wrong merge of classes has a chance of about
 n^2 / 2^65.
@@ -51,15 +51,15 @@ from flowloom.llm.graph import components
 SHINGLE, THRESHOLD = 5, (80, 100)
 #: Counters of the sketch (a fixed 16 MB), slices in which it is summed.
 SKETCH, SLICES = 1 << 22, 16
-#: Shortest and longest multi-match, the cost of verifying a candidate in documents met,
-#: the share of candidates that one more shared token leaves, and the least that a token meets.
-LEAST, LEVELS, VERIFY_COST, LEFT, FLOOR = 4, 8, 20.0, 0.3, 0.1
+#: Shortest multi-match: LEAST, or a SHARE-th of a set's size, as chance matches grow with it;
+#: how many MORE it may take; the cost of verifying a candidate in documents met, the part of candidates that one more shared token leaves, and the least that a token meets.
+LEAST, SHARE, MORE, VERIFY_COST, LEFT, FLOOR = 4, 40, 4, 20.0, 0.3, 0.1
 #: Rounds against central classes before all remaining pairs are listed.
 PIVOTS = 3
-#: Most ids (8 bytes) and partners (some hundred bytes) that are broadcast; more are joined by a shuffle.
-BROADCAST_IDS, BROADCAST_PARTNERS = 200_000, 20_000
-#: Partners that one copy of a held set serves.
-PARTNERS = 2048
+#: Most ids that are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 200_000
+#: Guests that one copy of a shard of sets serves, and sets of a shard.
+PARTNERS, SHARD = 2048, 256
 #: Prefix tokens that a task holds before it deals them out.
 HELD = 500_000
 SALTS = 32
@@ -156,28 +156,49 @@ def required(n: np.ndarray | int) -> np.ndarray | int:
     return -(-n * THRESHOLD[0] // THRESHOLD[1])
 
 
+def least_level(n: np.ndarray | int) -> np.ndarray | int:
+    """Shared tokens that a set of n asks for at least, where its size allows."""
+    return np.maximum(LEAST, n // SHARE)
+
+
 def prefix(grams: np.ndarray, sketch: np.ndarray, noise: float) -> tuple[np.ndarray, int, float]:
     """A set's adaptive prefix in order, the shared tokens it asks for, its centrality."""
     n = len(grams)
     rank = sketch[(grams & _U(SKETCH - 1)).astype(np.int64)]
     order = (np.minimum(rank, (1 << 20) - 1).astype(_U) << _U(44)) | (grams >> _U(20))
     need = required(n)
-    short, top = n - need, min(LEVELS, need)
+    short, top = n - need, min(least_level(n) + MORE, need)
     if short + top < n:
         order = np.partition(order, short + top - 1)[: short + top]
     order = np.sort(order)
     met = np.maximum((order >> _U(44)).astype(float) - noise, FLOOR).cumsum()
-    levels = np.arange(min(LEAST, top), top + 1)
+    levels = np.arange(min(least_level(n), top), top + 1)
     cost = met[short + levels - 1] * (1 + VERIFY_COST * LEFT ** (levels - 1.0))
     level = int(levels[np.argmin(cost)])
     return order[: short + level], level, float(met[short] / (short + 1))
 
 
-#: A prefix token, and what is known of its class; ``end`` is the order of its prefix's last token.
-_TOKEN = np.dtype([("token", "<u4"), ("class", "<i8")])
-_ABOUT = np.dtype([("class", "<i8"), ("n", "<u4"), ("level", "u1"), ("centre", "<f4"), ("end", "<u4"), ("size", "<u4")])
-#: A live token of a class that may have partners; ``most`` shingles of it are not dead.
-_POSTING = np.dtype([("token", "<u4"), ("class", "<i8"), ("n", "<u4"), ("level", "u1"), ("centre", "<f4"), ("end", "<u4"), ("most", "<u4")])
+def coarse(order: np.ndarray) -> np.ndarray:
+    """The order in 16 bits; never reverses it."""
+    return np.minimum(4096 * np.log2(1.0 + (order >> _U(44)).astype(float)), 65535).astype("<u2")
+
+
+#: A prefix token, and what is known of its class; ``end`` is the coarse order of its prefix's last token.
+_TOKEN = np.dtype([("token", "<u4"), ("class", "<i8"), ("order", "<u2")])
+_ABOUT = np.dtype([("class", "<i8"), ("n", "<u4"), ("level", "<u4"), ("centre", "<f4"), ("end", "<u2"), ("size", "<u4")])
+#: A live token of a class that may have partners; ``most`` shingles of it are not dead, ``last`` is its last dead token's order.
+_POSTING = np.dtype([("token", "<u4"), ("class", "<i8"), ("n", "<u4"), ("level", "<u4"), ("centre", "<f4"), ("end", "<u2"), ("most", "<u4"), ("last", "<u2")])
+
+
+def _pack_about(own: np.ndarray, orders: list[np.ndarray]) -> bytes:
+    """Classes, and the coarse orders of all their prefixes behind them."""
+    return len(own).to_bytes(4, "little") + pack(own) + b"".join(o.tobytes() for o in orders)
+
+
+def _unpack_about(raw: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    n = int.from_bytes(raw[:4], "little")
+    own = unpack(raw[4 : 4 + n * _ABOUT.itemsize], _ABOUT)
+    return own, np.split(np.frombuffer(raw, "<u2", offset=4 + n * _ABOUT.itemsize), np.cumsum(own["size"].astype(np.int64))[:-1])
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -224,11 +245,15 @@ def postings(docs: DataFrame, sketch: np.ndarray, parts: int) -> DataFrame:
 
         def dealt() -> Iterator[pa.RecordBatch]:
             own = np.array(about, _ABOUT)
-            key = k.mix(np.concatenate(orders))
+            whole = np.concatenate(orders)
+            key, order = k.mix(whole), coarse(whole)
             rows = np.empty(len(key), _TOKEN)
-            rows["token"], rows["class"] = (key >> _U(32)).astype(np.uint32), np.repeat(own["class"], own["size"])
+            rows["token"], rows["class"], rows["order"] = (key >> _U(32)).astype(np.uint32), np.repeat(own["class"], own["size"]), order
             yield _bodies((key % _U(parts)).astype(np.int64), 0, rows)
-            yield _bodies(own["class"] % parts, 1, own)
+            each = np.split(order, np.cumsum(own["size"].astype(np.int64))[:-1])
+            part = own["class"] % parts
+            found = [(int(b), 1, _pack_about(own[at], [each[i] for i in at])) for b in np.unique(part) for at in (np.flatnonzero(part == b),)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "body"])
 
         for batch in batches:
             for grams in _sets(batch):
@@ -238,7 +263,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, parts: int) -> DataFrame:
                 seen.add(c)
                 order, level, centre = prefix(grams, sent.value, noise)
                 orders.append(order)
-                about.append((c, len(grams), level, centre, int(order[-1] >> _U(32)), len(order)))
+                about.append((c, len(grams), level, centre, int(coarse(order[-1:])[0]), len(order)))
                 size += len(order)
             if size > HELD:
                 yield from dealt()
@@ -254,20 +279,18 @@ def live(dealt: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         kinds, out = np.asarray(group["kind"]), []
-        for kind, dtype in ((0, _TOKEN), (1, _ABOUT)):
-            bodies = [unpack(group["body"][int(i)].as_py(), dtype) for i in np.flatnonzero(kinds == kind)]
-            if not bodies:
-                continue
-            rows = np.concatenate(bodies)
-            if kind:
-                rows = rows[np.unique(rows["class"], return_index=True)[1]]
-            else:
-                rows = rows[np.lexsort((rows["class"], rows["token"]))]
-                same = np.zeros(len(rows), bool)
-                same[1:] = (rows["token"][1:] == rows["token"][:-1]) & (rows["class"][1:] == rows["class"][:-1])
-                rows = _several(rows[~same])
-            if len(rows):
-                out.append((group["bucket"][0].as_py(), kind, pack(rows)))
+        bucket = group["bucket"][0].as_py()
+        rows = _all(group["body"].filter(pa.array(kinds == 0)), _TOKEN)
+        rows = rows[np.lexsort((rows["class"], rows["token"]))]
+        same = np.zeros(len(rows), bool)
+        same[1:] = (rows["token"][1:] == rows["token"][:-1]) & (rows["class"][1:] == rows["class"][:-1])
+        if len(rows := _several(rows[~same])):
+            out.append((bucket, 0, pack(rows)))
+        if (kinds == 1).any():
+            owns, lists = zip(*(_unpack_about(b.as_py()) for b in group["body"].filter(pa.array(kinds == 1))), strict=True)
+            own, each = np.concatenate(owns), [o for x in lists for o in x]
+            at = np.unique(own["class"], return_index=True)[1]
+            out.append((bucket, 1, _pack_about(own[at], [each[i] for i in at])))
         columns = list(zip(*out, strict=True)) or [()] * 3
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "body"])
 
@@ -284,9 +307,9 @@ def _several(rows: np.ndarray) -> np.ndarray:
     return rows[np.repeat(size > 1, size)]
 
 
-_COUNT = np.dtype([("class", "<i8"), ("tokens", "<u4")])
+_LIVE = np.dtype([("class", "<i8"), ("order", "<u2")])
 _KNOWN = np.dtype([(f, _POSTING[f]) for f in _POSTING.names[1:]])
-_MOVED = np.dtype([("class", "<i8"), ("component", "<i8")])
+_MOVED = np.dtype([("class", "<i8"), ("component", "<i8"), ("size", "<u4")])
 _BODY = "bucket int, part int, body binary"
 
 
@@ -300,16 +323,22 @@ def _all(bodies: pa.ChunkedArray, dtype: np.dtype) -> np.ndarray:
 
 
 def _questions(bodies: DataFrame, dtype: np.dtype, parts: int) -> DataFrame:
-    """(bucket, part, body): the classes of each bucket and their tokens there, dealt to parts by class."""
+    """(bucket, part, body), dealt to parts by class: each bucket's live tokens, or of postings its classes."""
+
+    tokens = dtype == _TOKEN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("body"), strict=True):
-                own, tokens = np.unique(unpack(raw.as_py(), dtype)["class"], return_counts=True)
-                rows = np.empty(len(own), _COUNT)
-                rows["class"], rows["tokens"] = own, tokens
-                part = own % parts
-                order = np.argsort(part, kind="stable")
+                found = unpack(raw.as_py(), dtype)
+                if not tokens:
+                    found = found[np.unique(found["class"], return_index=True)[1]]
+                rows = np.zeros(len(found), _LIVE)
+                rows["class"] = found["class"]
+                if tokens:
+                    rows["order"] = found["order"]
+                part = rows["class"] % parts
+                order = np.lexsort((rows["class"], part))
                 edge = _groups(part[order])
                 yield from _body_rows([(bucket, int(part[order[a]]), pack(rows[order[a:b]])) for a, b in zip(edge[:-1], edge[1:], strict=True)]).to_batches()
 
@@ -319,28 +348,38 @@ def _questions(bodies: DataFrame, dtype: np.dtype, parts: int) -> DataFrame:
 def eligible(alive: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     """(class) of classes with enough live tokens for a partner; and (bucket, body) of their postings.
 
-    A partner has at least 0.8 n shingles and so asks for min(LEAST, ceil(0.64 n)) tokens at least.
+    A partner has at least 0.8 n shingles, which bounds from below what it asks for.
     """
     tokens = alive.where("kind = 0").select("bucket", "body")
     about = alive.where("kind = 1").select(F.lit(-1).alias("bucket"), F.col("bucket").alias("part"), "body")
 
     def judge(group: pa.Table) -> pa.Table:
         bucket = np.asarray(group["bucket"])
-        own = _all(group["body"].filter(pa.array(bucket < 0)), _ABOUT)
-        own = own[np.argsort(own["class"])]
-        asked = [(int(bucket[i]), unpack(group["body"][int(i)].as_py(), _COUNT)) for i in np.flatnonzero(bucket >= 0)]
-        total = np.zeros(len(own), np.int64)
-        for _, rows in asked:
-            total[np.searchsorted(own["class"], rows["class"])] += rows["tokens"]  # a class once a bucket
-        need = np.minimum(np.minimum(own["level"], LEAST), required(required(own["n"].astype(np.int64))))
+        abouts = group["body"].filter(pa.array(bucket < 0))
+        if not len(abouts):
+            return _body_rows([])
+        own, each = _unpack_about(abouts[0].as_py())  # one a part, in order of class
+        asked = [(int(bucket[i]), unpack(group["body"][int(i)].as_py(), _LIVE)) for i in np.flatnonzero(bucket >= 0)]
+        alive = np.concatenate([np.zeros(0, _LIVE), *(rows for _, rows in asked)])
+        at = np.searchsorted(own["class"], alive["class"])
+        total = np.bincount(at, minlength=len(own))
+        # The last dead token: orders that more tokens of the prefix have than live ones.
+        mine, mines = np.unique((np.repeat(np.arange(len(own)), own["size"]) << 16) | np.concatenate(each), return_counts=True)
+        live_keys, lives = np.unique((at << 16) | alive["order"], return_counts=True)
+        mines[np.searchsorted(mine, live_keys)] -= lives
+        dead = mine[mines > 0]
+        last = np.zeros(len(own), np.int64)
+        np.maximum.at(last, dead >> 16, dead & 0xFFFF)
+        near = required(own["n"].astype(np.int64))  # the least size of a partner
+        need = np.minimum(np.minimum(own["level"], least_level(near)), required(near))
         known = np.empty(len(own), _KNOWN)
         for f in ("class", "n", "level", "centre", "end"):
             known[f] = own[f]
-        known["most"] = own["n"] - own["size"] + total
+        known["most"], known["last"] = own["n"] - own["size"] + total, last
         able = total >= need
         out = [(-1, 0, known["class"][able].tobytes())]
         for b, rows in asked:
-            at = np.searchsorted(own["class"], rows["class"])
+            at = np.unique(np.searchsorted(own["class"], rows["class"]))
             if able[at].any():
                 out.append((b, 0, pack(known[at[able[at]]])))
         return _body_rows(out)
@@ -374,13 +413,13 @@ def _compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Pairs that can reach the threshold by their sizes and by what is dead in them."""
     n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
     part, whole = THRESHOLD
-    # Of the two the class whose prefix ends first shares none of its dead tokens.
-    most = np.where(a["end"] < b["end"], a["most"], np.where(a["end"] > b["end"], b["most"], np.maximum(a["most"], b["most"])))
-    return (np.minimum(n, m) * whole >= np.maximum(n, m) * part) & (most.astype(np.int64) * (part + whole) >= (n + m) * part)
+    # The other class has none of those dead tokens that come before its prefix's end.
+    enough = lambda x, y: (x["last"] >= y["end"]) | (x["most"].astype(np.int64) * (part + whole) >= (n + m) * part)
+    return (np.minimum(n, m) * whole >= np.maximum(n, m) * part) & enough(a, b) & enough(b, a)
 
 
 def _pivot_rows(rows: np.ndarray, component: np.ndarray, turn: int) -> np.ndarray:
-    """(class, pivot, tokens, centre): in each token group the turn-th most central class is the pivot."""
+    """(class, pivot, tokens, needed, centre): in each token group the turn-th most central class is the pivot."""
     order = np.lexsort((rows["class"], -rows["centre"], rows["token"]))
     rows, component = rows[order], component[order]
     edge = _groups(rows["token"])
@@ -392,38 +431,48 @@ def _pivot_rows(rows: np.ndarray, component: np.ndarray, turn: int) -> np.ndarra
     key, tokens = np.unique(back[ok] * len(own) + back[pivot[ok]], return_counts=True)
     a, b = key // max(1, len(own)), key % max(1, len(own))
     # Of a class's pivots in this bucket the one that shares most tokens, then the most central.
-    centre = rows["centre"][place[b]]
-    order = np.lexsort((b, centre, tokens, a))
-    last = order[np.concatenate([a[order][1:] != a[order][:-1], [True]])] if len(order) else order
-    out = np.empty(len(last), [("class", "<i8"), ("pivot", "<i8"), ("tokens", "<i4"), ("centre", "<f4")])
-    out["class"], out["pivot"], out["tokens"], out["centre"] = own[a[last]], own[b[last]], tokens[last], centre[last]
+    order = np.lexsort((b, rows["centre"][place[b]], tokens, a))
+    best = order[np.concatenate([a[order][1:] != a[order][:-1], [True]])] if len(order) else order
+    a, b, tokens, key = a[best], b[best], tokens[best], key[best]
+    out = np.empty(len(key), [("class", "<i8"), ("pivot", "<i8"), ("tokens", "<i4"), ("needed", "<i4"), ("centre", "<f4")])
+    out["class"], out["pivot"], out["tokens"], out["centre"] = own[a], own[b], tokens, rows["centre"][place[b]]
+    out["needed"] = np.minimum(rows["level"][place[a]], rows["level"][place[b]])
     return out
 
 
-def _all_pairs(rows: np.ndarray, component: np.ndarray, block: int = 1024) -> Iterator[np.ndarray]:
-    """(a, b, tokens, needed) of pairs of different components, in bounded runs."""
+def _guests(rows: np.ndarray, component: np.ndarray, size: np.ndarray, block: int = 1024) -> Iterator[np.ndarray]:
+    """(host, guest, tokens, needed): tokens that a class shares with another component, of bounded runs.
+
+    Of two components the larger one, or the one with the larger name, is the host;
+    a token counts where the guest could reach the threshold with a member that has it.
+    """
     edge = _groups(rows["token"])
-    own, place, back = np.unique(rows["class"], return_index=True, return_inverse=True)
-    held: list[np.ndarray] = []
-    size = 0
+    own, back = np.unique(rows["class"], return_inverse=True)
+    hosts, host = np.unique(component, return_inverse=True)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    total = 0
+
+    def least(keys: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+        out = np.full(len(key), 2**31 - 1, np.int64)
+        np.minimum.at(out, inverse, needed)
+        return key, out, count
 
     def counted() -> np.ndarray:
-        key, tokens = np.unique(np.concatenate(held), return_counts=True)
-        a, b = key // len(own), key % len(own)
-        out = np.empty(len(key), [("a", "<i8"), ("b", "<i8"), ("needed", "<i4"), ("tokens", "<i4")])
-        out["a"], out["b"], out["tokens"] = own[a], own[b], tokens
-        out["needed"] = np.minimum(rows["level"][place[a]], rows["level"][place[b]])
+        key, needed, tokens = least(*map(np.concatenate, zip(*held, strict=True)))
+        out = np.empty(len(key), [("host", "<i8"), ("guest", "<i8"), ("tokens", "<i8"), ("needed", "<i8")])
+        out["host"], out["guest"], out["tokens"], out["needed"] = hosts[key % len(hosts)], own[key // len(hosts)], tokens, needed
         return out
 
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        part = component[a:b]
+        part = host[a:b]
         if (part == part[0]).all():
             continue
         # Members of a component lie together, large ones first, so that blocks within one are skipped.
-        _, inner, count = np.unique(part, return_inverse=True, return_counts=True)
-        order = np.lexsort((inner, -count[inner]))
-        part, mine, who = part[order], rows[a:b][order], back[a:b][order]
+        order = np.lexsort((part, -size[a:b]))
+        part, mine, who, large = part[order], rows[a:b][order], back[a:b][order], size[a:b][order]
         one = [(part[i : i + block] == part[i]).all() for i in range(0, b - a, block)]
+        found = []
         for i in range(0, b - a, block):
             for j in range(i, b - a, block):
                 if one[i // block] and one[j // block] and part[i] == part[j]:
@@ -431,28 +480,34 @@ def _all_pairs(rows: np.ndarray, component: np.ndarray, block: int = 1024) -> It
                 x, y = np.nonzero((part[i : i + block, None] != part[None, j : j + block]) & _compatible(mine[i : i + block, None], mine[None, j : j + block]))
                 x, y = x + i, y + j
                 x, y = (x[x < y], y[x < y]) if i == j else (x, y)
-                held.append(np.minimum(who[x], who[y]) * len(own) + np.maximum(who[x], who[y]))
-                size += len(x)
-                if size > 1_000_000:
-                    yield counted()
-                    held, size = [], 0
-    if size:
+                first = (large[x] > large[y]) | ((large[x] == large[y]) & (part[x] > part[y]))
+                h, g = np.where(first, x, y), np.where(first, y, x)
+                found.append(least(who[g] * len(hosts) + part[h], np.minimum(mine["level"][x], mine["level"][y]))[:2])
+        keys, needed = map(np.concatenate, zip(*found, strict=True))
+        keys, needed, _ = least(keys, needed)  # a token counts once
+        held.append((keys, needed))
+        total += len(keys)
+        if total > 500_000:
+            yield counted()
+            held, total = [], 0
+    if total:
         yield counted()
 
 
 def _moved(kept: DataFrame, merged: DataFrame | None, parts: int) -> DataFrame:
-    """(bucket, body): for each bucket its classes whose component has another name, packed."""
+    """(bucket, body): for each bucket its classes that are merged, packed with their components and those' sizes."""
     if merged is None:
         return kept.sparkSession.createDataFrame([], "bucket int, body binary")
-    changed = merged.where("node <> component").select(F.expr(f"int(pmod(node, {parts}L))").alias("part"), "node", "component")
+    sizes = merged.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    changed = looked_up(merged, sizes, "component", SALTS, "inner").select(F.expr(f"int(pmod(node, {parts}L))").alias("part"), "node", "component", "size")
 
     def answer(questions: pa.Table, merged: pa.Table) -> pa.Table:
         pair = np.empty(len(merged), _MOVED)
-        pair["class"], pair["component"] = np.asarray(merged["node"]), np.asarray(merged["component"])
+        pair["class"], pair["component"], pair["size"] = np.asarray(merged["node"]), np.asarray(merged["component"]), np.asarray(merged["size"])
         pair = pair[np.argsort(pair["class"])]
         out = []
         for bucket, raw in zip(questions["bucket"].to_pylist(), questions["body"], strict=True) if len(pair) and len(questions) else ():
-            own = unpack(raw.as_py(), _COUNT)["class"]
+            own = unpack(raw.as_py(), _LIVE)["class"]
             at = np.minimum(np.searchsorted(pair["class"], own), len(pair) - 1)
             if (hit := pair["class"][at] == own).any():
                 out.append((bucket, 0, pack(pair[at[hit]])))
@@ -461,38 +516,43 @@ def _moved(kept: DataFrame, merged: DataFrame | None, parts: int) -> DataFrame:
     return written(_questions(kept, _POSTING, parts).groupBy("part").cogroup(changed.groupBy("part")).applyInArrow(answer, "bucket int, body binary"), "moved")
 
 
-def _component_of(rows: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    out = rows["class"].copy()
+def _component_of(rows: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    out, size = rows["class"].copy(), np.ones(len(rows), np.int64)
     if len(pair):
         pair = pair[np.argsort(pair["class"])]
         at = np.minimum(np.searchsorted(pair["class"], out), len(pair) - 1)
         hit = pair["class"][at] == out
-        out[hit] = pair["component"][at[hit]]
-    return out
+        out[hit], size[hit] = pair["component"][at[hit]], pair["size"][at[hit]]
+    return out, size
 
 
 def _by_bucket(kept: DataFrame, moved: DataFrame, make, schema: str) -> DataFrame:
-    """Rows that ``make`` yields of a bucket's postings and their components."""
+    """Rows that ``make`` yields of a bucket's postings, their components and those' sizes."""
 
     def run(postings: pa.Table, moved: pa.Table) -> pa.Table:
         rows = _all(postings["body"], _POSTING)
-        made = [_rows(x) for x in make(rows, _component_of(rows, _all(moved["body"], _MOVED)))] if len(rows) else []
+        made = [_rows(x) for x in make(rows, *_component_of(rows, _all(moved["body"], _MOVED)))] if len(rows) else []
         return pa.Table.from_batches(made) if made else pa.table({f.split()[0]: pa.array([], pa.float64() if f.endswith("double") else pa.int64()) for f in schema.split(", ")})
 
     return kept.groupBy("bucket").cogroup(moved.groupBy("bucket")).applyInArrow(run, schema)
 
 
 def pivot_pairs(kept: DataFrame, moved: DataFrame, turn: int) -> DataFrame:
-    """(a, b): one pivot a for each class b that shares tokens with another component's."""
-    found = _by_bucket(kept, moved, lambda rows, component: [_pivot_rows(rows, component, turn)], "class long, pivot long, tokens long, centre double")
-    best = found.groupBy("class").agg(F.max(F.struct("tokens", "centre", "pivot")).alias("best"))
-    return best.select(F.col("best.pivot").alias("a"), F.col("class").alias("b"))
+    """(host, guest): one pivot for each class that shares enough tokens with another component's."""
+    found = _by_bucket(kept, moved, lambda rows, component, size: [_pivot_rows(rows, component, turn)], "class long, pivot long, tokens long, needed long, centre double")
+    pairs = found.groupBy("class", "pivot").agg(F.sum("tokens").alias("tokens"), F.max("needed").alias("needed"), F.max("centre").alias("centre"))
+    # Tokens of a pair may have other pivots, so fewer than all that it needs must do.
+    best = pairs.where("2 * tokens >= needed").groupBy("class").agg(F.max(F.struct("tokens", "centre", "pivot")).alias("best"))
+    return best.select(F.col("best.pivot").alias("host"), F.col("class").alias("guest"))
 
 
 def remaining_pairs(kept: DataFrame, moved: DataFrame) -> DataFrame:
-    """(a, b): all pairs of classes in different components with enough shared prefix tokens."""
-    found = _by_bucket(kept, moved, _all_pairs, "a long, b long, needed long, tokens long")
-    return found.groupBy("a", "b").agg(F.sum("tokens").alias("tokens"), F.max("needed").alias("needed")).where("tokens >= needed").select("a", "b")
+    """(host, guest): all components and classes outside with enough shared prefix tokens.
+
+    A guest shares at least as many tokens with the component as with any member.
+    """
+    found = _by_bucket(kept, moved, _guests, "host long, guest long, tokens long, needed long")
+    return found.groupBy("host", "guest").agg(F.sum("tokens").alias("tokens"), F.min("needed").alias("needed")).where("tokens >= needed").select("host", "guest")
 
 
 def class_sets(docs: DataFrame, able: DataFrame, classes: DataFrame) -> DataFrame:
@@ -511,35 +571,63 @@ def class_sets(docs: DataFrame, able: DataFrame, classes: DataFrame) -> DataFram
     return texts.mapInArrow(run, "class long, grams binary").repartition(buckets(docs.sparkSession), "class")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among ``pairs(a, b)`` of classes: a's set is held, b's sets stream by."""
+def verified(pairs: DataFrame, sets: DataFrame, members: DataFrame | None) -> DataFrame:
+    """Links (a, b) among ``pairs(host, guest)``: one, if there is any, for a guest and a shard of its host.
+
+    A host's members, ``members(component, node)`` or else the class itself, are dealt
+    to shards of ``SHARD`` sets; a task indexes a shard and lets the guests stream by.
+    Hosts with very many guests have several copies of each shard.
+    """
     spark = pairs.sparkSession
-    share = F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int")
-    held = written(pairs.groupBy("a").agg(share.alias("copies")), "held")
-    salted = looked_up(pairs, held, "a", SALTS, "inner").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"))
-    asked = salted.select(F.col("b").alias("class"), "a", "salt", F.lit(1).alias("turn"))
-    own = held.select(F.col("a").alias("class"), "a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("turn"))
-    wanted = written(asked.union(own), "partners")
-    flying = sets.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_PARTNERS else wanted, "class").select("a", "salt", "turn", "class", "grams")
+    held = pairs.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("copies"))
+    if members is None:
+        own = held.select("host", F.col("host").alias("class"), F.lit(1).alias("shards"), "copies")
+    else:
+        sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
+        hosts = held.join(sizes, F.col("host") == F.col("component"), "left").select(F.col("host").alias("component"), F.coalesce("shards", F.lit(1)).alias("shards"), "copies", F.col("shards").isNull().alias("alone"))
+        hosts = written(hosts, "hosts")
+        inner = looked_up(members, hosts.where("not alone").drop("alone"), "component", SALTS, "inner").select(F.col("component").alias("host"), F.col("node").alias("class"), "shards", "copies")
+        own = inner.union(hosts.where("alone").select("component", "component", "shards", "copies").toDF("host", "class", "shards", "copies"))
+    own = written(own, "own")
+    shards = written(own.groupBy("host").agg(F.first("shards").alias("shards"), F.first("copies").alias("copies")), "shards")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    fixed = own.withColumn("copy", each(F.col("copies"))).select("class", "host", F.expr("int(pmod(xxhash64(class), shards))").alias("shard"), "copy", F.lit(0).alias("turn"))
+    asked = looked_up(pairs, shards, "host", SALTS, "inner").withColumn("shard", each(F.col("shards")))
+    asked = asked.select(F.col("guest").alias("class"), "host", "shard", F.expr("int(pmod(xxhash64(guest), copies))").alias("copy"), F.lit(1).alias("turn"))
+    wanted = written(fixed.unionByName(asked), "partners")
+    flying = sets.join(wanted, "class").select("host", "shard", "copy", "turn", "class", "grams")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, np.zeros(0, _U)
+        at, names, grams, owner, size, raws = None, [], np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), []
         for batch in batches:
             out = []
-            for a, salt, turn, c, raw in zip(*(batch.column(x).to_pylist() for x in ("a", "salt", "turn", "class")), batch.column("grams"), strict=True):
-                grams = np.frombuffer(raw.as_buffer(), _U)
+            for h, shard, copy, turn, c, raw in zip(*(batch.column(x).to_pylist() for x in ("host", "shard", "copy", "turn", "class")), batch.column("grams"), strict=True):
+                key = (h, shard, copy)
+                if key != at:
+                    at, names, raws, grams = key, [], [], None
                 if turn == 0:
-                    at, own = (a, salt), grams.copy()
-                elif at == (a, salt):
-                    i = np.searchsorted(own, grams)
-                    inner = int((own[np.minimum(i, len(own) - 1)] == grams).sum())
-                    if inner * THRESHOLD[1] >= (len(own) + len(grams) - inner) * THRESHOLD[0]:
-                        out.append((a, c))
+                    names.append(c)
+                    raws.append(np.frombuffer(raw.as_py(), _U))
+                    continue
+                if not names:
+                    continue
+                if grams is None:
+                    size = np.array([len(r) for r in raws])
+                    grams, owner = np.concatenate(raws), np.repeat(np.arange(len(raws)), size)
+                    order = np.argsort(grams, kind="stable")
+                    grams, owner = grams[order], owner[order]
+                mine = np.frombuffer(raw.as_py(), _U)
+                low, high = np.searchsorted(grams, mine), np.searchsorted(grams, mine, "right")
+                count = high - low
+                hit = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                inner = np.bincount(owner[hit], minlength=len(names))
+                linked = np.flatnonzero(inner * THRESHOLD[1] >= (size + len(mine) - inner) * THRESHOLD[0])
+                out.extend((names[i], c) for i in linked[:1] if names[i] != c)
             columns = list(zip(*out, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())], names=["a", "b"])
 
     small_batches(spark)
-    dealt = flying.repartition(buckets(spark), "a", "salt").sortWithinPartitions("a", "salt", "turn", "class")
+    dealt = flying.repartition(buckets(spark), "host", "shard", "copy").sortWithinPartitions("host", "shard", "copy", "turn", "class")
     return dealt.mapInArrow(compare, "a long, b long")
 
 
@@ -568,7 +656,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             pairs = written(pivot_pairs(kept, moved, turn) if turn < PIVOTS else remaining_pairs(kept, moved), "pairs")
             if pairs.isEmpty():
                 continue
-            found = written(verified(pairs, sets), "links")
+            found = written(verified(pairs, sets, merged if turn == PIVOTS else None), "links")
             if not found.isEmpty():
                 links = found if links is None else links.union(found)
                 merged = written(components(links), "merged")
