@@ -31,7 +31,7 @@ from flowloom.llm import kernels as k
 from flowloom.llm.common import small_batches, table
 
 #: Most rows of each kind that the model is fitted on, and the hashed words' dimensions.
-POSITIVES, UNLABELLED, WORDS = 6000, 12000, 1 << 12
+POSITIVES, UNLABELLED, WORDS = 3000, 6000, 1 << 12
 BINS, STEPS, RATE, DECAY = 8, 160, 0.05, 1e-4
 _SYMBOLS = b"*#$%&^~@=<>{}[]\\_+"
 _CLASSES = [np.isin(np.arange(256), list(x)) for x in (range(65, 91), range(97, 123), range(48, 58), b" ", b"\n\r\t", b"!", b"?", b"|", b".,;:", _SYMBOLS, b"'\"()-/", range(128, 256), range(0, 9))]
@@ -107,14 +107,11 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 class Rows:
     """Sparse rows of hashed words as sums over a flat list."""
 
-    def __init__(self, words: list[np.ndarray]):
-        self.n = len(words)
-        self.size = np.array([len(w) for w in words], np.int64)
-        self.owner = np.repeat(np.arange(self.n), self.size)
-        self.flat = np.concatenate(words) if words else np.zeros(0, np.int64)
-        key, count = np.unique(self.owner * WORDS + self.flat, return_counts=True)
-        self.owner, self.flat = key // WORDS, key % WORDS
-        self.value = count / np.sqrt(np.maximum(self.size, 1))[self.owner]
+    def __init__(self, flat: np.ndarray, size: np.ndarray):
+        self.n = len(size)
+        key, count = np.unique(np.repeat(np.arange(self.n), size) * WORDS + flat, return_counts=True)
+        self.owner, self.flat = (key // WORDS).astype(np.int32), (key % WORDS).astype(np.int32)
+        self.value = (count / np.sqrt(np.maximum(size, 1))[self.owner]).astype(np.float32)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner, self.value * w[self.flat], self.n)
@@ -123,12 +120,12 @@ class Rows:
         return np.bincount(self.flat, self.value * g[self.owner], WORDS)
 
 
-def fit(dense: np.ndarray, words: list[np.ndarray], positive: np.ndarray, prior: float | None) -> Model:
+def fit(dense: np.ndarray, words: Rows, positive: np.ndarray, prior: float | None) -> Model:
     """Minimises the non-negative risk; rows where ``positive`` is false are unlabelled."""
     mean, scale = dense.mean(0), dense.std(0) + 1e-9
     edges = np.quantile(dense, np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T
     model = Model(mean, scale, edges, np.zeros(dense.shape[1] * (1 + BINS)), np.zeros(WORDS), 0.0, prior or 0.5)
-    x, rows = model.expand(dense), Rows(words)
+    x, rows = model.expand(dense), words
     p, u = np.flatnonzero(positive), np.flatnonzero(~positive)
 
     def descend(share: float, p: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -204,7 +201,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not label.any() or label.all():
         return None
     dense = np.stack(found["dense"].to_numpy())
-    words = [np.asarray(w, np.int64) for w in found["words"].to_numpy()]
+    lists = found["words"].chunk(0) if isinstance(found["words"], pa.ChunkedArray) else found["words"]
+    words = Rows(np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets)))
     return fit(dense, words, label == 1, prior)
 
 
