@@ -55,6 +55,33 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def trimmed(run):
+    """``run`` over batches; what its task has freed goes back to the system when it ends.
+
+    Workers are kept for later tasks, and would keep that memory beside the next one's.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        _trim()
+
+    return wrapped
+
+
+def _trim() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def looked_up(rows: DataFrame, keys: DataFrame, on: str, salts: int, how: str = "left") -> DataFrame:
     """``rows`` joined with the one row that ``keys`` has for each ``on``.
 

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import kernels as k
-from flowloom.llm.common import buckets, looked_up, small_batches, table, written
+from flowloom.llm.common import buckets, looked_up, small_batches, table, trimmed, written
 from flowloom.llm.graph import components
 
 #: Words of a shingle, and the similarity as a fraction.
@@ -130,7 +130,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, t) for t in kinds[:4]] + [pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=names)
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
-    return named.mapInArrow(run, "doc_id long, key long, n long, class long, slice int, counts binary")
+    return named.mapInArrow(trimmed(run), "doc_id long, key long, n long, class long, slice int, counts binary")
 
 
 def summed_sketch(slices: DataFrame) -> np.ndarray:
@@ -271,7 +271,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, parts: int) -> DataFrame:
         if about:
             yield from dealt()
 
-    return docs.select("text").mapInArrow(run, "bucket int, kind int, body binary")
+    return docs.select("text").mapInArrow(trimmed(run), "bucket int, kind int, body binary")
 
 
 def live(dealt: DataFrame) -> DataFrame:
@@ -568,7 +568,7 @@ def class_sets(docs: DataFrame, able: DataFrame, classes: DataFrame) -> DataFram
             columns = list(zip(*out, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["class", "grams"])
 
-    return texts.mapInArrow(run, "class long, grams binary").repartition(buckets(docs.sparkSession), "class")
+    return texts.mapInArrow(trimmed(run), "class long, grams binary").repartition(buckets(docs.sparkSession), "class")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, members: DataFrame | None) -> DataFrame:
@@ -628,7 +628,7 @@ def verified(pairs: DataFrame, sets: DataFrame, members: DataFrame | None) -> Da
 
     small_batches(spark)
     dealt = flying.repartition(buckets(spark), "host", "shard", "copy").sortWithinPartitions("host", "shard", "copy", "turn", "class")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(trimmed(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

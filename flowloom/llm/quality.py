@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import kernels as k
-from flowloom.llm.common import small_batches, table
+from flowloom.llm.common import small_batches, table, trimmed
 
 #: Most rows of each kind that the model is fitted on, and the hashed words' dimensions.
 POSITIVES, UNLABELLED, WORDS = 3000, 6000, 1 << 12
@@ -173,7 +173,7 @@ def _featured(rows: DataFrame) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, dense.size + 1, dense.shape[1]), pa.int32()), pa.array(dense.ravel(), pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), flat, lists], names=["doc_id", "label", "dense", "words"])
 
-    return rows.mapInArrow(run, "doc_id long, label int, dense array<double>, words array<int>")
+    return rows.mapInArrow(trimmed(run), "doc_id long, label int, dense array<double>, words array<int>")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: Model | None, out: str = "score") -> DataFrame
             scores = model.score(*k.texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` double"]))
+    return docs.mapInArrow(trimmed(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` double"]))
 
 
 def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
