@@ -155,7 +155,8 @@ def flowing(spark, sf_dir):
 
 @query
 def flow_create(spark, sf_dir):
-    return flows.flows(flowing(spark, sf_dir)).where("instance = 0").select("flow_id", "service", "service_ip", "local_ip", "protocol", "local_port", "service_port")
+    """One row for each time that a flow is created, anew after an eviction as well."""
+    return flows.flows(flowing(spark, sf_dir)).select("flow_id", "service", "service_ip", "local_ip", "protocol", "local_port", "service_port")
 
 
 @query

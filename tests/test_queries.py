@@ -1,6 +1,6 @@
 import pytest
 
-from flowloom.plans.oracles import ORACLES
+from flowloom.plans.oracles import _ALL, ORACLES
 from flowloom.plans.queries import QUERIES
 from tests.oracle import same
 
@@ -15,3 +15,12 @@ def test_query_without_sql_has_rows(spark, small, name):
     rows = QUERIES[name](spark, small)
     assert len(rows.columns) == len(set(rows.columns))
     assert rows.count() > 0
+
+
+def test_flows_are_created_anew_after_eviction(spark):
+    sf = "/root/testdata/sf0.01"
+    sql = f"""with {_ALL} select flow_id, service, service_ip, my_ip local_ip, case when is_tcp then 'TCP' else 'UDP' end protocol, my_port::varchar local_port, service_port::varchar service_port
+from fl qualify row_number() over (partition by flow_id, instance order by ts_ns) = 1"""
+    rows = QUERIES["flow_create"](spark, sf)
+    same(rows, sql, sf)
+    assert rows.count() == 184 and rows.select("flow_id").distinct().count() == 150
