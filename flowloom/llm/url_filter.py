@@ -61,12 +61,12 @@ def with_rule(urls: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataFra
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): a page's address and the one that its html names as canonical or sends to."""
+    """(a, b): a page's address and each one that its html names as canonical or sends to."""
     html = F.col("html")
     attribute = lambda tag, name: F.regexp_extract(tag, f"""(?is)\\b{name}\\s*=\\s*["']?\\s*([^"'>\\s]+)""", 1)
-    link = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    meta = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    targets = F.array(attribute(link, "href"), F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?\s*([^"'>\s]+)""", 1))
+    links = F.regexp_extract_all(html, F.lit(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), F.lit(0))
+    metas = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), F.lit(0))
+    targets = F.concat(F.transform(links, lambda x: attribute(x, "href")), F.transform(metas, lambda x: F.regexp_extract(x, r"""(?is)\burl\s*=\s*["']?\s*([^"'>\s]+)""", 1)))
     some = pages.where(html.rlike("(?i)canonical|refresh")).select(F.col("url").alias("a"), F.explode(targets).alias("target")).where("target <> '' and a is not null")
     site = F.regexp_extract("a", r"^[^:/?#]+://[^/?#]*", 0)
     absolute = F.when(F.col("target").contains("://"), F.col("target")).when(F.col("target").startswith("/"), F.concat(site, F.col("target"))).otherwise(F.concat(F.regexp_extract("a", r"^[^:/?#]+://[^/?#]*(/([^?#]*/)?)?", 0), F.col("target")))

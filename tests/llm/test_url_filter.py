@@ -50,6 +50,21 @@ def test_aliases(spark):
     assert got.count((7, "block")) == 2
 
 
+def test_every_link_of_a_page_counts(spark):
+    link = lambda x: f"<link rel=canonical href='{x}'>"
+    sent = lambda x: f'<meta http-equiv=refresh content="0; url={x}">'
+    pages = [
+        (1, "http://a.com/1", link("http://a.com/2") + "<p>" + link("http://b.net/")),
+        (2, "http://c.com/1", sent("http://c.com/2") + sent("http://d.net/") + sent("http://e.org/fr/")),
+        (3, "http://c.com/3", link("") + sent("http://f.net/")),
+        (4, "http://g.com/", link("http://g.com/2") + link("http://g.com/3")),
+    ]
+    got = {r.page_id: r.verdict for r in u.filter_urls(spark.createDataFrame(pages, PAGES)).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+    edges = {(r.a, r.b) for r in u.alias_edges(spark.createDataFrame(pages, PAGES)).collect()}
+    assert len(edges) == 8 and ("http://c.com/1", "http://e.org/fr/") in edges
+
+
 def test_empty(spark):
     assert u.filter_urls(spark.createDataFrame([], PAGES)).count() == 0
 
