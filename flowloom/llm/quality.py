@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import kernels as k
-from flowloom.llm.common import small_batches, table, trimmed
+from flowloom.llm.common import _trim, small_batches, table, trimmed
 
 #: Most rows of each kind that the model is fitted on, and the hashed words' dimensions.
-POSITIVES, UNLABELLED, WORDS = 3000, 6000, 1 << 12
+POSITIVES, UNLABELLED, WORDS = 6000, 12000, 1 << 12
 BINS, STEPS, RATE, DECAY = 8, 160, 0.05, 1e-4
 _SYMBOLS = b"*#$%&^~@=<>{}[]\\_+"
 _CLASSES = [np.isin(np.arange(256), list(x)) for x in (range(65, 91), range(97, 123), range(48, 58), b" ", b"\n\r\t", b"!", b"?", b"|", b".,;:", _SYMBOLS, b"'\"()-/", range(128, 256), range(0, 9))]
@@ -105,19 +105,36 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 class Rows:
-    """Sparse rows of hashed words as sums over a flat list."""
+    """Sparse rows of hashed words: each row's distinct words and their weights, one row after another.
 
-    def __init__(self, flat: np.ndarray, size: np.ndarray):
-        self.n = len(size)
-        key, count = np.unique(np.repeat(np.arange(self.n), size) * WORDS + flat, return_counts=True)
-        self.owner, self.flat = (key // WORDS).astype(np.int32), (key % WORDS).astype(np.int32)
-        self.value = (count / np.sqrt(np.maximum(size, 1))[self.owner]).astype(np.float32)
+    Sums go over slabs of rows, so that only these two lists are as long as the sample.
+    """
+
+    SLAB = 1 << 18
+
+    def __init__(self, flat: np.ndarray, value: np.ndarray, size: np.ndarray):
+        self.n, self.flat, self.value = len(size), flat, value
+        self.at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+
+    def _slabs(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        i = 0
+        while i < self.n:
+            j = min(self.n, max(i + 1, int(np.searchsorted(self.at, self.at[i] + self.SLAB, "right")) - 1))
+            a, b = self.at[i], self.at[j]
+            yield i, j, np.repeat(np.arange(j - i), np.diff(self.at[i : j + 1])), self.flat[a:b], self.value[a:b]
+            i = j
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, self.value * w[self.flat], self.n)
+        out = np.zeros(self.n)
+        for i, j, owner, flat, value in self._slabs():
+            out[i:j] = np.bincount(owner, value * w[flat], j - i)
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.flat, self.value * g[self.owner], WORDS)
+        out = np.zeros(WORDS)
+        for i, j, owner, flat, value in self._slabs():
+            out += np.bincount(flat, value * g[i:j][owner], WORDS)
+        return out
 
 
 def fit(dense: np.ndarray, words: Rows, positive: np.ndarray, prior: float | None) -> Model:
@@ -163,17 +180,29 @@ def fit(dense: np.ndarray, words: Rows, positive: np.ndarray, prior: float | Non
 
 
 def _featured(rows: DataFrame) -> DataFrame:
-    """Features of sampled rows, to be fitted on."""
+    """Features of sampled rows, to be fitted on: dense ones, distinct hashed words and their weights, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = k.texts(batch.column("text"))
             dense, words, first = features(data, offsets)
-            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(words, pa.int32()))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, dense.size + 1, dense.shape[1]), pa.int32()), pa.array(dense.ravel(), pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), flat, lists], names=["doc_id", "label", "dense", "words"])
+            size = np.diff(first)
+            key, count = np.unique(np.repeat(np.arange(len(size)), size) * WORDS + words, return_counts=True)
+            at = np.searchsorted(key, np.arange(len(size) + 1) * WORDS)
+            flat = (key % WORDS).astype(np.uint16)
+            value = (count / np.sqrt(np.maximum(size, 1))[key // WORDS]).astype(np.float32)
+            packed = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "label", "chance")), pa.array([x.tobytes() for x in dense], pa.binary()), packed(flat), packed(value)], names=["doc_id", "label", "chance", "dense", "words", "value"])
 
-    return rows.mapInArrow(trimmed(run), "doc_id long, label int, dense array<double>, words array<int>")
+    return rows.mapInArrow(trimmed(run), "doc_id long, label int, chance long, dense binary, words binary, value binary")
+
+
+def _bounded(found: pa.Table) -> pa.Table:
+    """``found`` by label and doc_id, with the rows of least chance where there are more than the bounds."""
+    found = found.sort_by([("label", "ascending"), ("chance", "ascending"), ("doc_id", "ascending")])
+    unlabelled = int(np.count_nonzero(found["label"].to_numpy() == 0))
+    kept = pa.concat_tables([found.slice(0, min(unlabelled, UNLABELLED)), found.slice(unlabelled, POSITIVES)])
+    return kept.sort_by([("label", "ascending"), ("doc_id", "ascending")])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -196,14 +225,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     trusted = taken(known.where("label = 1"), POSITIVES, count[1])  # a bounded set of ids
     positive = texts.join(F.broadcast(trusted), "doc_id")
     other = taken(texts, UNLABELLED, total).withColumn("label", F.lit(0))
-    found = _featured(positive.select("doc_id", "text", "label").union(other.select("doc_id", "text", "label"))).toArrow().sort_by([("label", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    sampled = ["doc_id", "text", "label", chance.alias("chance")]
+    found = _bounded(_featured(positive.select(*sampled).union(other.select(*sampled))).toArrow())
     label = found["label"].to_numpy()
     if not label.any() or label.all():
         return None
-    dense = np.stack(found["dense"].to_numpy())
-    lists = found["words"].chunk(0) if isinstance(found["words"], pa.ChunkedArray) else found["words"]
-    words = Rows(np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets)))
-    return fit(dense, words, label == 1, prior)
+    joined = lambda c, kind: np.frombuffer(b"".join(found[c].to_pylist()), kind)
+    dense = joined("dense", np.float64).reshape(len(label), -1)
+    words = Rows(joined("words", np.uint16), joined("value", np.float32), np.array([len(x) // 2 for x in found["words"].to_pylist()]))
+    del found
+    model = fit(dense, words, label == 1, prior)
+    del dense, words
+    _trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, out: str = "score") -> DataFrame:

@@ -28,6 +28,34 @@ def test_held_out_accuracy(spark):
     assert np.mean((score >= 0.5) == label) > 0.95
 
 
+def test_sample_reaches_its_bounds_and_no_further(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    assert (q.POSITIVES, q.UNLABELLED) == (6000, 12000)
+    sf = "/root/testdata/sf0.1"
+    known = {r["doc_id"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist() if r["quality"] == 1}
+    free = [r for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id"])["doc_id"].to_pylist() if zlib.crc32(str(r).encode()) % 3 != 1]
+    assert len(free) > 5000 and len(known.intersection(free)) > 2000
+    seen = []
+    monkeypatch.setattr(q, "fit", lambda dense, words, positive, prior: seen.append((positive.sum(), (~positive).sum(), len(dense), words.n)))
+    for most in ((100, 300), (90, 310), (5, 7)):
+        monkeypatch.setattr(q, "POSITIVES", most[0])
+        monkeypatch.setattr(q, "UNLABELLED", most[1])
+        q.train(spark.read.parquet(f"{sf}/documents.parquet"), q.quality_labels(spark, sf))
+    for most, (p, u, n, rows) in zip(((100, 300), (90, 310), (5, 7)), seen, strict=True):
+        assert 0 < p <= most[0] and 0 < u <= most[1] and n == rows == p + u
+
+
+def test_sparse_rows(monkeypatch):
+    rng = np.random.default_rng(1)
+    full = rng.random((50, q.WORDS)).astype(np.float32) * (rng.random((50, q.WORDS)) < 0.01)
+    full[[0, 20, 49]] = 0
+    monkeypatch.setattr(q.Rows, "SLAB", 100)
+    rows = q.Rows(np.nonzero(full)[1].astype(np.uint16), full[full != 0], (full != 0).sum(1))
+    w, g = rng.random(q.WORDS), rng.random(50)
+    assert np.allclose(rows.times(w), full @ w) and np.allclose(rows.back(g), full.T @ g)
+
+
 def test_prior_is_estimated_without_negatives(spark, small):
     labels = q.quality_labels(spark, small).where("label = 1")
     frame = spark.read.parquet(f"{small}/documents.parquet")
