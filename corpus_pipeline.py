@@ -2,7 +2,7 @@
 
 1. Quality classifier: documents that it rejects go.
 2. N-gram Jaccard join: of each group of near copies the document with the least id stays.
-3. Benchmark decontamination: contaminated documents go.
+3. Benchmark decontamination: contaminated documents go; passages in the others are replaced.
 4. Secret scans: findings are replaced in the text.
 5. Best-fit packing: what is left is packed into sequences.
 
@@ -32,7 +32,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.scan(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    left = decontaminate.scan(docs, table(spark, sf_dir, "benchmark")).where("not contaminated")
+    found = F.size("hit_spans") > 0
+    left = left.withColumn("text", F.when(found, decontaminate.without_spans(F.col("text"), F.col("hit_spans"))).otherwise(F.col("text")))
+    return left.withColumn("n_chars", F.when(found & F.col("n_chars").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def secrets_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import small_batches, table
@@ -153,6 +153,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     return out.select(*(F.col(f"`{c}`") for c in docs.columns), "n_words", n_hit.alias("n_hit"), "items", "hit_spans", ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
+def without_spans(text: Column, spans: Column, mark: str = "[REMOVED]") -> Column:
+    """``text`` with ``mark`` in place of each span; a word there, so that what is left on either side makes no new window."""
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
+    ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.char_length(text).cast("long")))
+    return F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))), mark)
+
+
 def _joined(a: list[dict], b: list[dict]) -> list[dict]:
     """Runs of two scans as maximal runs."""
     out: list[dict] = []

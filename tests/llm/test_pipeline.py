@@ -1,7 +1,8 @@
 import corpus_pipeline as c
 import pytest
+from pyspark.sql import functions as F
 
-from flowloom.llm import near_duplicates, quality
+from flowloom.llm import decontaminate, near_duplicates, quality
 from tests.llm.helpers import docs
 from tests.llm.test_decontaminate import brute as hits
 from tests.llm.test_near_duplicates import brute as groups
@@ -51,6 +52,21 @@ def test_stages_take_empty_and_odd_tables(spark, small):
     assert texts[0] is None and texts[1] == "" and texts[2] == "[REDACTED]"
 
 
+def test_passages_of_long_documents_are_removed(spark, small):
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first().text
+    words = decontaminate.normal_words(item.encode())
+    passage = " ".join(w.decode() for w in words[: max(13, len(words) // 4)])
+    rest = " ".join(f"wörd{i}" for i in range(40 * len(words)))
+    texts = [f"{rest} {passage} {rest}", f"{passage}; {rest} ü {passage.upper()}", rest, passage, None]
+    frame = docs(spark, texts).withColumn("n_chars", F.char_length("text").cast("long"))
+    got = {r.doc_id: r for r in c.without_benchmark(spark, frame, small).collect()}
+    assert got[0].text == f"{rest} [REMOVED] {rest}" and got[1].text == f"[REMOVED]; {rest} ü [REMOVED]"
+    assert sorted(got) == [0, 1, 2, 4] and got[2].text == rest and got[4].text is None
+    assert all(r.n_chars == len(r.text) for i, r in got.items() if i < 2)
+    again = decontaminate.scan(spark.createDataFrame(list(got.values()), frame.schema), spark.read.parquet(f"{small}/benchmark.parquet"))
+    assert {r.n_hit for r in again.collect()} == {0}
+
+
 @pytest.mark.parametrize("ids", [200_000, 0])
 def test_one_of_each_group_stays(spark, ids, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BROADCAST_IDS", ids)
