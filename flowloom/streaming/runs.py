@@ -25,7 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from flowloom.functions.net import flow_id
 from flowloom.operators import packets
 from flowloom.sources import tables
-from flowloom.streaming.state import Latency, Packets, Video
+from flowloom.streaming.state import Latency, Packets, TcpState, Video
 
 
 def counters(rows: DataFrame, seconds: int = 10, late: str = "10 minutes") -> DataFrame:
@@ -47,12 +47,12 @@ def _flow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     if state.hasTimedOut:
         state.remove()
         return
-    kept = pickle.loads(state.get[0]) if state.exists else (Packets(), Video(), Latency())
+    kept = pickle.loads(state.get[0]) if state.exists else (Packets(), Video(), TcpState(), Latency())
     rows = pd.concat(list(batches)).sort_values(["ts_ns", "pkt_no"])
     for p in rows.itertuples(index=False):
         for feature in kept:
             feature.add(p)
-    names = ("PacketCounters", "VideoCounters", "LatencyJitterCounter")
+    names = ("PacketCounters", "VideoCounters", "TCPState", "LatencyJitterCounter")
     data = {n: f.values() for n, f in zip(names, kept, strict=True)}
     for feature in kept:
         feature.clear()

@@ -117,6 +117,34 @@ class Tcp:
         return {"in_flight": in_flight, "ooo": late, "retr": again, "rtt": rtt}
 
 
+@dataclass
+class TcpState:
+    """Counts and moments of the TCP feature, whose state starts afresh at each tick."""
+
+    sent: Tcp = field(default_factory=Tcp)
+    counts: dict[str, int] = field(default_factory=lambda: {f"{n}{s}Counter": 0 for n in ("Ack", "Syn", "Rst", "Push", "Urg", "Bytes", "Retr", "OOO") for s in ("Up", "Down")})
+    moments: dict[str, Moments] = field(default_factory=lambda: {n: Moments() for n in (*(f"{s}{n}" for n in ("RecWindow", "BytesPerPkt", "BytesInFlight") for s in ("Up", "Down")), "RTT")})
+
+    def add(self, p) -> None:
+        if not p.is_tcp:
+            return
+        shown, size = self.sent.add(p), int(p.length - 4 * p.data_offset)
+        side = "Up" if p.dir == OUT else "Down"
+        for name, here in (("Ack", p.f_ack), ("Syn", p.f_syn), ("Rst", p.f_rst), ("Push", p.f_psh), ("Urg", p.f_urg), ("Retr", shown["retr"]), ("OOO", shown["ooo"])):
+            self.counts[f"{name}{side}Counter"] += bool(here)
+        self.counts[f"Bytes{side}Counter"] += size
+        for name, x in (("RecWindow", p.window), ("BytesPerPkt", size), ("BytesInFlight", shown["in_flight"])):
+            self.moments[side + name].add(float(x))
+        if shown["rtt"] is not None:
+            self.moments["RTT"].add(float(shown["rtt"]))
+
+    def clear(self) -> None:
+        self.__init__()
+
+    def values(self) -> dict:
+        return self.counts | {f"{n}{m}": getattr(x, m.lower()) for n, x in self.moments.items() for m in ("Avg", "Var")}
+
+
 @dataclass
 class Latency:
     sent: Tcp = field(default_factory=Tcp)

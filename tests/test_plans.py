@@ -1,9 +1,13 @@
 import json
+import math
+from types import SimpleNamespace
 
 from flowloom import sinks
 from flowloom.model import SECOND
+from flowloom.operators import features
 from flowloom.plans import batch, queries
 from flowloom.sources import tables
+from flowloom.streaming import state
 
 
 def test_records_and_envelopes_are_json(spark, small):
@@ -34,3 +38,28 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "o")).count() == 4
     sinks.write_json_lines(rows, str(tmp_path / "o"), append=False, by="tick")
     assert spark.read.json(str(tmp_path / "o")).count() == 2
+
+
+def test_streamed_tcp_state_equals_that_of_windows(spark, small):
+    # One file is one micro-batch, so each flow has one row, with the state of all its packets.
+    got = {r.flow_id: json.loads(r.Data)["TCPState"] for r in queries.stream_flow_state(spark, small).collect()}
+    want = {r.flow_id: r.asDict() for r in features.tcp_state(queries.of_flows(spark, small), queries.FLOW).collect()}
+    assert want and want.keys() <= got.keys()
+    for flow, values in got.items():
+        if flow not in want:
+            assert set(values.values()) == {0}
+            continue
+        assert values.keys() == want[flow].keys() - {"flow_id"}
+        assert all(math.isclose(x, want[flow][k], rel_tol=1e-9, abs_tol=1e-6) for k, x in values.items())
+
+
+def test_streamed_tcp_state_clears():
+    p = SimpleNamespace(is_tcp=True, dir=state.OUT, length=120, data_offset=5, seq=7, ack=0, window=9, ts_ns=5, f_ack=True, f_syn=False, f_rst=None, f_psh=True, f_urg=False)
+    s = state.TcpState()
+    s.add(p)
+    s.add(p)
+    assert (s.values()["RetrUpCounter"], s.values()["AckUpCounter"], s.values()["BytesUpCounter"]) == (1, 2, 200)
+    s.clear()
+    assert set(s.values().values()) == {0}
+    s.add(p)
+    assert s.values()["RetrUpCounter"] == 0
