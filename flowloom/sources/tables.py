@@ -58,9 +58,9 @@ def frames_of(events: DataFrame) -> DataFrame:
 
 
 def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as outgoing TCP frames whose bytes are the text's, cut at 1500; eight flows."""
+    """``documents`` as outgoing TCP frames whose bytes are the whole text's; eight flows."""
     d = F.col("doc_id")
-    raw = F.substring(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 1, 1500)
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return table(spark, sf_dir, "documents").select(
         d.alias("pkt_no"),
         (d * 1_000_000).alias("ts_ns"),

@@ -155,3 +155,19 @@ def test_byte_copy_and_image(spark):
     at = body.index(b"IDAT")
     lines = zlib.decompress(body[at + 4 : at + 4 + struct.unpack(">I", body[at - 4 : at])[0]])
     assert b"".join(lines[i * 21 + 1 : i * 21 + 21] for i in range(20)) == b"".join(bytes([i]) * 74 for i in range(12))[:400]
+
+
+def test_raw_frames_hold_whole_texts(spark):
+    from flowloom.operators import features
+    from flowloom.sources import tables
+
+    sf = "/root/testdata/sf0.01"
+    frames = tables.raw_frames(spark, sf)
+    texts = spark.read.parquet(f"{sf}/documents.parquet")
+    joined = frames.join(texts, frames.pkt_no == texts.doc_id)
+    assert joined.where("octet_length(text) > 1500").count() > 0
+    assert joined.where("raw_data <> cast(text as binary)").count() == 0
+    # A limit above 1500 gets the text's bytes; shorter than the limit only if the flow has no more.
+    got = features.byte_copy(frames, ["pkt_no"], 1, 5000)
+    want = texts.selectExpr("doc_id", "substr(cast(text as binary), 1, 5000) as first").where("octet_length(first) > 0")
+    assert got.join(want, got.pkt_no == want.doc_id).where("Data = first").count() == want.count()
