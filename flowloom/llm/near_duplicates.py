@@ -2,7 +2,8 @@
 
 Documents are sets of hashed shingles (five words). Two link when their sets'
 Jaccard similarity is at least ``THRESHOLD``; the result is each document's
-component over links.
+component over links. Only components are returned: within one, most links between
+its classes are neither looked for nor counted.
 
 1. ``fingerprints``: one pass gives each document's set size and a fingerprint of
    its set, and a count sketch of fixed size of how many documents hold a shingle.
