@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -62,18 +63,62 @@ def trimmed(run):
     """
 
     def wrapped(batches):
+        _lean()
         yield from run(batches)
         _trim()
 
     return wrapped
 
 
-def _trim() -> None:
+def tidy(run):
+    """``run`` over one group, likewise; groups of some size give back what they freed."""
+
+    def wrapped(group):
+        _lean()
+        out = run(group)
+        _trim(group.nbytes)
+        return out
+
+    return wrapped
+
+
+def tidy_both(run):
+    """``run`` over two groups of a key, likewise."""
+
+    def wrapped(left, right):
+        _lean()
+        out = run(left, right)
+        _trim(left.nbytes + right.nbytes)
+        return out
+
+    return wrapped
+
+
+#: Bytes of a group from which a worker gives memory back at once; and of an allocation that is mapped on its own.
+TRIM_BYTES, MAP_BYTES = 1 << 20, 2 << 20
+_leaned: list[bool] = []
+
+
+def _lean() -> None:
+    """Large arrays are mapped on their own in this worker, so that they go back when they are freed."""
+    import ctypes
+
+    if not _leaned:
+        _leaned.append(True)
+        try:
+            ctypes.CDLL("libc.so.6").mallopt(-3, MAP_BYTES)  # M_MMAP_THRESHOLD
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
+def _trim(size: int = TRIM_BYTES) -> None:
     import ctypes
     import gc
 
     import pyarrow as pa
 
+    if size < TRIM_BYTES:
+        return
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -82,15 +127,56 @@ def _trim() -> None:
         pass
 
 
-def looked_up(rows: DataFrame, keys: DataFrame, on: str, salts: int, how: str = "left") -> DataFrame:
+def mapped(df: DataFrame, run, *fields: tuple[str, str]) -> DataFrame:
+    """``df`` through ``run`` in Arrow batches, which puts ``fields`` (name, type) behind all other columns.
+
+    Columns may have any names; ``run`` sees odd ones under others.
+    """
+    from pyspark.sql.types import StructField, StructType
+
+    new = [n for n, _ in fields]
+    plain = df.toDF(*(c if re.fullmatch(r"\w+", c) else fresh(f"__column_{i}", df) for i, c in enumerate(df.columns)))
+    kept = [(f, c) for f, c in zip(plain.schema.fields, df.columns, strict=True) if c not in new]
+    schema = StructType([*(StructField(f.name, f.dataType, True) for f, _ in kept), *(StructField(n, StructType.fromDDL(f"x {t}")[0].dataType, True) for n, t in fields)])
+    return plain.mapInArrow(trimmed(run), schema).toDF(*(c for _, c in kept), *new)
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """``name``, or if a column of the tables is called so (in any case), one like it that none is."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def fresh_prefix(prefix: str, df: DataFrame) -> str:
+    """``prefix``, or one like it that no column's name begins with (in any case)."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+def columns(df: DataFrame) -> list:
+    """All columns by name, whatever characters are in them."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def looked_up(rows: DataFrame, keys: DataFrame, on: str, salts: int, how: str = "left", by: list[str] | None = None) -> DataFrame:
     """``rows`` joined with the one row that ``keys`` has for each ``on``.
 
     ``keys`` is repeated ``salts`` times, so a key that a third of the rows share
-    is spread over that many tasks. Meant for rows without large columns.
+    is spread over that many tasks; equal rows differ by their input partition.
+    ``by`` names the columns that the rows differ in, where some are large.
     """
-    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(salts)).cast("int")
-    spread = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("__salt", salt).join(spread, [on, "__salt"], how).drop("__salt")
+    name = fresh("__salt", rows, keys)
+    salt = F.pmod(F.xxhash64(*(columns(rows) if by is None else [F.col(quoted(c)) for c in by]), F.spark_partition_id()), F.lit(salts)).cast("int")
+    spread = keys.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Not broadcast: the size that Spark knows is that of ``keys`` without copies.
+    return rows.withColumn(name, salt).join(spread.hint("merge"), [on, name], how).drop(name)
 
 
 def buckets(spark: SparkSession) -> int:

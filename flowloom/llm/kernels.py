@@ -45,6 +45,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order."""
+    x = np.sort(x)
+    if len(x) < 2:
+        return x
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Sums from which ``range_hash`` hashes any range of ``data``."""
     _grow(len(data))

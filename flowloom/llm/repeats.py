@@ -15,13 +15,14 @@ stands for a run of about fourteen windows.
 3. Windows: runs that share a digit but not the text (the ends of repeated passages)
    are split into windows, and whole windows are compared.
 
-Answers go back to the partition that asked, so no pass holds more than the texts of
-one input partition, and a key that a third of the rows share costs one record a
-partition. Texts lie in a table bucketed by partition, in the warehouse, and are
-read by each pass without a shuffle; it is dropped at the end. Hashes of windows
-have 64 bits beside the digit's 48.
-
-Nulls: a null text is empty. A row with a null doc_id is neither smaller nor larger
+Texts are parted into units of about ``UNIT`` bytes. Answers go back to the unit that
+asked, so no pass holds more than one unit's texts, and a key that a third of the rows
+share costs one record a unit. Units lie in a table in the warehouse, bucketed by unit,
+and are read by each pass without a shuffle; it is dropped at the end. Hashes of
+windows have 64 bits beside the digit's 48.
+
+Nulls: a null text is empty. A text shorter than ``DEPTH`` loses nothing. An empty
+table has no rows. Very long texts are hashed in segments. A row with a null doc_id is neither smaller nor larger
 than any other: nothing is removed from it or because of it. Rows that repeat an id
 remove nothing from one another. Other columns are ignored.
 """
@@ -38,17 +39,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import kernels as k
-from flowloom.llm.common import buckets, small_batches, table, written
+from flowloom.llm.common import buckets, small_batches, table, tidy, tidy_both, trimmed, written
 
 #: Bytes of a repeated string, and of the digit within it.
 DEPTH, DIGIT = 50, 24
 #: Most bytes of a text that are hashed at a time.
 SEGMENT = 1 << 19
-#: Fingerprints of a partition that are held before they are sent.
-HELD = 2_000_000
+#: Fingerprints that a task holds before it sends them.
+HELD = 1_000_000
+#: Bytes of text, or rows, of a unit: what a pass holds at a time. A longer text is a unit of its own.
+UNIT, UNIT_ROWS = 8 << 20, 50_000
 _U = np.uint64
 _SHIFT = _U(16)
-_MESSAGE = "bucket int, part int, kind int, body binary"
+_MESSAGE = "bucket int, part long, kind int, body binary"
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -99,12 +102,6 @@ class Runs:
         if texts:
             self.text = k.range_hash(self.sums, self.start, self.start + self.count + (DEPTH - 1)) + (anchor - self.start).astype(_U) * _U(0x9E3779B97F4A7C15)
 
-    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of each window of the chosen runs."""
-        count = self.count[chosen]
-        start = np.repeat(self.start[chosen] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        return start, k.range_hash(self.sums, start, start + DEPTH)
-
 
 def _packed(digits: np.ndarray) -> bytes:
     """48-bit numbers in six bytes each."""
@@ -126,7 +123,7 @@ def _messages(bucket: np.ndarray, part: int, kind: int, body) -> Iterator[tuple[
 
 def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "part", "kind", "body"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "part", "kind", "body"])
 
 
 def _least_by(keys: list[np.ndarray], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,10 +159,10 @@ def digit_messages(texts: DataFrame, parts: int) -> DataFrame:
             for i, slab, at, _ in _segments(data, offsets):
                 runs = Runs(slab, at, False)
                 owner = runs.owner + i
-                for p in np.unique(part[owner]) if runs.n else ():
+                for p in k.distinct(part[owner]) if runs.n else ():
                     own = (part[owner] == p) & known[owner]
                     # A slab has fewer than 2^16 texts with windows, and a digit 48 bits.
-                    pair = np.unique((runs.owner[own].astype(_U) << _U(48)) | runs.digit[own]) & _U((1 << 48) - 1)
+                    pair = k.distinct((runs.owner[own].astype(_U) << _U(48)) | runs.digit[own]) & _U((1 << 48) - 1)
                     held.setdefault(int(p), []).append(pair)
                     size += len(pair)
             if size > HELD:
@@ -173,7 +170,7 @@ def digit_messages(texts: DataFrame, parts: int) -> DataFrame:
                 size = 0
         yield from send()
 
-    return texts.mapInArrow(run, _MESSAGE)
+    return texts.mapInArrow(trimmed(run), _MESSAGE)
 
 
 def shared_digits(messages: DataFrame) -> DataFrame:
@@ -188,10 +185,9 @@ def shared_digits(messages: DataFrame) -> DataFrame:
         _, back, count = np.unique(digit, return_inverse=True, return_counts=True)
         keep = (count[back] > 1) | (np.bincount(back, many)[back] > 0)
         part = np.asarray(group["part"])
-        rows = [(0, int(part[i]), 1, _packed(digit[keep & (source == i)])) for i in np.unique(source[keep])] if len(found) <= 64 else _by_source(part, source, keep, lambda x: _packed(digit[x]), 1)
-        return pa.Table.from_batches([_batch(rows)])
+        return pa.Table.from_batches([_batch(_by_source(part, source, keep, lambda x: _packed(digit[x]), 1))])
 
-    return messages.groupBy("bucket").applyInArrow(run, _MESSAGE).drop("bucket")
+    return messages.groupBy("bucket").applyInArrow(tidy(run), _MESSAGE).drop("bucket")
 
 
 def _by_source(part: np.ndarray, source: np.ndarray, keep: np.ndarray, body, kind: int) -> list[tuple[int, int, int, bytes]]:
@@ -201,21 +197,38 @@ def _by_source(part: np.ndarray, source: np.ndarray, keep: np.ndarray, body, kin
     return [(0, int(part[i]), kind, body(at[edge[i] : edge[i + 1]])) for i in range(len(part)) if edge[i + 1] > edge[i]]
 
 
-# Passes 2 to 4: a partition's texts with the answers so far
+# Passes 2 to 4: a unit's texts with the answers so far
+
+
+class Shared:
+    """The runs of a segment whose digit several documents hold: owner in the unit, first window, windows, digit, text."""
+
+    def __init__(self, first: int, place: int, slab: np.ndarray, runs: Runs, own: np.ndarray):
+        self.base, self.slab = place, slab
+        self.owner, self.start, self.count = runs.owner[own] + first, runs.start[own], runs.count[own]
+        self.digit, self.text = runs.digit[own], runs.text[own]
+
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of each window of the chosen runs."""
+        count = self.count[chosen]
+        start = np.repeat(self.start[chosen] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        return start, k.range_hash(k.prefix_sums(self.slab), start, start + DEPTH) if len(start) else np.zeros(0, _U)
 
 
 class Asked:
-    """The runs of one partition, judged as far as the answers go."""
+    """The runs of one unit, judged as far as the answers go."""
 
     def __init__(self, texts: pa.Table, answers: pa.Table):
         kinds = np.asarray(answers["kind"]) if len(answers) else np.zeros(0, int)
         bodies = answers["body"]
-        digits = lambda kind: np.unique(np.concatenate([np.zeros(0, _U), *(_unpacked(bodies[int(i)].as_buffer()) for i in np.flatnonzero(kinds == kind))]))
-        self.shared, self.repeated, self.split = digits(1), digits(2), digits(3)
-        self.windows = np.unique(np.concatenate([np.zeros(0, _U), *(np.frombuffer(bodies[int(i)].as_buffer(), _U) for i in np.flatnonzero(kinds == 4))]))
+        listed = lambda kind, read: k.distinct(np.concatenate([np.zeros(0, _U), *(read(bodies[int(i)].as_buffer()) for i in np.flatnonzero(kinds == kind))]))
+        self.shared, self.repeated, self.split = (listed(kind, _unpacked) for kind in (1, 2, 3))
+        self.windows = listed(4, lambda raw: np.frombuffer(raw, _U))
         self.known = ~np.asarray(texts["doc_id"].is_null())
         self.doc = np.asarray(texts["doc_id"].fill_null(0)).astype(np.int64)
         self.data, self.offsets = k.texts(texts["text"])
+        self.segments = list(self._scan()) if len(self.shared) else []
+        self._judge()
 
     @staticmethod
     def within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -223,21 +236,18 @@ class Asked:
             return np.zeros(len(x), bool)
         return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
-    def scan(self) -> Iterator[tuple[int, int, Runs, np.ndarray]]:
-        """First text, place in it, runs, and those with a shared digit."""
+    def _scan(self) -> Iterator[Shared]:
         for i, slab, at, place in _segments(self.data, self.offsets):
             runs = Runs(slab, at)
-            yield i, place, runs, np.flatnonzero(self.within(runs.digit, self.shared) & self.known[runs.owner + i]) if runs.n else np.zeros(0, np.int64)
+            own = np.flatnonzero(self.within(runs.digit, self.shared) & self.known[runs.owner + i]) if runs.n else ()
+            if len(own):
+                yield Shared(i, int(self.offsets[i]) + place, slab, runs, own)
 
-    def judge(self) -> None:
+    def _judge(self) -> None:
         """For all runs with a shared digit: the least id of equal runs here, and whether the digit has other runs here."""
-        digit, text, doc = [], [], []
-        for i, _, runs, own in self.scan():
-            digit.append(runs.digit[own])
-            text.append(runs.text[own])
-            doc.append(self.doc[runs.owner[own] + i])
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        digit, text, doc = join(digit, _U), join(text, _U), join(doc, np.int64)
+        join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
+        digit, text = join((s.digit for s in self.segments), _U), join((s.text for s in self.segments), _U)
+        doc = join((self.doc[s.owner] for s in self.segments), np.int64)
         order, new = _least_by([digit, text], doc)
         group = np.cumsum(new) - 1
         first = order[new]
@@ -255,16 +265,16 @@ class Asked:
         """Groups whose windows are compared one by one."""
         return ~self.alone | self.within(self.digit, self.split)
 
-    def split_windows(self) -> Iterator[tuple[int, int, Runs, np.ndarray, np.ndarray]]:
-        """First text, place, runs, all with a shared digit, and their indices in ``group``."""
+    def each(self) -> Iterator[tuple[Shared, slice]]:
+        """The segments, and where their runs are in ``group`` and ``larger``."""
         at = 0
-        for i, place, runs, own in self.scan():
-            yield i, place, runs, own, np.arange(at, at + len(own))
-            at += len(own)
+        for s in self.segments:
+            yield s, slice(at, at + len(s.digit))
+            at += len(s.digit)
 
 
 def _cogrouped(texts: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
-    return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, schema)
+    return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(tidy_both(run), schema)
 
 
 def run_messages(texts: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
@@ -275,7 +285,6 @@ def run_messages(texts: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
         if len(texts):
             part = texts["part"][0].as_py()
             asked = Asked(texts, answers)
-            asked.judge()
             a = np.flatnonzero(asked.alone)
             rows += _messages((asked.digit[a] % _U(parts)).astype(np.int64), part, 0, lambda x: _packed(asked.digit[a[x]]) + asked.text[a[x]].tobytes() + asked.least[a[x]].tobytes())
             b = np.unique(asked.digit[~asked.alone])
@@ -315,7 +324,7 @@ def judged_runs(messages: DataFrame) -> DataFrame:
         rows = _by_source(part, source, repeated, lambda x: _packed(digit[x]), 2) + _by_source(part, source, mixed & ~repeated, lambda x: _packed(digit[x]), 3)
         return pa.Table.from_batches([_batch(rows)])
 
-    return messages.groupBy("bucket").applyInArrow(run, _MESSAGE).drop("bucket")
+    return messages.groupBy("bucket").applyInArrow(tidy(run), _MESSAGE).drop("bucket")
 
 
 def _window_least(asked: Asked) -> tuple[np.ndarray, np.ndarray]:
@@ -325,11 +334,11 @@ def _window_least(asked: Asked) -> tuple[np.ndarray, np.ndarray]:
     """
     split = asked.split_groups()
     found, docs = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-    for i, _, runs, own, at in asked.split_windows():
-        chosen = own[split[asked.group[at]] & ~asked.larger[at]]
+    for runs, at in asked.each():
+        chosen = np.flatnonzero(split[asked.group[at]] & ~asked.larger[at])
         _, hashes = runs.windows(chosen)
         found.append(hashes)
-        docs.append(np.repeat(asked.doc[runs.owner[chosen] + i], runs.count[chosen]))
+        docs.append(np.repeat(asked.doc[runs.owner[chosen]], runs.count[chosen]))
     hashes, docs = np.concatenate(found), np.concatenate(docs)
     order, new = _least_by([hashes], docs)
     return hashes[order[new]], docs[order[new]]
@@ -340,7 +349,6 @@ def window_messages(texts: DataFrame, answers: DataFrame, parts: int) -> DataFra
         rows = []
         if len(texts):
             asked = Asked(texts, answers)
-            asked.judge()
             hashes, least = _window_least(asked)
             order = np.argsort(least, kind="stable")  # equal ids lie together
             hashes, least = hashes[order], least[order]
@@ -364,7 +372,7 @@ def judged_windows(messages: DataFrame) -> DataFrame:
         least[order] = doc[order[new]][np.cumsum(new) - 1]
         return pa.Table.from_batches([_batch(_by_source(part, source, doc > least, lambda x: hashes[x].tobytes(), 4))])
 
-    return messages.groupBy("bucket").applyInArrow(run, _MESSAGE).drop("bucket")
+    return messages.groupBy("bucket").applyInArrow(tidy(run), _MESSAGE).drop("bucket")
 
 
 def removals(texts: DataFrame, answers: DataFrame) -> DataFrame:
@@ -374,28 +382,24 @@ def removals(texts: DataFrame, answers: DataFrame) -> DataFrame:
         if not len(texts):
             return _result([])
         asked = Asked(texts, answers)
-        asked.judge()
         hashes, least = _window_least(asked)
         repeated = asked.within(asked.digit, asked.repeated) & asked.alone  # groups
         split = asked.split_groups()
         removed = np.zeros(len(asked.data), bool)
-        for i, place, runs, own, at in asked.split_windows():
-            if not len(own):
-                continue
+        for runs, at in asked.each():
             group = asked.group[at]
-            base = int(asked.offsets[i]) + place
-            whole = own[repeated[group] | asked.larger[at]]
-            part = own[split[group] & ~asked.larger[at] & ~repeated[group]]
+            whole = np.flatnonzero(repeated[group] | asked.larger[at])
+            part = np.flatnonzero(split[group] & ~asked.larger[at] & ~repeated[group])
             start, h = runs.windows(part)
-            doc = np.repeat(asked.doc[runs.owner[part] + i], runs.count[part])
+            doc = np.repeat(asked.doc[runs.owner[part]], runs.count[part])
             gone = asked.within(h, asked.windows)
             if len(hashes):
                 gone |= doc > least[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)]
             begin = np.concatenate([runs.start[whole], start[gone]])
             end = np.concatenate([runs.start[whole] + runs.count[whole] + DEPTH - 1, start[gone] + DEPTH])
-            size = len(runs.sums) - 1
+            size = len(runs.slab)
             marks = np.bincount(begin, minlength=size + 1) - np.bincount(end, minlength=size + 1)
-            removed[base : base + size] |= np.cumsum(marks[:size]) > 0
+            removed[runs.base : runs.base + size] |= np.cumsum(marks[:size]) > 0
         ids = texts["doc_id"].to_pylist()
         rows = []
         for d, a, b in zip(ids, asked.offsets[:-1].tolist(), asked.offsets[1:].tolist(), strict=True):
@@ -415,17 +419,26 @@ def _result(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def _part(spark: SparkSession, inputs: int):
-    """A number for each input partition; where there are not too many, one that hashes to a bucket of its own."""
-    own = F.spark_partition_id()
-    if inputs > 10_000:
-        return own
-    bucket = F.pmod(F.hash(F.col("id").cast("int")), F.lit(inputs))
-    least = {r[0]: r[1] for r in spark.range(32 * inputs + 256).groupBy(bucket.alias("bucket")).agg(F.min("id")).collect()}
-    taken = set(least.values())
-    spare = (i for i in range(32 * inputs + 256) if i not in taken)
-    names = F.array(*(F.lit(int(least[i] if i in least else next(spare))) for i in range(inputs)))
-    return F.coalesce(F.get(names, own), own + F.lit(64 * inputs + 512)).cast("int")
+def units(docs: DataFrame) -> DataFrame:
+    """(part, doc_id, text): rows of ``docs`` with the number of their unit, texts as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        unit = TaskContext.get().partitionId() << 32
+        size = rows = 0
+        for batch in batches:
+            length = np.diff(k.texts(batch.column("text"))[1])
+            part = np.empty(len(length), np.int64)
+            for i, n in enumerate(length.tolist()):
+                if rows and (size + n > UNIT or rows >= UNIT_ROWS):
+                    unit, size, rows = unit + 1, 0, 0
+                size, rows = size + n, rows + 1
+                part[i] = unit
+            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column("doc_id"), batch.column("text")], names=["part", "doc_id", "text"])
+
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    return kept.mapInArrow(trimmed(run), "part long, doc_id long, text binary")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -437,10 +450,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     parts = buckets(spark)
     name = f"flowloom_texts_{uuid.uuid4().hex}"
-    inputs = min(max(1, docs.rdd.getNumPartitions()), 100_000)
-    rows = docs.select(_part(spark, inputs).alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    # Each input partition writes the one file of its own bucket: no shuffle, then or later.
-    rows.write.option("compression", "zstd").bucketBy(inputs, "part").saveAsTable(name)
+    # No shuffle, then or later: a task writes its units into their buckets.
+    units(docs).write.option("compression", "zstd").bucketBy(parts, "part").saveAsTable(name)
     try:
         texts = spark.table(name)
         answers = written(shared_digits(digit_messages(texts, parts)), "digits")

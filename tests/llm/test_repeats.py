@@ -84,6 +84,16 @@ def test_long_texts_are_taken_in_segments(spark, monkeypatch):
         assert sorted(got.get(i, [])) == list(range(max(0, len(t.encode()) - 49)))
 
 
+@pytest.mark.parametrize("size", [1, 700, 1 << 20])
+def test_units_of_any_size(spark, size, monkeypatch):
+    monkeypatch.setattr(r, "UNIT", size)
+    rows = list(enumerate([*repeated(7), "".join(repeated(8)) * 20]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert found(frame) == brute(rows)
+    sizes = [x.n for x in r.units(frame).groupBy("part").agg({"text": "count"}).toDF("part", "n").collect()]
+    assert sum(sizes) == len(rows) and (len(sizes) > 40) == (size == 1)
+
+
 def test_odd_rows(spark):
     long = "a passage of more than fifty bytes, with é and ß, that comes again and again."
     rows = [*enumerate(ODD_TEXTS), (None, long), (None, long), (50, long), (50, long), (51, long + "!"), (60, None), (61, long[:50]), (62, long[:49]), (3, "same id"), (3, "other text of the id")]
