@@ -18,10 +18,11 @@ its classes are neither looked for nor counted.
    has in its prefix is dead. Classes with too few live tokens for any partner go.
    Dead tokens that come before the end of another class's prefix are not in that
    class, which bounds what the two can share. First each class is verified against
-   the most central class that it shares tokens with (``PIVOTS`` rounds); links merge
-   classes. Then each class is held against all of every other component that it may
-   link to: no link between components is lost, and the pairs within a group of
-   copies are never listed.
+   the most central classes that have its first live tokens, then its next ones
+   (``PIVOTS`` rounds, ``VOTES`` rows a class at most); links merge classes. Then each class is held against
+   all of every other component that it may link to, with the whole count of shared
+   tokens: no link between components is lost, and the pairs within a group of copies
+   are never listed.
 4. Verification compares whole sets. Those of a component lie in shards of bounded
    size, each indexed by one task, and classes outside stream by.
 
@@ -29,7 +30,7 @@ Hashes have 64 bits: for n documents a wrong merge of classes has a chance of ab
 n^2 / 2^65.
 
 Nulls: a null or empty text has the empty set, which links with nothing; its
-component is its own doc_id. A null doc_id is kept, and is the component only where
+component is its own doc_id. An empty table has no rows. A null doc_id is kept, and is the component only where
 no other id is reached. Repeated rows are copies. Other columns are ignored.
 """
 
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import kernels as k
-from flowloom.llm.common import buckets, looked_up, small_batches, table, trimmed, written
+from flowloom.llm.common import buckets, columns, fresh, looked_up, small_batches, table, tidy, tidy_both, trimmed, written
 from flowloom.llm.graph import components
 
 #: Words of a shingle, and the similarity as a fraction.
@@ -55,12 +56,16 @@ SKETCH, SLICES = 1 << 22, 16
 #: Shortest multi-match: LEAST, or a SHARE-th of a set's size, as chance matches grow with it;
 #: how many MORE it may take; the cost of verifying a candidate in documents met, the part of candidates that one more shared token leaves, and the least that a token meets.
 LEAST, SHARE, MORE, VERIFY_COST, LEFT, FLOOR = 4, 40, 4, 20.0, 0.3, 0.1
-#: Rounds against central classes before all remaining pairs are listed.
-PIVOTS = 3
-#: Most ids that are broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 200_000
+#: Steps of a token's rank for each doubling of its documents: 2^20 for 2^32.
+RANK = 32767
+#: Rounds against central classes before all remaining pairs are listed, and tokens at which a class meets one in a round.
+PIVOTS, VOTES = 2, 8
+#: Bits of the filter that finds the texts whose sets are needed (a fixed 8 MB); what passes it is joined exactly.
+FILTER = 1 << 26
 #: Guests that one copy of a shard of sets serves, and sets of a shard.
-PARTNERS, SHARD = 2048, 256
+PARTNERS, SHARD = 256, 256
+#: Bits, 32 at most, by which a token is known within its bucket. Others that look like it only add candidates.
+LOOK = 32
 #: Prefix tokens that a task holds before it deals them out.
 HELD = 500_000
 SALTS = 32
@@ -83,7 +88,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
         grams = k.mix(grams)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if b - a >= size:
-                yield np.unique(grams[a : b - size + 1])
+                yield k.distinct(grams[a : b - size + 1])
             elif b > a:
                 h = np.full(1, b - a, _U)
                 for w in word[a:b]:
@@ -97,7 +102,8 @@ def fingerprint(grams: np.ndarray) -> int:
     """A signed 64-bit number of a set; 0 only for the empty one."""
     if not len(grams):
         return 0
-    x = k.mix(np.array([(grams * _K).sum(dtype=_U) ^ k.mix(grams).sum(dtype=_U) * _U(3) + _U(len(grams))], _U))
+    total = k.mix(grams).sum(dtype=_U, keepdims=True)  # arrays wrap around without a warning
+    x = k.mix((grams * _K).sum(dtype=_U, keepdims=True) ^ total * _U(3) + _U(len(grams)))
     return int(x.view(np.int64)[0]) or 1
 
 
@@ -165,14 +171,14 @@ def least_level(n: np.ndarray | int) -> np.ndarray | int:
 def prefix(grams: np.ndarray, sketch: np.ndarray, noise: float) -> tuple[np.ndarray, int, float]:
     """A set's adaptive prefix in order, the shared tokens it asks for, its centrality."""
     n = len(grams)
-    rank = sketch[(grams & _U(SKETCH - 1)).astype(np.int64)]
-    order = (np.minimum(rank, (1 << 20) - 1).astype(_U) << _U(44)) | (grams >> _U(20))
+    rank = np.log2(1.0 + sketch[(grams & _U(SKETCH - 1)).astype(np.int64)])  # of at most 32 bits, so the code never saturates
+    order = ((rank * RANK).astype(_U) << _U(44)) | (grams >> _U(20))
     need = required(n)
     short, top = n - need, min(least_level(n) + MORE, need)
     if short + top < n:
         order = np.partition(order, short + top - 1)[: short + top]
     order = np.sort(order)
-    met = np.maximum((order >> _U(44)).astype(float) - noise, FLOOR).cumsum()
+    met = np.maximum(np.exp2((order >> _U(44)) / RANK) - 1 - noise, FLOOR).cumsum()
     levels = np.arange(min(least_level(n), top), top + 1)
     cost = met[short + levels - 1] * (1 + VERIFY_COST * LEFT ** (levels - 1.0))
     level = int(levels[np.argmin(cost)])
@@ -181,14 +187,17 @@ def prefix(grams: np.ndarray, sketch: np.ndarray, noise: float) -> tuple[np.ndar
 
 def coarse(order: np.ndarray) -> np.ndarray:
     """The order in 16 bits; never reverses it."""
-    return np.minimum(4096 * np.log2(1.0 + (order >> _U(44)).astype(float)), 65535).astype("<u2")
+    return (order >> _U(48)).astype("<u2")
 
 
-#: A prefix token, and what is known of its class; ``end`` is the coarse order of its prefix's last token.
+#: A prefix token, and what is known of its class; ``end`` is the coarse order of its prefix's last token,
+#: ``lost`` the tokens that look like another one of the prefix when dealt, by which ``level`` is less.
 _TOKEN = np.dtype([("token", "<u4"), ("class", "<i8"), ("order", "<u2")])
-_ABOUT = np.dtype([("class", "<i8"), ("n", "<u4"), ("level", "<u4"), ("centre", "<f4"), ("end", "<u2"), ("size", "<u4")])
-#: A live token of a class that may have partners; ``most`` shingles of it are not dead, ``last`` is its last dead token's order.
-_POSTING = np.dtype([("token", "<u4"), ("class", "<i8"), ("n", "<u4"), ("level", "<u4"), ("centre", "<f4"), ("end", "<u2"), ("most", "<u4"), ("last", "<u2")])
+_ABOUT = np.dtype([("class", "<i8"), ("n", "<u4"), ("level", "<u4"), ("centre", "<f4"), ("end", "<u2"), ("size", "<u4"), ("lost", "<u2")])
+#: A live token of a class that may have partners; ``most`` shingles of it are not dead, ``last`` is its last dead token's order,
+#: ``turn`` the round in which the class is held against this token's most central class (``NEVER``: in none).
+_POSTING = np.dtype([("token", "<u4"), ("class", "<i8"), ("n", "<u4"), ("level", "<u4"), ("centre", "<f4"), ("end", "<u2"), ("most", "<u4"), ("last", "<u2"), ("turn", "u1")])
+NEVER = 255
 
 
 def _pack_about(own: np.ndarray, orders: list[np.ndarray]) -> bytes:
@@ -248,8 +257,18 @@ def postings(docs: DataFrame, sketch: np.ndarray, parts: int) -> DataFrame:
             own = np.array(about, _ABOUT)
             whole = np.concatenate(orders)
             key, order = k.mix(whole), coarse(whole)
+            # Two tokens of a class that look alike when dealt count as one; whoever shares both shares one less.
+            owner = np.repeat(np.arange(len(own)), own["size"])
+            seen_as = ((key >> _U(64 - LOOK)) << _U(32)) | (key % _U(parts))
+            by = np.lexsort((seen_as, owner))
+            again = by[1:][(owner[by][1:] == owner[by][:-1]) & (seen_as[by][1:] == seen_as[by][:-1])]
+            if len(again):
+                own["lost"] = np.bincount(owner[again], minlength=len(own))
+                own["size"] -= own["lost"]
+                own["level"] = np.maximum(own["level"].astype(np.int64) - own["lost"], 1)
+                key, order = np.delete(key, again), np.delete(order, again)
             rows = np.empty(len(key), _TOKEN)
-            rows["token"], rows["class"], rows["order"] = (key >> _U(32)).astype(np.uint32), np.repeat(own["class"], own["size"]), order
+            rows["token"], rows["class"], rows["order"] = (key >> _U(64 - LOOK)).astype(np.uint32), np.repeat(own["class"], own["size"]), order
             yield _bodies((key % _U(parts)).astype(np.int64), 0, rows)
             each = np.split(order, np.cumsum(own["size"].astype(np.int64))[:-1])
             part = own["class"] % parts
@@ -264,7 +283,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, parts: int) -> DataFrame:
                 seen.add(c)
                 order, level, centre = prefix(grams, sent.value, noise)
                 orders.append(order)
-                about.append((c, len(grams), level, centre, int(coarse(order[-1:])[0]), len(order)))
+                about.append((c, len(grams), level, centre, int(coarse(order[-1:])[0]), len(order), 0))
                 size += len(order)
             if size > HELD:
                 yield from dealt()
@@ -295,7 +314,7 @@ def live(dealt: DataFrame) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [()] * 3
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "body"])
 
-    return dealt.groupBy("bucket").applyInArrow(run, "bucket int, kind int, body binary")
+    return dealt.groupBy("bucket").applyInArrow(tidy(run), "bucket int, kind int, body binary")
 
 
 def _groups(values: np.ndarray) -> np.ndarray:
@@ -346,6 +365,24 @@ def _questions(bodies: DataFrame, dtype: np.dtype, parts: int) -> DataFrame:
     return bodies.select("bucket", "body").mapInArrow(run, _BODY)
 
 
+def _turns(classes: np.ndarray, bucket: np.ndarray, order: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each bucket the classes that have a turn there, and which: a class's buckets by the first live token in each.
+
+    Classes that share these tokens have the same turns, as tokens have one order.
+    """
+    if not len(classes):
+        return {}
+    by = np.lexsort((order, bucket, classes))
+    new = np.concatenate([[True], (classes[by][1:] != classes[by][:-1]) | (bucket[by][1:] != bucket[by][:-1])])
+    classes, bucket, order = classes[by][new], bucket[by][new], order[by][new]
+    by = np.lexsort((bucket, order, classes))
+    classes, bucket = classes[by], bucket[by]
+    turn = np.arange(len(classes)) - np.searchsorted(classes, classes)
+    few = turn < PIVOTS * VOTES
+    classes, bucket, turn = classes[few], bucket[few], turn[few]
+    return {int(b): (classes[bucket == b], turn[bucket == b]) for b in k.distinct(bucket)}
+
+
 def eligible(alive: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     """(class) of classes with enough live tokens for a partner; and (bucket, body) of their postings.
 
@@ -372,20 +409,26 @@ def eligible(alive: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
         last = np.zeros(len(own), np.int64)
         np.maximum.at(last, dead >> 16, dead & 0xFFFF)
         near = required(own["n"].astype(np.int64))  # the least size of a partner
-        need = np.minimum(np.minimum(own["level"], least_level(near)), required(near))
+        lost = own["lost"].astype(np.int64)
+        need = np.maximum(np.minimum(np.minimum(own["level"] + lost, least_level(near)), required(near)) - lost, 1)
         known = np.empty(len(own), _KNOWN)
         for f in ("class", "n", "level", "centre", "end"):
             known[f] = own[f]
         known["most"], known["last"] = own["n"] - own["size"] + total, last
         able = total >= need
         out = [(-1, 0, known["class"][able].tobytes())]
+        turns = _turns(np.searchsorted(own["class"], alive["class"]), np.repeat([b for b, _ in asked], [len(rows) for _, rows in asked]), alive["order"])
         for b, rows in asked:
-            at = np.unique(np.searchsorted(own["class"], rows["class"]))
-            if able[at].any():
-                out.append((b, 0, pack(known[at[able[at]]])))
+            at = k.distinct(np.searchsorted(own["class"], rows["class"]))
+            at = at[able[at]]
+            if len(at):
+                known["turn"] = NEVER
+                mine, turn = turns.get(b, (at[:0], at[:0]))
+                known["turn"][mine] = turn
+                out.append((b, 0, pack(known[at])))
         return _body_rows(out)
 
-    answers = written(_questions(tokens, _TOKEN, parts).union(about).groupBy("part").applyInArrow(judge, _BODY), "eligible")
+    answers = written(_questions(tokens, _TOKEN, parts).union(about).groupBy("part").applyInArrow(tidy(judge), _BODY), "eligible")
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,10 +446,15 @@ def eligible(alive: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
         rows["token"] = found["token"][hit]
         for f in own.dtype.names:
             rows[f] = own[f][at[hit]]
-        rows = _several(rows)
+        size = np.diff(_groups(rows["token"]))
+        several = np.repeat(size > 1, size)
+        rows, order = rows[several], found["order"][hit][several]
+        # A class's turn in this bucket is at its first token there.
+        by = np.lexsort((rows["token"], order, rows["class"]))
+        rows["turn"][by[1:][rows["class"][by][1:] == rows["class"][by][:-1]]] = NEVER
         return _body_rows([(tokens["bucket"][0].as_py(), 0, pack(rows))] if len(rows) else []).select(["bucket", "body"])
 
-    kept = tokens.groupBy("bucket").cogroup(answers.where("bucket >= 0").groupBy("bucket")).applyInArrow(narrowed, "bucket int, body binary")
+    kept = tokens.groupBy("bucket").cogroup(answers.where("bucket >= 0").groupBy("bucket")).applyInArrow(tidy_both(narrowed), "bucket int, body binary")
     return answers.where("bucket < 0").select("body").mapInArrow(ids, "class long"), written(kept, "postings")
 
 
@@ -420,25 +468,17 @@ def _compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pivot_rows(rows: np.ndarray, component: np.ndarray, turn: int) -> np.ndarray:
-    """(class, pivot, tokens, needed, centre): in each token group the turn-th most central class is the pivot."""
-    order = np.lexsort((rows["class"], -rows["centre"], rows["token"]))
+    """(host, guest): each class at each of its tokens of this turn, and the turn-th most central class that has it."""
+    dead = (rows["n"] - rows["most"].astype(np.int64)) / rows["n"]  # what is a class's own is no other's
+    order = np.lexsort((rows["class"], -rows["centre"], dead, rows["token"]))
     rows, component = rows[order], component[order]
     edge = _groups(rows["token"])
     size = np.diff(edge)
-    group = np.repeat(np.arange(len(size)), size)
-    pivot = (edge[:-1] + turn % np.maximum(size, 1))[group]
-    ok = np.flatnonzero((component[pivot] != component) & _compatible(rows, rows[pivot]))
-    own, place, back = np.unique(rows["class"], return_index=True, return_inverse=True)
-    key, tokens = np.unique(back[ok] * len(own) + back[pivot[ok]], return_counts=True)
-    a, b = key // max(1, len(own)), key % max(1, len(own))
-    # Of a class's pivots in this bucket the one that shares most tokens, then the most central.
-    order = np.lexsort((b, rows["centre"][place[b]], tokens, a))
-    best = order[np.concatenate([a[order][1:] != a[order][:-1], [True]])] if len(order) else order
-    a, b, tokens, key = a[best], b[best], tokens[best], key[best]
-    out = np.empty(len(key), [("class", "<i8"), ("pivot", "<i8"), ("tokens", "<i4"), ("needed", "<i4"), ("centre", "<f4")])
-    out["class"], out["pivot"], out["tokens"], out["centre"] = own[a], own[b], tokens, rows["centre"][place[b]]
-    out["needed"] = np.minimum(rows["level"][place[a]], rows["level"][place[b]])
-    return out
+    pivot = np.repeat(edge[:-1] + turn % np.maximum(size, 1), size)
+    ok = (rows["turn"] // VOTES == turn) & (component[pivot] != component) & _compatible(rows, rows[pivot])
+    out = np.empty(int(ok.sum()), [("host", "<i8"), ("guest", "<i8")])
+    out["host"], out["guest"] = rows["class"][pivot[ok]], rows["class"][ok]
+    return np.unique(out)
 
 
 def _guests(rows: np.ndarray, component: np.ndarray, size: np.ndarray, block: int = 1024) -> Iterator[np.ndarray]:
@@ -514,7 +554,7 @@ def _moved(kept: DataFrame, merged: DataFrame | None, parts: int) -> DataFrame:
                 out.append((bucket, 0, pack(pair[at[hit]])))
         return _body_rows(out).select(["bucket", "body"])
 
-    return written(_questions(kept, _POSTING, parts).groupBy("part").cogroup(changed.groupBy("part")).applyInArrow(answer, "bucket int, body binary"), "moved")
+    return written(_questions(kept, _POSTING, parts).groupBy("part").cogroup(changed.groupBy("part")).applyInArrow(tidy_both(answer), "bucket int, body binary"), "moved")
 
 
 def _component_of(rows: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -535,16 +575,15 @@ def _by_bucket(kept: DataFrame, moved: DataFrame, make, schema: str) -> DataFram
         made = [_rows(x) for x in make(rows, *_component_of(rows, _all(moved["body"], _MOVED)))] if len(rows) else []
         return pa.Table.from_batches(made) if made else pa.table({f.split()[0]: pa.array([], pa.float64() if f.endswith("double") else pa.int64()) for f in schema.split(", ")})
 
-    return kept.groupBy("bucket").cogroup(moved.groupBy("bucket")).applyInArrow(run, schema)
+    return kept.groupBy("bucket").cogroup(moved.groupBy("bucket")).applyInArrow(tidy_both(run), schema)
 
 
 def pivot_pairs(kept: DataFrame, moved: DataFrame, turn: int) -> DataFrame:
-    """(host, guest): one pivot for each class that shares enough tokens with another component's."""
-    found = _by_bucket(kept, moved, lambda rows, component, size: [_pivot_rows(rows, component, turn)], "class long, pivot long, tokens long, needed long, centre double")
-    pairs = found.groupBy("class", "pivot").agg(F.sum("tokens").alias("tokens"), F.max("needed").alias("needed"), F.max("centre").alias("centre"))
-    # Tokens of a pair may have other pivots, so fewer than all that it needs must do.
-    best = pairs.where("2 * tokens >= needed").groupBy("class").agg(F.max(F.struct("tokens", "centre", "pivot")).alias("best"))
-    return best.select(F.col("best.pivot").alias("host"), F.col("class").alias("guest"))
+    """(host, guest): at most ``VOTES`` pivots for each class, of other components, at the class's tokens of this turn.
+
+    These rounds only merge classes early; what they leave, ``remaining_pairs`` lists in full.
+    """
+    return _by_bucket(kept, moved, lambda rows, component, size: [_pivot_rows(rows, component, turn)], "host long, guest long").distinct()
 
 
 def remaining_pairs(kept: DataFrame, moved: DataFrame) -> DataFrame:
@@ -556,20 +595,69 @@ def remaining_pairs(kept: DataFrame, moved: DataFrame) -> DataFrame:
     return found.groupBy("host", "guest").agg(F.sum("tokens").alias("tokens"), F.min("needed").alias("needed")).where("tokens >= needed").select("host", "guest")
 
 
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which the bits of all ``keys(key)`` are set; joined by slices."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER // 8, np.uint8)
+        for batch in batches:
+            at = k.mix(np.asarray(batch.column("key")).view(_U)) % _U(FILTER)
+            np.bitwise_or.at(bits, (at >> _U(3)).astype(np.int64), np.uint8(1) << (at & _U(7)).astype(np.uint8))
+        if bits.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in bits.reshape(SLICES, -1)], pa.binary())], names=["slice", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column("slice").to_pylist(), batch.column("bits"), strict=True):
+                part = np.frombuffer(zlib.decompress(raw.as_py()), np.uint8)
+                held[i] = held[i] | part if i in held else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([p.tobytes() for p in held.values()], pa.binary())], names=["slice", "bits"])
+
+    out = np.zeros((SLICES, FILTER // 8 // SLICES), np.uint8)
+    for i, raw in keys.mapInArrow(trimmed(mark), "slice int, bits binary").repartition(SLICES, "slice").mapInArrow(join, "slice int, bits binary").collect():
+        out[i] = np.frombuffer(raw, np.uint8)
+    return out.ravel()
+
+
 def class_sets(docs: DataFrame, able: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, grams): the sets of eligible classes, from the text of the class's least id."""
-    wanted = written(able.select("class").join(classes.select("class", F.coalesce("doc_id", F.lit(_NULL)).alias("key")), "class").groupBy("key").agg(F.collect_set("class").alias("of")), "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("key"), "text").join(wanted, "key").select("of", "text")
+    """(class, grams): the sets of eligible classes, from the text of the class's least id.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Texts stay where they are: a filter of fixed size picks those with such an id (and
+    few others), and only the sets of these are moved. Where they meet, classes that
+    are not eligible and sets that came before are left out, in a stream.
+    """
+    spark = docs.sparkSession
+    keys = able.select("class").join(classes.select("class", F.coalesce("doc_id", F.lit(_NULL)).alias("key")), "class").select("key")
+    sent = spark.sparkContext.broadcast(key_filter(keys))  # of fixed size
+    parts = buckets(spark)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            out = [(c, grams.tobytes()) for of, grams in zip(batch.column("of").to_pylist(), _sets(batch), strict=True) if (c := fingerprint(grams)) in of]  # or another text under the same id
+            at = k.mix(np.asarray(batch.column("key")).view(_U)) % _U(FILTER)
+            batch = batch.filter(pa.array((sent.value[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1))
+            out = [(c, grams.tobytes()) for grams in _sets(batch) if (c := fingerprint(grams)) and c not in seen and not seen.add(c)] if batch.num_rows else []
             columns = list(zip(*out, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["class", "grams"])
 
-    return texts.mapInArrow(trimmed(run), "class long, grams binary").repartition(buckets(docs.sparkSession), "class")
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None
+        for batch in batches:
+            stay = []
+            for i, (c, grams) in enumerate(zip(batch.column("class").to_pylist(), batch.column("grams").is_valid().to_pylist(), strict=True)):
+                if not grams:
+                    wanted = c
+                elif c == wanted:
+                    stay.append(i)
+                    wanted = None
+            if stay:
+                yield batch.take(pa.array(stay))
+
+    small_batches(spark)
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("key"), "text")
+    both = texts.mapInArrow(trimmed(sets), "class long, grams binary").union(able.select("class", F.lit(None).cast("binary").alias("grams")))
+    return both.repartition(parts, "class").sortWithinPartitions(F.col("class"), F.col("grams").isNotNull()).mapInArrow(trimmed(once), "class long, grams binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, members: DataFrame | None) -> DataFrame:
@@ -684,22 +772,23 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group: of those with the component's doc_id the one with the least hash of its text.
 
     Rows are named by doc_id and a hash of the text. Only rows that have near copies
-    are in the list that ``docs`` is compared with; it is broadcast where it is small.
+    are in the list that ``docs`` is compared with. Columns may have any names.
     """
-    found = written(near_duplicates(docs).where("grouped").select(F.coalesce("doc_id", F.lit(_NULL)).alias("__id"), F.coalesce("component_id", F.lit(_NULL)).alias("component"), F.col("key").alias("__key")), "grouped")
-    first = written(found.where("__id = component").groupBy("component").agg(F.min("__key").alias("first_key")), "first")
+    found = written(near_duplicates(docs).where("grouped").select(F.coalesce("doc_id", F.lit(_NULL)).alias("id"), F.coalesce("component_id", F.lit(_NULL)).alias("component"), "key"), "grouped")
+    first = written(found.where("id = component").groupBy("component").agg(F.min("key").alias("first_key")), "first")
     rows = looked_up(found, first, "component", SALTS, "inner")
-    stays = (F.col("__id") == F.col("component")) & (F.col("__key") == F.col("first_key"))
-    named = rows.withColumn("__stays", stays).groupBy("__id", "__key").agg(F.max("__stays").alias("__stays"), F.count(F.lit(1)).alias("__rows"))
+    own_id, own_key, state = (fresh(c, docs) for c in ("__id", "__key", "__state"))
+    stays = (F.col("id") == F.col("component")) & (F.col("key") == F.col("first_key"))
+    named = rows.withColumn("stays", stays).groupBy("id", "key").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
     # Rows that stay and come once need no name.
-    named = written(named.where("not __stays or __rows > 1").select("__id", "__key", "__stays"), "named")
-    total, repeated = named.agg(F.count(F.lit(1)), F.count_if("__stays")).first()
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("__id"), F.xxhash64("text").alias("__key"))
-    joined = keyed.join(F.broadcast(named) if total <= BROADCAST_IDS else named, ["__id", "__key"], "left")
-    out = joined.where("__stays is null")
+    named = written(named.where("not stays or n > 1").select(F.col("id").alias(own_id), F.col("key").alias(own_key), F.col("stays").alias(state)), "named")
+    repeated = not named.where(F.col(state)).isEmpty()
+    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias(own_id), F.xxhash64("text").alias(own_key))
+    joined = keyed.join(named, [own_id, own_key], "left")
+    out = joined.where(F.col(state).isNull())
     if repeated:
-        out = out.unionByName(joined.where("__stays").dropDuplicates(["__id", "__key"]))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+        out = out.unionByName(joined.where(F.col(state)).dropDuplicates([own_id, own_key]))
+    return out.select(*columns(docs))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,15 +85,40 @@ def test_near_copies(spark, seed, monkeypatch):
 
 
 @pytest.mark.parametrize("pivots", [0, 1, 2])
-def test_fewer_pivots_and_joined_ids(spark, pivots, monkeypatch):
+def test_fewer_pivots_and_a_full_filter(spark, pivots, monkeypatch):
     monkeypatch.setattr(d, "PIVOTS", pivots)
-    monkeypatch.setattr(d, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(d, "FILTER", 256)  # nearly every text passes
     monkeypatch.setattr(d, "SHARD", 3)
     texts = near_copies(9)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert found(frame) == brute(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("bits", [2, 6])
+def test_tokens_that_look_alike(spark, bits, monkeypatch):
+    monkeypatch.setattr(d, "LOOK", bits)
+    texts = near_copies(11)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert found(frame) == brute(list(enumerate(texts)))
+
+
+def test_rank_never_saturates():
+    grams = np.arange(4, dtype=np.uint64)
+    sketch = np.zeros(d.SKETCH, np.uint32)
+    sketch[:4] = [2**32 - 1, 2**31, 2**22, 0]
+    order, _, _ = d.prefix(grams, sketch, 0.0)
+    codes = (order >> np.uint64(44)).tolist()
+    assert codes == sorted(codes) and len(set(codes)) == 4 and d.coarse(order).tolist() == sorted(d.coarse(order).tolist())
+
+
+def test_one_of_each_group_with_odd_columns(spark):
+    rows = [(1, "a b c d e f", 1, "x"), (2, "A b c d e f", 2, "y"), (3, "q", 3, "z"), (3, "q", 4, "w"), (None, None, 5, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __id int, `a.b` string").selectExpr("*", "1 as __key", "2 as __state", "3 as component")
+    out = d.without_near_duplicates(frame)
+    assert out.columns == frame.columns
+    assert sorted((r["doc_id"] or -1) for r in out.collect()) == [-1, 1, 3]
+
+
 def test_odd_rows(spark):
     texts = [*ODD_TEXTS, "a b c", "A  b\tc", "a b c d e", "a b c d", "a b c d e f", "a b c d e f"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "a b c"), (None, "only null here"), (3, "same id, other text"), (3, "same id, other text")]
