@@ -11,7 +11,8 @@ blocks of at most ``BLOCK_BYTES`` of text, one automaton a block; with a single
 block (any usual benchmark) each text is scanned exactly once.
 
 Nulls: a null text has no words. Items with a null id or without words take no
-part. Repeated rows each get a row of their own. An empty benchmark hits nothing.
+part. Repeated rows each get a row of their own. An empty benchmark hits nothing, an
+empty table has no rows. Very long texts are scanned whole, a word a step.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import small_batches, table
+from flowloom.llm.common import columns, fresh, mapped, small_batches, table
 
 #: Consecutive words of an item that make a window.
 WINDOW = 13
@@ -32,8 +33,6 @@ BLOCK_BYTES = 2_000_000
 #: Separators become a space, capitals small letters, all other bytes stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-_SCHEMA = "n_words long, hits array<struct<first:long,last:long>>, items array<string>, hit_spans array<struct<start:long,end:long>>"
-
 
 def normal_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(NORMAL).split()
@@ -105,52 +104,49 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
     yield block
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+#: What a scan finds in a text.
+_FOUND = "struct<n_words:long,hits:array<struct<first:long,last:long>>,items:array<string>,spans:array<struct<start:long,end:long>>>"
+_PLACE = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_KIND = pa.struct([("n_words", pa.int64()), ("hits", _PLACE), ("items", pa.list_(pa.string())), ("spans", _SPAN)])
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, prefix: str = "") -> DataFrame:
     """All columns of ``docs`` and n_words, n_hit, items, hit_spans, contaminated.
 
     ``contaminated``: at least one word and a twentieth of the words are hit.
-    Columns of ``docs`` with these names are replaced.
+    ``prefix`` comes before these names; columns of ``docs`` that have them are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    made = ["n_words", "n_hit", "items", "hit_spans", "contaminated", "hits"]
+    made = [prefix + c for c in ("n_words", "n_hit", "items", "hit_spans", "contaminated")]
     docs = docs.drop(*made)
-    blocks = list(_blocks(benchmark))
+    name = fresh("__found", docs)
     out = docs
-    for k, block in enumerate(blocks):
-        sent = spark.sparkContext.broadcast(block)
+    for block in _blocks(benchmark):
+        sent = spark.sparkContext.broadcast(block)  # of a bounded size
         held: list[Scanner] = []
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, held=held) -> Iterator[pa.RecordBatch]:
             if not held:
                 held.append(Scanner(sent.value, window))
             for batch in batches:
-                n_words, hits, items, spans = [], [], [], []
-                for text in batch.column("text").cast(pa.binary()).to_pylist():
+                texts = batch.column("text").cast(pa.binary()).to_pylist()
+                before = batch.column(name).to_pylist() if name in batch.schema.names else [None] * len(texts)
+                found = []
+                for text, old in zip(texts, before, strict=True):
                     n, runs, ids = held[0].scan(text)
-                    n_words.append(n)
-                    hits.append([{"first": a, "last": b} for a, b in runs])
-                    items.append(sorted(ids))
-                    spans.append([{"start": a, "end": b} for a, b in original_spans(text or b"", runs)])
-                place = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-                span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                cols = [pa.array(n_words, pa.int64()), pa.array(hits, place), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)]
-                rest = [c for c in batch.schema.names if not c.startswith("__old_")]
-                old = {c[6:]: batch.column(c) for c in batch.schema.names if c.startswith("__old_")}
-                if old:  # a further block: put its hits beside those found before
-                    merged = [_joined(a, b) for a, b in zip(old["hits"].to_pylist(), hits, strict=True)]
-                    cols[1] = pa.array(merged, place)
-                    cols[2] = pa.array([sorted({*a, *b}) for a, b in zip(old["items"].to_pylist(), items, strict=True)], pa.list_(pa.string()))
-                    texts = batch.column("text").cast(pa.binary()).to_pylist()
-                    cols[3] = pa.array([[{"start": a, "end": b} for a, b in original_spans(t or b"", [(x["first"], x["last"]) for x in m])] for t, m in zip(texts, merged, strict=True)], span)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *cols], names=[*rest, "n_words", "hits", "items", "hit_spans"])
-
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), _SCHEMA])
-        if k:
-            out = out.drop("n_words", "hit_spans").withColumnsRenamed({"hits": "__old_hits", "items": "__old_items"})
-        out = out.mapInArrow(run, schema)
-    n_hit = F.expr("aggregate(hits, 0L, (n, x) -> n + x.last - x.first + 1)")
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "n_words", n_hit.alias("n_hit"), "items", "hit_spans", ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+                    if old:  # a further block: its hits beside those found before
+                        runs, ids = _joined([*((x["first"], x["last"]) for x in old["hits"]), *runs]), {*old["items"], *ids}
+                    found.append({"n_words": n, "hits": [{"first": a, "last": b} for a, b in runs], "items": sorted(ids), "spans": [{"start": a, "end": b} for a, b in original_spans(text or b"", runs)]})
+                rest = [c for c in batch.schema.names if c != name]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(found, _KIND)], names=[*rest, name])
+
+        out = mapped(out, run, (name, _FOUND))
+    n_hit = F.aggregate(f"{name}.hits", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
+    n_words = F.col(f"{name}.n_words")
+    found = [n_words, n_hit, F.col(f"{name}.items"), F.col(f"{name}.spans"), (n_hit > 0) & (20 * n_hit >= n_words)]
+    return out.select(*columns(docs), *(x.alias(c) for x, c in zip(found, made, strict=True)))
 
 
 def without_spans(text: Column, spans: Column, mark: str = "[REMOVED]") -> Column:
@@ -160,14 +156,14 @@ def without_spans(text: Column, spans: Column, mark: str = "[REMOVED]") -> Colum
     return F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))), mark)
 
 
-def _joined(a: list[dict], b: list[dict]) -> list[dict]:
-    """Runs of two scans as maximal runs."""
-    out: list[dict] = []
-    for x in sorted([*a, *b], key=lambda x: x["first"]):
-        if out and x["first"] <= out[-1]["last"] + 1:
-            out[-1]["last"] = max(out[-1]["last"], x["last"])
+def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of several scans as maximal runs."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
-            out.append(dict(x))
+            out.append((a, b))
     return out
 
 

@@ -26,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import small_batches, table, written
+from flowloom.llm.common import small_batches, table, trimmed, written
 
 SIZE = 4096
 #: Token that ends each document.
 END = 1
 #: Buckets in which ranks of one length are counted.
 SALTS = 64
-#: White-space chunks kept with their ids in a worker; beyond, the table starts anew.
-KEPT = 600_000
+#: White-space chunks and their stems kept with their ids in a worker; beyond, a table starts anew.
+#: Chunks are made of stems without the tokenizer, so there may be fewer of them.
+KEPT, KEPT_STEMS = 150_000, 300_000
 
 
 class Chunks(dict):
@@ -87,7 +88,7 @@ class Chunks(dict):
         if len(self) > KEPT:
             self.clear()
             self[""] = b""
-        if len(self.stems) > KEPT:
+        if len(self.stems) > KEPT_STEMS:
             self.stems = {"": b""}
         missing = set().union(*parts) - self.keys()
         plain = {w: s for w in missing if (s := self._stem(w))}
@@ -131,7 +132,7 @@ def pieces(docs: DataFrame, file: str, size: int = SIZE, end: int = END) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return kept.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return kept.mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int, int]]:

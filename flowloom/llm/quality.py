@@ -14,7 +14,9 @@ also in bins, and hashed words. The model is fitted on at most ``POSITIVES`` and
 ``UNLABELLED`` rows, chosen by a hash of doc_id; scores cover every whole text.
 
 Nulls: a null text counts as empty and has a score. Rows with a null label, doc_id
-or without text teach nothing. Without positives every score is one half.
+or without text teach nothing. Without positives every score is one half. Of several
+labels of one id the least counts, so an id with both labels is no trusted positive.
+Equal texts have equal scores, and repeated rows each keep theirs.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import kernels as k
-from flowloom.llm.common import _trim, small_batches, table, trimmed
+from flowloom.llm.common import _trim, mapped, small_batches, table, trimmed
 
 #: Most rows of each kind that the model is fitted on, and the hashed words' dimensions.
 POSITIVES, UNLABELLED, WORDS = 6000, 12000, 1 << 12
@@ -213,7 +215,7 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fits the model; ``labels`` has doc_id and label (1, or 0 for the prior alone)."""
     small_batches(docs.sparkSession)
-    known = labels.where("doc_id is not null and label in (0, 1)").where(~held_out()).select("doc_id", F.col("label").cast("int").alias("label")).dropDuplicates(["doc_id"])
+    known = labels.where("doc_id is not null and label in (0, 1)").where(~held_out()).select("doc_id", F.col("label").cast("int").alias("label")).groupBy("doc_id").agg(F.min("label").alias("label"))
     count = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if not count.get(1):
         return None
@@ -252,7 +254,7 @@ def score(docs: DataFrame, model: Model | None, out: str = "score") -> DataFrame
             scores = model.score(*k.texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(trimmed(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` double"]))
+    return mapped(docs, run, (out, "double"))
 
 
 def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

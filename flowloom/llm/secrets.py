@@ -20,12 +20,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import looked_up, shared_path, table
+from flowloom.llm.common import columns, fresh, looked_up, shared_path, table
 
 #: Copies of the findings when they are joined back, so that a blob with very many paths is spread.
 SALTS = 32
-#: Most findings and blobs that are broadcast (about 100 bytes each); more are joined by a shuffle.
-BROADCAST_SPANS = 50_000
 
 
 @dataclass(frozen=True)
@@ -109,17 +107,13 @@ class BlobLedger:
         rows = versions.drop("spans", "blob").withColumn("blob", blob_of("text")).drop("text")
         return self.joined(rows, rule_version)
 
-    def joined(self, rows: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
-        """``rows`` with the findings of their ``blob``."""
-        found = self.rows().where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
+    def joined(self, rows: DataFrame, rule_version: str = RULE_VERSION, blob: str = "blob", spans: str = "spans") -> DataFrame:
+        """``rows`` with the findings ``spans`` of their ``blob``."""
+        found = self.rows().where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
         # Runs that overlap may have entered a pair twice, with equal findings.
-        found = found.dropDuplicates(["blob"])
-        spans, blobs = found.agg(F.sum(F.size("spans")), F.count(F.lit(1))).first()
-        if (spans or 0) + blobs <= BROADCAST_SPANS:
-            joined = rows.join(F.broadcast(found), "blob", "left")
-        else:
-            joined = looked_up(rows, found, "blob", SALTS)
-        return joined.withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")))
+        found = found.dropDuplicates([blob])
+        joined = looked_up(rows, found, blob, SALTS, by=[c for c, kind in rows.dtypes if kind in ("bigint", "int")])
+        return joined.withColumn(spans, F.coalesce(spans, F.expr(f"cast(array() as {SPANS})")))
 
 
 def blob_of(text: str) -> Column:
@@ -145,8 +139,9 @@ def redacted(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:
 def redact(docs: DataFrame, ledger: BlobLedger, mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with each run of findings in ``text`` replaced by ``mark``; a null text stays null."""
     ledger.update(docs.select("text"))
-    found = ledger.joined(docs.drop("spans", "blob").withColumn("blob", blob_of("text")))
-    return found.withColumn("text", F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("spans"), mark))).drop("spans", "blob")
+    blob, spans = fresh("__blob", docs), fresh("__spans", docs)
+    found = ledger.joined(docs.withColumn(blob, blob_of("text")), blob=blob, spans=spans)
+    return found.withColumn("text", F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col(spans), mark))).select(*columns(docs))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

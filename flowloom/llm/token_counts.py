@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import small_batches, table
+from flowloom.llm.common import mapped, small_batches, table
 
 #: Pre-tokens kept with their counts in a worker; beyond, the table starts anew.
 KEPT = 400_000
@@ -107,8 +107,7 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", out: str = "n_
             counts = [known.count(t) if t else 0 for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, out])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` long"])
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, (out, "long"))
 
 
 def piece_model(name: str = "piece_bpe_32k.model") -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import small_batches, table, written
+from flowloom.llm.common import small_batches, table, tidy, trimmed, written
 
 #: Vectors and queries of a block, rows that the centre is fitted on, standard errors of the bound.
 VECTORS, QUERIES, SAMPLE, BOUND = 4096, 1024, 10_000, 4.0
@@ -123,7 +123,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 bits, length, product = coder.codes(matrix(batch.column("embedding")))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(length), pa.array(product)], names=[*batch.schema.names, "code", "length", "product"])
 
-    index = rows.mapInArrow(encode, "vec_id long, embedding array<double>, code binary, length double, product double")
+    index = rows.mapInArrow(trimmed(encode), "vec_id long, embedding array<double>, code binary, length double, product double")
     blocks = -(-n // VECTORS)
     asked = written(asked, "queries")
     query_blocks = max(1, -(-asked.count() // QUERIES))
@@ -143,7 +143,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    found = left.unionByName(right).groupBy("block", "query_block").applyInArrow(run, "query_id long, vec_id long, score double")
+    found = left.unionByName(right).groupBy("block", "query_block").applyInArrow(tidy(run), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import looked_up, shared_path, small_batches, table, written
+from flowloom.llm.common import looked_up, shared_path, small_batches, table, trimmed, written
 
 LEAST_REVISIT = 100
 #: Records of one archive file.
@@ -198,7 +198,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield packed(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(trimmed(run), schema)
 
 
 def assemble(rows: DataFrame) -> DataFrame:

@@ -1,5 +1,4 @@
 import corpus_pipeline as c
-import pytest
 from pyspark.sql import functions as F
 
 from flowloom.llm import decontaminate, near_duplicates, quality
@@ -67,9 +66,19 @@ def test_passages_of_long_documents_are_removed(spark, small):
     assert {r.n_hit for r in again.collect()} == {0}
 
 
-@pytest.mark.parametrize("ids", [200_000, 0])
-def test_one_of_each_group_stays(spark, ids, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "BROADCAST_IDS", ids)
+def test_stages_keep_columns_of_any_name(spark, small):
+    names = ["spans", "blob", "__blob", "__spans", "items", "n_words", "n_hit", "hits", "hit_spans", "contaminated", "__found", "__found_n_hit", "__score", "score", "__id", "__key", "__state", "__salt", "a.b", "a`b", "part", "class", "label", "chance"]
+    frame = docs(spark, ["token: abcdefghijklmnop and more words", "a b c d e f g", "a b c d e f g", None])
+    frame = frame.select("*", *(F.lit(i).alias(x) for i, x in enumerate(names)))
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, frame, small)
+        assert out.columns == frame.columns, name
+        for r in out.collect():
+            assert [r[x] for x in names] == list(range(len(names))), name
+    assert stage is c.secrets_redacted and c.STAGES[-1][1](spark, frame, small).count() == 4
+
+
+def test_one_of_each_group_stays(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "A b c d e f g"), (2, "a b c d e f g"), (2, "quite another text here now"), (3, ""), (4, ""), (None, "a b c d e f g"), (None, "none but null ids in here"), (None, "none but null ids in here"), (5, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, (r.text or "").lower()) for r in near_duplicates.without_near_duplicates(frame).collect()), key=repr)
