@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import decontaminate, near_duplicates, packing, quality, secrets
-from flowloom.llm.common import shared_path, table
+from flowloom.llm.common import columns, fresh, fresh_prefix, shared_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    score = fresh("__score", docs)
     model = quality.train(docs, quality.quality_labels(spark, sf_dir))
-    return quality.score(docs, model, "__score").where("__score >= 0.5").select(*docs.columns)
+    return quality.score(docs, model, score).where(F.col(score) >= 0.5).select(*columns(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +33,18 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = decontaminate.scan(docs, table(spark, sf_dir, "benchmark")).where("not contaminated")
-    found = F.size("hit_spans") > 0
-    left = left.withColumn("text", F.when(found, decontaminate.without_spans(F.col("text"), F.col("hit_spans"))).otherwise(F.col("text")))
-    return left.withColumn("n_chars", F.when(found & F.col("n_chars").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    own = fresh_prefix("__found_", docs)
+    left = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), prefix=own)
+    left = left.where(~F.col(f"{own}contaminated"))
+    spans = F.col(f"{own}hit_spans")
+    found = F.size(spans) > 0
+    left = left.withColumn("text", F.when(found, decontaminate.without_spans(F.col("text"), spans)).otherwise(F.col("text")))
+    return left.withColumn("n_chars", F.when(found & F.col("n_chars").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns(docs))
 
 
 def secrets_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secrets.redact(docs, secrets.BlobLedger(spark))
-    return found.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long"))).select(*docs.columns)
+    return found.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long"))).select(*columns(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
