@@ -71,13 +71,15 @@ def video_segments_tick(packets: DataFrame, keys: list[str]) -> DataFrame:
     """What each tick emits: closed segments once, the running one again and again, with all it has so far.
 
     A segment is emitted from its request's tick to that of the next request, in which
-    it is closed, or to the flow's last tick.
+    it is closed, or to the flow's last tick: that of its last packet, or ``until_tick`` where
+    the packets have that column.
     """
     rows = _segments(packets, keys)
-    by_tick = rows.groupBy(*keys, "seg", "tick").agg(*_segment_values())
+    last = "until_tick" if "until_tick" in packets.columns else "tick"
+    by_tick = rows.groupBy(*keys, "seg", "tick").agg(*_segment_values(), F.max(last).alias("own_last"))
     own = Window.partitionBy(*keys, "seg")
     flow = Window.partitionBy(*keys)
-    start = by_tick.groupBy(*keys, "seg").agg(F.max("Len").alias("Len"), F.max("Seq").alias("Seq"), F.max("TsStart").alias("TsStart"), F.min("tick").alias("start_tick"), F.max("tick").alias("own_last"))
+    start = by_tick.groupBy(*keys, "seg").agg(F.max("Len").alias("Len"), F.max("Seq").alias("Seq"), F.max("TsStart").alias("TsStart"), F.min("tick").alias("start_tick"), F.max("own_last").alias("own_last"))
     start = start.withColumn("next_tick", F.lead("start_tick").over(flow.orderBy("seg"))).withColumn("last_tick", F.max("own_last").over(flow))
     every = start.select(*keys, "seg", "Len", "Seq", "TsStart", "next_tick", F.explode(F.sequence("start_tick", F.coalesce("next_tick", "last_tick"))).alias("tick"))
     values = by_tick.select(*keys, "seg", "tick", "LastPkt", "DownPkts", "DonwBytes", "MaxDSeq")
@@ -187,6 +189,29 @@ def byte_copy(packets: DataFrame, keys: list[str], layers: int = 1, to_copy: int
     return rows.groupBy(*keys).agg(data.alias("Data")).withColumn("CopiedBytes", F.octet_length("Data"))
 
 
+def byte_copy_tick(packets: DataFrame, flow: list[str], layers: int = 0, to_copy: int = 400) -> DataFrame:
+    """(flow, tick, CopiedBytes, Data): a flow's first ``to_copy`` bytes once in its life; each tick has those copied in it.
+
+    ``CopiedBytes`` counts from the flow's start. Ticks without packets have no row.
+    """
+    rows = packets.withColumn("part", F.when(F.col("raw_data").isNotNull(), F.substring(copied(F.col("raw_data"), layers), 1, to_copy)))
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.octet_length("part")).over(_before(flow)), F.lit(0)))
+    own = F.when(F.col("before") < to_copy, F.expr(f"substring(part, 1, int({to_copy} - before))"))
+    parts = F.array_sort(F.collect_list(F.when(F.octet_length("own") > 0, F.struct("ts_ns", "pkt_no", F.hex("own").alias("part")))))
+    data = F.unhex(F.array_join(F.transform(parts, lambda p: p["part"]), ""))
+    so_far = F.max(F.least(F.col("before") + F.coalesce(F.octet_length("part"), F.lit(0)), F.lit(to_copy))).cast("long")
+    return rows.withColumn("own", own).groupBy(*flow, "tick").agg(so_far.alias("CopiedBytes"), data.alias("Data"))
+
+
+def png_pixels(image: bytes, side: int = 20) -> bytes:
+    """The pixels of an image that ``png_image`` made."""
+    import zlib
+
+    at = image.index(b"IDAT")
+    lines = zlib.decompress(image[at + 4 : at + 4 + int.from_bytes(image[at - 4 : at])])
+    return b"".join(lines[i * (side + 1) + 1 : (i + 1) * (side + 1)] for i in range(side))
+
+
 def png_image(pixels: bytes, side: int = 20) -> bytes:
     """A square 8-bit gray image in PNG form."""
     import struct

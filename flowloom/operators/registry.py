@@ -5,31 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.operators import features
 
-#: (packets with a tick, keys of a flow) -> rows by flow and tick with a column ``Data`` of JSON.
+#: (packets with a tick, keys of a flow) -> rows by flow and tick with the feature's values.
 Batch = Callable[[DataFrame, list[str]], DataFrame]
 
 
 @dataclass(frozen=True)
 class Feature:
+    """``carry`` names values that a tick without packets repeats; its others are zero or empty."""
+
     name: str
     batch: Batch
+    carry: tuple[str, ...] = ()
 
 
 _FEATURES: dict[str, Feature] = {}
 
 
-def feature(name: str) -> Callable[[Batch], Batch]:
+def feature(name: str, carry: tuple[str, ...] = ()) -> Callable[[Batch], Batch]:
     """Registers a feature; a later one of the same name takes its place."""
 
     def put(batch: Batch) -> Batch:
         if not callable(batch):
             raise ValueError(f"{name}: not a feature")
-        _FEATURES[name] = Feature(name, batch)
+        _FEATURES[name] = Feature(name, batch, carry)
         return batch
 
     return put
@@ -45,14 +48,26 @@ def names() -> set[str]:
     return set(_FEATURES)
 
 
-def _as_json(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.select(*keys, F.to_json(F.struct(*(c for c in rows.columns if c not in keys))).alias("Data"))
+def _zero(kind: str) -> Column:
+    if kind.startswith("array"):
+        return F.expr(f"cast(array() as {kind})")
+    return F.lit("" if kind == "string" else False if kind == "boolean" else 0).cast(kind)
+
+
+def records(found: Feature, packets: DataFrame, ticks: DataFrame, flow: list[str]) -> DataFrame:
+    """(flow, tick, CType, Data): the feature's values in JSON for all ``ticks(flow, tick)`` of the flows."""
+    keys = [*flow, "tick"]
+    made = found.batch(packets, flow)
+    values = [(c, kind) for c, kind in made.dtypes if c not in keys]
+    before = Window.partitionBy(*flow).orderBy("tick").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    full = ticks.select(*keys).join(made, keys, "left")
+    full = full.select(*keys, *(F.coalesce(F.last(c, ignorenulls=True).over(before) if c in found.carry else F.col(c), _zero(kind)).alias(c) for c, kind in values))
+    return full.select(*keys, F.lit(found.name).alias("CType"), F.to_json(F.struct(*(c for c, _ in values))).alias("Data"))
 
 
 @feature("PacketCounters")
 def _packets(packets: DataFrame, flow: list[str]) -> DataFrame:
-    keys = [*flow, "tick"]
-    return _as_json(features.packet_counters(packets, keys), keys)
+    return features.packet_counters(packets, [*flow, "tick"])
 
 
 @feature("VideoCounters")
@@ -61,28 +76,28 @@ def _video(packets: DataFrame, flow: list[str]) -> DataFrame:
     rows = features.video_segments_tick(packets, flow)
     one = F.struct("seg", *(c for c in rows.columns if c not in (*keys, "seg")))
     listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("s"))
-    return _as_json(listed.select(*keys, F.transform("s", lambda x: x.dropFields("seg")).alias("VideoSegments")), keys)
+    return listed.select(*keys, F.transform("s", lambda x: x.dropFields("seg")).alias("VideoSegments"))
 
 
 @feature("TCPState")
 def _tcp(packets: DataFrame, flow: list[str]) -> DataFrame:
-    keys = [*flow, "tick"]
-    return _as_json(features.tcp_state(packets, keys), keys)
+    return features.tcp_state(packets, [*flow, "tick"])
 
 
 @feature("LatencyJitterCounter")
 def _latency(packets: DataFrame, flow: list[str]) -> DataFrame:
-    keys = [*flow, "tick"]
-    return _as_json(features.latency_jitter(packets, flow, "tick").drop("RTTs"), keys)
+    return features.latency_jitter(packets, flow, "tick").drop("RTTs")
 
 
-@feature("ByteCopyCounters")
+@feature("ByteCopyCounters", carry=("CopiedBytes",))
 def _bytes(packets: DataFrame, flow: list[str]) -> DataFrame:
-    keys = [*flow, "tick"]
-    return _as_json(features.byte_copy(packets, keys).select(*keys, "CopiedBytes", F.base64("Data").alias("Data")), keys)
+    return features.byte_copy_tick(packets, flow).withColumn("Data", F.base64("Data"))
 
 
-@feature("PNGCopyCounters")
+@feature("PNGCopyCounters", carry=("CopiedBytes", "Data"))
 def _png(packets: DataFrame, flow: list[str]) -> DataFrame:
+    """The image of the copied bytes, from the tick on in which there are enough."""
     keys = [*flow, "tick"]
-    return _as_json(features.png_copy(packets, keys).select(*keys, "CopiedBytes", F.base64("Data").alias("Data")), keys)
+    counted = features.byte_copy_tick(packets, flow).select(*keys, "CopiedBytes")
+    image = features.png_copy(packets, flow, layers=0).where("Data is not null").select(*flow, F.base64("Data").alias("Data"))
+    return counted.join(image, flow, "left").select(*keys, "CopiedBytes", F.when(F.col("CopiedBytes") >= 400, F.col("Data")).alias("Data"))

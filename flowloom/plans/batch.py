@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,20 +11,29 @@ from pyspark.sql import functions as F
 from flowloom.config import Config
 from flowloom.functions.anonymize import Anonymizer
 from flowloom.functions.net import traffic_filter
+from flowloom.model import SECOND
 from flowloom.operators import classify, flows, packets, registry
+from flowloom.storage import written
 
 FLOW = ["flow_id", "instance"]
 VERSION = "3.0"
 
 
-def flow_packets(spark: SparkSession, frames: DataFrame, config: Config, messages: DataFrame | None = None, hwaddr: str | None = None, key: bytes | None = None, start_s: int | None = None) -> DataFrame:
-    """Packets of flows with ``tick``, by the first traffic parser of the configuration.
+def flow_packets(spark: SparkSession, frames: DataFrame | Mapping[str, DataFrame], config: Config, messages: DataFrame | None = None, hwaddr: str | None = None, key: bytes | None = None, start_s: int | None = None) -> DataFrame:
+    """Packets of flows with ``tick``, by the traffic parsers of the configuration, which feed one cache.
 
+    With several parsers, ``frames`` names each interface's frames.
     Local addresses are anonymised if the configuration says so, with ``key``.
     """
-    parser = config.traffic_parsers[0]
-    seen = frames.where(traffic_filter(F.col("proto"), F.col("src_port"), F.col("dst_port")))
-    rows = packets.project(seen, parser.mode, hwaddr or parser.hwaddr or "", parser.localnet)
+    parsers = config.traffic_parsers
+    if isinstance(frames, DataFrame):
+        if len(parsers) > 1:
+            raise ValueError("several traffic parsers need the frames of each interface")
+        frames = {parsers[0].ifname: frames}
+    if missing := {p.ifname for p in parsers} - frames.keys():
+        raise ValueError(f"no frames of {sorted(missing)}")
+    ports = F.col("proto"), F.col("src_port"), F.col("dst_port")
+    rows = reduce(DataFrame.unionByName, (packets.project(frames[p.ifname].where(traffic_filter(*ports)), p.mode, hwaddr or p.hwaddr or "", p.localnet) for p in parsers))
     if config.anonymize:
         if key is None:
             raise ValueError("anonymising needs a key")
@@ -32,41 +42,31 @@ def flow_packets(spark: SparkSession, frames: DataFrame, config: Config, message
     return packets.with_tick(rows, packets.start_second(rows) if start_s is None else start_s)
 
 
-def flow_features(spark: SparkSession, rows: DataFrame, config: Config) -> DataFrame:
-    """(flow_id, instance, tick, CType, Data): each feature of each flow whose service collects it."""
-    wanted = sorted({f for s in config.services for f in s.collect})
-    parts = []
-    for name in wanted:
-        own = classify.collecting(spark, rows, config, name)
-        parts.append(registry.get(name).batch(own, FLOW).select(*FLOW, "tick", F.lit(name).alias("CType"), "Data"))
-    if not parts:
-        return spark.createDataFrame([], "flow_id string, instance long, tick long, CType string, Data string")
-    return reduce(DataFrame.unionByName, parts)
-
-
-def flow_json(spark: SparkSession, rows: DataFrame, config: Config) -> DataFrame:
-    """(flow_id, instance, tick, json): each flow's record of each tick in which it was active."""
-    made = flow_features(spark, rows, config)
-    counters = made.groupBy(*FLOW, "tick").agg(F.array_sort(F.collect_list(F.struct("CType", "Data"))).alias("Cntrs"))
-    every = rows.select(*FLOW, "tick").distinct().join(counters, [*FLOW, "tick"], "left").join(flows.flows(rows), FLOW)
-    record = F.struct(
-        F.col("flow_id").alias("Id"),
-        F.col("service").alias("Service"),
-        F.col("domain_name").alias("DomainName"),
-        F.col("service_ip").alias("ServiceIP"),
-        F.col("local_ip").alias("LocalIP"),
-        F.col("protocol").alias("Protocol"),
-        F.col("local_port").alias("LocalPort"),
-        F.col("service_port").alias("ServicePort"),
-        F.col("Cntrs"),
-    )
-    return every.select(*FLOW, "tick", _nested(F.to_json(record)).alias("json"))
-
-
-def _nested(json):
-    """Counters' data are JSON themselves: put them in as they are, not as text."""
-    opened = F.regexp_replace(json, r'"Data":"(\{(?:[^"\\]|\\.)*\})"', '"Data":$1')
-    return F.regexp_replace(opened, r'\\"', '"')
+def flow_json(spark: SparkSession, rows: DataFrame, config: Config, start_s: int = 0, seconds: int = 10) -> DataFrame:
+    """(flow_id, instance, tick, json): each flow's record of each tick from its start to its eviction, idle ones too.
+
+    The packets are made once, in the shared folder; each feature of a flow's service
+    then reads the columns that it needs.
+    """
+    rows = written(rows, "packets")
+    until = F.expr(f"((max(ts_ns) + {config.evict_ns}) div {SECOND} - {start_s}) div {seconds}")
+    lives = written(flows.flows(rows).join(rows.groupBy(*FLOW).agg(F.min("tick").alias("first_tick"), until.alias("until_tick")), FLOW), "flows")
+    ticks = lives.select(*FLOW, "service_id", F.explode(F.sequence("first_tick", "until_tick")).alias("tick"))
+    made = [spark.createDataFrame([], "flow_id string, instance long, tick long, CType string, Data string")]
+    for name in sorted({f for s in config.services for f in s.collect}):
+        collects = F.col("service_id").isin([i for i, s in enumerate(config.services) if name in s.collect])
+        own = rows.where(collects)
+        if name == "VideoCounters":  # a running segment lives on in idle ticks
+            own = own.join(lives.where(collects).select(*FLOW, "until_tick"), FLOW)
+        made.append(registry.records(registry.get(name), own, ticks.where(collects), FLOW))
+    one = F.struct("CType", F.concat(F.lit('{"CType":'), F.expr("substring(to_json(array(CType)), 2, char_length(to_json(array(CType))) - 2)"), F.lit(',"Data":'), F.col("Data"), F.lit("}")).alias("json"))
+    counters = reduce(DataFrame.unionByName, made).groupBy(*FLOW, "tick").agg(F.array_sort(F.collect_list(one)).alias("counters"))
+    about = F.struct(*(F.col(c).alias(n) for c, n in (("flow_id", "Id"), ("service", "Service"), ("domain_name", "DomainName"), ("service_ip", "ServiceIP"), ("local_ip", "LocalIP"), ("protocol", "Protocol"), ("local_port", "LocalPort"), ("service_port", "ServicePort"))))
+    # Pieces of JSON are put together as they are: what is in a name never looks like one.
+    heads = lives.select(*FLOW, F.to_json(about).alias("head"))
+    every = ticks.select(*FLOW, "tick").join(counters, [*FLOW, "tick"], "left").join(heads, FLOW)
+    listed = F.coalesce(F.array_join(F.transform("counters", lambda c: c["json"]), ","), F.lit(""))
+    return every.select(*FLOW, "tick", F.concat(F.expr("substring(head, 1, char_length(head) - 1)"), F.lit(',"Cntrs":['), listed, F.lit("]}")).alias("json"))
 
 
 def envelope(kind: str, start_s, end_s, data):
@@ -75,18 +75,17 @@ def envelope(kind: str, start_s, end_s, data):
     return F.concat(head, data, F.lit("}"))
 
 
-def cache_dump(records: DataFrame, start_s: int, seconds: int = 10) -> DataFrame:
-    """(tick, part, json): envelopes of a tick's flows, dealt to ``PARTS`` a tick."""
-    numbered = records.withColumn("part", F.pmod(F.xxhash64("flow_id"), F.lit(PARTS)))
+def cache_dump(records: DataFrame, start_s: int, seconds: int = 10, digits: int = 2) -> DataFrame:
+    """(tick, part, json): envelopes of a tick's flows, dealt by the first hex digits of their ids.
+
+    Each further digit makes sixteen times as many parts, so that no task need hold a whole tick.
+    """
+    numbered = records.withColumn("part", F.substring("flow_id", 1, digits))
     listed = numbered.groupBy("tick", "part").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("flow_id", "instance", "json"))), lambda x: x["json"]), ","), F.lit("]")).alias("data"))
     begin = F.lit(start_s) + F.col("tick") * seconds
     return listed.select("tick", "part", envelope("CacheDump", begin, begin + seconds, F.col("data")).alias("json"))
 
 
-#: Envelopes that a tick's flows are dealt to, so that no task holds a whole tick.
-PARTS = 32
-
-
 def interface_stats(frames: DataFrame, start_s: int, seconds: int = 10) -> DataFrame:
     """(tick, json, PktRecv): packets received by tick; a capture file has dropped none."""
     rows = packets.with_tick(frames, start_s, seconds).groupBy("tick").agg(F.count(F.lit(1)).alias("PktRecv"))

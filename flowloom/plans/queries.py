@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +17,14 @@ from flowloom.functions.anonymize import Anonymizer
 from flowloom.model import SECOND
 from flowloom.operators import classify, features, flows, packets, registry
 from flowloom.plans import batch
-from flowloom.sources import generate, tables
+from flowloom.sources import generate, pcap, tables
 
-#: Services of the test queries. The second service's first prefix lies within the first one's.
+#: Services of the test queries, of ranges for documentation. The second service's first prefix lies within the first one's.
 CONFIG = c.parse(
     """{"Services": [
-  {"Name": "Stream", "Filter": {"DomainsString": ["example.net", "th.example"], "Prefixes": ["23.246.0.0/18", "45.57.0.0/17", "198.38.96.0/19", "2620:10c:7000::/44"]}, "Collect": ["PacketCounters", "VideoCounters"]},
-  {"Name": "Blog", "Filter": {"DomainsString": ["blog."], "DomainsRegex": ["^m[.].*[.]org$", "ing[.]example[.]com"], "Prefixes": ["23.246.1.0/24", "1.1.1.0/24"]}, "Collect": ["PacketCounters", "TCPState", "LatencyJitterCounter"]},
-  {"Name": "Rest", "Filter": {"DomainsRegex": ["example[.]com$"], "Prefixes": ["1.0.0.0/8"]}, "Collect": ["PacketCounters"]}],
+  {"Name": "Stream", "Filter": {"DomainsString": ["example.net", "th.example"], "Prefixes": ["198.51.100.0/24", "203.0.113.0/25", "2001:db8::/44"]}, "Collect": ["PacketCounters", "VideoCounters"]},
+  {"Name": "Blog", "Filter": {"DomainsString": ["blog."], "DomainsRegex": ["^m[.].*[.]org$", "ing[.]example[.]com"], "Prefixes": ["198.51.100.0/25", "192.0.2.0/25", "2001:db8:1::/48"]}, "Collect": ["PacketCounters", "TCPState", "LatencyJitterCounter"]},
+  {"Name": "Rest", "Filter": {"DomainsRegex": ["example[.]com$"], "Prefixes": ["192.0.2.0/24", "10.0.0.0/8"]}, "Collect": ["PacketCounters"]}],
  "FlowCache": {"EvictTime": 20000000000, "Anonymize": false}, "DNSCache": {"EvictTime": 30000000000}}"""
 ).validate(registry.names())
 FLOW = ["flow_id"]
@@ -81,6 +82,44 @@ def local_rfc1918(spark, sf_dir):
     return rows.select("pkt_no", net.is_rfc1918(F.col("src_ip")).alias("src_private"), net.is_rfc1918(F.col("dst_ip")).alias("dst_private"))
 
 
+@query
+def local_private(spark, sf_dir):
+    """Private, loopback and link-local ends of either version."""
+    rows = tables.frames(spark, sf_dir)
+    return rows.select("pkt_no", net.is_private(F.col("src_ip")).alias("src_private"), net.is_private(F.col("dst_ip")).alias("dst_private"))
+
+
+@query
+def project_offline(spark, sf_dir):
+    """An offline trace's packets: incoming where the destination is private."""
+    return packets.project_offline(tables.frames(spark, sf_dir)).select("pkt_no", "dir", "service_ip", "my_ip", "service_port", "my_port", "length", "data_length", "seq")
+
+
+@query
+def decode_frames(spark, sf_dir):
+    """Frames read from the capture files that hold them; a frame's time names it."""
+    found = pcap.frames_in(tables.frame_captures(tables.frames(spark, sf_dir)))
+    return found.select("ts_ns", "src_mac", "dst_mac", "is_ipv4", "src_ip", "dst_ip", "ip_payload", "ihl", "proto", "src_port", "dst_port", "seq", "ack", "data_offset", "window", *(f"f_{x}" for x in ("fin", "syn", "rst", "psh", "ack", "urg")))
+
+
+@query
+def decode_frames_dns_only(spark, sf_dir):
+    """The same with the filter for DNS put into the source."""
+    return pcap.frames_in(tables.frame_captures(tables.frames(spark, sf_dir)), "dns").select("ts_ns", "src_port", "dst_port")
+
+
+@query
+def decode_dns(spark, sf_dir):
+    """Names and first addresses of DNS messages read from the capture files that hold them."""
+    found = pcap.dns_in(tables.dns_captures(tables.dns_messages(spark, sf_dir)), answered=True)
+    return classify.dns_names(found).select("ts_ns", "name", "ip", "ttl")
+
+
+@query
+def fnv32_flow(spark, sf_dir):
+    return packets.with_flow_id(seen(spark, sf_dir)).select("flow_id").distinct().select("flow_id", net.fnv32(F.col("flow_id")).alias("fnv32"))
+
+
 @query
 def project_ports_ips(spark, sf_dir):
     return seen(spark, sf_dir).select("pkt_no", "dir", "hw_addr", "is_local", "is_tcp", "service_ip", "my_ip", "service_port", "my_port", "length", "data_length", "seq")
@@ -156,7 +195,7 @@ def flowing(spark, sf_dir):
 @query
 def flow_create(spark, sf_dir):
     """One row for each time that a flow is created, anew after an eviction as well."""
-    return flows.flows(flowing(spark, sf_dir)).select("flow_id", "service", "service_ip", "local_ip", "protocol", "local_port", "service_port")
+    return flows.flows(flowing(spark, sf_dir)).select("flow_id", "instance", "service", "service_ip", "local_ip", "protocol", "local_port", "service_port")
 
 
 @query
@@ -198,12 +237,12 @@ def tcp_flags(spark, sf_dir):
 
 
 def rounded(df: DataFrame, scale: dict[str, int] | None = None) -> DataFrame:
-    """Fractions with so many digits; variances of times in square milliseconds."""
+    """Fractions with so many digits; times in milliseconds, bytes in flight in units of 2^20."""
     fix = {}
     for name, kind in df.dtypes:
         if kind == "double":
-            x = F.col(name) / 1e12 if name.startswith(("RTTVar", "JitterVar")) else F.col(name) / 1e6 if name.startswith(("RTTAvg", "JitterAvg")) else F.col(name)
-            fix[name] = F.round(x, 3)
+            x = F.col(name) / 2**40 if name.endswith("BytesInFlightVar") else F.col(name) / 1e12 if name.startswith(("RTTVar", "JitterVar")) else F.col(name) / 1e6 if name.startswith(("RTTAvg", "JitterAvg")) else F.col(name) / 2**20 if name.endswith("BytesInFlightAvg") else F.col(name)
+            fix[name] = F.round(x, 5)
     return df.withColumns(fix)
 
 
@@ -249,10 +288,23 @@ def byte_copy(spark, sf_dir):
     return rows.select("flow_id", F.col("CopiedBytes").cast("long").alias("copied_bytes"), F.md5("Data").alias("data_md5"))
 
 
+@query
+def byte_copy_tick(spark, sf_dir):
+    """What each tick copies of a flow's first bytes, of headers alone."""
+    rows = packets.with_tick(tables.raw_frames(spark, sf_dir).withColumn("ts_ns", F.col("pkt_no") * 1_000_000_000), 0)
+    return features.byte_copy_tick(rows, FLOW).select("flow_id", "tick", F.col("CopiedBytes").alias("copied_bytes"), F.md5("Data").alias("data_md5"))
+
+
 @query
 def png_copy(spark, sf_dir):
+    """The pixels that a flow's image holds."""
+
+    @F.pandas_udf("binary")
+    def pixels(images: pd.Series) -> pd.Series:
+        return images.map(lambda x: None if x is None else features.png_pixels(bytes(x)))
+
     rows = features.png_copy(tables.raw_frames(spark, sf_dir), FLOW, 1)
-    return rows.select("flow_id", F.octet_length("Data").alias("png_bytes"))
+    return rows.select("flow_id", F.md5(pixels("Data")).alias("pixels_md5"))
 
 
 @query
@@ -281,7 +333,9 @@ def idle_emit(spark, sf_dir):
 
 @query
 def flow_json(spark, sf_dir):
-    own = c.Config((*(s.__class__(s.name, s.domains, s.regexes, s.prefixes, ("PacketCounters",)) for s in CONFIG.services),), evict_ns=CONFIG.evict_ns, dns_evict_ns=CONFIG.dns_evict_ns, anonymize=False)
+    """Records with the features of whole numbers, of every tick of a flow's life."""
+    counted = lambda s: tuple(x for x in s.collect if x in ("PacketCounters", "VideoCounters"))
+    own = c.Config((*(s.__class__(s.name, s.domains, s.regexes, s.prefixes, counted(s)) for s in CONFIG.services),), evict_ns=CONFIG.evict_ns, dns_evict_ns=CONFIG.dns_evict_ns, anonymize=False)
     rows = packets.with_tick(flowing(spark, sf_dir), 0)
     return batch.flow_json(spark, rows, own).select("flow_id", "instance", "tick", "json")
 
@@ -295,7 +349,7 @@ def flow_json_all(spark, sf_dir):
 
 @query
 def cachedump_envelope(spark, sf_dir):
-    dumped = batch.cache_dump(flow_json_all(spark, sf_dir), 0)
+    dumped = batch.cache_dump(flow_json(spark, sf_dir), 0, digits=1)
     return dumped.select("tick", "part", "json")
 
 

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def random_trace(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-    """``n`` TCP packets with random hardware and IP addresses, ports and directions."""
-    pick = lambda k, low, high: (F.rand(seed * 16 + k) * (high - low) + low).cast("long")
+    """``n`` TCP packets with random hardware and IP addresses, ports and directions.
+
+    Each value is drawn by a hash of the seed, the packet and the field, so a trace does
+    not depend on its partitions.
+    """
+    pick = lambda k, low, high: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), F.lit(str(k))).cast("binary")), 1, 12), 16, 10).cast("long") % (high - low) + low
     octet = lambda k: F.concat_ws(".", *(pick(k + i, 1, 255).cast("string") for i in range(4)))
     # The second lowest bit of the first byte marks an address as local, the lowest one as a group's.
     mac = F.concat_ws(":", F.lpad(F.lower(F.hex(pick(9, 0, 64) * 4 + 2)), 2, "0"), *(F.lpad(F.lower(F.hex(pick(10 + i, 0, 256))), 2, "0") for i in range(5)))

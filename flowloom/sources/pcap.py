@@ -61,9 +61,13 @@ def _kept(frames: DataFrame, bpf: str | None) -> DataFrame:
 
 def read_frames(spark: SparkSession, path: str, bpf: str | None = None, include_raw: bool = False, snaplen: int = 1500) -> DataFrame:
     """Frames of all capture files in ``path``; ``pkt_no`` counts within a file, named by ``path``."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return _kept(files.mapInArrow(_decoder(include_raw, snaplen), f"{FRAME}, path string"), bpf)
+    return frames_in(spark.read.format("binaryFile").load(path).select("path", "content"), bpf, include_raw, snaplen)
+
+
+def frames_in(files: DataFrame, bpf: str | None = None, include_raw: bool = False, snaplen: int = 1500) -> DataFrame:
+    """Frames of capture files ``files(path, content)``."""
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return _kept(files.select("path", "content").mapInArrow(_decoder(include_raw, snaplen), f"{FRAME}, path string"), bpf)
 
 
 def stream_frames(spark: SparkSession, path: str, bpf: str | None = None, include_raw: bool = False, snaplen: int = 1500, files_per_trigger: int = 1) -> DataFrame:
@@ -74,6 +78,11 @@ def stream_frames(spark: SparkSession, path: str, bpf: str | None = None, includ
 
 def read_dns(spark: SparkSession, path: str, answered: bool = False) -> DataFrame:
     """DNS messages of capture files (no VLAN); with ``answered`` those with an answer only."""
+    return dns_in(spark.read.format("binaryFile").load(path).select("content"), answered)
+
+
+def dns_in(files: DataFrame, answered: bool = False) -> DataFrame:
+    """DNS messages of capture files ``files(content)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         question = pa.list_(pa.struct([("name", pa.string())]))
@@ -91,8 +100,8 @@ def read_dns(spark: SparkSession, path: str, answered: bool = False) -> DataFram
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), question, answer), strict=True)], names=["dns_no", "ts_ns", "questions", "answers"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-    out = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, DNS)
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    out = files.select("content").mapInArrow(run, DNS)
     return out.where(F.size("answers") >= 1) if answered else out
 
 

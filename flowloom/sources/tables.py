@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.functions.net import ip4_num, ip6_hex
+from flowloom.model import U32
+
 #: The capturing device, another one in its network, and one that is neither end.
 HWADDR, REMOTE, OTHER = "02:00:00:00:00:01", "02:00:00:00:00:02", "02:00:00:00:00:03"
-#: Remote addresses; the first three lie in prefixes of one service, the last in none.
-SERVICE_IPS = ("23.246.1.1", "45.57.3.9", "198.38.120.133", "1.1.1.1", "52.17.164.26")
+#: Remote addresses of the ranges for documentation, private ones, one just beyond, one in the local network, and of version 6.
+SERVICE_IPS = ("198.51.100.7", "203.0.113.9", "198.51.100.200", "192.0.2.1", "192.0.2.130", "10.1.2.3", "172.16.9.9", "172.32.0.1", "192.168.77.1", "2001:db8::1", "2001:db8:1::5")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +23,19 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames_of(events: DataFrame) -> DataFrame:
-    """``events`` as decoded frames: views and purchases come in, clicks and signups go out, errors are neither."""
+    """``events`` as decoded frames: views and purchases come in, clicks and signups go out, errors are neither.
+
+    Users differ in protocol, ports (53 with either protocol), addresses of both versions,
+    and in sequence numbers, which wrap around for a third of them.
+    """
     e, u = F.col("event_id"), F.col("user_id")
     way = F.when(F.col("event_type").isin("view", "purchase"), 0).when(F.col("event_type").isin("click", "signup"), 1).otherwise(-1)
     tcp = u % 4 != 0
-    my_ip = F.concat_ws(".", F.lit("192.168"), F.expr("(user_id div 256) % 256").cast("string"), (u % 256).cast("string"))
-    service_ip = F.element_at(F.array(*map(F.lit, SERVICE_IPS)), (u % 5 + 1).cast("int"))
-    my_port, service_port = (40000 + u).cast("int"), F.when(u % 10 == 9, 53).otherwise(443).cast("int")
+    four = u % len(SERVICE_IPS) < len([x for x in SERVICE_IPS if "." in x])
+    my_ip = F.when(four, F.concat_ws(".", F.lit("192.168"), F.expr("(user_id div 256) % 256").cast("string"), (u % 256).cast("string"))).otherwise(F.concat(F.lit("fd00::"), F.lower(F.hex(u % 65535 + 1))))
+    service_ip = F.element_at(F.array(*map(F.lit, SERVICE_IPS)), (u % len(SERVICE_IPS) + 1).cast("int"))
+    my_port, service_port = (40000 + u).cast("int"), F.when(u % 10 >= 8, 53).otherwise(443).cast("int")
+    number = lambda x: F.pmod(F.when(u % 3 == 0, U32 - 500).otherwise(0) + x * 100, F.lit(U32))
     size = (F.floor("value").cast("long") % 4) * 100 + F.when(tcp, 20).otherwise(8)
     out = way == 1
     flag = lambda column: F.when(tcp, column)
@@ -35,16 +44,16 @@ def frames_of(events: DataFrame) -> DataFrame:
         (e * 20_000_000).alias("ts_ns"),
         F.when(way == 1, HWADDR).when(way == 0, REMOTE).otherwise(OTHER).alias("src_mac"),
         F.when(way == 1, REMOTE).when(way == 0, HWADDR).otherwise(OTHER).alias("dst_mac"),
-        F.lit(True).alias("is_ipv4"),
+        four.alias("is_ipv4"),
         F.when(out, my_ip).otherwise(service_ip).alias("src_ip"),
         F.when(out, service_ip).otherwise(my_ip).alias("dst_ip"),
         size.alias("ip_payload"),
-        F.lit(5).alias("ihl"),
+        F.when(four, 5).alias("ihl"),
         F.when(tcp, 6).otherwise(17).alias("proto"),
         F.when(out, my_port).otherwise(service_port).alias("src_port"),
         F.when(out, service_port).otherwise(my_port).alias("dst_port"),
-        flag((e % 11) * 100).alias("seq"),
-        flag((e % 13) * 100).alias("ack"),
+        flag(number(e % 11)).alias("seq"),
+        flag(number(e % 13)).alias("ack"),
         flag(F.lit(5)).alias("data_offset"),
         flag((1000 + e % 512).cast("int")).alias("window"),
         flag(F.lit(False)).alias("f_fin"),
@@ -76,7 +85,7 @@ def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dns_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` as DNS responses: the URL's host is asked for; every seventh has an alias before the address."""
     p = F.col("page_id")
-    ip = F.element_at(F.array(*map(F.lit, SERVICE_IPS)), (p % 5 + 1).cast("int"))
+    ip = F.element_at(F.array(*map(F.lit, SERVICE_IPS)), (p % len(SERVICE_IPS) + 1).cast("int"))
     answer = lambda a, ttl: F.struct(a.cast("string").alias("ip"), ttl.cast("long").alias("ttl"))
     ttl = (p % 4) * 7
     alias, address = answer(F.lit(None), F.lit(9)), answer(ip, ttl)
@@ -87,3 +96,59 @@ def dns_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(host.alias("name"))).alias("questions"),
         F.when(p % 7 == 0, F.array(alias, address)).when(p % 11 == 10, F.array(alias)).otherwise(F.array(address)).alias("answers"),
     )
+
+
+#: A capture file's header: big-endian, nanoseconds, Ethernet. And frames of one file.
+_HEAD, PER_FILE = "A1B23C4D00020004" + "0" * 16 + "0000FFFF00000001", 1000
+
+
+def _hex(x: Column, digits: int) -> Column:
+    return F.lpad(F.hex(x.cast("long")), digits, "0")
+
+
+def _ip_hex(ip: Column) -> Column:
+    return F.coalesce(_hex(ip4_num(ip), 8), F.upper(ip6_hex(ip)))
+
+
+def _captured(rows: DataFrame, number: str, frame: Column) -> DataFrame:
+    """(path, content): capture files of frames (given in hex) in order of ``number``."""
+    size = F.octet_length(frame) / 2
+    record = F.concat(_hex(F.expr("ts_ns div 1000000000"), 8), _hex(F.col("ts_ns") % 1_000_000_000, 8), _hex(size, 8), _hex(size, 8), frame)
+    dealt = rows.select(F.expr(f"{number} div {PER_FILE}").alias("file"), F.struct(F.col(number).alias("no"), record.alias("record")).alias("r"))
+    listed = dealt.groupBy("file").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return listed.select(F.concat(F.lit("trace-"), F.col("file").cast("string"), F.lit(".pcap")).alias("path"), F.unhex(F.concat(F.lit(_HEAD), F.array_join(F.col("r.record"), ""))).alias("content"))
+
+
+def _ethernet(four: Column, src_mac: Column, dst_mac: Column, src: Column, dst: Column, proto: Column, body: Column, size: Column) -> Column:
+    """A frame in hex around a transport layer of ``size`` bytes."""
+    plain = lambda mac: F.upper(F.regexp_replace(mac, ":", ""))
+    ip4 = F.concat(F.lit("08004500"), _hex(20 + size, 4), F.lit("0000000040"), _hex(proto, 2), F.lit("0000"))
+    ip6 = F.concat(F.lit("86DD60000000"), _hex(size, 4), _hex(proto, 2), F.lit("40"))
+    return F.concat(plain(dst_mac), plain(src_mac), F.when(four, ip4).otherwise(ip6), _ip_hex(src), _ip_hex(dst), body)
+
+
+def frame_captures(frames: DataFrame) -> DataFrame:
+    """(path, content): ``frames`` as the capture files that hold them, with payloads of zeros."""
+    c = F.col
+    flags = sum((F.when(c(f"f_{x}"), 1 << i).otherwise(0) for i, x in enumerate(("fin", "syn", "rst", "psh", "ack", "urg"))), F.lit(0))
+    ports = F.concat(_hex(c("src_port"), 4), _hex(c("dst_port"), 4))
+    tcp = F.concat(ports, _hex(c("seq"), 8), _hex(c("ack"), 8), F.lit("50"), _hex(flags, 2), _hex(c("window"), 4), F.lit("00000000"))
+    udp = F.concat(ports, _hex(c("ip_payload"), 4), F.lit("0000"))
+    body = F.concat(F.when(c("proto") == 6, tcp).otherwise(udp), F.repeat(F.lit("00"), (c("ip_payload") - F.when(c("proto") == 6, 20).otherwise(8)).cast("int")))
+    return _captured(frames, "pkt_no", _ethernet(c("is_ipv4"), c("src_mac"), c("dst_mac"), c("src_ip"), c("dst_ip"), c("proto"), body, c("ip_payload")))
+
+
+def dns_captures(messages: DataFrame) -> DataFrame:
+    """(path, content): DNS messages as the capture files that hold them."""
+    name = F.concat(F.array_join(F.transform(F.split(F.col("questions")[0]["name"], r"\."), lambda x: F.concat(_hex(F.octet_length(x), 2), F.hex(x.cast("binary")))), ""), F.lit("00"))
+
+    def answer(a: Column) -> Column:
+        data = F.coalesce(_ip_hex(a["ip"]), F.lit("C00C"))
+        kind = F.when(a["ip"].isNull(), 5).when(a["ip"].contains(":"), 28).otherwise(1)
+        return F.concat(F.lit("C00C"), _hex(kind, 4), F.lit("0001"), _hex(a["ttl"], 8), _hex(F.octet_length(data) / 2, 4), data)
+
+    message = F.concat(F.lit("000181800001"), _hex(F.size("answers"), 4), F.lit("00000000"), name, F.lit("00010001"), F.array_join(F.transform("answers", answer), ""))
+    size = 8 + F.octet_length(message) / 2
+    body = F.concat(F.lit("0035C350"), _hex(size, 4), F.lit("0000"), message)
+    end = lambda x: F.lit(x)
+    return _captured(messages, "dns_no", _ethernet(F.lit(True), end(REMOTE), end(HWADDR), end("192.0.2.53"), end("192.168.0.1"), F.lit(17), body, size))

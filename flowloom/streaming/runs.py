@@ -9,11 +9,8 @@ order of arrival.
 
 from __future__ import annotations
 
-import atexit
 import json
 import pickle
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -25,6 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from flowloom.functions.net import flow_id
 from flowloom.operators import packets
 from flowloom.sources import tables
+from flowloom.storage import shared_dir
 from flowloom.streaming.state import Latency, Packets, TcpState, Video
 
 
@@ -88,11 +86,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _finished(rows: DataFrame, mode: str) -> DataFrame:
     """All that a bounded stream emits, by files in the shared folder."""
     spark = rows.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:  # a local session without a shared folder
-        top = tempfile.mkdtemp(prefix="flowloom-stream-")
-        atexit.register(shutil.rmtree, top, True)
-    place = f"{top.rstrip('/')}/flowloom/stream-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}" if mode == "append" else f"{place}/out/last")
