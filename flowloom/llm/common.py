@@ -179,6 +179,16 @@ def looked_up(rows: DataFrame, keys: DataFrame, on: str, salts: int, how: str =
     return rows.withColumn(name, salt).join(spread.hint("merge"), [on, name], how).drop(name)
 
 
+#: Most bytes that are broadcast, by the measured sum over the rows.
+BROADCAST_BYTES = 16 << 20
+
+
+def small_enough(df: DataFrame, row_bytes) -> bool:
+    """Whether ``df``, at ``row_bytes`` (a number or a column) a row, is within the bound of what is broadcast."""
+    size = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
+
+
 def buckets(spark: SparkSession) -> int:
     """Buckets to deal keys into; follows the session's shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

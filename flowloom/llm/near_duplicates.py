@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import kernels as k
-from flowloom.llm.common import buckets, columns, fresh, looked_up, small_batches, table, tidy, tidy_both, trimmed, written
+from flowloom.llm.common import buckets, columns, fresh, looked_up, small_batches, small_enough, table, tidy, tidy_both, trimmed, written
 from flowloom.llm.graph import components
 
 #: Words of a shingle, and the similarity as a fraction.
@@ -772,7 +772,8 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group: of those with the component's doc_id the one with the least hash of its text.
 
     Rows are named by doc_id and a hash of the text. Only rows that have near copies
-    are in the list that ``docs`` is compared with. Columns may have any names.
+    are in the list that ``docs`` is compared with; it is broadcast if its bytes are within a
+    bound, else both sides are shuffled. Columns may have any names.
     """
     found = written(near_duplicates(docs).where("grouped").select(F.coalesce("doc_id", F.lit(_NULL)).alias("id"), F.coalesce("component_id", F.lit(_NULL)).alias("component"), "key"), "grouped")
     first = written(found.where("id = component").groupBy("component").agg(F.min("key").alias("first_key")), "first")
@@ -784,7 +785,7 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     named = written(named.where("not stays or n > 1").select(F.col("id").alias(own_id), F.col("key").alias(own_key), F.col("stays").alias(state)), "named")
     repeated = not named.where(F.col(state)).isEmpty()
     keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias(own_id), F.xxhash64("text").alias(own_key))
-    joined = keyed.join(named, [own_id, own_key], "left")
+    joined = keyed.join(F.broadcast(named) if small_enough(named, 48) else named, [own_id, own_key], "left")
     out = joined.where(F.col(state).isNull())
     if repeated:
         out = out.unionByName(joined.where(F.col(state)).dropDuplicates([own_id, own_key]))

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import columns, fresh, looked_up, shared_path, table
+from flowloom.llm.common import columns, fresh, looked_up, shared_path, small_enough, table
 
 #: Copies of the findings when they are joined back, so that a blob with very many paths is spread.
 SALTS = 32
@@ -112,7 +112,10 @@ class BlobLedger:
         found = self.rows().where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
         # Runs that overlap may have entered a pair twice, with equal findings.
         found = found.dropDuplicates([blob])
-        joined = looked_up(rows, found, blob, SALTS, by=[c for c, kind in rows.dtypes if kind in ("bigint", "int")])
+        if small_enough(found, 100 + 24 * F.size(spans)):
+            joined = rows.join(F.broadcast(found), blob, "left")
+        else:
+            joined = looked_up(rows, found, blob, SALTS, by=[c for c, kind in rows.dtypes if kind in ("bigint", "int")])
         return joined.withColumn(spans, F.coalesce(spans, F.expr(f"cast(array() as {SPANS})")))
 
 

@@ -1,7 +1,8 @@
 import corpus_pipeline as c
+import pytest
 from pyspark.sql import functions as F
 
-from flowloom.llm import decontaminate, near_duplicates, quality
+from flowloom.llm import common, decontaminate, near_duplicates, quality
 from tests.llm.helpers import docs
 from tests.llm.test_decontaminate import brute as hits
 from tests.llm.test_near_duplicates import brute as groups
@@ -78,7 +79,9 @@ def test_stages_keep_columns_of_any_name(spark, small):
     assert stage is c.secrets_redacted and c.STAGES[-1][1](spark, frame, small).count() == 4
 
 
-def test_one_of_each_group_stays(spark):
+@pytest.mark.parametrize("size", [16 << 20, -1])
+def test_one_of_each_group_stays(spark, size, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", size)
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "A b c d e f g"), (2, "a b c d e f g"), (2, "quite another text here now"), (3, ""), (4, ""), (None, "a b c d e f g"), (None, "none but null ids in here"), (None, "none but null ids in here"), (5, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, (r.text or "").lower()) for r in near_duplicates.without_near_duplicates(frame).collect()), key=repr)
