@@ -18,6 +18,7 @@ not exist, as pieces are cut.
 
 from __future__ import annotations
 
+import operator
 import zlib
 from collections.abc import Iterator
 
@@ -34,8 +35,7 @@ END = 1
 #: Buckets in which ranks of one length are counted.
 SALTS = 64
 #: White-space chunks and their stems kept with their ids in a worker; beyond, a table starts anew.
-#: Chunks are made of stems without the tokenizer, so there may be fewer of them.
-KEPT, KEPT_STEMS = 150_000, 300_000
+KEPT, KEPT_STEMS = 300_000, 300_000
 
 
 class Chunks(dict):
@@ -62,12 +62,21 @@ class Chunks(dict):
         self.stems: dict[str, bytes] = {"": b""}
         self[""] = b""
 
-    def _stem(self, chunk: str) -> tuple[str, str] | None:
-        """Stem and tail of a plain chunk in small letters, else None."""
-        small = chunk.lower()
-        stem = small.rstrip(self.TAIL)
-        # Latin-1 letters are composed, and their small letters are the library's.
-        return (stem, small[len(stem) :]) if len(stem) < 64 and stem.isalpha() and (chunk.isascii() or max(chunk) <= "ÿ") else None
+    def _plain(self, chunks: set[str]) -> tuple[list[str], list[str], list[str], list[str]]:
+        """Plain chunks, their stems and tails in small letters; and the other chunks."""
+        plain, stems, tails, rest = [], [], [], []
+        tail = self.TAIL
+        for chunk in chunks:
+            small = chunk.lower()
+            stem = small.rstrip(tail)
+            # Latin-1 letters are composed, and their small letters are the library's.
+            if stem.isalpha() and len(stem) < 64 and (chunk.isascii() or max(chunk) <= "ÿ"):
+                plain.append(chunk)
+                stems.append(stem)
+                tails.append(small[len(stem) :])
+            else:
+                rest.append(chunk)
+        return plain, stems, tails, rest
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
@@ -91,14 +100,13 @@ class Chunks(dict):
         if len(self.stems) > KEPT_STEMS:
             self.stems = {"": b""}
         missing = set().union(*parts) - self.keys()
-        plain = {w: s for w in missing if (s := self._stem(w))}
-        rest = [w for w in missing if w not in plain]
+        plain, own, tails, rest = self._plain(missing)
         self.update(zip(rest, self._each(rest), strict=True))
-        self._learn_stems(list({stem for stem, _ in plain.values()} - self.stems.keys()))
-        tails = list({tail for _, tail in plain.values()} - self.stems.keys())
-        self.stems.update(zip(tails, self._each(tails), strict=True))
-        stems = self.stems
-        self.update((w, stems[stem] + stems[tail]) for w, (stem, tail) in plain.items())
+        self._learn_stems(list(set(own) - self.stems.keys()))
+        fresh = list(set(tails) - self.stems.keys())
+        self.stems.update(zip(fresh, self._each(fresh), strict=True))
+        known = self.stems.__getitem__
+        self.update(zip(plain, map(operator.add, map(known, own), map(known, tails)), strict=True))
         for p in parts:
             yield b"".join(map(self.__getitem__, p))
 
