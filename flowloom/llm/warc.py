@@ -6,7 +6,8 @@ request and the metadata name the response or revisit in ``WARC-Concurrent-To``.
 writes them with Spark's text sink, record end as line end: any store works, and
 commits survive lost executors. ``read_archives`` parses whole files (plain or
 gzip, of one member or one a record) as a stream of chunks. ``assemble`` joins the
-three records of a capture on concurrent-to and emits one nested row.
+three records of a capture on concurrent-to and emits one nested row. The archives
+are read once; only what the headers and a digest of each payload say is moved.
 
 Of captures with equal payloads of at least ``LEAST_REVISIT`` bytes the one with
 the smallest (page_id, row) is the response; the others become revisits that refer
@@ -19,6 +20,8 @@ values lose line ends and outer spaces.
 
 from __future__ import annotations
 
+import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import looked_up, shared_path, small_batches, table, trimmed, written
+from flowloom.llm.common import looked_up, shared_path, small_batches, small_enough, table, trimmed, written
 
 LEAST_REVISIT = 100
-#: Records of one archive file.
-FILE_RECORDS = 15_000
+#: Bytes of records that an archive file holds on average, before it is packed.
+FILE_BYTES = 64 << 20
 SALTS = 32
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -65,7 +68,7 @@ def captures(pages: DataFrame) -> DataFrame:
     order = F.struct(F.col("page_id").isNull(), "page_id", "row")
     large = rows.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min_by("row", order).alias("first_row"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_row")
     first = looked_up(rows.select("row", "digest"), written(large, "payloads"), "digest", SALTS, "inner").where("row <> first_row").select("row", F.col("first_row").alias("refers_row"))
-    return rows.join(first, "row", "left")
+    return rows.join(F.broadcast(first) if small_enough(first, 32) else first, "row", "left")
 
 
 def records(rows: DataFrame) -> DataFrame:
@@ -99,7 +102,9 @@ def records(rows: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str) -> str:
     """Writes gzip archives of the captures of ``pages(page_id, url, html)`` to a folder."""
-    out = records(captures(pages)).write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS)
+    rows = captures(pages)
+    mean = rows.agg(F.avg("bytes")).first()[0] or 0
+    out = records(rows).write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", max(3, int(3 * FILE_BYTES / (mean + 1000))))
     out.mode("errorifexists").text(path)
     return path
 
@@ -126,6 +131,9 @@ def _inflated(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
         yield out
 
 
+_NO_BREAK = re.compile(rb"[^\r\n]")
+
+
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in small letters) and block of each record of an archive."""
     chunks, have = _inflated(raw), bytearray()
@@ -136,12 +144,11 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         return chunk is not None
 
     while True:
-        while not (have.lstrip(b"\r\n")) and more():
-            pass
-        while have[:1] in (b"\r", b"\n"):
-            del have[:1]
-        if not have:
-            return
+        while not (start := _NO_BREAK.search(have)):
+            have.clear()
+            if not more():
+                return
+        del have[: start.start()]
         while (end := have.find(b"\r\n\r\n")) < 0 and more():
             pass
         if end < 0 or not have.startswith(b"WARC/"):
@@ -169,13 +176,16 @@ _RECORD = [
     ("payload_digest", pa.string()),
     ("http_head", pa.string()),
     ("payload", pa.binary()),
+    ("payload_bytes", pa.int64()),
+    ("payload_sha256", pa.string()),
 ]
+_NAMES = {pa.string(): "string", pa.binary(): "binary", pa.int64(): "long"}
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record of all archives in a folder."""
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """One row a record of all archives in a folder; without ``payloads``, HTTP payloads are null but counted and digested."""
     small_batches(spark)
-    schema = ", ".join(f"{n} {'binary' if t == pa.binary() else 'string'}" for n, t in _RECORD)
+    schema = ", ".join(f"{n} {_NAMES[t]}" for n, t in _RECORD)
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _RECORD, strict=True)], names=[n for n, _ in _RECORD])
@@ -185,13 +195,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for raw in batch.column("content"):
                 rows, size = [], 0
                 for fields, block in parse(raw.as_py()):
-                    head, payload = "", block
-                    if fields.get("content-type", "").startswith("application/http"):
+                    head, payload, http = "", block, fields.get("content-type", "").startswith("application/http")
+                    if http:
                         first, gap, rest = block.partition(b"\r\n\r\n")
                         head, payload = (first + gap).decode("utf-8", "replace"), rest
                     get = fields.get
-                    rows.append((get("warc-record-id"), get("warc-type"), get("warc-concurrent-to"), get("warc-refers-to"), get("warc-target-uri"), get("warc-date"), get("warc-payload-digest"), head, payload))
-                    size += len(block)
+                    rows.append((get("warc-record-id"), get("warc-type"), get("warc-concurrent-to"), get("warc-refers-to"), get("warc-target-uri"), get("warc-date"), get("warc-payload-digest"), head, payload if payloads or not http else None, len(payload), hashlib.sha256(payload).hexdigest()))
+                    size += len(block) if payloads else len(head)
                     if size > 4 << 20 or len(rows) >= 2000:
                         yield packed(rows)
                         rows, size = [], 0
@@ -214,8 +224,8 @@ def assemble(rows: DataFrame) -> DataFrame:
     response = main.select(
         F.col("record_id").alias("concurrent_to"),
         F.struct("record_id", "warc_type", "target_uri", "warc_date", "refers_to_id", "http_head", "payload").alias("response"),
-        F.when(revisit, length.cast("long")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
-        F.when(revisit, F.regexp_replace("payload_digest", "^sha256:", "")).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
+        F.when(revisit, length.cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.regexp_replace("payload_digest", "^sha256:", "")).otherwise(F.col("payload_sha256")).alias("payload_digest"),
     )
     return response.join(side("request"), "concurrent_to", "left").join(side("metadata"), "concurrent_to", "left").withColumnRenamed("concurrent_to", "capture_id")
 
@@ -227,18 +237,22 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per page what its records in the archives say."""
+    """Per page what the three records of its capture say; ``n_records`` counts those that were found."""
     page = F.regexp_extract("metadata.fields", r"(?:^|\n)page-id: (-?\d+)\r\n", 1).try_cast("long")
-    rows = round_trip(table(spark, sf_dir, "pages")).select("capture_id", page.alias("page_id"), "payload_bytes", "payload_digest", F.col("response.warc_type").alias("record_type"), F.col("response.refers_to_id").alias("refers_id"))
+    archives = write_archives(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+    captures = assemble(written(read_archives(spark, archives, payloads=False), "records"))
+    host = F.regexp_extract("request.http_head", r"\r\nHost: ([^\r]*)", 1)
+    n = F.lit(1).cast("long") + F.col("request").isNotNull().cast("long") + F.col("metadata").isNotNull().cast("long")
+    rows = captures.select("capture_id", page.alias("page_id"), "payload_bytes", "payload_digest", F.col("response.warc_type").alias("record_type"), F.col("response.refers_to_id").alias("refers_id"), n.alias("n_records"), host.alias("request_host"))
     rows = written(rows, "warc-rows")
     # Only responses that are referred to are looked up, each by the salted copies of its row.
     asked = rows.where("refers_id is not null").select(F.col("refers_id").alias("capture_id")).distinct()
     named = rows.join(asked, "capture_id", "left_semi").select(F.col("capture_id").alias("refers_id"), F.col("page_id").alias("refers_to"))
-    return looked_up(rows.drop("capture_id"), named, "refers_id", SALTS).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return looked_up(rows.drop("capture_id"), named, "refers_id", SALTS).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_records", "request_host")
 
 
-OP2_SQL = f"""with p as (select page_id, coalesce(html, '') h from pages),
-d as (select page_id, strlen(h) n, sha256(h) s from p),
+OP2_SQL = f"""with p as (select page_id, coalesce(html, '') h, regexp_extract(trim(regexp_replace(coalesce(url, ''), '[\r\n]+', ' ', 'g')), '://([^/?#]*)', 1) host from pages),
+d as (select page_id, strlen(h) n, sha256(h) s, host from p),
 f as (select *, min(page_id) over (partition by s) first from d)
 select page_id, n::bigint payload_bytes, s payload_digest, case when n >= {LEAST_REVISIT} and page_id <> first then 'revisit' else 'response' end record_type,
-  case when n >= {LEAST_REVISIT} and page_id <> first then first end refers_to from f"""
+  case when n >= {LEAST_REVISIT} and page_id <> first then first end refers_to, 3::bigint n_records, host request_host from f"""
