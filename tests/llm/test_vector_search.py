@@ -37,6 +37,7 @@ def found(spark, rows, k=10):
 def test_recall_against_brute_force(spark, dim, monkeypatch):
     monkeypatch.setattr(v, "VECTORS", 300)
     monkeypatch.setattr(v, "QUERIES", 5)
+    monkeypatch.setattr(v, "small_batches", lambda spark: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "170"))
     rng = np.random.Generator(np.random.PCG64(dim))
     centres = rng.standard_normal((6, dim))
     rows = [(i, (centres[i % 6] + 0.3 * rng.standard_normal(dim)).astype(np.float32).tolist()) for i in range(2000)]
@@ -49,6 +50,17 @@ def test_recall_against_brute_force(spark, dim, monkeypatch):
         assert np.allclose([d for d, _ in got[q]], [d for d, _ in want[q]])
 
 
+@pytest.mark.parametrize("dim", [5, 64, 100])
+def test_bounds_from_bits_hold(dim):
+    rng = np.random.Generator(np.random.PCG64(dim))
+    x, q = rng.standard_normal((4000, dim)) + 0.5, rng.standard_normal((30, dim))
+    coder = v.Coder(x.mean(0))
+    about, least = coder.bounds(*coder.codes(x), q)
+    exact = ((q[:, None] - x[None]) ** 2).sum(2)
+    assert (least <= exact).mean() > 0.999
+    assert np.abs(about - exact).mean() < 3.5 * dim / np.sqrt(dim)  # a one-bit code's spread
+
+
 def test_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (100, [0.0, 0.0]), (200, None), (300, [float("nan"), 1.0]), (1, [1.0, None]), (2, [float("inf"), 0.0]), (None, [1.0, 1.0]), (3, [1.0, 0.0]), (4, [1.0, 0.0]), (400, [1.0, 1.0]), (5, [1.0, 2.0, 3.0]), (6, [])]
     assert found(spark, rows) == brute(rows)
