@@ -62,15 +62,40 @@ def with_rule(urls: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataFra
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): a page's address and each one that its html names as canonical or sends to."""
-    html = F.col("html")
+    html = F.regexp_replace("html", r"(?s)<!--.*?(-->|\z)", " ")
     attribute = lambda tag, name: F.regexp_extract(tag, f"""(?is)\\b{name}\\s*=\\s*["']?\\s*([^"'>\\s]+)""", 1)
     links = F.regexp_extract_all(html, F.lit(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), F.lit(0))
     metas = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), F.lit(0))
     targets = F.concat(F.transform(links, lambda x: attribute(x, "href")), F.transform(metas, lambda x: F.regexp_extract(x, r"""(?is)\burl\s*=\s*["']?\s*([^"'>\s]+)""", 1)))
-    some = pages.where(html.rlike("(?i)canonical|refresh")).select(F.col("url").alias("a"), F.explode(targets).alias("target")).where("target <> '' and a is not null")
-    site = F.regexp_extract("a", r"^[^:/?#]+://[^/?#]*", 0)
-    absolute = F.when(F.col("target").contains("://"), F.col("target")).when(F.col("target").startswith("/"), F.concat(site, F.col("target"))).otherwise(F.concat(F.regexp_extract("a", r"^[^:/?#]+://[^/?#]*(/([^?#]*/)?)?", 0), F.col("target")))
-    return some.select("a", absolute.alias("b"))
+    # Links come through entities; those of & alone are usual in addresses.
+    plain = F.transform(targets, lambda x: F.regexp_replace(x, "(?i)&(amp|#38|#x26);", "&"))
+    some = pages.where(F.col("html").rlike("(?i)canonical|refresh")).select(F.col("url").alias("a"), F.explode(plain).alias("target")).where("target <> '' and a is not null")
+    return some.select("a", resolved(F.col("a"), F.col("target")).alias("b"))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """A link's address as seen from ``base``: absolute, of the same scheme, site or folder, or of the page itself."""
+    scheme = F.regexp_extract(base, r"^[^:/?#]+:", 0)
+    site = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0)
+    page = F.regexp_extract(base, r"^[^?#]*", 0)
+    folder = F.when(page == site, F.concat(site, F.lit("/"))).otherwise(F.regexp_extract(page, r"^.*/", 0))
+    whole = (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(target.startswith("/"), F.concat(site, target))
+        .when(target.startswith("?"), F.concat(page, target))
+        .when(target.startswith("#"), F.concat(F.regexp_extract(base, "^[^#]*", 0), target))
+        .otherwise(F.concat(folder, target))
+    )
+    head = F.regexp_extract(whole, r"^[^:/?#]+://[^/?#]*", 0)
+    path = F.regexp_extract(F.substring(whole, F.char_length(head) + 1, F.char_length(whole)), r"^[^?#]*", 0)
+    rest = F.substring(whole, F.char_length(head) + F.char_length(path) + 1, F.char_length(whole))
+    parts = F.split(path, "/")
+    empty = F.expr("cast(array() as array<string>)")
+    # Segments "." and ".." are walked; a path that ends in one ends in a slash.
+    walk = F.aggregate(parts, empty, lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x))))
+    walked = F.concat(F.array_join(walk, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+    return F.when(path.contains("/."), F.concat(head, walked, rest)).otherwise(whole)
 
 
 def address(url: Column) -> Column:

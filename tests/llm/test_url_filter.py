@@ -65,6 +65,44 @@ def test_every_link_of_a_page_counts(spark):
     assert len(edges) == 8 and ("http://c.com/1", "http://e.org/fr/") in edges
 
 
+def test_links_resolve_like_in_a_browser(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.com", "http://a.com/", "https://A.com/x/y?q=/b/#f", "http://a.com/x/y/"]
+    targets = ["//b.net/y", "/go?u=http://b.net/", "z", "./z", "../z", "../../../z", "/a/./b/../c", "?q=1", "mailto:x@y", "z/..", "/p/.", "x?u=../y", "HTTPS://c.net/"]
+    frame = spark.createDataFrame([(b, t) for b in bases for t in targets], "b string, t string")
+    for r in frame.select("b", "t", u.resolved(frame.b, frame.t).alias("got")).collect():
+        want = urljoin(r.b, r.t)
+        assert r.got.lower() == want.lower() or r.got.lower() == want.lower() + "/" or (r.t == "../../../z" and r.got.endswith("/z")), (r, want)
+
+
+def test_comments_and_entities(spark):
+    link = lambda x: f"<link rel=canonical href='{x}'>"
+    pages = [(1, "http://a.com/1", f"<!-- {link('http://b.net/')} -->{link('http://a.com/q?x=1&amp;y=2')}"), (2, "http://a.com/2", link("//c.net/y")), (3, "http://a.com/3", "<!-- " + link("http://d.net/"))]
+    frame = spark.createDataFrame(pages, PAGES)
+    assert sorted((r.a, r.b) for r in u.alias_edges(frame).collect()) == [("http://a.com/1", "http://a.com/q?x=1&y=2"), ("http://a.com/2", "http://c.net/y")]
+    assert {r.page_id: r.verdict for r in u.filter_urls(frame).collect()} == {1: "allow", 2: "block", 3: "allow"}
+
+
+def test_random_aliases_against_brute_force(spark):
+    rng = random.Random(4)
+    urls = [f"http://{rng.choice(['a.com', 'b.net', 'example.net', 'x.org', 'example.com'])}/{rng.choice(['en', 'de', 'fr', 'zz'])}/{i}" for i in range(120)]
+    pages = [(i, x, f"<link rel='canonical' href='{rng.choice(urls)}'>" if rng.random() < 0.5 else None) for i, x in enumerate(urls)]
+    group = {x: {x} for x in urls}
+    for _, x, html in pages:
+        if html:
+            both = group[x] | group[html.split("href='")[1][:-2]]
+            for y in both:
+                group[y] = both
+    want = {}
+    for i, x, _ in pages:
+        own, others = fits(x), [fits(y) for y in group[x]]
+        others = {o[3] for o in others if o[2]}
+        want[i] = own[3] if own[2] else "allow" if "allow" in others else "block" if "block" in others else "allow"
+    got = {r.page_id: r.verdict for r in u.filter_urls(spark.createDataFrame(pages, PAGES)).collect()}
+    assert got == want and len(set(want.values())) == 2
+
+
 def test_empty(spark):
     assert u.filter_urls(spark.createDataFrame([], PAGES)).count() == 0
 
