@@ -1,7 +1,7 @@
 """Quality scores by positive-unlabelled learning.
 
-Trusted positives are training rows with label 1, the unlabelled rows a sample of
-the web text itself. A linear model minimises the non-negative unbiased risk
+Trusted positives are training rows with label 1, the unlabelled rows the
+web text itself. A linear model minimises the non-negative unbiased risk
 
     prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])
 
@@ -10,8 +10,12 @@ the class prior estimated first: the share of label 1 among the labelled trainin
 rows, or, if no row is labelled 0, from the scores of positives and unlabelled rows.
 
 Inputs of a score are of the text alone: shares of kinds of bytes and words, each
-also in bins, and hashed words. The model is fitted on at most ``POSITIVES`` and
-``UNLABELLED`` rows, chosen by a hash of doc_id; scores cover every whole text.
+also in bins, and hashed words. A first model, with the scale and the bins of the
+inputs, is fitted on at most ``POSITIVES`` and ``UNLABELLED`` rows, chosen by a hash of
+doc_id. From there, ``ALL_STEPS`` steps go over every unlabelled training row: each task
+sums the risk and its gradients over its rows, and what is kept is the model of least
+risk over all rows, never a worse one than the first. The trusted positives stay a
+sample of about ``POSITIVES`` labelled rows. Scores cover every whole text.
 
 Nulls: a null text counts as empty and has a score. Rows with a null label, doc_id
 or without text teach nothing. Without positives every score is one half. Of several
@@ -22,19 +26,22 @@ Equal texts have equal scores, and repeated rows each keep theirs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import kernels as k
-from flowloom.llm.common import _trim, mapped, small_batches, table, trimmed
+from flowloom.llm.common import _trim, deleted, mapped, shared_path, small_batches, table, tidy, trimmed
 
 #: Most rows of each kind that the model is fitted on, and the hashed words' dimensions.
 POSITIVES, UNLABELLED, WORDS = 6000, 12000, 1 << 12
 BINS, STEPS, RATE, DECAY = 8, 160, 0.05, 1e-4
+#: Steps over all rows, the first one's rate, and the number of sums that the tasks' sums are added up to.
+ALL_STEPS, ALL_RATE, SUMS = 8, 0.02, 256
 _SYMBOLS = b"*#$%&^~@=<>{}[]\\_+"
 _CLASSES = [np.isin(np.arange(256), list(x)) for x in (range(65, 91), range(97, 123), range(48, 58), b" ", b"\n\r\t", b"!", b"?", b"|", b".,;:", _SYMBOLS, b"'\"()-/", range(128, 256), range(0, 9))]
 _LAST = np.isin(np.arange(256), list(_SYMBOLS + b"!|"))
@@ -139,8 +146,10 @@ class Rows:
         return out
 
 
-def fit(dense: np.ndarray, words: Rows, positive: np.ndarray, prior: float | None) -> Model:
-    """Minimises the non-negative risk; rows where ``positive`` is false are unlabelled."""
+def fit(dense: np.ndarray, words: Rows, positive: np.ndarray, prior: float | None) -> Model | None:
+    """Minimises the non-negative risk; rows where ``positive`` is false are unlabelled. None without rows of both kinds."""
+    if not positive.any() or positive.all():
+        return None
     mean, scale = dense.mean(0), dense.std(0) + 1e-9
     edges = np.quantile(dense, np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T
     model = Model(mean, scale, edges, np.zeros(dense.shape[1] * (1 + BINS)), np.zeros(WORDS), 0.0, prior or 0.5)
@@ -181,8 +190,72 @@ def fit(dense: np.ndarray, words: Rows, positive: np.ndarray, prior: float | Non
     return model
 
 
+def sums(model: Model, dense: np.ndarray, words: Rows, positive: np.ndarray) -> np.ndarray:
+    """What the risk and its gradient are made of, as one vector that adds up over rows; every row is unlabelled too."""
+    x = model.expand(dense)
+    g = x @ model.dense + words.times(model.words) + model.bias
+    s, soft, p = 1 / (1 + np.exp(-np.clip(g, -50, 50))), np.logaddexp(0, g), positive.astype(float)
+    slopes = [np.concatenate([x.T @ d, words.back(d), [d.sum()]]) for d in (s, p * s, p)]
+    return np.concatenate([[len(g), p.sum(), soft.sum(), p @ soft, p @ (soft - g)], *slopes])
+
+
+def risk(total: np.ndarray, share: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk by the sums of all rows, and the direction to descend in, reversed where it clips."""
+    n, n_p, all_neg, p_neg, p_pos = total[:5]
+    all_slope, p_slope, p_count = total[5:].reshape(3, -1)
+    rest = all_neg / n - share * p_neg / n_p
+    if rest >= 0:
+        return share * p_pos / n_p + rest, all_slope / n - share * p_count / n_p
+    return share * p_pos / n_p, share * p_slope / n_p - all_slope / n
+
+
+def totals(model: Model, rows: DataFrame) -> np.ndarray:
+    """``sums`` over all rows of ``_featured``: added up in each task, then in ``SUMS`` groups of tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = None
+        for batch in batches:
+            if batch.num_rows:
+                own = sums(model, *_unpacked(batch), batch.column("label").to_numpy() == 1)
+                found = own if found is None else found + own
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([found.tobytes()], pa.binary())], names=["part", "sums"])
+
+    def added(group: pa.Table) -> pa.Table:
+        one = sum(np.frombuffer(x.as_py()) for x in group["sums"])
+        return pa.table({"part": group["part"].slice(0, 1), "sums": pa.array([one.tobytes()], pa.binary())})
+
+    schema = "part int, sums binary"
+    found = rows.select("label", "dense", "words", "value").mapInArrow(trimmed(run), schema).groupBy("part").applyInArrow(tidy(added), schema)
+    return sum(np.frombuffer(x.as_py()) for x in found.sort("part").toArrow()["sums"])
+
+
+def refined(start: Model, rows: DataFrame) -> Model:
+    """From ``start``, steps over all rows; of the models met, the one of least risk over all rows."""
+    w = np.concatenate([start.dense, start.words, [start.bias]])
+    of = lambda w: replace(start, dense=w[: len(start.dense)], words=w[len(start.dense) : -1], bias=float(w[-1]))
+    best, least = start, np.inf
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, ALL_STEPS + 2):
+        value, slope = risk(totals(of(w), rows), start.prior)
+        value += DECAY / 2 * (w[:-1] @ w[:-1])
+        if value < least:
+            best, least = of(w), value
+        slope[:-1] += DECAY * w[:-1]
+        m += 0.3 * (slope - m)
+        v += 0.1 * (slope * slope - v)
+        w = w - ALL_RATE / step**0.5 * (m / (1 - 0.7**step)) / (np.sqrt(v / (1 - 0.9**step)) + 1e-8)
+    return best
+
+
+def _unpacked(found: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, Rows]:
+    joined = lambda c, kind: np.frombuffer(b"".join(found.column(c).to_pylist()), kind)
+    size = np.array([len(x) // 2 for x in found.column("words").to_pylist()], np.int64)
+    return joined("dense", np.float64).reshape(found.num_rows, -1), Rows(joined("words", np.uint16), joined("value", np.float32), size)
+
+
 def _featured(rows: DataFrame) -> DataFrame:
-    """Features of sampled rows, to be fitted on: dense ones, distinct hashed words and their weights, as bytes."""
+    """Features of training rows, to be fitted on: dense ones, distinct hashed words and their weights, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,23 +294,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     prior = count[1] / (count[1] + count[0]) if count.get(0) else None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").where(~held_out())
-    total = texts.select("doc_id").count()
     chance = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
     taken = lambda rows, most, of: rows.where(chance < int(min(1.0, most / max(of, 1)) * (1 << 30)))
     trusted = taken(known.where("label = 1"), POSITIVES, count[1])  # a bounded set of ids
-    positive = texts.join(F.broadcast(trusted), "doc_id")
-    other = taken(texts, UNLABELLED, total).withColumn("label", F.lit(0))
-    sampled = ["doc_id", "text", "label", chance.alias("chance")]
-    found = _bounded(_featured(positive.select(*sampled).union(other.select(*sampled))).toArrow())
-    label = found["label"].to_numpy()
-    if not label.any() or label.all():
-        return None
-    joined = lambda c, kind: np.frombuffer(b"".join(found[c].to_pylist()), kind)
-    dense = joined("dense", np.float64).reshape(len(label), -1)
-    words = Rows(joined("words", np.uint16), joined("value", np.float32), np.array([len(x) // 2 for x in found["words"].to_pylist()]))
+    marked = texts.join(F.broadcast(trusted), "doc_id", "left").select("doc_id", "text", F.coalesce("label", F.lit(0)).alias("label"), chance.alias("chance"))
+    path = shared_path(docs.sparkSession, "features")
+    _featured(marked).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    sample = rows.where("label = 1").union(taken(rows, UNLABELLED, rows.count()).withColumn("label", F.lit(0)))
+    found = _bounded(sample.toArrow())
+    model = fit(*_unpacked(found), found["label"].to_numpy() == 1, prior) if found.num_rows else None
     del found
-    model = fit(dense, words, label == 1, prior)
-    del dense, words
+    if model is not None:
+        model = refined(model, rows)
+    deleted(docs.sparkSession, path)
     _trim()
     return model
 

@@ -82,3 +82,78 @@ def test_score_is_of_the_text_alone():
     whole = q.features(*k.texts(pa.array(texts)))[0]
     for i, t in enumerate(texts):
         assert np.allclose(q.features(*k.texts(pa.array([t], pa.string())))[0][0], whole[i])
+
+
+def plain_risk(model, texts, positive, share):
+    """The risk and its two parts, text by text from the definition."""
+    from flowloom.llm import kernels as k
+    import pyarrow as pa
+
+    g = np.array([model.margin(*q.features(*k.texts(pa.array([t]))))[0] for t in texts])
+    pos, neg = np.log(1 + np.exp(-g)), np.log(1 + np.exp(g))
+    rest = neg.mean() - share * neg[positive].mean()
+    return share * pos[positive].mean() + max(0.0, rest), rest
+
+
+def random_model(rng, texts, size):
+    from flowloom.llm import kernels as k
+    import pyarrow as pa
+
+    dense, _, _ = q.features(*k.texts(pa.array(texts)))
+    edges = np.quantile(dense, np.linspace(0, 1, q.BINS + 2)[1:-1], axis=0).T
+    n = dense.shape[1]
+    return q.Model(dense.mean(0), dense.std(0) + 1e-9, edges, size * rng.normal(size=n * (1 + q.BINS)), size * rng.normal(size=q.WORDS), 0.1, 0.4)
+
+
+def test_risk_over_all_rows_by_brute_force(spark, small):
+    from dataclasses import replace
+
+    rng = np.random.default_rng(3)
+    texts = [r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    positive = np.arange(len(texts)) % 3 == 0
+    texts = [t + " zebra" * 30 * int(p) for t, p in zip(texts, positive)]
+    zebra = int(q.features(np.frombuffer(b"zebra", np.uint8), np.array([0, 5]))[1][0])
+    frame = spark.createDataFrame([(i, t, int(p), i) for i, (t, p) in enumerate(zip(texts, positive.tolist()))], "doc_id long, text string, label int, chance long").repartition(5)
+    rows = q._featured(frame)
+    clipped = set()
+    for size, weight in ((0.02, 0.0), (0.05, 0.0), (0.02, 20.0)):
+        model = random_model(rng, texts, size)
+        model.words[zebra] += weight  # positives alone score high, so that the rest falls below 0
+        for share in (0.3, 0.95):
+            value, slope = q.risk(q.totals(model, rows), share)
+            want, rest = plain_risk(model, texts, positive, share)
+            assert np.isclose(value, want, rtol=1e-5)
+            clipped.add(bool(rest < 0))
+            for i in (0, 7, int(np.argmax(np.abs(slope[:-1])))):  # slopes by differences
+                ends = []
+                for move in (-1e-4, 1e-4):
+                    dense, words = model.dense.copy(), model.words.copy()
+                    part, at = (dense, i) if i < len(dense) else (words, i - len(dense))
+                    part[at] += move
+                    a, b = plain_risk(replace(model, dense=dense, words=words), texts, positive, share)
+                    ends.append(-b if rest < 0 else a)  # where it clips, the rest goes up again
+                assert np.isclose((ends[1] - ends[0]) / 2e-4, slope[i], rtol=1e-3, atol=1e-5)
+    assert clipped == {False, True}
+
+
+def test_steps_go_over_all_rows_and_never_raise_the_risk(spark, small, monkeypatch):
+    texts = [r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    frame = spark.createDataFrame([(i, t, int(i % 2 == 0), i) for i, t in enumerate(texts)], "doc_id long, text string, label int, chance long")
+    rows = q._featured(frame.repartition(3))
+    start = random_model(np.random.default_rng(5), texts, 0.01)
+    seen, plain = [], q.totals
+    monkeypatch.setattr(q, "totals", lambda model, rows: seen.append(plain(model, rows)) or seen[-1])
+    end = q.refined(start, rows)
+    assert len(seen) == q.ALL_STEPS + 1 and {x[0] for x in seen} == {len(texts)}
+    weight = lambda m: q.DECAY / 2 * (m.dense @ m.dense + m.words @ m.words)
+    assert q.risk(plain(end, rows), 0.4)[0] + weight(end) < q.risk(seen[0], 0.4)[0] + weight(start)
+
+
+def test_features_are_deleted_after_training(spark, small):
+    import os
+
+    from flowloom.llm import common
+
+    q.train(spark.read.parquet(f"{small}/documents.parquet"), q.quality_labels(spark, small))
+    at = f"{common.shared_dir(spark)}/flowloom".removeprefix("file:")
+    assert not os.path.isdir(at) or not [x for x in os.listdir(at) if x.startswith("features")]
