@@ -259,15 +259,16 @@ def _featured(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = k.texts(batch.column("text"))
-            dense, words, first = features(data, offsets)
-            size = np.diff(first)
-            key, count = np.unique(np.repeat(np.arange(len(size)), size) * WORDS + words, return_counts=True)
-            at = np.searchsorted(key, np.arange(len(size) + 1) * WORDS)
-            flat = (key % WORDS).astype(np.uint16)
-            value = (count / np.sqrt(np.maximum(size, 1))[key // WORDS]).astype(np.float32)
-            packed = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "label", "chance")), pa.array([x.tobytes() for x in dense], pa.binary()), packed(flat), packed(value)], names=["doc_id", "label", "chance", "dense", "words", "value"])
+            for i, j, data, offsets in k.slabs(*k.texts(batch.column("text"))):
+                dense, words, first = features(data, offsets)
+                size = np.diff(first)
+                key, count = np.unique(np.repeat(np.arange(len(size)), size) * WORDS + words, return_counts=True)
+                at = np.searchsorted(key, np.arange(len(size) + 1) * WORDS)
+                flat = (key % WORDS).astype(np.uint16)
+                value = (count / np.sqrt(np.maximum(size, 1))[key // WORDS]).astype(np.float32)
+                packed = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())  # noqa: B023, E731
+                kept = [batch.column(c).slice(i, j - i) for c in ("doc_id", "label", "chance")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([x.tobytes() for x in dense], pa.binary()), packed(flat), packed(value)], names=["doc_id", "label", "chance", "dense", "words", "value"])
 
     return rows.mapInArrow(trimmed(run), "doc_id long, label int, chance long, dense binary, words binary, value binary")
 
