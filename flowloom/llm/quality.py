@@ -12,10 +12,10 @@ rows, or, if no row is labelled 0, from the scores of positives and unlabelled r
 Inputs of a score are of the text alone: shares of kinds of bytes and words, each
 also in bins, and hashed words. A first model, with the scale and the bins of the
 inputs, is fitted on at most ``POSITIVES`` and ``UNLABELLED`` rows, chosen by a hash of
-doc_id. From there, ``ALL_STEPS`` steps go over every unlabelled training row: each task
-sums the risk and its gradients over its rows, and what is kept is the model of least
-risk over all rows, never a worse one than the first. The trusted positives stay a
-sample of about ``POSITIVES`` labelled rows. Scores cover every whole text.
+doc_id. From there, ``ALL_STEPS`` steps go over every unlabelled training row and every
+trusted positive: each task sums the risk and its gradients over its rows, and what is
+kept is the model of least risk over all rows, never a worse one than the first. Scores
+cover every whole text.
 
 Nulls: a null text counts as empty and has a score. Rows with a null label, doc_id
 or without text teach nothing. Without positives every score is one half. Of several
@@ -255,7 +255,8 @@ def _unpacked(found: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, Rows]:
 
 
 def _featured(rows: DataFrame) -> DataFrame:
-    """Features of training rows, to be fitted on: dense ones, distinct hashed words and their weights, as bytes."""
+    """Features of training rows, to be fitted on: dense ones, distinct hashed words and their weights, as bytes. Other columns than the text stay."""
+    others = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,10 +268,11 @@ def _featured(rows: DataFrame) -> DataFrame:
                 flat = (key % WORDS).astype(np.uint16)
                 value = (count / np.sqrt(np.maximum(size, 1))[key // WORDS]).astype(np.float32)
                 packed = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())  # noqa: B023, E731
-                kept = [batch.column(c).slice(i, j - i) for c in ("doc_id", "label", "chance")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([x.tobytes() for x in dense], pa.binary()), packed(flat), packed(value)], names=["doc_id", "label", "chance", "dense", "words", "value"])
+                kept = [batch.column(c).slice(i, j - i) for c in others]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([x.tobytes() for x in dense], pa.binary()), packed(flat), packed(value)], names=[*others, "dense", "words", "value"])
 
-    return rows.mapInArrow(trimmed(run), "doc_id long, label int, chance long, dense binary, words binary, value binary")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(trimmed(run), ", ".join([*(f"{c} {kinds[c]}" for c in others), "dense binary, words binary, value binary"]))
 
 
 def _bounded(found: pa.Table) -> pa.Table:
@@ -297,12 +299,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").where(~held_out())
     chance = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
     taken = lambda rows, most, of: rows.where(chance < int(min(1.0, most / max(of, 1)) * (1 << 30)))
-    trusted = taken(known.where("label = 1"), POSITIVES, count[1])  # a bounded set of ids
-    marked = texts.join(F.broadcast(trusted), "doc_id", "left").select("doc_id", "text", F.coalesce("label", F.lit(0)).alias("label"), chance.alias("chance"))
+    marked = _featured(texts.withColumn("chance", chance)).join(known.where("label = 1"), "doc_id", "left")  # texts are not shuffled
     path = shared_path(docs.sparkSession, "features")
-    _featured(marked).write.parquet(path)
+    marked.select("doc_id", F.coalesce("label", F.lit(0)).alias("label"), "chance", "dense", "words", "value").write.parquet(path)
     rows = docs.sparkSession.read.parquet(path)
-    sample = rows.where("label = 1").union(taken(rows, UNLABELLED, rows.count()).withColumn("label", F.lit(0)))
+    sample = taken(rows.where("label = 1"), POSITIVES, count[1]).union(taken(rows, UNLABELLED, rows.count()).withColumn("label", F.lit(0)))
     found = _bounded(sample.toArrow())
     model = fit(*_unpacked(found), found["label"].to_numpy() == 1, prior) if found.num_rows else None
     del found

@@ -157,3 +157,16 @@ def test_features_are_deleted_after_training(spark, small):
     q.train(spark.read.parquet(f"{small}/documents.parquet"), q.quality_labels(spark, small))
     at = f"{common.shared_dir(spark)}/flowloom".removeprefix("file:")
     assert not os.path.isdir(at) or not [x for x in os.listdir(at) if x.startswith("features")]
+
+
+def test_steps_go_over_every_trusted_positive(spark, small, monkeypatch):
+    monkeypatch.setattr(q, "POSITIVES", 40)
+    monkeypatch.setattr(q, "ALL_STEPS", 1)
+    frame, labels = spark.read.parquet(f"{small}/documents.parquet"), q.quality_labels(spark, small)
+    positives, sampled = [], []
+    monkeypatch.setattr(q, "risk", lambda total, share, old=q.risk: positives.append(total[1]) or old(total, share))
+    monkeypatch.setattr(q, "fit", lambda dense, words, positive, prior, old=q.fit: sampled.append(positive.sum()) or old(dense, words, positive, prior))
+    assert q.train(frame, labels) is not None
+    every = frame.where("text is not null").join(labels.where("label = 1"), "doc_id").where(~q.held_out()).count()
+    assert 0 < sampled[0] <= 40 < every
+    assert positives == [every, every]
