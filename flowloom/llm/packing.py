@@ -21,6 +21,7 @@ from __future__ import annotations
 import operator
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ SIZE = 4096
 END = 1
 #: Buckets in which ranks of one length are counted.
 SALTS = 64
-#: White-space chunks and their stems kept with their ids in a worker; beyond, a table starts anew.
+#: White-space chunks and their stems kept with their ids in a worker; beyond, a table starts anew with those of the batch at hand.
 KEPT, KEPT_STEMS = 300_000, 300_000
 
 
@@ -94,13 +95,15 @@ class Chunks(dict):
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        used = set().union(*parts)
         if len(self) > KEPT:
+            kept = {c: self[c] for c in used if c in self}
             self.clear()
-            self[""] = b""
-        if len(self.stems) > KEPT_STEMS:
-            self.stems = {"": b""}
-        missing = set().union(*parts) - self.keys()
+            self.update(kept)
+        missing = set(filterfalse(self.__contains__, used))
         plain, own, tails, rest = self._plain(missing)
+        if len(self.stems) > KEPT_STEMS:
+            self.stems = {w: self.stems[w] for w in {"", *own, *tails} if w in self.stems}
         self.update(zip(rest, self._each(rest), strict=True))
         self._learn_stems(list(set(own) - self.stems.keys()))
         fresh = list(set(tails) - self.stems.keys())

@@ -98,3 +98,19 @@ def test_null_id(spark):
     frame = spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")
     rows = p.pack(frame, p.word_model()).collect()
     assert len(rows) == 2 and check_places(rows) == 1
+
+
+def test_full_tables_keep_what_a_batch_needs(monkeypatch):
+    known = p.Chunks(p.word_model())
+    texts = ["one two, three; ONE (two) three:", "four five! 6 seven?", None]
+    learnt = []
+    for name in ("_learn_stems", "_each"):
+        monkeypatch.setattr(known, name, lambda words, old=getattr(known, name): learnt.extend(words) or old(words))
+    first = list(known.ids(texts))
+    assert learnt
+    monkeypatch.setattr(p, "KEPT", 3)
+    monkeypatch.setattr(p, "KEPT_STEMS", 3)
+    learnt.clear()
+    assert list(known.ids(texts)) == first and not learnt  # the same batch again
+    other = list(known.ids(["eight nine, two;"]))
+    assert len(known) <= 6 and other == list(p.Chunks(p.word_model()).ids(["eight nine, two;"]))
