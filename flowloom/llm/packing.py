@@ -18,13 +18,13 @@ not exist, as pieces are cut.
 
 from __future__ import annotations
 
-import operator
+import itertools
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +35,23 @@ SIZE = 4096
 END = 1
 #: Buckets in which ranks of one length are counted.
 SALTS = 64
-#: White-space chunks and their stems kept with their ids in a worker; beyond, a table starts anew with those of the batch at hand.
+#: Other chunks, and stems, kept with their ids in a worker; beyond, a table starts anew with those of the batch at hand.
 KEPT, KEPT_STEMS = 300_000, 300_000
+#: Runs of ids gathered at once: bounds what very long texts take.
+SLAB = 1 << 16
+
+
+def _gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``pool`` that ``numbers`` name, one behind the other; and where each begins, with the end of all."""
+    edges = np.zeros(len(numbers) + 1, np.int64)
+    np.cumsum(lengths[numbers], out=edges[1:])
+    out = np.empty(edges[-1], pool.dtype)
+    for i in range(0, len(numbers), SLAB):
+        own, to = numbers[i : i + SLAB], edges[i : i + SLAB + 1]
+        at = np.repeat(starts[own] - to[:-1], lengths[own])
+        at += np.arange(to[0], to[-1])
+        out[to[0] : to[-1]] = pool[at]
+    return out, edges
 
 
 class Chunks(dict):
@@ -44,12 +59,18 @@ class Chunks(dict):
 
     The tokenizer drops white space and never merges across it, and no rule of its
     normaliser or splitter looks beyond it, so a text's ids are its chunks' ids.
-    Likewise a chunk of letters and then marks of ``TAIL`` is two pre-tokens. Stems
-    that are not known yet are encoded many to a text and parted at the tokens that
-    end a word, which each pre-token's last one is and no other.
+    Likewise a plain chunk, one of letters and then marks of ``TAIL``, is two
+    pre-tokens. Stems that are not known yet are encoded many to a text and parted
+    at the tokens that end a word, which each pre-token's last one is and no other.
+
+    Arrow parts the texts of a batch and numbers their chunks, stems and tails; only
+    different stems and tails, and other chunks, are looked up one by one. Stems and
+    tails have their ids in ``stems``, other chunks here.
     """
 
     TAIL = ".,;:!?*#$%&|"
+    #: Latin-1 letters are composed, and their small letters are the library's.
+    LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -63,21 +84,12 @@ class Chunks(dict):
         self.stems: dict[str, bytes] = {"": b""}
         self[""] = b""
 
-    def _plain(self, chunks: set[str]) -> tuple[list[str], list[str], list[str], list[str]]:
-        """Plain chunks, their stems and tails in small letters; and the other chunks."""
-        plain, stems, tails, rest = [], [], [], []
-        tail = self.TAIL
-        for chunk in chunks:
-            small = chunk.lower()
-            stem = small.rstrip(tail)
-            # Latin-1 letters are composed, and their small letters are the library's.
-            if stem.isalpha() and len(stem) < 64 and (chunk.isascii() or max(chunk) <= "ÿ"):
-                plain.append(chunk)
-                stems.append(stem)
-                tails.append(small[len(stem) :])
-            else:
-                rest.append(chunk)
-        return plain, stems, tails, rest
+    def _plain(self, chunks: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Which chunks are plain; the stems of these in small letters, and their tails."""
+        tails, stems = pc.utf8_ltrim(chunks, self.LETTERS), pc.ascii_rtrim(chunks, self.TAIL)
+        size = pc.utf8_length(stems)
+        plain = pc.and_(pc.equal(pc.ascii_rtrim(tails, self.TAIL), ""), pc.and_(pc.greater(size, 0), pc.less(size, 64)))
+        return plain, pc.utf8_lower(stems.filter(plain)), tails.filter(plain)
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
@@ -93,25 +105,50 @@ class Chunks(dict):
             else:
                 self.stems.update(zip(group, self._each(group), strict=True))
 
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        used = set().union(*parts)
+    def _looked_up(self, own: list[str], tails: list[str], rest: list[str]) -> list[bytes]:
+        """Ids of stems, tails and other chunks, one behind the other; new ones are learnt."""
         if len(self) > KEPT:
-            kept = {c: self[c] for c in used if c in self}
+            kept = {c: self[c] for c in ("", *rest) if c in self}
             self.clear()
             self.update(kept)
-        missing = set(filterfalse(self.__contains__, used))
-        plain, own, tails, rest = self._plain(missing)
         if len(self.stems) > KEPT_STEMS:
-            self.stems = {w: self.stems[w] for w in {"", *own, *tails} if w in self.stems}
-        self.update(zip(rest, self._each(rest), strict=True))
-        self._learn_stems(list(set(own) - self.stems.keys()))
-        fresh = list(set(tails) - self.stems.keys())
-        self.stems.update(zip(fresh, self._each(fresh), strict=True))
-        known = self.stems.__getitem__
-        self.update(zip(plain, map(operator.add, map(known, own), map(known, tails)), strict=True))
-        for p in parts:
-            yield b"".join(map(self.__getitem__, p))
+            self.stems = {w: self.stems[w] for w in itertools.chain([""], own, tails) if w in self.stems}
+        new = list(itertools.filterfalse(self.__contains__, rest))
+        self.update(zip(new, self._each(new), strict=True))
+        self._learn_stems(list(itertools.filterfalse(self.stems.__contains__, own)))
+        new = list(itertools.filterfalse(self.stems.__contains__, tails))
+        self.stems.update(zip(new, self._each(new), strict=True))
+        return [*map(self.stems.__getitem__, own), *map(self.stems.__getitem__, tails), *map(self.__getitem__, rest)]
+
+    def _pool(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``chunks``, one behind the other; and where each begins, with the end of all."""
+        plain, own, tails = self._plain(chunks)
+        own, tails, rest = own.dictionary_encode(), tails.dictionary_encode(), chunks.filter(pc.invert(plain))
+        found = [b"", *self._looked_up(*(_strings(x) for x in (own.dictionary, tails.dictionary, rest)))]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        plain = plain.to_numpy(zero_copy_only=False)
+        parts = np.zeros((len(chunks), 2), np.int64)  # of each chunk: its stem and tail, or itself and nothing
+        first = 1 + len(own.dictionary)
+        parts[plain, 0] = own.indices.to_numpy() + 1
+        parts[plain, 1] = tails.indices.to_numpy() + first
+        parts[~plain, 0] = np.arange(len(rest)) + first + len(tails.dictionary)
+        ids, edges = _gathered(np.frombuffer(b"".join(found), "<u4"), np.cumsum(lengths) - lengths, lengths, parts.ravel())
+        return ids, edges[::2]
+
+    def ids(self, texts: pa.Array | list[str | None]) -> Iterator[bytes]:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        parts = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        chunks = parts.flatten().dictionary_encode()
+        pool, at = self._pool(chunks.dictionary)
+        ids, edges = _gathered(pool, at[:-1], np.diff(at), chunks.indices.to_numpy())
+        ends = edges[np.cumsum(pc.list_value_length(parts).to_numpy())].tolist()
+        for a, b in itertools.pairwise([0, *ends]):
+            yield ids[a:b].tobytes()
+
+
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
 
 
 _held: dict[str, Chunks] = {}
@@ -133,7 +170,7 @@ def pieces(docs: DataFrame, file: str, size: int = SIZE, end: int = END) -> Data
         known = chunks(file)
         for batch in batches:
             out: list[tuple] = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), known.ids(batch.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), known.ids(batch.column("text")), strict=True):
                 ids += last
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
@@ -142,7 +179,7 @@ def pieces(docs: DataFrame, file: str, size: int = SIZE, end: int = END) -> Data
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return kept.mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from flowloom.llm import packing as p
@@ -114,3 +115,36 @@ def test_full_tables_keep_what_a_batch_needs(monkeypatch):
     assert list(known.ids(texts)) == first and not learnt  # the same batch again
     other = list(known.ids(["eight nine, two;"]))
     assert len(known) <= 6 and other == list(p.Chunks(p.word_model()).ids(["eight nine, two;"]))
+
+
+def test_repeated_chunks_are_looked_up_once_a_batch():
+    asked = []
+
+    class Counting(dict):
+        def __getitem__(self, key):
+            asked.append(key)
+            return dict.__getitem__(self, key)
+
+    class Known(p.Chunks):
+        __getitem__ = Counting.__getitem__
+
+    texts = ["One two, (three) " * 500, None, "", "two,\nONE one. (three)" * 20]
+    known = Known(p.word_model())
+    known.stems = Counting(known.stems)
+    asked.clear()
+    got = [np.frombuffer(x, "<u4").tolist() for x in known.ids(texts)]
+    assert got == [known.model.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert 0 < len(asked) < 30  # of 1,560 chunks
+
+
+@pytest.mark.parametrize("slab", [1, 7, 1 << 16])
+def test_chunks_are_gathered_as_the_library_has_them(monkeypatch, slab):
+    monkeypatch.setattr(p, "SLAB", slab)
+    rng = random.Random(slab)
+    parts = [*p.Chunks.LETTERS, *p.Chunks.TAIL, *"  \n\n\t\r\0\xa0\u0301ßŸĀ'-(<>0", "it's", "Wort", "x" * 63, "<|endoftext|>"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(300)]
+    known = p.Chunks(p.word_model())
+    want = [known.model.encode(t, add_special_tokens=False).ids for t in texts]
+    for some in (slice(0, 150), slice(150, None), slice(0, 0), slice(None)):
+        assert [np.frombuffer(x, "<u4").tolist() for x in known.ids(pa.array(texts)[some])] == want[some]
+    assert list(known.ids([None, ""])) == [b"", b""]
