@@ -26,8 +26,10 @@ its classes are neither looked for nor counted.
 4. Verification compares whole sets. Those of a component lie in shards of bounded
    size, each indexed by one task, and classes outside stream by.
 
-Hashes have 64 bits: for n documents a wrong merge of classes has a chance of about
-n^2 / 2^65.
+Words, shingles and classes are named by hashes of 64 bits over mixed blocks. Sets that
+share a class's number are told apart by a second one of 64 bits, and all but one of them get
+another class: n documents merge wrongly with a chance of about n^2 / 2^129, and n distinct words
+with one of n^2 / 2^65.
 
 Nulls: a null or empty text has the empty set, which links with nothing; its
 component is its own doc_id. An empty table has no rows. A null doc_id is kept, and is the component only where
@@ -80,7 +82,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     for _, _, slab, at in k.slabs(data, offsets):
         small = k.LOWER[slab]
         start, end, first = k.words(small, at)
-        word = k.range_hash(k.prefix_sums(small), start, end) if len(start) else np.zeros(0, _U)
+        word = k.range_hash(small, start, end)
         n = len(word)
         grams = np.zeros(max(0, n - size + 1), _U)
         for j in range(size if len(grams) else 0):
@@ -98,32 +100,45 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
                 yield np.zeros(0, _U)
 
 
-def fingerprint(grams: np.ndarray) -> int:
-    """A signed 64-bit number of a set; 0 only for the empty one."""
+def fingerprint(grams: np.ndarray, clashes: dict[int, int] | None = None) -> int:
+    """A signed 64-bit number of a set; 0 only for the empty one.
+
+    ``clashes``: of numbers that several sets share, the second number of the set that keeps it.
+    """
     if not len(grams):
         return 0
-    total = k.mix(grams).sum(dtype=_U, keepdims=True)  # arrays wrap around without a warning
+    mixed = k.mix(grams)
+    total = mixed.sum(dtype=_U, keepdims=True)  # arrays wrap around without a warning
     x = k.mix((grams * _K).sum(dtype=_U, keepdims=True) ^ total * _U(3) + _U(len(grams)))
-    return int(x.view(np.int64)[0]) or 1
+    own = int(x.view(np.int64)[0]) or 1
+    if clashes and own in clashes and (other := second(grams)) != clashes[own]:
+        return int(k.mix(x ^ np.array([other]).view(_U)).view(np.int64)[0]) or 1
+    return own
+
+
+def second(grams: np.ndarray) -> int:
+    """Another number of a set, independent of ``fingerprint``."""
+    x = k.mix(grams ^ _U(0x5851F42D4C957F2D))
+    return int(k.mix(x.sum(dtype=_U, keepdims=True) ^ (x * _K).sum(dtype=_U, keepdims=True) * _U(5)).view(np.int64)[0])
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     return shingle_sets(*k.texts(batch.column("text")))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: documents (doc_id, key, n, class), and slices of the partition's sketch."""
+def fingerprints(docs: DataFrame, clashes: dict[int, int] | None = None) -> DataFrame:
+    """Rows of two kinds: documents (doc_id, key, n, class, second), and slices of the partition's sketch."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "key", "n", "class", "slice", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "key", "n", "class", "second", "slice", "counts"]
+        kinds = [*[pa.int64()] * 5, pa.int32(), pa.binary()]
         sketch, seen = np.zeros(SKETCH, np.uint32), set()
         for batch in batches:
             rows, fresh = [], []
             for doc, key, grams in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), _sets(batch), strict=True):
-                c = fingerprint(grams)
-                rows.append((doc, key, len(grams), c))
+                c = fingerprint(grams, clashes)
+                rows.append((doc, key, len(grams), c, second(grams)))
                 if c not in seen:  # copies count once in a partition
                     seen.add(c)
                     fresh.append(grams)
@@ -134,10 +149,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         if seen:
             parts = sketch.astype("<u4").reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, t) for t in kinds[:4]] + [pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, t) for t in kinds[:5]] + [pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=names)
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
-    return named.mapInArrow(trimmed(run), "doc_id long, key long, n long, class long, slice int, counts binary")
+    return named.mapInArrow(trimmed(run), "doc_id long, key long, n long, class long, second long, slice int, counts binary")
 
 
 def summed_sketch(slices: DataFrame) -> np.ndarray:
@@ -241,7 +256,7 @@ def _bodies(bucket: np.ndarray, kind: int, rows: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def postings(docs: DataFrame, sketch: np.ndarray, parts: int) -> DataFrame:
+def postings(docs: DataFrame, sketch: np.ndarray, parts: int, clashes: dict[int, int] | None = None) -> DataFrame:
     """(bucket, kind, body): prefix tokens (0), and what is known of their classes (1), packed."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(sketch)  # of fixed size
@@ -277,7 +292,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, parts: int) -> DataFrame:
 
         for batch in batches:
             for grams in _sets(batch):
-                c = fingerprint(grams)
+                c = fingerprint(grams, clashes)
                 if not c or c in seen:
                     continue
                 seen.add(c)
@@ -620,7 +635,7 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def class_sets(docs: DataFrame, able: DataFrame, classes: DataFrame) -> DataFrame:
+def class_sets(docs: DataFrame, able: DataFrame, classes: DataFrame, clashes: dict[int, int] | None = None) -> DataFrame:
     """(class, grams): the sets of eligible classes, from the text of the class's least id.
 
     Texts stay where they are: a filter of fixed size picks those with such an id (and
@@ -637,7 +652,7 @@ def class_sets(docs: DataFrame, able: DataFrame, classes: DataFrame) -> DataFram
         for batch in batches:
             at = k.mix(np.asarray(batch.column("key")).view(_U)) % _U(FILTER)
             batch = batch.filter(pa.array((sent.value[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1))
-            out = [(c, grams.tobytes()) for grams in _sets(batch) if (c := fingerprint(grams)) and c not in seen and not seen.add(c)] if batch.num_rows else []
+            out = [(c, grams.tobytes()) for grams in _sets(batch) if (c := fingerprint(grams, clashes)) and c not in seen and not seen.add(c)] if batch.num_rows else []
             columns = list(zip(*out, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["class", "grams"])
 
@@ -720,6 +735,14 @@ def verified(pairs: DataFrame, sets: DataFrame, members: DataFrame | None) -> Da
     return dealt.mapInArrow(trimmed(compare), "a long, b long")
 
 
+def _classes(docs: DataFrame, clashes: dict[int, int] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``fingerprints`` gives; its documents; and a row for each class."""
+    first = written(fingerprints(docs, clashes), "fingerprints")
+    rows = first.where("slice is null").select("doc_id", "key", "n", "class", "second")
+    made = rows.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("members"), F.min("second").alias("kept"), F.max("second").alias("most"))
+    return first, rows.drop("second"), written(made, "classes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, class, grouped, key) of each row of ``docs(doc_id, text)``.
 
@@ -727,17 +750,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    first = written(fingerprints(docs), "fingerprints")
-    rows = first.where("slice is null").select("doc_id", "key", "n", "class")
+    first, rows, classes = _classes(docs, None)
+    # Sets that share a number: none on most corpora, n^2 / 2^65 are expected of n documents.
+    clashes = {r["class"]: r["kept"] for r in classes.where("kept <> most").select("class", "kept").toLocalIterator()}
+    if clashes:
+        first, rows, classes = _classes(docs, clashes)
     sketch = summed_sketch(first.where("slice is not null").select("slice", "counts"))
-    classes = written(rows.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("members")), "classes")
     parts = buckets(spark)
-    able, kept = eligible(written(live(postings(docs, sketch, parts)), "live"), parts)
+    able, kept = eligible(written(live(postings(docs, sketch, parts, clashes)), "live"), parts)
     links: DataFrame | None = None
     merged: DataFrame | None = None
     # The sets lie in a table bucketed by class, so that the rounds' joins do not move them.
     name = f"flowloom_sets_{uuid.uuid4().hex}"
-    class_sets(docs, able, classes).write.bucketBy(parts, "class").saveAsTable(name)
+    class_sets(docs, able, classes, clashes).write.bucketBy(parts, "class").saveAsTable(name)
     try:
         sets = spark.table(name)
         for turn in range(PIVOTS + 1):

@@ -60,7 +60,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     start, end, first = k.words(small, offsets)
     count = np.diff(first).astype(float)
     many = np.maximum(count, 1)
-    code = k.range_hash(k.prefix_sums(small), start, end) if len(start) else np.zeros(0, np.uint64)
+    code = k.range_hash(small, start, end)
     owner = np.repeat(np.arange(n), np.diff(first))
     per = lambda x: np.bincount(owner, x, n)[:n] / many
     dense.append(np.log1p(count))

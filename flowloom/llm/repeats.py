@@ -18,8 +18,9 @@ stands for a run of about fourteen windows.
 Texts are parted into units of about ``UNIT`` bytes. Answers go back to the unit that
 asked, so no pass holds more than one unit's texts, and a key that a third of the rows
 share costs one record a unit. Units lie in a table in the warehouse, bucketed by unit,
-and are read by each pass without a shuffle; it is dropped at the end. Hashes of
-windows have 64 bits beside the digit's 48.
+and are read by each pass without a shuffle; it is dropped at the end. Whether windows are
+equal is decided by hashes of 64 bits alone, over mixed blocks: of m windows compared one by
+one, m^2 / 2^65 are expected to be taken for others.
 
 Nulls: a null text is empty. A text shorter than ``DEPTH`` loses nothing. An empty
 table has no rows. Very long texts are hashed in segments. A row with a null doc_id is neither smaller nor larger
@@ -66,18 +67,18 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.n
 
 
 class Runs:
-    """Runs of windows with one digit: owner text, first window, windows, digit, hash of the run's text."""
+    """Runs of windows with one digit: owner text, first window, windows, digit, the digit's place in the run."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, texts: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
         n, width = len(data), DEPTH - DIGIT + 1
-        self.sums = k.prefix_sums(data)
         self.n = 0
-        self.owner = self.start = self.count = np.zeros(0, np.int64)
-        self.digit = self.text = np.zeros(0, _U)
+        self.owner = self.start = self.count = self.place = np.zeros(0, np.int64)
+        self.digit = np.zeros(0, _U)
         if n < DEPTH:
             return
         at = np.arange(n - DIGIT + 1)
-        gram = k.mix((self.sums[DIGIT:] - self.sums[:-DIGIT]) * k._inverses[: n - DIGIT + 1])
+        sums = k.prefix_sums(data)
+        gram = k.mix((sums[DIGIT:] - sums[:-DIGIT]) * k._inverses[: n - DIGIT + 1])  # where windows meet, not whether they are equal
         key = (gram & ~_U(0xFFFFF)) | at.astype(_U)
         least, size = key, 1
         while size * 2 <= width:
@@ -99,8 +100,12 @@ class Runs:
         anchor = own[first]
         self.digit = gram[anchor] >> _SHIFT
         self.owner = np.searchsorted(offsets, self.start, "right") - 1
-        if texts:
-            self.text = k.range_hash(self.sums, self.start, self.start + self.count + (DEPTH - 1)) + (anchor - self.start).astype(_U) * _U(0x9E3779B97F4A7C15)
+        self.place = anchor - self.start
+
+    def text(self, data: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Hash of the whole text of chosen runs, and of the digit's place in it."""
+        start = self.start[chosen]
+        return k.range_hash(data, start, start + self.count[chosen] + (DEPTH - 1)) + self.place[chosen].astype(_U) * _U(0x9E3779B97F4A7C15)
 
 
 def _packed(digits: np.ndarray) -> bytes:
@@ -157,7 +162,7 @@ def digit_messages(texts: DataFrame, parts: int) -> DataFrame:
             part = np.asarray(batch.column("part"))
             known = ~np.asarray(batch.column("doc_id").is_null())
             for i, slab, at, _ in _segments(data, offsets):
-                runs = Runs(slab, at, False)
+                runs = Runs(slab, at)
                 owner = runs.owner + i
                 for p in k.distinct(part[owner]) if runs.n else ():
                     own = (part[owner] == p) & known[owner]
@@ -206,13 +211,13 @@ class Shared:
     def __init__(self, first: int, place: int, slab: np.ndarray, runs: Runs, own: np.ndarray):
         self.base, self.slab = place, slab
         self.owner, self.start, self.count = runs.owner[own] + first, runs.start[own], runs.count[own]
-        self.digit, self.text = runs.digit[own], runs.text[own]
+        self.digit, self.text = runs.digit[own], runs.text(slab, own)
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and hash of each window of the chosen runs."""
         count = self.count[chosen]
         start = np.repeat(self.start[chosen] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        return start, k.range_hash(k.prefix_sums(self.slab), start, start + DEPTH) if len(start) else np.zeros(0, _U)
+        return start, k.range_hash(self.slab, start, start + DEPTH)
 
 
 class Asked:

@@ -144,3 +144,41 @@ def test_mixed_prefixes_share_enough_tokens():
         sketch = rng.integers(0, 2000, d.SKETCH).astype(np.uint32)
         (x, i, _), (y, j, _) = d.prefix(a, sketch, 5.0), d.prefix(b, sketch, 900.0)
         assert len(np.intersect1d(x, y)) >= min(i, j)
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_made_for_polynomial_hashes_are_told_apart(spark):
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    short, mirrored = thue_morse(256), thue_morse(256).translate(str.maketrans("ab", "ba"))
+    framed = lambda w: w.replace("a", "xxxxxxxxaxxxxxxxx").replace("b", "xxxxxxxxbxxxxxxxx")
+    texts = [word, other, f"{word} p q r s", f"{other} p q r s", short, mirrored, framed(word), framed(other), framed(short), framed(mirrored), word]
+    rows = list(enumerate(texts))
+    assert found(docs(spark, texts)) == brute(rows)
+    assert {i: c for i, _, c in brute(rows)} == {**{i: i for i in range(10)}, 10: 0}
+
+
+def test_ranges_are_hashed_by_their_bytes_alone():
+    from flowloom.llm import kernels as k
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 5000, dtype=np.uint8)
+    start = rng.integers(0, 4000, 3000)
+    end = start + rng.integers(0, 40, 3000)
+    end[:20] += 600
+    got = k.range_hash(data, start, end).tolist()
+    names = {}
+    for a, b, h in zip(start.tolist(), end.tolist(), got, strict=True):
+        assert names.setdefault(data[a:b].tobytes(), h) == h
+    assert len(set(names.values())) == len(names)
+
+
+def test_sets_that_share_a_number_get_others():
+    a, b = np.array([1, 2, 3], np.uint64), np.array([4, 5], np.uint64)
+    clash = {d.fingerprint(a): d.second(b)}
+    assert d.fingerprint(a, clash) not in (d.fingerprint(a), 0)
+    assert d.fingerprint(b, clash) == d.fingerprint(b)
+    assert d.fingerprint(a, {d.fingerprint(a): d.second(a)}) == d.fingerprint(a)

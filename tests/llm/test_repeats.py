@@ -104,3 +104,11 @@ def test_odd_rows(spark):
 def test_empty(spark):
     assert found(docs(spark, [])) == []
     assert found(docs(spark, [None, ""])) == brute([(0, None), (1, "")])
+
+
+def test_texts_made_for_polynomial_hashes(spark):
+    word = "".join("ab"[i.bit_count() & 1] for i in range(700))
+    other = word.translate(str.maketrans("ab", "ba"))
+    framed = lambda w: w.replace("a", "xxxxxxxxaxxxxxxxx").replace("b", "xxxxxxxxbxxxxxxxx")
+    rows = [(3, word[:64] * 2), (1, other[:64] * 2), (2, framed(word[:64])), (4, framed(other[:64])), (5, framed(word)), (6, framed(other)), (7, word), (8, other)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
