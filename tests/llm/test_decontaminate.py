@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from flowloom.llm import decontaminate as d
 from tests.llm.helpers import ODD_TEXTS, docs, documents
@@ -83,3 +84,43 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in d.scan(docs(spark, TEXTS), none).collect()} == {0}
     assert d.scan(docs(spark, []), none).count() == 0
+
+
+def test_item_of_more_words_than_there_are_characters():
+    words = [f"{i:x}" for i in range(1_200_000)]
+    began = time.time()
+    parts = list(d._parts(" ".join(words).encode(), 13))
+    assert max(map(len, parts)) < d.BLOCK_BYTES + 10 and len(parts) > 5
+    scanner = d.Scanner([("1", parts[-1]), ("2", b"beta gamma")])
+    assert scanner.scan(" ".join(words[-13:]).encode()) == (13, [(0, 12)], {"1"})
+    assert scanner.scan(" ".join(["x", *words[-40:], "y", "beta", "gamma"]).encode()) == (44, [(1, 40), (42, 43)], {"1", "2"})
+    assert scanner.scan(" ".join(words[-12:]).encode()) == (12, [], set())
+    assert time.time() - began < 60
+
+
+def test_words_of_two_letters(spark, monkeypatch):
+    monkeypatch.setattr(d, "FANOUT", 2)
+    rows = [(t or "").encode() for t in TEXTS]
+    wide = d.Scanner([(str(i), (t or "").encode()) for i, t in ITEMS if i is not None])
+    assert wide.width == 2
+    monkeypatch.setattr(d, "FANOUT", 4096)
+    plain = d.Scanner([(str(i), (t or "").encode()) for i, t in ITEMS if i is not None])
+    assert plain.width == 1 and [wide.scan(t) for t in rows] == [plain.scan(t) for t in rows]
+
+
+def test_parts_of_an_item_hold_each_window(monkeypatch):
+    monkeypatch.setattr(d, "BLOCK_BYTES", 100)
+    text = " ".join(f"w{i}" for i in range(400)).encode()
+    parts = [p.split() for p in d._parts(text, 13)]
+    whole = text.split()
+    found = {tuple(p[i : i + 13]) for p in parts for i in range(len(p) - 12)}
+    assert found == {tuple(whole[i : i + 13]) for i in range(len(whole) - 12)} and len(parts) > 10
+
+
+def test_many_hits_in_one_text():
+    text = "é beta gamma, " * 20_000
+    n, runs, items = d.Scanner([("2", b"beta gamma")]).scan(text.encode())
+    began = time.time()
+    spans = d.original_spans(text.encode(), runs)
+    assert time.time() - began < 1
+    assert (n, len(spans), items) == (60_000, 20_000, {"2"}) and {text[a:b] for a, b in spans} == {"beta gamma"}
