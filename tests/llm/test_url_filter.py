@@ -124,3 +124,17 @@ def test_components(spark):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pages_of_tags_that_never_end(spark):
+    import time
+
+    n = 1 << 20
+    good = "<LINK title='a<b' rel=canonical href='http://b.net/'>"
+    odd = ["<link" * (n // 5), "<link rel" * (n // 9), "<!--" * (n // 4), "<meta http-equiv" * (n // 16), f"<link rel=canonical href={' ' * n}\"\">", "<a>" * (n // 3), "<link " + "rel=" * (n // 4) + ">"]
+    pages = [(i, f"http://a.com/{i}", h + " canonical") for i, h in enumerate(odd)]
+    pages += [(100, "http://a.com/100", "<p>" * 1000 + good + "<link" * (n // 5)), (101, "http://a.com/101", "<link" * (n // 5) + ">" + good)]
+    began = time.time()
+    got = {r.page_id: r.verdict for r in u.filter_urls(spark.createDataFrame(pages, PAGES)).collect()}
+    assert time.time() - began < 60
+    assert got == {**dict.fromkeys(range(len(odd)), "allow"), 100: "block", 101: "block"}
