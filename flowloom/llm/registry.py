@@ -15,6 +15,7 @@ from flowloom.llm.repeats import op10_remove_repeats
 from flowloom.llm.secrets import OP5_SQL, op5_secret_scan
 from flowloom.llm.token_counts import op7_token_counts
 from flowloom.llm.url_filter import op4_url_filter
+from flowloom.llm.vector_codes import OP11_SQL, op11_vector_codes
 from flowloom.llm.vector_search import op9_one_bit_search
 from flowloom.llm.warc import OP2_SQL, op2_warc_round_trip
 
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_one_bit_search": op9_one_bit_search,
     "op10_remove_repeats": op10_remove_repeats,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -38,4 +40,5 @@ ORACLES: dict[str, str] = {
     "op5_secret_scan": OP5_SQL,
     "op8_decontaminate": OP8_SQL,
     "op10_remove_repeats": OP10_SQL,
+    "op11_vector_codes": OP11_SQL,
 }
