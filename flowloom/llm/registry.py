@@ -13,6 +13,7 @@ from flowloom.llm.packing import op3_best_fit_packing
 from flowloom.llm.quality import op6_quality_classifier
 from flowloom.llm.repeats import op10_remove_repeats
 from flowloom.llm.secrets import OP5_SQL, op5_secret_scan
+from flowloom.llm.simhash import op12_simhash
 from flowloom.llm.token_counts import op7_token_counts
 from flowloom.llm.url_filter import op4_url_filter
 from flowloom.llm.vector_codes import OP11_SQL, op11_vector_codes
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_one_bit_search": op9_one_bit_search,
     "op10_remove_repeats": op10_remove_repeats,
     "op11_vector_codes": op11_vector_codes,
+    "op12_simhash": op12_simhash,
 }
 
 ORACLES: dict[str, str] = {
