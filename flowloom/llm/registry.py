@@ -11,6 +11,7 @@ from flowloom.llm.near_duplicates import op1_ngram_jaccard_join
 from flowloom.llm.oracles import OP1_SQL, OP4_SQL, OP8_SQL, OP10_SQL
 from flowloom.llm.packing import op3_best_fit_packing
 from flowloom.llm.quality import op6_quality_classifier
+from flowloom.llm.ranked_search import OP13_SQL, op13_ranked_search
 from flowloom.llm.repeats import op10_remove_repeats
 from flowloom.llm.secrets import OP5_SQL, op5_secret_scan
 from flowloom.llm.simhash import op12_simhash
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_remove_repeats": op10_remove_repeats,
     "op11_vector_codes": op11_vector_codes,
     "op12_simhash": op12_simhash,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -43,4 +45,5 @@ ORACLES: dict[str, str] = {
     "op8_decontaminate": OP8_SQL,
     "op10_remove_repeats": OP10_SQL,
     "op11_vector_codes": OP11_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
