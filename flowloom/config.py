@@ -123,11 +123,6 @@ def service_domains(spark: SparkSession, config: Config) -> DataFrame:
     return spark.createDataFrame(rows, "service_id int, service string, pos int, pattern string")
 
 
-def service_regexes(spark: SparkSession, config: Config) -> DataFrame:
-    rows = [(i, s.name, j, d) for i, s in enumerate(config.services) for j, d in enumerate(s.regexes)]
-    return spark.createDataFrame(rows, "service_id int, service string, pos int, pattern string")
-
-
 def service_prefixes(spark: SparkSession, config: Config) -> DataFrame:
     """Prefixes in order of the configuration; ``net`` holds the bits that addresses must begin with."""
     rows, pos = [], 0

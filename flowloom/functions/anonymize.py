@@ -4,6 +4,9 @@ Bit i of the result is bit i of the address, flipped by the first bit of AES-128
 over the first i bits of the address followed by the pad's other bits. Addresses
 that agree on a prefix agree on it afterwards. The key has 32 bytes: the cipher's
 16 and the 16 that the pad is made from.
+
+``ip`` enciphers an address on its own, 32 or 128 times, for streams; ``apply`` enciphers each
+distinct prefix of a table's addresses once, whatever the number of addresses that begin with it.
 """
 
 from __future__ import annotations
@@ -11,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.functions.net import ip4_num, ip4_string, ip6_hex
+from flowloom.functions.net import ip4_num, ip4_string, ip6_hex, ip_bits
+from flowloom.storage import written
 
 
 class Anonymizer:
@@ -20,6 +24,7 @@ class Anonymizer:
             raise ValueError(f"the key needs 32 bytes and has {len(key)}")
         self._key = F.lit(bytes(key[:16]))
         pad = spark.range(1).select(F.hex(self._cipher(F.lit(bytes(key[16:]))))).first()[0]
+        self._pad = f"{int(pad, 16):0128b}"
         self._high, self._low = (int(pad[i : i + 16], 16) - (1 << 64 if int(pad[i], 16) > 7 else 0) for i in (0, 16))
 
     def _cipher(self, block: Column) -> Column:
@@ -56,8 +61,27 @@ class Anonymizer:
     def ip(self, ip: Column) -> Column:
         return F.coalesce(self.ip4(ip), self.ip6(ip))
 
+    def _flip(self, prefix: Column) -> Column:
+        """The flip of the bit behind a prefix (a string of bits), as a digit."""
+        block = F.concat(prefix, F.substr(F.lit(self._pad), F.length(prefix) + 1))
+        half = lambda at: F.lpad(F.conv(F.substring(block, at, 64), 2, 16), 16, "0")
+        return F.when(F.hex(F.substring(self._cipher(F.unhex(F.concat(half(1), half(65)))), 1, 1)) >= "80", "1").otherwise("0")
+
     def apply(self, rows: DataFrame, column: str) -> DataFrame:
-        """``rows`` with the column anonymised; each distinct address is enciphered once."""
-        known = rows.select(column).distinct().select(F.col(column).alias("__plain"), self.ip(F.col(column)).alias("__anonymous"))
+        """``rows`` with the column anonymised; what is no address stays.
+
+        Each distinct prefix is enciphered once and its flip joined back to the addresses. A short
+        prefix that all have is a skewed key of that join, which AQE splits.
+        """
+        bits = written(rows.select(F.col(column).alias("__plain")).distinct().withColumn("bits", ip_bits(F.col("__plain"))).where("bits is not null"), "addresses")
+        each = bits.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("bits") - 1))).withColumn("prefix", F.expr("substring(bits, 1, at)"))
+        flips = each.select("prefix").distinct().withColumn("flip", self._flip(F.col("prefix")))
+        flipped = F.when(F.expr("substring(bits, at + 1, 1)") == F.col("flip"), "0").otherwise("1")
+        listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", flipped.alias("bit")))), lambda x: x["bit"]), "")
+        done = each.join(flips, "prefix").groupBy("__plain").agg(listed.alias("out"))
+        part = lambda at, n, base: F.lower(F.conv(F.substring("out", at, n), 2, base))
+        four = F.concat_ws(".", *(part(1 + 8 * i, 8, 10) for i in range(4)))
+        six = F.concat_ws(":", *(part(1 + 16 * i, 16, 16) for i in range(8)))
+        known = done.select("__plain", F.when(F.length("out") == 32, four).otherwise(six).alias("__anonymous"))
         joined = rows.join(known, F.col(column) == F.col("__plain"), "left")
         return joined.withColumn(column, F.coalesce("__anonymous", column)).select(*rows.columns)

@@ -11,8 +11,9 @@ import ipaddress
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowloom.config import Config, service_domains, service_features, service_prefixes, service_regexes
+from flowloom.config import Config, service_domains, service_features, service_prefixes
 from flowloom.functions.net import ip_bits
+from flowloom.functions.patterns import with_found
 from flowloom.model import SECOND
 
 #: Rows of the configuration that are broadcast; larger tables are joined by a shuffle where the join has a key.
@@ -37,12 +38,25 @@ def name_matches(spark: SparkSession, names: DataFrame, config: Config) -> DataF
     pattern's place in the configuration.
     """
     distinct = names.select("name").distinct()
-    domains = service_domains(spark, config).select(F.lit(0).alias("kind"), "service_id", "service", "pos", "pattern")
-    regexes = service_regexes(spark, config).select(F.lit(1).alias("kind"), "service_id", "service", "pos", "pattern")
-    found = [distinct.join(F.broadcast(domains), F.col("name").contains(F.col("pattern")))]
-    if any(s.regexes for s in config.services):
-        found.append(distinct.join(F.broadcast(regexes), F.expr("name rlike pattern")))
-    return found[0].unionByName(found[1]) if len(found) > 1 else found[0]
+    domains = [(i, s.name, j, d) for i, s in enumerate(config.services) for j, d in enumerate(s.domains)]
+    table = service_domains(spark, config).withColumn("number", F.col("pos") + F.element_at(F.lit(_starts(config)), F.col("service_id") + 1))
+    hit = with_found(distinct, "name", [d for *_, d in domains]).withColumnRenamed("text", "name")
+    found = hit.join(_small(table, len(domains)), "number").select("name", F.lit(0).alias("kind"), "service_id", "service", "pos", "pattern")
+    regexes = [(i, s.name, j, r) for i, s in enumerate(config.services) for j, r in enumerate(s.regexes)]
+    if regexes:
+        each = F.array(*(F.struct(F.lit(i).alias("service_id"), F.lit(n).alias("service"), F.lit(j).alias("pos"), F.lit(r).alias("pattern")) for i, n, j, r in regexes))
+        matching = distinct.withColumn("r", F.explode(F.filter(each, lambda x: F.regexp_like(F.col("name"), x["pattern"]))))
+        found = found.unionByName(matching.select("name", F.lit(1).alias("kind"), "r.*"))
+    return found
+
+
+def _starts(config: Config) -> list[int]:
+    """How many substrings the services before each one have."""
+    out, n = [], 0
+    for s in config.services:
+        out.append(n)
+        n += len(s.domains)
+    return out
 
 
 def dns_first_match(spark: SparkSession, messages: DataFrame, config: Config) -> DataFrame:

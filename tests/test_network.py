@@ -16,18 +16,77 @@ from flowloom.sources import decode, generate, pcap
 # The key and addresses of the published sample trace.
 KEY = bytes([21, 34, 23, 141, 51, 164, 207, 128, 19, 10, 91, 22, 73, 144, 125, 16, 216, 152, 143, 131, 121, 121, 101, 39, 98, 87, 76, 45, 42, 132, 34, 2])
 SAMPLE = {
+    "4.3.88.225": "124.60.155.63",
+    "10.185.25.118": "117.161.29.118",
+    "24.0.250.221": "100.15.198.226",
+    "24.5.0.80": "100.9.15.210",
+    "24.7.198.88": "100.10.6.25",
+    "24.13.62.231": "100.2.192.247",
+    "24.14.213.138": "100.1.42.141",
+    "24.94.26.44": "100.88.228.35",
+    "38.15.67.68": "64.3.66.187",
+    "63.14.55.111": "95.9.215.7",
+    "63.97.7.140": "95.97.9.123",
+    "63.195.241.44": "95.179.238.44",
+    "64.14.118.196": "0.255.183.58",
+    "64.34.154.117": "0.221.154.117",
+    "64.39.15.238": "0.219.7.41",
     "128.11.68.132": "135.242.180.132",
     "129.118.74.4": "134.136.186.123",
     "130.132.252.244": "133.68.164.234",
     "141.223.7.43": "141.167.8.160",
+    "141.233.145.108": "141.129.237.235",
+    "152.163.225.39": "151.140.114.167",
+    "156.29.3.236": "147.225.12.42",
+    "165.247.96.84": "162.9.99.234",
+    "166.107.77.190": "160.132.178.185",
+    "192.41.57.43": "252.222.221.184",
+    "192.102.249.13": "252.138.62.131",
+    "192.215.32.125": "252.43.47.189",
+    "192.233.80.103": "252.25.108.8",
+    "193.150.244.223": "253.169.52.216",
+    "195.205.63.100": "255.186.223.5",
+    "198.26.132.101": "249.36.123.202",
+    "198.36.213.5": "249.7.21.132",
+    "198.51.77.238": "249.18.186.254",
+    "198.200.171.101": "249.199.68.213",
+    "199.217.79.101": "248.38.184.213",
+    "202.49.198.20": "245.206.7.234",
+    "203.12.160.252": "244.248.163.4",
+    "204.29.20.4": "243.33.20.123",
+    "204.184.162.189": "243.192.77.90",
+    "204.202.136.230": "243.178.4.198",
+    "205.178.38.67": "242.108.198.51",
+    "205.188.147.153": "242.96.16.101",
+    "205.188.248.25": "242.96.88.27",
+    "205.245.121.43": "242.21.121.163",
+    "207.25.71.27": "241.33.119.156",
+    "207.33.151.131": "241.1.233.131",
+    "207.105.49.5": "241.118.205.138",
+    "207.135.65.238": "241.202.129.222",
+    "207.155.9.214": "241.220.250.22",
+    "207.188.7.45": "241.255.249.220",
+    "208.28.185.184": "227.39.94.90",
+    "208.52.56.122": "227.8.63.165",
+    "208.147.89.59": "227.237.98.191",
+    "208.234.120.210": "227.154.67.17",
+    "209.12.231.7": "226.243.167.8",
+    "209.68.60.238": "226.184.220.233",
+    "209.85.249.6": "226.170.70.6",
+    "209.238.72.3": "226.6.119.243",
+    "209.246.74.109": "226.22.124.76",
     "212.120.124.31": "228.135.163.231",
+    "212.146.8.236": "228.19.4.234",
+    "212.186.227.154": "228.59.98.98",
+    "212.204.172.118": "228.71.195.169",
+    "212.206.130.201": "228.69.242.193",
+    "216.32.132.250": "235.192.139.38",
+    "216.35.217.178": "235.195.157.81",
     "216.148.237.145": "235.84.194.111",
-    "24.0.250.221": "100.15.198.226",
-    "38.15.67.68": "64.3.66.187",
-    "4.3.88.225": "124.60.155.63",
-    "63.14.55.111": "95.9.215.7",
-    "64.14.118.196": "0.255.183.58",
-    "10.185.25.118": "117.161.29.118",
+    "216.157.30.252": "235.89.31.26",
+    "216.184.159.48": "235.96.225.78",
+    "216.227.10.221": "235.28.253.36",
+    "216.254.18.172": "235.7.16.162",
     "::1": "78ff:f001:9fc0:20df:8380:b1f1:704:ed",
     "::2": "78ff:f001:9fc0:20df:8380:b1f1:704:ef",
     "::ffff": "78ff:f001:9fc0:20df:8380:b1f1:704:f838",
@@ -40,10 +99,21 @@ def test_anonymizer_gives_published_addresses(spark):
     rows = spark.createDataFrame([(k, k) for k in [*SAMPLE, *SAMPLE]] + [("x", "x"), (None, None)], "plain string, ip string")
     got = {r.plain: r.ip for r in Anonymizer(spark, KEY).apply(rows, "ip").collect()}
     assert got == SAMPLE | {"x": "x", None: None}
+    alone = spark.createDataFrame([(k,) for k in SAMPLE], "plain string")
+    assert {r.plain: r.ip for r in alone.select("plain", Anonymizer(spark, KEY).ip(F.col("plain")).alias("ip")).collect()} == SAMPLE
     with pytest.raises(ValueError, match="32 bytes"):
         Anonymizer(spark, b"short")
 
 
+def test_prefixes_are_enciphered_once(spark):
+    rng = random.Random(7)
+    some = [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(20)] + [f"10.1.{i}.{i}" for i in range(20)] + [str(ipaddress.IPv6Address(rng.getrandbits(128))) for _ in range(4)] + ["0.0.0.0", "255.255.255.255", "::"]
+    rows = spark.createDataFrame([(x, x) for x in some], "plain string, ip string")
+    own = Anonymizer(spark, bytes(range(40, 72)))
+    want = {r.plain: r.ip for r in rows.select("plain", own.ip(F.col("ip")).alias("ip")).collect()}
+    assert {r.plain: r.ip for r in own.apply(rows, "ip").collect()} == want
+
+
 def test_addresses(spark):
     rng = random.Random(1)
     six = [str(ipaddress.IPv6Address(rng.getrandbits(128))) for _ in range(20)] + ["::", "::1", "1::", "1:2::8", "::ffff:1.2.3.4", "1:2:3:4:5:6:7:8"]
@@ -198,3 +268,105 @@ def test_random_trace_and_lines(spark, tmp_path):
     (tmp_path / "l.txt").write_text("a\nb\n")
     assert [r.value for r in generate.text_lines(spark, str(tmp_path / "l.txt")).collect()] == ["a", "b"]
     assert generate.text_lines(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_columns_of_frames_are_those_of_each_frame():
+    """Random, damaged and cut frames through both decoders."""
+    import numpy as np
+
+    from flowloom.sources import columnar
+
+    rng = random.Random(11)
+    frames = []
+    for _ in range(4000):
+        raw = bytearray(rng.choice(TRACE)[1])
+        if rng.random() < 0.3:  # stacked tags
+            raw[12:12] = b"\x81\x00\x00\x01" * rng.randrange(1, 3)
+        if rng.random() < 0.3 and len(raw) > 54 and raw[12:14] == b"\x86\xdd":  # an extension header
+            raw[20:21] = b"\x00"
+            raw[54:54] = bytes([rng.choice([17, 6, 43, 60]), rng.randrange(2)]) + bytes(6)
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            if raw:
+                raw[rng.randrange(min(len(raw), 60))] = rng.randrange(256)
+        frames.append(bytes(raw[: rng.choice([len(raw), len(raw), rng.randrange(len(raw) + 1)])]))
+    size = np.array([len(f) for f in frames])
+    start = np.cumsum(size) - size
+    kept, got = columnar.decode(np.frombuffer(b"".join(frames), np.uint8), start, size)
+    got = {n: c.to_pylist() for n, c in got.items()}
+    for i, f in enumerate(frames):
+        assert {n: got[n][i] for n in decode.FIELDS} == decode.decode_frame(f)[0], f
+    assert len(kept) == len(frames)
+    only, some = columnar.decode(np.frombuffer(b"".join(frames), np.uint8), start, size, pcap.WANTED["dns"])
+    assert only.tolist() == [i for i in range(len(frames)) if got["proto"][i] == 17 and 53 in (got["src_port"][i], got["dst_port"][i])]
+    assert some["src_ip"].to_pylist() == [got["src_ip"][i] for i in only.tolist()]
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_records_of_a_file(order):
+    from flowloom.sources import columnar
+
+    whole = decode.write_pcap(TRACE)
+    if order == ">":
+        body = b"".join(struct.pack(">IIII", t // 10**9, t % 10**9, len(f), len(f)) + f for t, f in TRACE)
+        whole = struct.pack(">IHHiIII", 0xA1B23C4D, 2, 4, 0, 0, 65535, 1) + body
+    for cut in (0, 1, 3, 17, 40):
+        raw = whole[: len(whole) - cut]
+        times, start, size = columnar.records(raw)
+        assert [(t, raw[a : a + n]) for t, a, n in zip(times.tolist(), start.tolist(), size.tolist(), strict=True)] == list(decode.read_pcap(raw))
+    assert [len(x) for x in columnar.records(whole[:24])] == [0, 0, 0] == [len(x) for x in columnar.records(b"")]
+    with pytest.raises(ValueError, match="no|not"):
+        columnar.records(b"hello, this is no capture file")
+
+
+def test_filters_are_pushed_into_the_source(spark, tmp_path):
+    (tmp_path / "t.pcap").write_bytes(decode.write_pcap(TRACE))
+    pcap.register(spark)
+    rows = spark.read.format("pcap").load(str(tmp_path / "t.pcap")).where("proto = 17 and dst_port in (53, 443) and ts_ns > 0")
+    assert sorted(r.pkt_no for r in rows.collect()) == [2, 4]
+    reader = pcap.PcapSource({"path": str(tmp_path / "t.pcap")}).reader(None)
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    other = GreaterThan(("ts_ns",), 5)
+    assert list(reader.pushFilters([EqualTo(("proto",), 6), other])) == [other] and reader.pushed == [("proto", [6])]
+
+
+def test_names_against_very_many_patterns(spark, monkeypatch):
+    from flowloom.functions import patterns as own
+
+    rng = random.Random(5)
+    many = [f"{rng.getrandbits(40):x}." for _ in range(100_000)] + ["example", "ample.n", "", "a", "example"]
+    texts = ["x.example.net", "nothing", many[7] + many[9] + "org", "", "éa"]
+    services = [config.Service("A", tuple(many[:60_000])), config.Service("B", tuple(many[60_000:]), (r"^x[.].*net$", "é"))]
+    names = spark.createDataFrame([(t,) for t in [*texts, texts[0], None]], "name string")
+    found = classify.name_matches(spark, names.where("name is not null"), config.Config(tuple(services)))
+    got = sorted((r.name, r.kind, r.service, r.pos) for r in found.collect())
+    want = [(t, 0, s.name, j) for t in texts for s in services for j, d in enumerate(s.domains) if d in t]
+    assert got == sorted([*want, ("x.example.net", 1, "B", 0), ("éa", 1, "B", 1)])
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(own, "PATTERN_BYTES", 9)
+    few = own.with_found(names, "name", ["example", "ample.n", "", "a", "x."])
+    assert sorted((r.text, r.number) for r in few.collect()) == sorted((t, i) for t in [*texts, texts[0]] for i, p in enumerate(["example", "ample.n", "", "a", "x."]) if p in t)
+
+
+def test_stream_of_a_growing_capture(spark, tmp_path):
+    pcap.register(spark)
+    (tmp_path / "in").mkdir()
+    whole = decode.write_pcap(TRACE)
+    ends = [24]
+    for _, f in TRACE:
+        ends.append(ends[-1] + 16 + len(f))
+
+    def more(name, raw):
+        with open(tmp_path / "in" / name, "ab") as f:
+            f.write(raw)
+        run = spark.readStream.format("pcap").load(f"{tmp_path}/in").select("ts_ns", "pkt_no", "dst_port").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        run.awaitTermination()
+        return sorted((r.ts_ns, r.pkt_no) for r in spark.read.schema("ts_ns long, pkt_no long").parquet(f"{tmp_path}/out").collect())
+
+    times = [t for t, _ in TRACE]
+    assert more("a.pcap", whole[: ends[2] + 5]) == [(times[i], ends[i]) for i in range(2)]  # the third record is half written
+    assert more("a.pcap", whole[ends[2] + 5 : ends[4]]) == [(times[i], ends[i]) for i in range(4)]
+    got = more("b.pcap", decode.write_pcap(TRACE[:1])[:-1])  # nothing whole yet
+    assert got == [(times[i], ends[i]) for i in range(4)]
+    got = more("b.pcap", decode.write_pcap(TRACE[:1])[-1:])
+    assert got == sorted([(times[i], ends[i]) for i in range(4)] + [(times[0], 24)])
