@@ -1,7 +1,8 @@
 """The features of flows, as windows and aggregates over packets in order of (ts_ns, pkt_no).
 
 ``keys`` name the columns a state belongs to: the flow, or the flow and its tick where
-a tick starts with fresh state. No feature joins packets with one another.
+a tick starts with fresh state. What depends on all earlier packets of a flow is a running
+value in two levels (see ``scan``), so that a flow with most packets is many tasks.
 """
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from flowloom.functions.net import uint32
 from flowloom.functions.welford import mean, variance
 from flowloom.model import IN, OUT
+from flowloom.operators.scan import Running, running
 
 #: Payload that a packet other than TCP must pass to be a request.
 QUIC_HEADER = 100
@@ -38,7 +40,7 @@ def is_request() -> Column:
 
 def _segments(packets: DataFrame, keys: list[str]) -> DataFrame:
     """Packets from a flow's first request on, numbered by the requests so far."""
-    return packets.withColumn("seg", F.sum(is_request().cast("long")).over(_order(keys))).where("seg > 0").withColumn("is_data", (F.col("dir") == IN) & (F.col("data_length") > 0))
+    return running(packets, keys, {"seg": Running("sum", is_request().cast("long"), True)}).where("seg > 0").withColumn("is_data", (F.col("dir") == IN) & (F.col("data_length") > 0))
 
 
 def _segment_values() -> list[Column]:
@@ -105,22 +107,25 @@ def tcp_rows(packets: DataFrame, keys: list[str]) -> DataFrame:
     of a key find its first and last outstanding sender.
     """
     rows = packets.where("is_tcp").withColumn("bytes", F.col("length") - 4 * F.col("data_offset"))
-    rows = rows.withColumn("i", F.row_number().over(_order(keys)))
-    before = _before(keys)
     into, out, data = F.col("dir") == IN, F.col("dir") == OUT, F.col("bytes") > 0
-    last = lambda way, c, extra: F.coalesce(F.max(F.when(way & extra, F.col(c))).over(before), F.lit(0))
-    rows = rows.withColumns({"ack_down": last(into, "ack", F.col("f_ack")), "ack_up": last(out, "ack", F.col("f_ack")), "seq_down": last(into, "seq", data), "seq_up": last(out, "seq", data), "key": uint32(F.col("seq") + F.col("bytes"))})
-    grown = lambda way, c: F.coalesce(F.max(F.when(way & F.col("f_ack") & (F.col("ack") > F.col(c)), F.col("i"))).over(before), F.lit(0))
-    rows = rows.withColumns({"grown_down": grown(into, "ack_down"), "grown_up": grown(out, "ack_up")})
+    most = lambda way, c, extra: Running("max", F.when(way & extra, F.col(c)))
+    firsts = {"ack_down": most(into, "ack", F.col("f_ack")), "ack_up": most(out, "ack", F.col("f_ack")), "seq_down": most(into, "seq", data), "seq_up": most(out, "seq", data)}
+    rows = running(rows, keys, {"i": Running("sum", F.lit(1).cast("long"), True), **firsts}).withColumns({n: F.coalesce(n, F.lit(0)) for n in firsts})
+    rows = rows.withColumn("key", uint32(F.col("seq") + F.col("bytes")))
+    grown = lambda way, c: Running("max", F.when(way & F.col("f_ack") & (F.col("ack") > F.col(c)), F.col("i")))
+    grew = {"grown_down": grown(into, "ack_down"), "grown_up": grown(out, "ack_up")}
+    rows = running(rows, keys, grew).withColumns({n: F.coalesce(n, F.lit(0)) for n in grew})
     in_flight = uint32(F.col("seq") + F.col("bytes") - F.when(into, F.col("ack_up")).otherwise(F.col("ack_down")))
     out_of_order = data & (F.col("seq") < F.when(into, F.col("seq_down")).otherwise(F.col("seq_up")))
     passed = F.when(into, F.col("ack_up")).otherwise(F.col("ack_down")) > F.col("key")
     since = F.when(passed, F.when(into, F.col("grown_up")).otherwise(F.col("grown_down"))).otherwise(F.lit(0))
-    previous = F.max(F.when(data, F.col("i"))).over(_before(keys, "dir", "key"))
-    rows = rows.withColumns({"in_flight": in_flight, "ooo": out_of_order, "retr": data & F.coalesce(previous > since, F.lit(False))})
+    # Packets that ask for nothing have a key of their own, so that they are no one group.
+    rows = rows.withColumns({"in_flight": in_flight, "ooo": out_of_order, "since": since, "repeated": F.when(data, F.col("key")).otherwise(-F.col("i"))})
+    previous = F.max(F.when(data, F.col("i"))).over(_before(keys, "dir", "repeated"))
+    rows = rows.withColumn("retr", data & F.coalesce(previous > F.col("since"), F.lit(False))).drop("since", "repeated")
     # Round trips: what an incoming acknowledgement finds of outgoing data.
     acks = into & F.col("f_ack")
-    rows = rows.withColumn("asked", F.when(out & data, F.col("key")).when(acks, F.col("ack"))).withColumn("sent", F.when(out & data, F.col("ts_ns")))
+    rows = rows.withColumn("asked", F.when(out & data, F.col("key")).when(acks, F.col("ack")).otherwise(-F.col("i"))).withColumn("sent", F.when(out & data, F.col("ts_ns")))
     all_sent = F.min("sent").over(_before(keys, "asked"))
     new_sent = F.min("sent").over(_before(keys, "asked", "grown_down"))
     first = F.when(F.col("ack_down") > F.col("ack"), new_sent).otherwise(all_sent)
@@ -159,7 +164,8 @@ def latency_jitter(packets: DataFrame, flow_keys: list[str], tick: str | None =
     The state is the flow's, the moments are each tick's.
     """
     rows = tcp_rows(packets, flow_keys)
-    found = rows.where("rtt is not null").withColumn("jitter", F.abs(F.col("rtt") - F.lag("rtt", 1, 0).over(_order(flow_keys))))
+    found = running(rows.where("rtt is not null"), flow_keys, {"last_rtt": Running("last", F.col("rtt"))})
+    found = found.withColumn("jitter", F.abs(F.col("rtt") - F.coalesce("last_rtt", F.lit(0))))
     keys = [*flow_keys, *([tick] if tick else [])]
     made = found.groupBy(*keys).agg(mean(F.col("rtt")).alias("RTTAvg"), variance(F.col("rtt")).alias("RTTVar"), mean(F.col("jitter")).alias("JitterAvg"), variance(F.col("jitter")).alias("JitterVar"), F.count(F.lit(1)).alias("RTTs"))
     every = rows.select(*keys).distinct()

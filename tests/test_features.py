@@ -171,3 +171,21 @@ def test_raw_frames_hold_whole_texts(spark):
     got = features.byte_copy(frames, ["pkt_no"], 1, 5000)
     want = texts.selectExpr("doc_id", "substr(cast(text as binary), 1, 5000) as first").where("octet_length(first) > 0")
     assert got.join(want, got.pkt_no == want.doc_id).where("Data = first").count() == want.count()
+
+
+def test_running_values_of_one_flow_are_many_tasks(spark):
+    from flowloom.operators.scan import Running, running
+
+    rng = random.Random(9)
+    rows = [(i, i * 10**8 + rng.randrange(10**8), "f", rng.choice([None, *range(50)])) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "pkt_no long, ts_ns long, flow_id string, x int").repartition(3)
+    wanted = {f"{kind}_{own}": Running(kind, F.col("x"), own) for kind in ("sum", "max", "last", "first") for own in (False, True)}
+    got = running(frame, ["flow_id"], wanted)
+    plain = running(frame, ["flow_id"], wanted, None)
+    columns = sorted(got.columns)
+    assert sorted((tuple(r) for r in got.select(columns).collect()), key=repr) == sorted((tuple(r) for r in plain.select(columns).collect()), key=repr)
+    # The windows over packets have the bucket among their keys; the only one by flow alone is over the buckets' sums.
+    shown = got._jdf.queryExecution().optimizedPlan().toString()
+    over = [line for line in shown.splitlines() if line.strip(" :+-").startswith("Window")]
+    assert sum("__bucket" in line.rsplit("], [", 2)[1] for line in over) >= 1 and len(over) == 2
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
