@@ -185,6 +185,9 @@ select flow_id, tick, {_RTT}, round(coalesce(avg(jit), 0) / 1e6, 5) "JitterAvg",
     "idle_emit": f"""with {_ALL}, c as ({_counters('flow_id, instance, tick', 'fl')}), t as (select flow_id, instance, unnest(range(min(tick), (max(ts_ns) + {CONFIG.evict_ns}) // 10000000000 + 1)) tick from fl group by flow_id, instance)
 select flow_id, instance, tick, coalesce("InCounter", 0) "InCounter", coalesce("OutCounter", 0) "OutCounter", coalesce("InBytes", 0) "InBytes", coalesce("OutBytes", 0) "OutBytes" from t left join c using (flow_id, instance, tick)""",
     "flow_json": f"with {_RECORDS} select flow_id, instance, tick, json from js",
+    "storage_profile": f"with {_RECORDS} select tick, count(*) flows, sum(strlen(json))::bigint json_bytes, max(strlen(json))::bigint largest_bytes from js group by tick",
+    "stream_flow_json": f"with {_RECORDS} select flow_id, instance, tick, json from js",
+    "stream_service_lookup": f"with {FRAMES}, {DNS}, {CIDR}, {SERVICE} select pkt_no, service_ip, service from svc",
     "cachedump_envelope": f"""with {_RECORDS}
 select tick, flow_id[1] part, '{{"Version":"3.0","Conf":"--","Type":"CacheDump","TsStart":' || tick * 10 || ',"TsEnd":' || (tick * 10 + 10) || ',"Data":[' || string_agg(json, ',' order by flow_id, instance) || ']}}' json from js group by tick, flow_id[1]""",
     "byte_copy_tick": """with w as (select doc_id, 'flow-' || (doc_id % 8) flow_id, doc_id // 10 tick, encode(coalesce(text, '')) raw from documents),

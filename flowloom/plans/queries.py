@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom import config as c
+from flowloom import profiles
 from flowloom.functions import net, welford
 from flowloom.functions.anonymize import Anonymizer
 from flowloom.model import SECOND
@@ -331,13 +332,17 @@ def idle_emit(spark, sf_dir):
     return flows.with_idle_ticks(counters, ticks, ["InCounter", "OutCounter", "InBytes", "OutBytes"])
 
 
+def counted_config() -> c.Config:
+    """The test configuration with the features of whole numbers alone."""
+    counted = lambda s: tuple(x for x in s.collect if x in ("PacketCounters", "VideoCounters"))
+    return c.Config((*(s.__class__(s.name, s.domains, s.regexes, s.prefixes, counted(s)) for s in CONFIG.services),), evict_ns=CONFIG.evict_ns, dns_evict_ns=CONFIG.dns_evict_ns, anonymize=False)
+
+
 @query
 def flow_json(spark, sf_dir):
     """Records with the features of whole numbers, of every tick of a flow's life."""
-    counted = lambda s: tuple(x for x in s.collect if x in ("PacketCounters", "VideoCounters"))
-    own = c.Config((*(s.__class__(s.name, s.domains, s.regexes, s.prefixes, counted(s)) for s in CONFIG.services),), evict_ns=CONFIG.evict_ns, dns_evict_ns=CONFIG.dns_evict_ns, anonymize=False)
     rows = packets.with_tick(flowing(spark, sf_dir), 0)
-    return batch.flow_json(spark, rows, own).select("flow_id", "instance", "tick", "json")
+    return batch.flow_json(spark, rows, counted_config()).select("flow_id", "instance", "tick", "json")
 
 
 @query
@@ -358,6 +363,12 @@ def ifstats(spark, sf_dir):
     return batch.interface_stats(tables.frames(spark, sf_dir), 0).select("tick", "PktRecv", "PktDrop", "json")
 
 
+@query
+def storage_profile(spark, sf_dir):
+    """Flows and bytes of records by tick."""
+    return profiles.storage(flow_json(spark, sf_dir))
+
+
 @query
 def random_trace(spark, sf_dir):
     n = tables.table(spark, sf_dir, "events").count()
@@ -376,3 +387,19 @@ def stream_flow_state(spark, sf_dir):
     from flowloom.streaming import runs
 
     return runs.flow_state(spark, sf_dir)
+
+
+@query
+def stream_service_lookup(spark, sf_dir):
+    """Services as a stream of packets and one of DNS messages give them: the same as ``service_lookup``."""
+    from flowloom.streaming import runs
+
+    return runs.service_lookup(spark, sf_dir).select("pkt_no", "service_ip", "service")
+
+
+@query
+def stream_flow_json(spark, sf_dir):
+    """Records of every tick of a flow's life from a stream: the same as ``flow_json``."""
+    from flowloom.streaming import runs
+
+    return runs.flow_records(spark, sf_dir, counted_config())

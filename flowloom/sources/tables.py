@@ -83,6 +83,10 @@ def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dns_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dns_messages_of(table(spark, sf_dir, "pages"))
+
+
+def dns_messages_of(pages: DataFrame) -> DataFrame:
     """``pages`` as DNS responses: the URL's host is asked for; every seventh has an alias before the address."""
     p = F.col("page_id")
     ip = F.element_at(F.array(*map(F.lit, SERVICE_IPS)), (p % len(SERVICE_IPS) + 1).cast("int"))
@@ -90,7 +94,7 @@ def dns_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ttl = (p % 4) * 7
     alias, address = answer(F.lit(None), F.lit(9)), answer(ip, ttl)
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
-    return table(spark, sf_dir, "pages").select(
+    return pages.select(
         p.alias("dns_no"),
         (p * 700_000_000).alias("ts_ns"),
         F.array(F.struct(host.alias("name"))).alias("questions"),

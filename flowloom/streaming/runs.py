@@ -1,10 +1,11 @@
-"""Features of streams.
+"""Streams, and bounded runs of them.
 
 ``counters``: packet counters as a windowed aggregate under a watermark. ``flow_values``:
 order-dependent features as state by flow, with a time to live of a flow's eviction;
 each micro-batch is a tick and emits all flows that had packets in it. Packets of a
 flow are taken in order of (ts_ns, pkt_no) within a micro-batch, and micro-batches in
-order of arrival.
+order of arrival. ``service_lookup`` and ``flow_records`` keep event-time state (see ``lookup``
+and ``records``) and so do not depend on how packets fall into micro-batches.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from flowloom.functions.net import flow_id
+from flowloom.config import Config
 from flowloom.operators import packets
 from flowloom.sources import tables
 from flowloom.storage import shared_dir
+from flowloom.streaming import lookup, records
 from flowloom.streaming.state import Latency, Packets, TcpState, Video
 
 
@@ -70,17 +72,25 @@ def flow_values(rows: DataFrame, evict: bool = True) -> DataFrame:
     return rows.groupBy("flow_id").applyInPandasWithState(_flow, _OUT, _STATE, "append", timeout)
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as a stream of packets with ``flow_id``."""
-    path = f"{sf_dir}/events.parquet"
+def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     # A folder of files streams as it is; a single file is found by its name.
     folder = spark.read.parquet(path).select(F.input_file_name()).first()
-    single = folder is not None and folder[0].rstrip("/").endswith("events.parquet")
+    single = folder is not None and folder[0].rstrip("/").endswith(f"{name}.parquet")
     source = spark.readStream.schema(schema)
-    events = source.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if single else source.parquet(path)
-    rows = packets.project(tables.frames_of(events), "host", tables.HWADDR, "192.168.0.0/16")
-    return rows.withColumn("flow_id", flow_id(F.col("service_ip"), F.col("my_ip"), F.col("service_port"), F.col("my_port")))
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if single else source.parquet(path)
+
+
+def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a stream of packets."""
+    return packets.project(tables.frames_of(_source(spark, sf_dir, "events")), "host", tables.HWADDR, "192.168.0.0/16")
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with ``flow_id``."""
+    return packets.with_flow_id(_packets(spark, sf_dir))
 
 
 def _finished(rows: DataFrame, mode: str) -> DataFrame:
@@ -102,3 +112,74 @@ def counters_by_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flow_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finished(flow_values(_stream(spark, sf_dir), False), "append")
+
+
+#: Nanoseconds that the clock goes beyond the last packet when a bounded stream ends.
+BEYOND_NS = 3_600 * 1_000_000_000
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+class Clock:
+    """A stream of times in a folder, for streams whose sources say nothing for a while."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        spark.createDataFrame([], "ts_ns long").write.parquet(path)
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema("ts_ns long").parquet(self.path)
+
+    def tell(self, ts_ns: int) -> None:
+        self.spark.createDataFrame([(ts_ns,)], "ts_ns long").coalesce(1).write.mode("append").parquet(self.path)
+
+
+def drained(rows: DataFrame, place: str, clock: Clock, end_ns: int, pause: bool = False, late: list[int] | None = None) -> DataFrame:
+    """All that a bounded stream with event-time state emits, as a table at ``place``.
+
+    All files are one micro-batch, behind which the clock says that all is over. With ``pause`` the
+    stream stops before that, and goes on from its checkpoint once the clock has said so. ``late`` gets
+    the number of rows dropped behind the watermark.
+    """
+    spark = rows.sparkSession
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for over in (False, True) if pause else (True,):
+            if over:
+                clock.tell(end_ns)
+            run = rows.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+            run.awaitTermination()
+            if late is not None:
+                late.append(sum(o.numRowsDroppedByWatermark for p in run.recentProgress for o in p.stateOperators))
+    finally:
+        spark.conf.set(_STORE, before)
+    return spark.read.schema(rows.schema).parquet(f"{place}/out")
+
+
+def _end_ns(*tables_: DataFrame) -> int:
+    """A time beyond all that the tables have."""
+    found = [df.agg(F.max("ts_ns")).first()[0] for df in tables_]
+    return max([0, *(x for x in found if x is not None)]) + BEYOND_NS
+
+
+def classified(spark: SparkSession, sf_dir: str, place: str) -> DataFrame:
+    """Packets with their services, as a stream of packets and one of DNS messages give them."""
+    from flowloom.plans.queries import CONFIG
+
+    clock = Clock(spark, f"{place}/clock")
+    messages = tables.dns_messages_of(_source(spark, sf_dir, "pages"))
+    rows = lookup.with_service(_packets(spark, sf_dir), messages, CONFIG, clock.stream())
+    return drained(rows.drop("raw_data"), place, clock, _end_ns(tables.frames(spark, sf_dir), tables.dns_messages(spark, sf_dir)))
+
+
+def service_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(spark, sf_dir, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
+
+
+def flow_records(spark: SparkSession, sf_dir: str, config: Config) -> DataFrame:
+    """The records of all flows: one stream finds services, another one reads its output and keeps flows."""
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    found = classified(spark, sf_dir, f"{place}/services")
+    clock = Clock(spark, f"{place}/clock")
+    source = spark.readStream.schema(found.schema).parquet(f"{place}/services/out")
+    return drained(records.records(source, clock.stream(), config), f"{place}/records", clock, _end_ns(found))

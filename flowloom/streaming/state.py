@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 IN, OUT = 0, 1
 
@@ -45,6 +46,29 @@ class Packets:
     def values(self) -> dict:
         return dict(vars(self))
 
+    schema: ClassVar[str] = "InCounter long, OutCounter long, InBytes long, OutBytes long"
+    emits: ClassVar[str] = schema
+    emit = values
+
+    def save(self) -> tuple:
+        return tuple(int(x) for x in vars(self).values())
+
+    @classmethod
+    def load(cls, saved: tuple) -> Packets:
+        return cls(*saved)
+
+
+_SEGMENT = ("seg", "Len", "Seq", "TsStart", "TsEnd", "LastPkt", "DownPkts", "DonwBytes", "MaxDSeq")
+
+
+def plain(x) -> tuple:
+    """A struct's values, as a state gives them in a row or by name."""
+    return tuple(x.values()) if isinstance(x, dict) else tuple(x)
+
+
+def _fields(names: tuple[str, ...], sep: str) -> str:
+    return ", ".join(f"{n}{sep}long" for n in names)
+
 
 @dataclass
 class Video:
@@ -72,6 +96,21 @@ class Video:
     def values(self) -> list[dict]:
         return [*self.closed, *([dict(self.running)] if self.running else [])]
 
+    schema: ClassVar[str] = f"closed array<struct<{_fields(_SEGMENT, ': ')}>>, running struct<{_fields(_SEGMENT, ': ')}>, seg long"
+    emits: ClassVar[str] = f"VideoSegments array<struct<{_fields(_SEGMENT[1:], ': ')}>>"
+
+    def emit(self) -> dict:
+        return {"VideoSegments": [{n: int(s[n]) for n in _SEGMENT[1:]} for s in self.values()]}
+
+    def save(self) -> tuple:
+        row = lambda s: tuple(int(s[n]) for n in _SEGMENT)
+        return [row(s) for s in self.closed], row(self.running) if self.running else None, self.seg
+
+    @classmethod
+    def load(cls, saved: tuple) -> Video:
+        row = lambda s: dict(zip(_SEGMENT, plain(s), strict=True))
+        return cls([row(s) for s in saved[0]], row(saved[1]) if saved[1] is not None else None, saved[2])
+
 
 @dataclass
 class Outstanding:
@@ -93,6 +132,9 @@ class Outstanding:
         self.keys.setdefault(key, ts)
         return late, again
 
+    def save(self) -> tuple:
+        return {int(k): int(t) for k, t in self.keys.items()}, int(self.acked), int(self.seq)
+
 
 @dataclass
 class Tcp:
@@ -116,6 +158,21 @@ class Tcp:
             late, again = own.send(p.seq, key, p.ts_ns)
         return {"in_flight": in_flight, "ooo": late, "retr": again, "rtt": rtt}
 
+    def save(self) -> tuple:
+        return self.up.save(), self.down.save()
+
+    @classmethod
+    def load(cls, saved: tuple) -> Tcp:
+        return cls(*(Outstanding(dict(keys), acked, seq) for keys, acked, seq in map(plain, plain(saved))))
+
+
+_SENT = "struct<" + ", ".join(f"{way}: struct<keys: map<long, long>, acked: long, seq: long>" for way in ("up", "down")) + ">"
+_MOMENTS = "struct<n: long, avg: double, m2: double>"
+
+
+def _moments(x: Moments) -> tuple:
+    return int(x.n), float(x.avg), float(x.m2)
+
 
 @dataclass
 class TcpState:
@@ -144,6 +201,20 @@ class TcpState:
     def values(self) -> dict:
         return self.counts | {f"{n}{m}": getattr(x, m.lower()) for n, x in self.moments.items() for m in ("Avg", "Var")}
 
+    schema: ClassVar[str] = f"sent {_SENT}, counts map<string, long>, moments map<string, {_MOMENTS}>"
+    emits: ClassVar[str] = ", ".join([*(f"{n}{s}Counter long" for n in ("Ack", "Syn", "Rst", "Push", "Urg", "Retr", "OOO", "Bytes") for s in ("Up", "Down")), *(f"{s}{n}{m} double" for n in ("RecWindow", "BytesPerPkt", "BytesInFlight") for s in ("Up", "Down") for m in ("Avg", "Var")), "RTTAvg double", "RTTVar double"])
+
+    def emit(self) -> dict:
+        found = self.values()
+        return {n: found[n] for n in (x.split()[0] for x in self.emits.split(", "))}
+
+    def save(self) -> tuple:
+        return self.sent.save(), {n: int(x) for n, x in self.counts.items()}, {n: _moments(x) for n, x in self.moments.items()}
+
+    @classmethod
+    def load(cls, saved: tuple) -> TcpState:
+        return cls(Tcp.load(saved[0]), dict(saved[1]), {n: Moments(*plain(x)) for n, x in saved[2].items()})
+
 
 @dataclass
 class Latency:
@@ -163,3 +234,14 @@ class Latency:
 
     def values(self) -> dict:
         return {"RTTAvg": self.rtt.avg, "RTTVar": self.rtt.var, "JitterAvg": self.jitter.avg, "JitterVar": self.jitter.var}
+
+    schema: ClassVar[str] = f"sent {_SENT}, last long, rtt {_MOMENTS}, jitter {_MOMENTS}"
+    emits: ClassVar[str] = "RTTAvg double, RTTVar double, JitterAvg double, JitterVar double"
+    emit = values
+
+    def save(self) -> tuple:
+        return self.sent.save(), int(self.last), _moments(self.rtt), _moments(self.jitter)
+
+    @classmethod
+    def load(cls, saved: tuple) -> Latency:
+        return cls(Tcp.load(saved[0]), saved[1], *(Moments(*plain(x)) for x in saved[2:]))
