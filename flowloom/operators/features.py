@@ -182,14 +182,20 @@ def copied(raw: Column, layers: int) -> Column:
     return {0: headers, 1: F.concat(headers, payload), 2: payload}[layers]
 
 
+def _parts(packets: DataFrame, keys: list[str], layers: int, to_copy: int, *more: str) -> DataFrame:
+    """Keys, order, each frame's bytes of which some may be copied, and how many bytes came before it."""
+    part = F.when(F.col("raw_data").isNotNull(), F.substring(copied(F.col("raw_data"), layers), 1, to_copy))
+    rows = packets.select(*dict.fromkeys([*keys, "ts_ns", "pkt_no", *more]), part.alias("part"))
+    return running(rows, keys, {"before": Running("sum", F.octet_length("part").cast("long"))}).withColumn("before", F.coalesce("before", F.lit(0)))
+
+
 def byte_copy(packets: DataFrame, keys: list[str], layers: int = 1, to_copy: int = 400) -> DataFrame:
     """The first ``to_copy`` bytes of a flow's frames, in order.
 
     Only frames before which the flow is not full reach the aggregate, so a group
     holds at most ``to_copy`` frames.
     """
-    rows = packets.where("raw_data is not null").withColumn("part", F.substring(copied(F.col("raw_data"), layers), 1, to_copy))
-    rows = rows.withColumn("before", F.coalesce(F.sum(F.octet_length("part")).over(_before(keys)), F.lit(0))).where((F.col("before") < to_copy) & (F.octet_length("part") > 0))
+    rows = _parts(packets.where("raw_data is not null"), keys, layers, to_copy).where((F.col("before") < to_copy) & (F.octet_length("part") > 0))
     parts = F.array_sort(F.collect_list(F.struct("ts_ns", "pkt_no", F.hex("part").alias("part"))))
     data = F.substring(F.unhex(F.array_join(F.transform(parts, lambda p: p["part"]), "")), 1, to_copy)
     return rows.groupBy(*keys).agg(data.alias("Data")).withColumn("CopiedBytes", F.octet_length("Data"))
@@ -200,8 +206,7 @@ def byte_copy_tick(packets: DataFrame, flow: list[str], layers: int = 0, to_copy
 
     ``CopiedBytes`` counts from the flow's start. Ticks without packets have no row.
     """
-    rows = packets.withColumn("part", F.when(F.col("raw_data").isNotNull(), F.substring(copied(F.col("raw_data"), layers), 1, to_copy)))
-    rows = rows.withColumn("before", F.coalesce(F.sum(F.octet_length("part")).over(_before(flow)), F.lit(0)))
+    rows = _parts(packets, flow, layers, to_copy, "tick")
     own = F.when(F.col("before") < to_copy, F.expr(f"substring(part, 1, int({to_copy} - before))"))
     parts = F.array_sort(F.collect_list(F.when(F.octet_length("own") > 0, F.struct("ts_ns", "pkt_no", F.hex("own").alias("part")))))
     data = F.unhex(F.array_join(F.transform(parts, lambda p: p["part"]), ""))

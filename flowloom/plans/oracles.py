@@ -115,7 +115,7 @@ def _ways(name: str, column: str) -> str:
 
 _RTT = """round(coalesce(avg(rtt), 0) / 1e6, 5) "RTTAvg", round(coalesce(case when count(rtt) > 1 then var_samp(rtt) end, 0) / 1e12, 5) "RTTVar\""""
 
-_RAW = """rw as (select doc_id, 'flow-' || (doc_id % 8) flow_id, encode(coalesce(text, '')) raw from documents),
+_RAW = """rw as (select doc_id, 'flow-' || (doc_id // 8) flow_id, encode(coalesce(text, '')) raw from documents),
 pt as (select doc_id, flow_id, raw, greatest(octet_length(raw) - 34, 20) len_, greatest(octet_length(raw) - 54, 0) dat_ from rw),
 hx as (select doc_id, flow_id, hex(raw)[1 : 2 * (14 + 20 + len_ - dat_)] || hex(raw)[2 * (14 + 20 + len_ - dat_) + 1 : 2 * (14 + 20 + len_)] part from pt)"""
 
@@ -190,7 +190,7 @@ select flow_id, instance, tick, coalesce("InCounter", 0) "InCounter", coalesce("
     "stream_service_lookup": f"with {FRAMES}, {DNS}, {CIDR}, {SERVICE} select pkt_no, service_ip, service from svc",
     "cachedump_envelope": f"""with {_RECORDS}
 select tick, flow_id[1] part, '{{"Version":"3.0","Conf":"--","Type":"CacheDump","TsStart":' || tick * 10 || ',"TsEnd":' || (tick * 10 + 10) || ',"Data":[' || string_agg(json, ',' order by flow_id, instance) || ']}}' json from js group by tick, flow_id[1]""",
-    "byte_copy_tick": """with w as (select doc_id, 'flow-' || (doc_id % 8) flow_id, doc_id // 10 tick, encode(coalesce(text, '')) raw from documents),
+    "byte_copy_tick": """with w as (select doc_id, 'flow-' || (doc_id // 8) flow_id, doc_id // 10 tick, encode(coalesce(text, '')) raw from documents),
 p as (select *, hex(raw)[1 : 108] h from w),
 b as (select *, coalesce(sum(length(h)) over (partition by flow_id order by doc_id rows between unbounded preceding and 1 preceding), 0) before from p),
 o as (select *, case when before < 800 then h[1 : (800 - before)::bigint] else '' end own from b)
@@ -201,8 +201,8 @@ r as (select user_id, i, 1::bigint n, x "avg", 0.0::double m2 from e where i = 1
   union all select user_id, i, case when bad then n else n + 1 end, case when bad then "avg" else a2 end, case when bad then m2 else q2 end from
     (select *, x > 1.5 * sqrt(q2 / greatest(n, 1)) and x > 10.0 bad from (select *, m2 + (x - "avg") * (x - a2) q2 from (select r.user_id, e.i, e.x, r.n, r."avg", r.m2, r."avg" + (e.x - r."avg") / (r.n + 1) a2 from r join e on e.user_id = r.user_id and e.i = r.i + 1))))
 select user_id, n, round("avg", 6) avg_value from r qualify row_number() over (partition by user_id order by i desc) = 1""",
-    "random_trace": f"""with t as (select unnest(range((select count(*) from events))) id)
-select id pkt_no, id * 1000000 ts_ns, {_pick(8, 0, 2)}::int dir, lower(lpad(to_hex({_pick(9, 0, 64)} * 4 + 2), 2, '0')) || {" || ".join(f"':' || lower(lpad(to_hex({_pick(10 + i, 0, 256)}), 2, '0'))" for i in range(5))} hw_addr, true is_ipv4, true is_tcp,
+    "random_trace": f"""with t as (select event_id id from events)
+select id pkt_no, id * 20000000 ts_ns, {_pick(8, 0, 2)}::int dir, lower(lpad(to_hex({_pick(9, 0, 64)} * 4 + 2), 2, '0')) || {" || ".join(f"':' || lower(lpad(to_hex({_pick(10 + i, 0, 256)}), 2, '0'))" for i in range(5))} hw_addr, true is_ipv4, true is_tcp,
   {" || '.' || ".join(_pick(i, 1, 255) for i in range(4))} service_ip, {" || '.' || ".join(_pick(4 + i, 1, 255) for i in range(4))} my_ip, {_pick(21, 1, 65536)}::int service_port, {_pick(22, 1, 65536)}::int my_port, {_pick(20, 20, 1480)} length, {_pick(20, 20, 1480)} - 20 data_length, {_pick(23, 0, 1 << 32)} seq from t""",
     "ifstats": """with x as (select event_id * 20000000 // 10000000000 tick, count(*) n from events group by 1)
 select tick, n "PktRecv", 0::bigint "PktDrop", '{"Version":"3.0","Conf":"--","Type":"IfStatsPrinter","TsStart":' || tick * 10 || ',"TsEnd":' || (tick * 10 + 10) || ',"Data":[{"Name":"","PktRecv":' || n || ',"PktDrop":0}]}' json from x""",

@@ -371,8 +371,8 @@ def storage_profile(spark, sf_dir):
 
 @query
 def random_trace(spark, sf_dir):
-    n = tables.table(spark, sf_dir, "events").count()
-    return generate.random_trace(spark, n, 1)
+    """A random packet at the time of each event."""
+    return generate.random_packets(tables.frames(spark, sf_dir).select(F.col("pkt_no").alias("id"), "ts_ns"), 1)
 
 
 @query

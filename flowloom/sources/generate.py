@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 
 def random_trace(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-    """``n`` TCP packets with random hardware and IP addresses, ports and directions.
+    """``n`` random packets, a millisecond apart."""
+    return random_packets(spark.range(n).select("id", (F.col("id") * 1_000_000).alias("ts_ns")), seed)
+
+
+def random_packets(moments: DataFrame, seed: int = 0) -> DataFrame:
+    """A TCP packet at each of ``moments(id, ts_ns)``, with random hardware and IP addresses, ports and direction.
 
     Each value is drawn by a hash of the seed, the packet and the field, so a trace does
     not depend on its partitions.
@@ -17,9 +22,9 @@ def random_trace(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     # The second lowest bit of the first byte marks an address as local, the lowest one as a group's.
     mac = F.concat_ws(":", F.lpad(F.lower(F.hex(pick(9, 0, 64) * 4 + 2)), 2, "0"), *(F.lpad(F.lower(F.hex(pick(10 + i, 0, 256))), 2, "0") for i in range(5)))
     length = pick(20, 20, 1480)
-    return spark.range(n).select(
+    return moments.select(
         F.col("id").alias("pkt_no"),
-        (F.col("id") * 1_000_000).alias("ts_ns"),
+        "ts_ns",
         pick(8, 0, 2).cast("int").alias("dir"),
         mac.alias("hw_addr"),
         F.lit(True).alias("is_ipv4"),

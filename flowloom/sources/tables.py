@@ -67,13 +67,13 @@ def frames_of(events: DataFrame) -> DataFrame:
 
 
 def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as outgoing TCP frames whose bytes are the whole text's; eight flows."""
+    """``documents`` as outgoing TCP frames whose bytes are the whole text's; a flow has eight of them."""
     d = F.col("doc_id")
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return table(spark, sf_dir, "documents").select(
         d.alias("pkt_no"),
         (d * 1_000_000).alias("ts_ns"),
-        F.concat(F.lit("flow-"), (d % 8).cast("string")).alias("flow_id"),
+        F.concat(F.lit("flow-"), F.expr("doc_id div 8").cast("string")).alias("flow_id"),
         F.lit(True).alias("is_ipv4"),
         F.lit(5).alias("ihl"),
         F.greatest(F.octet_length(raw) - 34, F.lit(20)).cast("long").alias("length"),

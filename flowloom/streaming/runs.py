@@ -136,9 +136,9 @@ class Clock:
 def drained(rows: DataFrame, place: str, clock: Clock, end_ns: int, pause: bool = False, late: list[int] | None = None) -> DataFrame:
     """All that a bounded stream with event-time state emits, as a table at ``place``.
 
-    All files are one micro-batch, behind which the clock says that all is over. With ``pause`` the
-    stream stops before that, and goes on from its checkpoint once the clock has said so. ``late`` gets
-    the number of rows dropped behind the watermark.
+    All files must be one micro-batch, behind which the clock says that all is over. With ``pause``, for sources of
+    several micro-batches, the stream stops before that, and goes on from its checkpoint once the clock
+    has said so. ``late`` gets the number of rows dropped behind the watermark.
     """
     spark = rows.sparkSession
     before = spark.conf.get(_STORE)

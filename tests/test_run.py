@@ -46,3 +46,26 @@ def test_profiles(spark, tmp_path):
     assert all(r.ns_per_packet > 0 and r.median_ns_per_packet >= r.ns_per_packet for r in rows)
     sized = spark.createDataFrame([(0, "é"), (0, "abc"), (1, "")], "tick long, json string")
     assert sorted(tuple(r) for r in profiles.storage(sized).collect()) == [(0, 2, 5, 3), (1, 1, 0, 0)]
+
+
+def test_collectors_rotate_in_periods_of_their_own(spark, tmp_path):
+    from flowloom import sinks
+
+    def put(times):
+        spark.createDataFrame([(t, f'{{"t":{t}}}') for t in times], "ts_s long, json string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run_all():
+        source = spark.readStream.schema("ts_s long, json string").parquet(f"{tmp_path}/in")
+        kinds = {"flows": sinks.Collector(source, None, 60), "stats": sinks.Collector(source.where("ts_s % 2 = 0"), None)}
+        for q in sinks.collect(kinds, f"{tmp_path}/out", f"{tmp_path}/c").values():
+            q.awaitTermination()
+
+    put([0, 59, 60])
+    run_all()
+    put([61, 7200])
+    run_all()  # a restart repeats nothing
+    flows = spark.read.text(f"{tmp_path}/out/flows").collect()
+    assert sorted((r.period, r.value) for r in flows) == [("1970-01-01T00-00-00", '{"t":0}'), ("1970-01-01T00-00-00", '{"t":59}'), ("1970-01-01T00-01-00", '{"t":60}'), ("1970-01-01T00-01-00", '{"t":61}'), ("1970-01-01T02-00-00", '{"t":7200}')]
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out/stats").collect()) == ['{"t":0}', '{"t":60}', '{"t":7200}']
+    with pytest.raises(ValueError, match="folders"):
+        sinks.collect({"a/b": sinks.Collector(spark.range(1))}, "x", "y")
