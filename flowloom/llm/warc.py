@@ -253,6 +253,6 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = f"""with p as (select page_id, coalesce(html, '') h, regexp_extract(trim(regexp_replace(coalesce(url, ''), '[\r\n]+', ' ', 'g')), '://([^/?#]*)', 1) host from pages),
 d as (select page_id, strlen(h) n, sha256(h) s, host from p),
-f as (select *, min(page_id) over (partition by s) first from d)
-select page_id, n::bigint payload_bytes, s payload_digest, case when n >= {LEAST_REVISIT} and page_id <> first then 'revisit' else 'response' end record_type,
-  case when n >= {LEAST_REVISIT} and page_id <> first then first end refers_to, 3::bigint n_records, host request_host from f"""
+f as (select *, min(page_id) over (partition by s) first, n >= {LEAST_REVISIT} and row_number() over (partition by s order by page_id nulls last) > 1 again from d)
+select page_id, n::bigint payload_bytes, s payload_digest, case when again then 'revisit' else 'response' end record_type,
+  case when again then first end refers_to, 3::bigint n_records, host request_host from f"""

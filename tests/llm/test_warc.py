@@ -63,3 +63,13 @@ def test_parse_plain_and_member_per_record():
         list(w.parse(parts[0][:-6]))
     with pytest.raises(ValueError, match="not a WARC"):
         list(w.parse(b"hello\r\n\r\n"))
+
+
+def test_pages_that_repeat_an_id_revisit_it(spark, tmp_path):
+    from tests.oracle import same
+
+    pages = [(1, "http://a.com", BIG), (1, "http://a.com", BIG), (2, "http://b.com", BIG), (3, "http://b.com", "short"), (3, "http://b.com", "short"), (4, "http://c.com", "long " * 400_000), (4, "http://c.com", "long " * 400_000)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'x' as payload", "1 as host", "2 as row").write.parquet(f"{tmp_path}/pages.parquet")
+    found = w.op2_warc_round_trip(spark, str(tmp_path))
+    same(found, w.OP2_SQL, str(tmp_path))
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in found.collect()) == [(1, "response", None), (1, "revisit", 1), (2, "revisit", 1), (3, "response", None), (3, "response", None), (4, "response", None), (4, "revisit", 4)]
