@@ -39,7 +39,7 @@ from flowloom.llm.common import looked_up, table, trimmed, written
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Bytes of components in a block, and points in a leaf.
-BLOCK_BYTES, LEAF = 8 << 20, 16
+BLOCK_BYTES, LEAF = 8 << 20, 32
 #: Numbers that a step of the filter holds at a time.
 STEP = 1 << 20
 SALTS = 32
@@ -83,7 +83,7 @@ class Tree:
     def assigned(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entry of each point, and each entry's count and sums of points."""
         k, width = entries.shape
-        code = np.empty(len(self.points), np.int64)
+        code, compared = np.empty(len(self.points), np.int64), np.zeros(len(self.points), bool)
         count, total = np.zeros(k, np.int64), np.zeros((k, width), entries.dtype)
         length = (entries * entries).sum(1)
         nodes, alive = np.zeros(1, np.int64), np.ones((1, k), bool)
@@ -99,13 +99,17 @@ class Tree:
                 code[self.low[node] : self.high[node]] = w
             for node, left in zip(nodes[leaf & ~single].tolist(), alive[leaf & ~single], strict=True):
                 mine, own = np.flatnonzero(left), self.points[self.low[node] : self.high[node]]
-                found = mine[(length[mine] - 2 * (own @ entries[mine].T)).argmin(1)]
-                code[self.low[node] : self.high[node]] = found
-                np.add.at(count, found, 1)
-                np.add.at(total, found, own)
+                code[self.low[node] : self.high[node]] = mine[(length[mine] - 2 * (own @ entries[mine].T)).argmin(1)]
+                compared[self.low[node] : self.high[node]] = True
             split = ~single & ~leaf
             children = self.first[nodes[split]]
             nodes, alive = np.concatenate([children, children + 1]), np.concatenate([alive[split], alive[split]])
+        own, points = code[compared], self.points[compared]
+        count += np.bincount(own, minlength=k)
+        by = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.diff(own[by], prepend=-1))
+        if len(first):
+            total[own[by][first]] += np.add.reduceat(points[by], first, axis=0)
         back = np.empty_like(code)
         back[self.order] = code
         return back, count, total
@@ -114,11 +118,14 @@ class Tree:
         """The entries that may be nearest, least in number first, to some place in each node's box."""
         least, most = self.least[nodes], self.most[nodes]
         far = length - (least + most) @ entries.T  # from the middle, but for what is equal in a row
-        far = np.where(alive, far, far.max() + 1)
-        best = far.argmin(1)
-        way = entries[None] - entries[best][:, None]
-        corner = np.einsum("nke,ne->nk", np.maximum(way, 0), most) + np.einsum("nke,ne->nk", np.minimum(way, 0), least)
-        behind = length[None] - length[best][:, None] - 2 * corner  # how much farther than the best at that corner
+        best = np.where(alive, far, far.max() + 1).argmin(1)
+        # How much farther than the best at the corner that favours an entry most: nodes of one best together.
+        behind = far - far[np.arange(len(nodes)), best][:, None]
+        order = np.argsort(best, kind="stable")
+        edge = np.flatnonzero(np.diff(best[order], prepend=-1, append=-1))
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            own = order[i:j]
+            behind[own] -= (most[own] - least[own]) @ np.abs(entries - entries[best[own[0]]]).T
         number = np.arange(len(entries))[None]
         return alive & ((behind < 0) | ((behind == 0) & (number <= best[:, None])))
 

@@ -82,6 +82,7 @@ def test_trees_assign_like_all_comparisons(monkeypatch):
 
 
 def test_subtrees_are_assigned_at_once(monkeypatch):
+    monkeypatch.setattr(v, "LEAF", 16)
     rng = np.random.default_rng(6)
     centres = rng.integers(-4000, 4000, (20, 4)).astype(float)
     points = centres[rng.integers(0, 20, 5000)] + rng.integers(-3, 4, (5000, 4))
