@@ -27,6 +27,8 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 2**64)
+#: Odd factors of a window's blocks.
+_FACTORS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -98,6 +100,23 @@ def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
+def window_hash(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes, eight at least, from each start on; for starts that lie close together.
+
+    Each place's eight bytes are mixed once for all windows that hold them; a window's blocks are
+    then summed up, each by a factor of its own, so that their order counts.
+    """
+    if not len(start):
+        return np.zeros(0, _U)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    mixed = mix(np.ndarray(len(data) + 1, "<u8", padded, 0, (1,)))
+    out = np.zeros(len(start), _U)
+    for factor, at in zip(_FACTORS, [*range(0, size - 8, 8), size - 8], strict=False):
+        out += mixed[start + at] * factor
+    return mix(out)
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

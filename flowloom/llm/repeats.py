@@ -217,7 +217,7 @@ class Shared:
         """Start and hash of each window of the chosen runs."""
         count = self.count[chosen]
         start = np.repeat(self.start[chosen] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        return start, k.range_hash(self.slab, start, start + DEPTH)
+        return start, k.window_hash(self.slab, start, DEPTH)
 
 
 class Asked:

@@ -174,6 +174,11 @@ def test_ranges_are_hashed_by_their_bytes_alone():
     for a, b, h in zip(start.tolist(), end.tolist(), got, strict=True):
         assert names.setdefault(data[a:b].tobytes(), h) == h
     assert len(set(names.values())) == len(names)
+    for size in (8, 9, 16, 50):
+        at, names = np.arange(len(data) - size + 1), {}
+        for a, h in zip(at.tolist(), k.window_hash(data, at, size).tolist(), strict=True):
+            assert names.setdefault(data[a : a + size].tobytes(), h) == h
+        assert len(set(names.values())) == len(names)
 
 
 def test_sets_that_share_a_number_get_others():
