@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import kernels as k
-from flowloom.llm.common import _trim, deleted, mapped, shared_path, small_batches, table, tidy, trimmed
+from flowloom.llm.common import _trim, deleted, mapped, shared_path, small_batches, small_enough, table, tidy, trimmed
 
 #: Most rows of each kind that the model is fitted on, and the hashed words' dimensions.
 POSITIVES, UNLABELLED, WORDS = 6000, 12000, 1 << 12
@@ -299,7 +299,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").where(~held_out())
     chance = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
     taken = lambda rows, most, of: rows.where(chance < int(min(1.0, most / max(of, 1)) * (1 << 30)))
-    marked = _featured(texts.withColumn("chance", chance)).join(known.where("label = 1"), "doc_id", "left")  # texts are not shuffled
+    trusted = known.where("label = 1")
+    trusted = F.broadcast(trusted) if small_enough(trusted, 16) else trusted  # neither texts nor, within the bound, features are shuffled
+    marked = _featured(texts.withColumn("chance", chance)).join(trusted, "doc_id", "left")
     path = shared_path(docs.sparkSession, "features")
     marked.select("doc_id", F.coalesce("label", F.lit(0)).alias("label"), "chance", "dense", "words", "value").write.parquet(path)
     rows = docs.sparkSession.read.parquet(path)
