@@ -99,14 +99,15 @@ def project_offline(spark, sf_dir):
 @query
 def decode_frames(spark, sf_dir):
     """Frames read from the capture files that hold them; a frame's time names it."""
-    found = pcap.frames_in(tables.frame_captures(tables.frames(spark, sf_dir)))
+    found = tables.whole_ports(pcap.frames_in(tables.frame_captures(tables.frames(spark, sf_dir)), include_raw=True))
     return found.select("ts_ns", "src_mac", "dst_mac", "is_ipv4", "src_ip", "dst_ip", "ip_payload", "ihl", "proto", "src_port", "dst_port", "seq", "ack", "data_offset", "window", *(f"f_{x}" for x in ("fin", "syn", "rst", "psh", "ack", "urg")))
 
 
 @query
 def decode_frames_dns_only(spark, sf_dir):
     """The same with the filter for DNS put into the source."""
-    return pcap.frames_in(tables.frame_captures(tables.frames(spark, sf_dir)), "dns").select("ts_ns", "src_port", "dst_port")
+    found = tables.whole_ports(pcap.frames_in(tables.frame_captures(tables.frames(spark, sf_dir)), "dns", include_raw=True))
+    return found.where(net.dns_filter(F.col("proto"), F.col("src_port"), F.col("dst_port"))).select("ts_ns", "src_port", "dst_port")
 
 
 @query

@@ -24,11 +24,28 @@ def behind_explode(df):
     return "\n".join(lines[:first])
 
 
+@pytest.fixture(scope="module")
+def many_users(spark, tmp_path_factory):
+    """sf0.001 with users whose ports pass 16 bits."""
+    place = tmp_path_factory.mktemp("large")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.withColumn("user_id", F.col("user_id") * 4001).coalesce(1).write.parquet(f"{place}/events.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/pages.parquet").coalesce(1).write.parquet(f"{place}/pages.parquet")
+    return str(place)
+
+
 @pytest.mark.parametrize("name", ["video_segments_tick"])
 def test_idle_ticks_are_made_behind_all_shuffles(spark, small, name):
     assert not any(x in behind_explode(QUERIES[name](spark, small)) for x in ("Exchange", "Sort", "Window"))
 
 
+@pytest.mark.parametrize("name", ["decode_frames", "decode_frames_dns_only"])
+def test_ports_beyond_16_bits_come_back(spark, many_users, name):
+    rows = QUERIES[name](spark, many_users)
+    assert rows.where("src_port > 65535 or dst_port > 65535").count() > 0
+    same(rows, ORACLES[name], many_users)
+
+
 @pytest.mark.parametrize("name", ["video_segments_tick", "tcp_retransmit", "latency_jitter"])
 def test_flows_with_very_many_packets_go_in_two_levels(spark, small, monkeypatch, name):
     monkeypatch.setattr(scan, "HEAVY", 60)
