@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,18 +24,32 @@ def ip4_string(num: Column) -> Column:
     return F.concat_ws(".", *(F.shiftright(num, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)))
 
 
+def _with(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def ip6_hex(ip: Column) -> Column:
     """An IPv6 address as 32 hex digits; null for anything else. Embedded dotted addresses are understood."""
-    dotted = F.regexp_extract(ip, r"(\d+\.\d+\.\d+\.\d+)$", 1)
-    tail = F.lpad(F.lower(F.hex(ip4_num(dotted))), 8, "0")
-    plain = F.when(dotted == "", ip).otherwise(F.concat(F.regexp_replace(ip, r"\d+\.\d+\.\d+\.\d+$", ""), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4)))
-    plain = F.lower(plain)
     groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
-    head, rest = groups(F.split(plain, "::", 2)[0]), F.when(plain.contains("::"), groups(F.element_at(F.split(plain, "::", 2), 2))).otherwise(F.array().cast("array<string>"))
-    gap = F.lit(8) - F.size(head) - F.size(rest)
-    full = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0)).cast("int")), rest)
-    valid = plain.rlike("^[0-9a-f:]+$") & plain.contains(":") & ~plain.rlike(":::|::.*::|^:[^:]|[^:]:$") & (F.when(plain.contains("::"), gap >= 1).otherwise(gap == 0)) & F.forall(full, lambda g: F.length(g) <= 4)
-    return F.when(valid, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+
+    def undotted(x: Column) -> Column:
+        dotted = F.regexp_extract(x, r"(\d+\.\d+\.\d+\.\d+)$", 1)
+        tail = lambda t: F.concat(F.regexp_replace(x, r"\d+\.\d+\.\d+\.\d+$", ""), F.substring(t, 1, 4), F.lit(":"), F.substring(t, 5, 4))
+        return F.when(x.contains("."), _with(F.lpad(F.lower(F.hex(ip4_num(dotted))), 8, "0"), tail)).otherwise(x)
+
+    def of_sides(plain: Column, head: Column, rest: Column) -> Column:
+        gap = F.lit(8) - F.size(head) - F.size(rest)
+        full = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0)).cast("int")), rest)
+        valid = plain.rlike("^[0-9a-f:]+$") & plain.contains(":") & ~plain.rlike(":::|::.*::|^:[^:]|[^:]:$") & F.when(plain.contains("::"), gap >= 1).otherwise(gap == 0)
+        return F.when(valid, _with(full, lambda g: F.when(F.forall(g, lambda x: F.length(x) <= 4), F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), ""))))
+
+    def of_plain(plain: Column) -> Column:
+        both = F.split(plain, "::", 2)
+        rest = F.when(plain.contains("::"), groups(F.element_at(both, 2))).otherwise(F.array().cast("array<string>"))
+        return _with(F.struct(groups(both[0]).alias("head"), rest.alias("rest")), lambda s: of_sides(plain, s["head"], s["rest"]))
+
+    return F.when(ip.contains(":"), _with(F.lower(undotted(ip)), of_plain))
 
 
 def ip_bits(ip: Column) -> Column:
@@ -44,25 +60,28 @@ def ip_bits(ip: Column) -> Column:
     return F.coalesce(four, six)
 
 
-def _between(ip: Column, *nets: tuple[str, str]) -> Column:
-    import ipaddress
+#: Whether a text is an address of those networks, in one look: numbers of private, and of loopback and link-local networks.
+_RFC1918 = rf"10\.{_OCTET}|192\.168|172\.(1[6-9]|2\d|3[01])"
+_OWN4 = rf"{_RFC1918}|127\.{_OCTET}|169\.254"
+_GROUP = "[0-9a-f]{1,4}"
+#: Eight groups, or fewer on both sides of a pair of colons.
+_IP6 = rf"^(({_GROUP}:){{7}}{_GROUP}|(?!([^0-9a-f]*{_GROUP}(?![0-9a-f])){{8}})({_GROUP}(:{_GROUP})*)?::({_GROUP}(:{_GROUP})*)?)$"
+_OWN6 = "^(f(e[89ab]|[cd][0-9a-f])[0-9a-f]:|[0:]*:0{0,3}1$)"
+
 
-    num = ip4_num(ip)
-    out = F.lit(False)
-    for lo, hi in nets:
-        out = out | num.between(int(ipaddress.ip_address(lo)), int(ipaddress.ip_address(hi)))
-    return F.coalesce(out, F.lit(False))
+def _in_four(ip: Column, nets: str) -> Column:
+    return ip.rlike(rf"^({nets})\.{_OCTET}\.{_OCTET}$")
 
 
 def is_rfc1918(ip: Column) -> Column:
-    return _between(ip, ("10.0.0.0", "10.255.255.255"), ("172.16.0.0", "172.31.255.255"), ("192.168.0.0", "192.168.255.255"))
+    return F.coalesce(_in_four(ip, _RFC1918), F.lit(False))
 
 
 def is_private(ip: Column) -> Column:
     """Private, loopback or link-local, of either version."""
-    six = ip6_hex(ip)
-    v6 = (six == "0" * 31 + "1") | six.startswith("fe8") | six.startswith("fe9") | six.startswith("fea") | six.startswith("feb") | six.startswith("fc") | six.startswith("fd")
-    return is_rfc1918(ip) | _between(ip, ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255")) | F.coalesce(v6, F.lit(False))
+    low = F.lower(ip)
+    six = F.when(ip.contains("."), ip6_hex(ip).rlike("^(0{31}1$|fe[89ab]|f[cd])")).otherwise(low.rlike(_OWN6) & low.rlike(_IP6))
+    return F.coalesce(F.when(ip.contains(":"), six).otherwise(_in_four(ip, _OWN4)), F.lit(False))
 
 
 def in_net(ip: Column, net: str | None) -> Column:
@@ -72,9 +91,13 @@ def in_net(ip: Column, net: str | None) -> Column:
     if not net:
         return F.lit(False)
     n = ipaddress.ip_network(net)
-    bits = bin(int(n.network_address))[2:].zfill(n.max_prefixlen)[: n.prefixlen]
-    own = ip_bits(ip)
-    return F.coalesce((F.length(own) == n.max_prefixlen) & own.startswith(bits), F.lit(False))
+    number, rest = int(n.network_address), n.max_prefixlen - n.prefixlen
+    if n.version == 4:
+        return F.coalesce(F.shiftright(ip4_num(ip), rest) == number >> rest, F.lit(False))
+    digits, bits = divmod(n.prefixlen, 4)
+    words = f"{number:032x}"
+    last = [f"{x:x}" for x in range(16) if bits and x >> (4 - bits) == int(words[digits], 16) >> (4 - bits)]
+    return F.coalesce(F.when(ip.contains(":"), ip6_hex(ip).rlike(f"^{words[:digits]}" + (f"[{''.join(last)}]" if bits else ""))), F.lit(False))
 
 
 def direction(mode: str, src_mac: Column, dst_mac: Column, hwaddr: str) -> Column:

@@ -53,3 +53,27 @@ def test_flows_with_very_many_packets_go_in_two_levels(spark, small, monkeypatch
     monkeypatch.setattr(scan, "written", lambda df, what, put=scan.written: made.append(what) or put(df, what))
     same(QUERIES[name](spark, small), ORACLES[name], small)
     assert made.count("scan") >= 2
+
+
+def test_networks_of_odd_addresses(spark):
+    texts = ["10.0.0.1", "10.0.0.256", "010.0.0.1", "10.0.0", "10.0.0.1.1", "127.0.0.1", "128.0.0.1", "169.254.3.4", "169.255.3.4", "172.15.0.1", "172.16.0.1", "172.31.255.255", "172.32.0.0", "192.168.1.1", "192.169.1.1", "", "x"]
+    texts += ["::", "::1", "0:0:0:0:0:0:0:1", "::0001", "::00001", "0::1", "::1:1", "1::1", "::0.0.0.1", "fe80::1", "FE80::1", "fec0::1", "febf:1::", "fe8::1", "fc00::", "fd12:3456::7", "f::1", "fd00:1:2:3:4:5:6:7", "fd00:1:2:3:4:5:6", "fd00:1:2:3:4:5:6:7:8"]
+    texts += ["fd00::1::2", "fd00:::1", ":fd00::1", "fd00::1:", "fd00::1:2:3:4:5:6", "fd00::1:2:3:4:5:6:7", "fd00::12345", "fd00::g", "2001:db8::1", "2001:dc0::1", "::ffff:10.0.0.1", "fd00::1.2.3.4"]
+    own = [ipaddress.ip_network(x) for x in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "::1/128", "fe80::/10", "fc00::/7")]
+
+    def within(text, nets):
+        try:
+            return any(ipaddress.ip_address(text) in n for n in nets)
+        except ValueError:
+            return False
+
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", net.is_private(F.col("t")).alias("own"), net.is_rfc1918(F.col("t")).alias("rfc"), *(net.in_net(F.col("t"), n).alias(f"n{i}") for i, n in enumerate(("172.16.0.0/13", "2001:db8::/43", "fd00::/8"))))
+    for r in rows.collect():
+        t = r.t or ""
+        assert (r.own, r.rfc) == (within(t, own), within(t, own[:3])), t
+        assert [r.n0, r.n1, r.n2] == [within(t, [ipaddress.ip_network(n)]) for n in ("172.16.0.0/13", "2001:db8::/43", "fd00::/8")], t
+
+
+def test_an_address_is_looked_at_a_few_times(spark, small):
+    shown = QUERIES["local_private"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("RLIKE") + shown.count("split(") < 60
