@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom.config import Config, service_domains, service_features, service_prefixes
 from flowloom.functions.net import ip_bits
 from flowloom.functions.patterns import with_found
 from flowloom.model import SECOND
+from flowloom.operators.scan import BUCKET_NS
 
 #: Rows of the configuration that are broadcast; larger tables are joined by a shuffle where the join has a key.
 BROADCAST = 100_000
@@ -89,17 +90,44 @@ def dns_bindings(first: DataFrame, evict_ns: int) -> DataFrame:
     return rows.where("until > ts_ns").select("ip", F.col("ts_ns").alias("bound_at"), "until", expires.alias("expires_s"), "service_id", "service")
 
 
+def _by_address(rows: DataFrame, ip: str, bindings: DataFrame | None, prefixes: DataFrame | None) -> DataFrame:
+    """``rows`` with ``__b``, the address's latest binding, and ``__p``, what ``prefixes`` hold of it; null where there is none.
+
+    Rows and bindings are dealt by address and bucket of time, and merged in order there; what held before a bucket
+    is found on the buckets alone, and comes first in it. So rows move once, an address that most rows have is many tasks, and
+    the work is linear in both.
+    """
+    bucket = lambda c: F.expr(f"{c} div {BUCKET_NS}").alias("__bucket")
+    place = ["__ip", "__bucket"]
+    marks = rows.select(F.col(ip).alias("__ip"), bucket("ts_ns")).where("__ip is not null").distinct()
+    both = rows.select(*rows.columns, F.col(ip).alias("__ip"), bucket("ts_ns"), F.col("ts_ns").alias("__at"), F.lit(True).alias("__row"))
+    before = marks
+    if bindings is not None:
+        bound = bindings.select(F.col("ip").alias("__ip"), bucket("bound_at"), F.struct("bound_at", "expires_s", "service_id", "service").alias("__b"))
+        latest = marks.unionByName(bound, allowMissingColumns=True).groupBy(*place).agg(F.max("__b").alias("__b"))
+        earlier = Window.partitionBy("__ip").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        before = latest.select(*place, F.last("__b", True).over(earlier).alias("__b"))
+        both = both.unionByName(bound.withColumns({"__at": F.col("__b.bound_at"), "__row": F.lit(False)}), allowMissingColumns=True)
+    if prefixes is not None:
+        before = before.join(prefixes.select(F.col("ip").alias("__ip"), F.struct("service_id", "service").alias("__p")), "__ip", "left")
+    first = before.withColumns({"__at": F.lit(-(2**63)), "__row": F.lit(False)})
+    order = Window.partitionBy(*place).orderBy("__at", "__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = [c for c, x in (("__b", bindings), ("__p", prefixes)) if x is not None]
+    merged = both.unionByName(first, allowMissingColumns=True)
+    return merged.withColumns({c: F.last(c, True).over(order) for c in found}).where("__row").select(*rows.columns, *found)
+
+
+def _held(field: str) -> Column:
+    """A field of the latest binding, if that has not expired."""
+    return F.when(F.expr(f"ts_ns div {SECOND}") <= F.col("__b.expires_s"), F.col(f"__b.{field}"))
+
+
 def asof_binding(rows: DataFrame, bindings: DataFrame, ip: str = "service_ip") -> DataFrame:
     """``rows`` with the service of the address's latest binding at ``ts_ns``, if that has not expired.
 
-    A binding at a packet's own time comes before it. At most one interval holds a
-    time, so the join is one to one; its key is the address, which AQE may split.
+    A binding at a packet's own time comes before it.
     """
-    b = bindings.select(F.col("ip").alias("__ip"), "bound_at", "until", "expires_s", F.col("service_id").alias("dns_service_id"), F.col("service").alias("dns_service"))
-    on = (F.col(ip) == F.col("__ip")) & (F.col("ts_ns") >= F.col("bound_at")) & (F.col("ts_ns") < F.col("until"))
-    joined = rows.join(b, on, "left")
-    held = F.expr(f"ts_ns div {SECOND}") <= F.col("expires_s")
-    return joined.withColumns({c: F.when(held, F.col(c)) for c in ("dns_service_id", "dns_service")}).drop("__ip", "bound_at", "until", "expires_s")
+    return _by_address(rows, ip, bindings, None).select(*rows.columns, _held("service_id").alias("dns_service_id"), _held("service").alias("dns_service"))
 
 
 def cidr_matches(spark: SparkSession, ips: DataFrame, config: Config, ip: str = "ip") -> DataFrame:
@@ -126,13 +154,13 @@ def cidr_first_match(spark: SparkSession, ips: DataFrame, config: Config, ip: st
 
 def with_service(spark: SparkSession, packets: DataFrame, config: Config, messages: DataFrame | None = None) -> DataFrame:
     """Packets with ``service_id`` and ``service`` of their remote end at their time; null if unknown."""
-    by_prefix = cidr_first_match(spark, packets, config, "service_ip").select(F.col("ip").alias("__ip"), F.col("service_id").alias("__cidr_id"), F.col("service").alias("__cidr"))
-    rows = packets.join(by_prefix, F.col("service_ip") == F.col("__ip"), "left").drop("__ip")
+    by_prefix = cidr_first_match(spark, packets, config, "service_ip").select("ip", "service_id", "service")
+    bindings = None if messages is None else dns_bindings(dns_first_match(spark, messages, config), config.dns_evict_ns)
+    rows = _by_address(packets, "service_ip", bindings, by_prefix)
     if messages is None:
-        return rows.withColumns({"service_id": F.col("__cidr_id"), "service": F.col("__cidr")}).drop("__cidr_id", "__cidr")
-    rows = asof_binding(rows, dns_bindings(dns_first_match(spark, messages, config), config.dns_evict_ns))
-    both = {"service_id": F.coalesce("dns_service_id", "__cidr_id"), "service": F.when(F.col("dns_service_id").isNotNull(), F.col("dns_service")).otherwise(F.col("__cidr"))}
-    return rows.withColumns(both).drop("__cidr_id", "__cidr", "dns_service_id", "dns_service")
+        return rows.select(*packets.columns, F.col("__p.service_id").alias("service_id"), F.col("__p.service").alias("service"))
+    service = F.when(_held("service_id").isNotNull(), _held("service")).otherwise(F.col("__p.service"))
+    return rows.select(*packets.columns, F.coalesce(_held("service_id"), F.col("__p.service_id")).alias("service_id"), service.alias("service"))
 
 
 def known_service_only(packets: DataFrame) -> DataFrame:

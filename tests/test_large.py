@@ -55,6 +55,28 @@ def test_flows_with_very_many_packets_go_in_two_levels(spark, small, monkeypatch
     assert made.count("scan") >= 2
 
 
+@pytest.mark.parametrize("name", ["service_lookup", "dns_asof_ttl", "known_service_filter"])
+def test_packets_of_an_address_are_dealt_by_time(spark, small, name):
+    shown = plan(QUERIES[name](spark, small))
+    assert "bound_at" not in "".join(line for line in shown.splitlines() if "Join" in line)  # no packet meets all bindings of its address
+    assert any("hashpartitioning(__ip" in line and "__bucket" in line for line in shown.splitlines())
+
+
+def test_latest_binding_against_brute_force(spark):
+    rng, s = random.Random(4), 10**9
+    bound = {(rng.choice("abc"), rng.randrange(0, 90) * s // 2) for _ in range(60)}
+    bindings = [(ip, at, at // s + rng.choice([0, 3, 40]), i, f"s{i}") for i, (ip, at) in enumerate(sorted(bound))]
+    rows = [(i, rng.randrange(0, 400) * s // 4, rng.choice(["a", "b", "c", "d", None])) for i in range(500)]
+    frame = spark.createDataFrame(rows, "pkt_no long, ts_ns long, service_ip string").repartition(3)
+    table = spark.createDataFrame(bindings, "ip string, bound_at long, expires_s long, service_id int, service string")
+    got = {r.pkt_no: r.dns_service for r in classify.asof_binding(frame, table).collect()}
+    want = {}
+    for no, ts, ip in rows:
+        last = max((b for b in bindings if b[0] == ip and b[1] <= ts), key=lambda b: b[1], default=None)
+        want[no] = last[4] if last and ts // s <= last[2] else None
+    assert got == want and len(set(got.values())) > 5
+
+
 def test_networks_of_odd_addresses(spark):
     texts = ["10.0.0.1", "10.0.0.256", "010.0.0.1", "10.0.0", "10.0.0.1.1", "127.0.0.1", "128.0.0.1", "169.254.3.4", "169.255.3.4", "172.15.0.1", "172.16.0.1", "172.31.255.255", "172.32.0.0", "192.168.1.1", "192.169.1.1", "", "x"]
     texts += ["::", "::1", "0:0:0:0:0:0:0:1", "::0001", "::00001", "0::1", "::1:1", "1::1", "::0.0.0.1", "fe80::1", "FE80::1", "fec0::1", "febf:1::", "fe8::1", "fc00::", "fd12:3456::7", "f::1", "fd00:1:2:3:4:5:6:7", "fd00:1:2:3:4:5:6", "fd00:1:2:3:4:5:6:7:8"]
