@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.operators.packets import with_flow_id
-from flowloom.operators.scan import Running, running
+from flowloom.operators.scan import Running, by_weight, running
 
 
 def flow_packets(classified: DataFrame, evict_ns: int) -> DataFrame:
@@ -16,12 +16,16 @@ def flow_packets(classified: DataFrame, evict_ns: int) -> DataFrame:
     its first classified packet and keeps that service; packets before it are dropped.
     After a gap of more than ``evict_ns`` the flow is gone and a new instance starts.
     """
-    rows = running(with_flow_id(classified), ["flow_id"], {"before_ns": Running("last", F.col("ts_ns"))})
-    gap = F.coalesce(F.col("ts_ns") - F.col("before_ns") > evict_ns, F.lit(False))
-    rows = running(rows, ["flow_id"], {"instance": Running("sum", gap.cast("long"), True)}).drop("before_ns")
-    known = F.when(F.col("service_id").isNotNull(), F.struct("service_id", "service"))
-    rows = running(rows, ["flow_id", "instance"], {"bound": Running("first", known, True)}).where("bound is not null")
-    return rows.withColumns({"service_id": F.col("bound.service_id"), "service": F.col("bound.service")}).drop("bound")
+
+    def bound(rows: DataFrame, bucket_ns: int | None) -> DataFrame:
+        rows = running(rows, ["flow_id"], {"before_ns": Running("last", F.col("ts_ns"))}, bucket_ns)
+        gap = F.coalesce(F.col("ts_ns") - F.col("before_ns") > evict_ns, F.lit(False))
+        rows = running(rows, ["flow_id"], {"instance": Running("sum", gap.cast("long"), True)}, bucket_ns).drop("before_ns")
+        known = F.when(F.col("service_id").isNotNull(), F.struct("service_id", "service"))
+        rows = running(rows, ["flow_id", "instance"], {"bound": Running("first", known, True)}, bucket_ns).where("bound is not null")
+        return rows.withColumns({"service_id": F.col("bound.service_id"), "service": F.col("bound.service")}).drop("bound")
+
+    return by_weight(with_flow_id(classified), ["flow_id"], bound)
 
 
 def flows(packets: DataFrame) -> DataFrame:

@@ -191,7 +191,8 @@ def known_service_filter(spark, sf_dir):
 
 
 def flowing(spark, sf_dir):
-    return flows.flow_packets(classified(spark, sf_dir), CONFIG.evict_ns)
+    rows = classified(spark, sf_dir).select(*registry.SEEN, "service_ip", "my_ip", "service_port", "my_port", "service_id", "service")
+    return flows.flow_packets(rows, CONFIG.evict_ns)
 
 
 @query

@@ -46,7 +46,14 @@ def test_ports_beyond_16_bits_come_back(spark, many_users, name):
     same(rows, ORACLES[name], many_users)
 
 
-@pytest.mark.parametrize("name", ["video_segments_tick", "tcp_retransmit", "latency_jitter"])
+def test_flows_are_written_once(spark, small, monkeypatch):
+    made = []
+    monkeypatch.setattr(scan, "written", lambda df, what, put=scan.written: made.append(what) or put(df, what))
+    QUERIES["flow_create"](spark, small)
+    assert made.count("scan") == 1
+
+
+@pytest.mark.parametrize("name", ["flow_expiry", "video_segments_tick", "tcp_retransmit", "latency_jitter"])
 def test_flows_with_very_many_packets_go_in_two_levels(spark, small, monkeypatch, name):
     monkeypatch.setattr(scan, "HEAVY", 60)
     made = []
