@@ -54,6 +54,13 @@ def with_idle_ticks(features: DataFrame, ticks: DataFrame, values: list[str]) ->
 
     ``ticks`` holds (flow_id, instance, first_tick, last_tick): from the flow's start to its eviction.
     """
-    every = ticks.select("flow_id", "instance", F.explode(F.sequence("first_tick", "last_tick")).alias("tick"))
-    joined = every.join(features, ["flow_id", "instance", "tick"], "left")
-    return joined.withColumns({v: F.coalesce(v, F.lit(0)) for v in values})
+    flow = ["flow_id", "instance"]
+    begun = ticks.select(*flow, F.col("first_tick").alias("tick"), "last_tick")
+    both = features.select(*flow, "tick", *values).unionByName(begun, allowMissingColumns=True).repartition(*flow)
+    known = both.groupBy(*flow, "tick").agg(*(F.max(c).alias(c) for c in ("last_tick", *values)))
+    order = Window.partitionBy(*flow).orderBy("tick")
+    last = F.last("last_tick", True).over(order)
+    # A tick's row stands for the idle ticks up to the next one as well, so that these are made at the end.
+    until = F.least(F.coalesce(F.lead("tick").over(order) - 1, last), last)
+    spread = known.withColumn("until", until).where("tick <= until").withColumn("at", F.explode(F.sequence("tick", "until")))
+    return spread.select(*flow, F.col("at").alias("tick"), *(F.when(F.col("at") == F.col("tick"), F.coalesce(v, F.lit(0))).otherwise(F.lit(0)).alias(v) for v in values))

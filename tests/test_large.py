@@ -34,7 +34,7 @@ def many_users(spark, tmp_path_factory):
     return str(place)
 
 
-@pytest.mark.parametrize("name", ["video_segments_tick"])
+@pytest.mark.parametrize("name", ["video_segments_tick", "idle_emit"])
 def test_idle_ticks_are_made_behind_all_shuffles(spark, small, name):
     assert not any(x in behind_explode(QUERIES[name](spark, small)) for x in ("Exchange", "Sort", "Window"))
 
