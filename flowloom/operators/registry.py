@@ -43,24 +43,28 @@ class State(Protocol):
 
 @dataclass(frozen=True)
 class Feature:
-    """``carry`` names values that a tick without packets repeats; its others are zero or empty."""
+    """``carry`` names values that a tick without packets repeats; its others are zero or empty.
+
+    ``ticks`` gives ticks with packets alone, where ``batch`` gives idle ones too; ``x_idle`` is what the ticks after one have as ``x``.
+    """
 
     name: str
     batch: Batch
     carry: tuple[str, ...] = ()
     state: type[State] | None = None
+    ticks: Batch | None = None
 
 
 _FEATURES: dict[str, Feature] = {}
 
 
-def feature(name: str, carry: tuple[str, ...] = (), state: type[State] | None = None) -> Callable[[Batch], Batch]:
+def feature(name: str, carry: tuple[str, ...] = (), state: type[State] | None = None, ticks: Batch | None = None) -> Callable[[Batch], Batch]:
     """Registers a feature; a later one of the same name takes its place."""
 
     def put(batch: Batch) -> Batch:
         if not callable(batch):
             raise ValueError(f"{name}: not a feature")
-        _FEATURES[name] = Feature(name, batch, carry, state)
+        _FEATURES[name] = Feature(name, batch, carry, state, ticks)
         return batch
 
     return put
@@ -132,15 +136,21 @@ def _zero(kind: str) -> Column:
     return F.lit("" if kind == "string" else False if kind == "boolean" else 0).cast(kind)
 
 
-def records(found: Feature, packets: DataFrame, ticks: DataFrame, flow: list[str]) -> DataFrame:
-    """(flow, tick, CType, Data): the feature's values in JSON for all ``ticks(flow, tick)`` of the flows."""
+def records(found: Feature, packets: DataFrame, flow: list[str]) -> tuple[DataFrame, Column]:
+    """(flow, tick, Data, Idle), and what a flow has before all of these.
+
+    ``Data`` are the feature's values of a tick in JSON, ``Idle`` those of the ticks without values after it.
+    """
     keys = [*flow, "tick"]
-    made = found.batch(packets, flow)
-    values = [(c, kind) for c, kind in made.dtypes if c not in keys]
-    before = Window.partitionBy(*flow).orderBy("tick").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    full = ticks.select(*keys).join(made, keys, "left")
-    full = full.select(*keys, *(F.coalesce(F.last(c, ignorenulls=True).over(before) if c in found.carry else F.col(c), _zero(kind)).alias(c) for c, kind in values))
-    return full.select(*keys, F.lit(found.name).alias("CType"), F.to_json(F.struct(*(c for c, _ in values))).alias("Data"))
+    made = (found.ticks or found.batch)(packets, flow)
+    values = [(c, kind) for c, kind in made.dtypes if c not in keys and not c.endswith("_idle")]
+    so_far = Window.partitionBy(*flow).orderBy("tick").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    made = made.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in found.carry})
+    kept = lambda c: f"{c}_idle" if f"{c}_idle" in made.columns else c if c in found.carry else None
+    own = F.struct(*(F.coalesce(F.col(c), _zero(kind)).alias(c) for c, kind in values))
+    idle = F.struct(*(F.coalesce(F.col(kept(c)), _zero(kind)).alias(c) if kept(c) else _zero(kind).alias(c) for c, kind in values))
+    none = F.struct(*(_zero(kind).alias(c) for c, kind in values))
+    return made.select(*keys, F.to_json(own).alias("Data"), F.to_json(idle).alias("Idle")), F.to_json(none)
 
 
 @feature("PacketCounters", state=Packets)
@@ -148,7 +158,7 @@ def _packets(packets: DataFrame, flow: list[str]) -> DataFrame:
     return features.packet_counters(packets, [*flow, "tick"])
 
 
-@feature("VideoCounters", state=Video)
+@feature("VideoCounters", state=Video, ticks=features.video_by_tick)
 def _video(packets: DataFrame, flow: list[str]) -> DataFrame:
     keys = [*flow, "tick"]
     rows = features.video_segments_tick(packets, flow)

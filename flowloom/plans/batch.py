@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom.config import Config
@@ -46,27 +47,34 @@ def flow_json(spark: SparkSession, rows: DataFrame, config: Config, start_s: int
     """(flow_id, instance, tick, json): each flow's record of each tick from its start to its eviction, idle ones too.
 
     The packets are made once, in the shared folder; each feature of a flow's service
-    then reads the columns that it needs.
+    then reads the columns that it needs. Only ticks in which something happened are shuffled: each
+    stands for the idle ones up to the next as well, which are made at the end.
     """
     rows = written(rows, "packets")
     until = F.expr(f"((max(ts_ns) + {config.evict_ns}) div {SECOND} - {start_s}) div {seconds}")
-    lives = written(flows.flows(rows).join(rows.groupBy(*FLOW).agg(F.min("tick").alias("first_tick"), until.alias("until_tick")), FLOW), "flows")
-    ticks = lives.select(*FLOW, "service_id", F.explode(F.sequence("first_tick", "until_tick")).alias("tick"))
-    made = [spark.createDataFrame([], "flow_id string, instance long, tick long, CType string, Data string")]
-    for name in sorted({f for s in config.services for f in s.collect}):
-        collects = F.col("service_id").isin([i for i, s in enumerate(config.services) if name in s.collect])
-        own = rows.where(collects)
-        if name == "VideoCounters":  # a running segment lives on in idle ticks
-            own = own.join(lives.where(collects).select(*FLOW, "until_tick"), FLOW)
-        made.append(registry.records(registry.get(name), own, ticks.where(collects), FLOW))
-    one = F.struct("CType", F.concat(F.lit('{"CType":'), F.expr("substring(to_json(array(CType)), 2, char_length(to_json(array(CType))) - 2)"), F.lit(',"Data":'), F.col("Data"), F.lit("}")).alias("json"))
-    counters = reduce(DataFrame.unionByName, made).groupBy(*FLOW, "tick").agg(F.array_sort(F.collect_list(one)).alias("counters"))
+    lives = flows.flows(rows).join(rows.groupBy(*FLOW).agg(F.min("tick").alias("tick"), until.alias("until_tick")), FLOW)
     about = F.struct(*(F.col(c).alias(n) for c, n in (("flow_id", "Id"), ("service", "Service"), ("domain_name", "DomainName"), ("service_ip", "ServiceIP"), ("local_ip", "LocalIP"), ("protocol", "Protocol"), ("local_port", "LocalPort"), ("service_port", "ServicePort"))))
     # Pieces of JSON are put together as they are: what is in a name never looks like one.
-    heads = lives.select(*FLOW, F.to_json(about).alias("head"))
-    every = ticks.select(*FLOW, "tick").join(counters, [*FLOW, "tick"], "left").join(heads, FLOW)
-    listed = F.coalesce(F.array_join(F.transform("counters", lambda c: c["json"]), ","), F.lit(""))
-    return every.select(*FLOW, "tick", F.concat(F.expr("substring(head, 1, char_length(head) - 1)"), F.lit(',"Cntrs":['), listed, F.lit("]}")).alias("json"))
+    made = [lives.select(*FLOW, "tick", "service_id", "until_tick", F.to_json(about).alias("head"))]
+    names = sorted({f for s in config.services for f in s.collect})
+    collects = [F.col("service_id").isin([i for i, s in enumerate(config.services) if name in s.collect]) for name in names]
+    none = []
+    for k, name in enumerate(names):
+        found, before = registry.records(registry.get(name), rows.where(collects[k]), FLOW)
+        made.append(found.withColumnsRenamed({"Data": f"data{k}", "Idle": f"idle{k}"}))
+        none.append(before)
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made).repartition(*FLOW)
+    known = both.groupBy(*FLOW, "tick").agg(*(F.max(c).alias(c) for c in both.columns if c not in (*FLOW, "tick")))
+    order = Window.partitionBy(*FLOW).orderBy("tick")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = {c: F.last(c, True).over(order) for c in ("service_id", "until_tick", "head", *(f"idle{k}" for k in range(len(names))))}
+    data = {f"data{k}": F.coalesce(f"data{k}", F.last(f"idle{k}", True).over(earlier), none[k]) for k in range(len(names))}
+    full = known.withColumns({**so_far, **data, "next_tick": F.lead("tick").over(order)}).where("tick <= until_tick")
+    last = F.least(F.coalesce(F.col("next_tick") - 1, F.col("until_tick")), F.col("until_tick"))
+    every = full.withColumn("at", F.explode(F.sequence(F.col("tick"), last)))
+    here = F.col("at") == F.col("tick")
+    pieces = [F.when(collects[k], F.concat(F.lit(f'{{"CType":{json.dumps(name, ensure_ascii=False)},"Data":'), F.when(here, F.col(f"data{k}")).otherwise(F.coalesce(f"idle{k}", none[k])), F.lit("}"))) for k, name in enumerate(names)]
+    return every.select(*FLOW, F.col("at").alias("tick"), F.concat(F.expr("substring(head, 1, char_length(head) - 1)"), F.lit(',"Cntrs":['), F.concat_ws(",", *pieces), F.lit("]}")).alias("json"))
 
 
 def envelope(kind: str, start_s, end_s, data):

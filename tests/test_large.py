@@ -34,7 +34,7 @@ def many_users(spark, tmp_path_factory):
     return str(place)
 
 
-@pytest.mark.parametrize("name", ["video_segments_tick", "idle_emit"])
+@pytest.mark.parametrize("name", ["video_segments_tick", "idle_emit", "flow_json"])
 def test_idle_ticks_are_made_behind_all_shuffles(spark, small, name):
     assert not any(x in behind_explode(QUERIES[name](spark, small)) for x in ("Exchange", "Sort", "Window"))
 
@@ -53,7 +53,7 @@ def test_flows_are_written_once(spark, small, monkeypatch):
     assert made.count("scan") == 1
 
 
-@pytest.mark.parametrize("name", ["flow_expiry", "video_segments_tick", "tcp_retransmit", "latency_jitter"])
+@pytest.mark.parametrize("name", ["flow_expiry", "video_segments_tick", "flow_json", "tcp_retransmit", "latency_jitter"])
 def test_flows_with_very_many_packets_go_in_two_levels(spark, small, monkeypatch, name):
     monkeypatch.setattr(scan, "HEAVY", 60)
     made = []
