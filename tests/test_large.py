@@ -4,6 +4,7 @@ import ipaddress
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from flowloom.functions import net
@@ -106,3 +107,21 @@ def test_networks_of_odd_addresses(spark):
 def test_an_address_is_looked_at_a_few_times(spark, small):
     shown = QUERIES["local_private"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert shown.count("RLIKE") + shown.count("split(") < 60
+
+
+def test_streams_make_only_what_features_read(spark, small):
+    from flowloom.streaming import lookup, runs
+
+    made = runs.flow_values(seen(spark, small).withColumn("flow_id", F.lit("f")), False)
+    assert "hw_addr" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+    class Kept:
+        def appendList(self, rows):
+            sizes.append(len(rows))
+
+    sizes: list[int] = []
+    state = lookup.Bindings()
+    state.waiting, state._wake = Kept(), lambda at: None
+    packet = Row(kind=lookup.PACKET, ts_ns=1, no=1, body="{}")
+    list(state.handleInputRows(("a", 0), iter([packet] * 2500), None))
+    assert max(sizes) <= lookup.CHUNK and sum(sizes) == 2500
