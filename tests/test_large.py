@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from flowloom.functions import net
-from flowloom.operators import classify, scan
+from flowloom.operators import classify, features, scan
 from flowloom.plans.oracles import ORACLES
 from flowloom.plans.queries import QUERIES, seen
 from tests.oracle import same
@@ -63,6 +63,21 @@ def test_flows_with_very_many_packets_go_in_two_levels(spark, small, monkeypatch
     assert made.count("scan") >= 2
 
 
+def test_packets_that_are_no_segments_are_neither_written_nor_shuffled(spark, small, monkeypatch):
+    made = []
+    for module in (scan, features):
+        monkeypatch.setattr(module, "written", lambda df, what, put=scan.written: made.append(what) or put(df, what))
+    same(QUERIES["video_segments_tick"](spark, small), ORACLES["video_segments_tick"], small)
+    assert "scan" not in made
+    # A request, data, and packets that are neither: the last of these still says how long the segment runs.
+    at = lambda no, tick, way, size: (no, no * 10**9, tick, "f", way, True, 20 + size, size, 7)
+    rows = [at(1, 0, 0, 300), at(2, 1, 1, 100), at(3, 1, 0, 50), at(4, 2, 1, 0), at(5, 4, 0, 0), at(6, 4, 1, 0)]
+    frame = spark.createDataFrame(rows, "pkt_no long, ts_ns long, tick long, flow_id string, dir int, is_tcp boolean, length long, data_length long, seq long")
+    shuffled = features._segments(frame, ["flow_id"])
+    assert sorted((r.ts_ns // 10**9, r.tick) for r in shuffled.collect()) == [(2, 1), (3, 1), (6, 4)]
+    assert sorted((r.tick, r.seg, r.Len, r.DownPkts, r.DonwBytes, r.TsEnd) for r in features.video_segments_tick(frame, ["flow_id"]).collect()) == [(t, 1, 120, 1, 50, 0) for t in (1, 2, 3, 4)]
+
+
 @pytest.mark.parametrize("name", ["service_lookup", "dns_asof_ttl", "known_service_filter"])
 def test_packets_of_an_address_are_dealt_by_time(spark, small, name):
     shown = plan(QUERIES[name](spark, small))
