@@ -4,7 +4,9 @@ import random
 from dataclasses import dataclass
 from typing import ClassVar
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from flowloom import config as c
@@ -95,6 +97,42 @@ def test_services_in_any_order_of_arrival(spark, tmp_path):
     assert len({r.service for r in got.select("service").distinct().collect()}) == 3
 
 
+def test_packets_go_through_the_state_in_blocks(spark):
+    ips = ["a", "b", None]
+    rows = [(i, (i % 29) * SECOND + i, ips[0 if i % 5 else i % 3]) for i in range(6000)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("pkt_no", "ts_ns", "service_ip"), r, strict=True)) for r in rows])
+    found = [r for part in lookup.blocks(iter([batch.slice(0, 2500), batch.slice(2500, 0), batch.slice(2500)])) for r in part.to_pylist()]
+    assert len(found) < 30  # not one for each packet
+    assert len({r["salt"] for r in found if r["address"] == "a"}) > 3  # nor one task for an address
+    back = []
+    for r in found:
+        own = lookup._unpacked(r["body"]).to_pylist()
+        assert len(own) <= lookup.BLOCK and r["ts_ns"] % lookup.SLOT_NS == lookup.SLOT_NS - 1
+        assert {(p["service_ip"], p["ts_ns"] // lookup.SLOT_NS) for p in own} == {(r["address"], r["ts_ns"] // lookup.SLOT_NS)}
+        back += [(p["pkt_no"], p["ts_ns"], p["service_ip"]) for p in own]
+    assert sorted(back) == rows
+
+
+def test_bindings_stay_for_packets_of_a_slot_that_has_not_passed():
+    class Listed(list):
+        get, put, clear, appendList = list.copy, lambda self, rows: self.__setitem__(slice(None), rows), list.clear, list.extend
+
+    state = lookup.Bindings()
+    state.bound, state.waiting, state.due, state._wake = Listed(), Listed(), Listed(), lambda at: None
+
+    def passed(ts_ns):
+        now = type("Now", (), {"getCurrentWatermarkInMs": lambda self: ts_ns // 1_000_000 + lookup.AHEAD_MS})()
+        return [p for r in state.handleExpiredTimer(("a", 0), now, None) for p in lookup._unpacked(r.body).to_pylist()]
+
+    bound = [Row(kind=lookup.BINDING, ts_ns=at * SECOND, no=at, expires_s=until, service_id=at, service=f"s{at}") for at, until in ((2, 99), (5, 6))]
+    list(state.handleInputRows(("a", 0), iter(bound), None))
+    assert passed(7 * SECOND) == []
+    batch = pa.RecordBatch.from_pylist([{"pkt_no": i, "ts_ns": t * SECOND, "service_ip": "a"} for i, t in enumerate((1, 3, 6, 8, 12))])
+    list(state.handleInputRows(("a", 0), (Row(**r) for part in lookup.blocks(iter([batch])) for r in part.to_pylist()), None))
+    assert [(p["pkt_no"], p["service_id"], p["service"]) for p in passed(11 * SECOND)] == [(0, None, None), (1, 2, "s2"), (2, 5, "s5"), (3, None, None)]
+    assert [p["service"] for p in passed(20 * SECOND)] == [None] and not state.waiting
+
+
 def test_records_in_any_order_of_arrival(spark, tmp_path):
     seen, messages, end = made(spark, 300, 2)
     classified = classify.with_service(spark, seen, CONFIG, messages)
